@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "line_dedup", "packing")
+MODULES = ("pii", "line_dedup", "language", "html_text", "lm_score", "packing", "pieces")
 
 
 def _merged(name: str) -> dict:
