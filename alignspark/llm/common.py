@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
         if batch.nbytes <= most_bytes:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = held = 0
         for i, length in enumerate(lengths):
             if i > begin and held + length > most_bytes:

@@ -10,6 +10,7 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for part in in_slices(batches, "text"):
             texts = [redacted(t, f) if t and (f := spans_of(t)) else t for t in part.column("text").to_pylist()]
             new = pa.array(texts, pa.string())
-            columns = {n: part.column(n) for n in part.schema.names} | {"text": new, "n_chars": pa.compute.cast(pa.compute.utf8_length(new), part.schema.field("n_chars").type)}
+            columns = {n: part.column(n) for n in part.schema.names} | {"text": new, "n_chars": pc.cast(pc.utf8_length(new), part.schema.field("n_chars").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.mapInArrow(run, docs.schema)
