@@ -126,3 +126,32 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
+
+
+def small_enough(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most most_rows (counted), else for a merge join."""
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")
+
+
+def least_count(counts: DataFrame, column: str, most: int) -> int:
+    """The least value of column (a count, at least 1) such that at most `most` rows have that much or more.
+
+    Rows are counted by their bit length (64 groups), then within the one group that the bound cuts by 1024 strips.
+    """
+    groups = {r["b"]: r["k"] for r in counts.groupBy(F.length(F.bin(column)).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    room, above = most, 64
+    while above > 0 and groups.get(above, 0) <= room:
+        room -= groups.get(above, 0)
+        above -= 1
+    least = 1 << above
+    if above and room:
+        low = 1 << (above - 1)
+        step = max(1, (least - low) // 1024)
+        within = counts.where(F.col(column).between(low, least - 1)).groupBy(F.floor((F.col(column) - low) / step).alias("b"))
+        strips = {r["b"]: r["k"] for r in within.agg(F.count(F.lit(1)).alias("k")).collect()}
+        strip = (least - 1 - low) // step
+        while strip >= 0 and strips.get(strip, 0) <= room:
+            room -= strips.get(strip, 0)
+            least = low + strip * step
+            strip -= 1
+    return least

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, stored, table
+from alignspark.llm.common import in_slices, least_count, stored, table
 from alignspark.llm.pieces import BLANK, Pieces, vocabulary
 
 #: Most words that are broadcast; distinct words that a task counts before it hands them on; shift of Zipf's law.
@@ -125,26 +125,8 @@ def with_lattice(counts: DataFrame, sent) -> DataFrame:
 
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[int, dict[bytes, tuple[int, float]]]:
-    """The least count above which at most `most` words lie, and those words' c and lp.
-
-    Words are counted by their count's bit length (64 groups), then by count within the one group that the bound cuts.
-    """
-    bits = F.length(F.bin("n"))
-    groups = {r["b"]: r["k"] for r in words.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    room, above = most, 64
-    while above > 0 and groups.get(above, 0) <= room:
-        room -= groups.get(above, 0)
-        above -= 1
-    least = 1 << above  # all counts with more bits than `above`
-    if above and room:
-        low = 1 << (above - 1)
-        step = max(1, (least - low) // 1024)  # at most 1024 strips
-        strips = {r["b"]: r["k"] for r in words.where(F.col("n").between(low, least - 1)).groupBy(F.floor((F.col("n") - low) / step).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
-        strip = (least - 1 - low) // step
-        while strip >= 0 and strips.get(strip, 0) <= room:
-            room -= strips.get(strip, 0)
-            least = low + strip * step
-            strip -= 1
+    """The least count above which at most `most` words lie, and those words' c and lp."""
+    least = least_count(words, "n", most)
     rows = words.where(F.col("n") >= least).select("word", "c", "lp").toArrow()
     return least, dict(zip(rows["word"].to_pylist(), zip(rows["c"].to_pylist(), rows["lp"].to_pylist(), strict=True), strict=True))
 
