@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alignspark.llm.common import stored, table
+from alignspark.llm.language import language_stage
 from alignspark.llm.line_dedup import line_dedup_stage
+from alignspark.llm.ngram_join import ngram_stage
 from alignspark.llm.packing import packing_stage
 from alignspark.llm.pii import pii_stage
 
 STAGES = [
+    ("language", language_stage),
     ("line_dedup", line_dedup_stage),
+    ("ngram_join", ngram_stage),
     ("pii", pii_stage),
     ("packing", packing_stage),
 ]
