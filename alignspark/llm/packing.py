@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,58 +24,71 @@ from pyspark.sql import functions as F
 
 from alignspark.llm.common import in_slices, stored, table
 
+#: The pattern that the file's kind of tokeniser splits texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, left boolean"
 
 
-class Chunked:
+class Chunked(dict):
     """Ids of texts by a byte-level BPE file; each chunk between blanks and line ends is tokenised once and kept.
 
     The file's pattern never joins over a blank between two other characters, nor over a single line end, so a text's
-    ids are its chunks' ids in order.  Texts with other white space, runs of it, special tokens or the mark itself go
-    to the tokeniser whole.
+    ids are its chunks' ids in order.  Chunks of old scripts (below U+0370, the same letters in every Unicode version) are
+    merged by tiktoken with the file's own vocabulary as ranks, which is several times faster; others, and texts with other
+    white space, runs of it, special tokens or the mark itself, go to the tokeniser.
     """
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most_kept: int = 400_000) -> None:
+    def __init__(self, path: str, most_kept: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.kept: dict[str, bytes | None] = {}
+        alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())  # its printable ones are their own bytes, the others follow
+        printable = [c for c in alphabet if ord(c) < 256]
+        byte_of = {c: ord(c) for c in printable}
+        byte_of |= dict(zip([c for c in alphabet if ord(c) >= 256], [b for b in range(256) if chr(b) not in byte_of], strict=True))
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most_kept = most_kept
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def plain(self, chunk: str) -> bool:
-        body = chunk[1:] if chunk[:1] in (" ", "\n") else chunk
-        return chunk == "\n" or bool(body) and not any(map(str.isspace, body))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if chunk != "\n" and body.split() != [body]:
+            raise NotPlain
+        if len(self) > self.most_kept:
+            self.clear()
+        if max(chunk) < "\u0370":
+            ids = self[chunk] = array("I", self.fast.encode_ordinary(chunk)).tobytes()
+        else:
+            ids = self[chunk] = self.whole(chunk)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.kept) > self.most_kept:
-            self.kept.clear()
-        mark, kept = self.MARK, self.kept
-        split = [None if mark in t or any(s in t for s in self.special) else t.replace(" ", mark + " ").replace("\n", f"{mark}\n{mark}").split(mark) for t in texts]
-        new = list({c for s in split if s for c in s}.difference(kept))
-        plain = [c for c in new if self.plain(c)]
-        kept.update(dict.fromkeys(new))
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[c] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for t, s in zip(texts, split, strict=True):
+        mark, out = self.MARK, []
+        for t in texts:
             try:
-                out.append(b"".join(map(kept.__getitem__, s)) if s else self.whole(t))
-            except TypeError:  # a chunk that isn't plain
+                if mark in t or any(s in t for s in self.special):
+                    raise NotPlain
+                out.append(b"".join(map(self.__getitem__, t.replace(" ", mark + " ").replace("\n", f"{mark}\n{mark}").split(mark))))
+            except NotPlain:
                 out.append(self.whole(t))
         return out
 
 
+class NotPlain(Exception):
+    """A chunk or text that the tokeniser must see as a whole."""
+
+
 _chunked: dict[str, Chunked] = {}
 
 
