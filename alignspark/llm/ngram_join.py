@@ -7,10 +7,10 @@ enumerating the 2-subsets of their prefix; large sets by scanning the inverted l
 small sets stand too if a large one can reach them.  The boundary is the size with the least total cost, from the
 histogram of sizes and the mean length of a list.
 
-A list is never paired with itself as a whole: first each of its sets meets only the list's leader (the set with the
-fewest rare shingles, the hub of near copies); then sets of a list that are still in different components meet, if sizes
-and positions allow a link.  Sets in one component need not meet: links are wanted as components.  Candidates are verified
-exactly on whole sets.  Shingles and classes are 64-bit hashes.
+A list is never paired with itself as a whole: each list has a leader (the set with the fewest rare shingles, the hub of
+near copies), and first each set meets only the best of its lists' leaders; then sets of a list that are still in different components meet, if sizes
+and positions allow a link.  Sets in one component need not meet: links are wanted as components.  Candidates whose parity
+maps differ in more cells than the sets of a link can differ in shingles go; the others are verified exactly on whole sets.  Shingles and classes are 64-bit hashes.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text with fewer words than a shingle is
 one shingle; repeated rows are copies; a null doc_id takes part and can't be a component's id; an empty table gives no
@@ -72,6 +72,22 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) >> 1
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each of about twice as many cells as the set has shingles: whether an odd number falls into the cell."""
+    cells = 64 << max(0, (len(own) // 32).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the shingles that are in one of two sets only: cells of different parity (a wider map is folded)."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix_size(n: int, t: int) -> int:
     """Shingles of a set of n of which a linked set (100 * overlap >= t * union) has one at least."""
     return n - -(-t * n // 100) + 1
@@ -105,7 +121,7 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
 
 
 def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
-    """row, doc_id, class, n (size of the set), prefix (its first shingles in the common order, one more than a link needs)."""
+    """row, doc_id, class, n (size of the set), prefix (its first shingles in the common order, one more than a link needs), bits."""
     spark = documents.sparkSession
     often = stored(frequent_shingles(documents, k), "often")
     top = often.where(F.col("n") >= least_count(often, "n", FREQUENT)).toArrow()
@@ -127,11 +143,11 @@ def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
                     first = own[np.lexsort((own, np.where(known[at] == own, count[at], 0)))[:size]]
                 else:
                     first = own[:size]
-                rows.append((row, class_of(own) if len(own) else None, len(own), first.view(np.int64)))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], ["row", "doc_id", "class", "n", "prefix"])
+                rows.append((row, class_of(own) if len(own) else None, len(own), first.view(np.int64), parity(own)))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], ["row", "doc_id", "class", "n", "prefix", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, class long, n long, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, class long, n long, prefix array<long>, bits binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float, t: int) -> int:
@@ -183,6 +199,21 @@ def _may_link(a: str, b: str, t: int) -> str:
     return f"{t} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n) AND least({a}.rest, {b}.rest) >= {need}"
 
 
+def _near(pairs: DataFrame, maps: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) that the sets' parity maps (class, n, bits) leave possible; drops no pair that links."""
+    left, right = (maps.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+
+    def run(batches):
+        for part in batches:
+            good = []
+            for n, m, x, y in zip(*(part.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                both = (n + m - least_difference(x, y)) // 2
+                good.append(100 * both >= t * (n + m - both))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
     left, right = sets.select(F.col("class").alias("a"), F.col("own").alias("x")), sets.select(F.col("class").alias("b"), F.col("own").alias("y"))
@@ -200,18 +231,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, own (whole set) of the classes in wanted (class, doc_id); only their documents' texts are moved."""
+    """class, own (whole set) of the classes in wanted (class, doc_id); only their documents' texts are moved.
+
+    Rows that repeat a document may give its set once for each task, which changes no link.
+    """
     one = wanted.select(F.col("doc_id").alias("_id"), "class")
     docs = documents.select(F.col("doc_id").cast("long").alias("_doc"), "text")
     texts = docs.join(small_enough(one, IDS), F.col("_doc").eqNullSafe(F.col("_id"))).select("class", "text")
 
     def run(batches):
-        words = Words()
+        words, seen = Words(), set()
         for part in in_slices(batches, "text"):
-            rows = [(c, own.view(np.int64)) for c, text in zip(part.column("class").to_pylist(), part.column("text").to_pylist(), strict=True) if len(own := shingles(text, words, k)) and class_of(own) == c]
+            rows = []
+            for c, text in zip(part.column("class").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if c not in seen and len(own := shingles(text, words, k)) and class_of(own) == c:
+                    seen.add(c)
+                    rows.append((c, own.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["class", "own"])
 
-    return texts.mapInArrow(run, "class long, own array<long>").dropDuplicates(["class"])
+    return texts.mapInArrow(run, "class long, own array<long>")
 
 
 def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
@@ -219,21 +257,24 @@ def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
     rows = stored(classify(documents, k, t), "rows")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("row", "doc_id", "n")).alias("one"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
-    classes = stored(rows.select("row", "class", "n", "prefix").join(members.select("row"), "row", "left_semi"), "prefixes")
+    ones = members.where("copies > 1").select("class", F.col("row").alias("one"))
+    copies = stored(salted_join(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"), "copies")
+    classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits").join(small_enough(copies, IDS), "row", "left_anti")
     sizes = {r["n"]: r["k"] for r in members.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
     several = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"), "lists")
     entries = stored(keys.join(small_enough(several, LISTS), "key", "left_semi"), "entries")
-    dropped(classes)
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", "s.class", "s.n", "s.rest")
     leaders = stored(leaders, "leaders")
     star = entries.alias("x").join(leaders.alias("y"), F.expr(f"x.key = y.key AND x.class <> y.class AND {_may_link('x', 'y', t)}"))
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    stars = stored(star.select(*pair).distinct(), "stars")
+    stars = star.select(F.col("x.class").alias("x"), "y.rest", "y.n", F.col("y.class")).groupBy("x").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), "class")).alias("y"))
+    stars = stored(stars.select(F.least("x", "y.class").alias("a"), F.greatest("x", "y.class").alias("b")).distinct(), "stars")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         sets = stored(_sets(documents, stored(members.join(wanted, "class").select("class", "doc_id"), "wanted"), k), "sets")
         out = stored(_verified(pairs, sets, t), "links")
