@@ -35,35 +35,35 @@ def class_log_weight(theta: np.ndarray, spec: FeatureSpec, n_classes: int, c: in
     a, b = elements("s1"), elements("s2")
 
     def add(x: Column, y: Column, z: Column) -> Column:
-        most = F.greatest(x, y, z)
-        return most if best else most + F.log(F.exp(x - most) + F.exp(y - most) + F.exp(z - most))
+        if best:
+            return F.greatest(x, y, z)
+        # an array and a fold, so that each of the three is worked out once
+        most = lambda v: F.transform(F.array(F.struct(v.alias("v"), F.array_max(v).alias("m"))), lambda s: s["m"] + F.log(F.aggregate(s["v"], F.lit(0.0), lambda t, w: t + F.exp(w - s["m"]))))[0]
+        return F.transform(F.array(F.array(x, y, z)), most)[0]
 
     def pushed(row: Column, value: Column) -> Column:
         return F.concat(row, F.array(value))
 
-    head = F.element_at(a, 1)
-    top = F.aggregate(
-        F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))),
-        F.array(_dot(node, spec, head, F.element_at(b, 1))),
-        lambda row, y: pushed(row, F.element_at(row, -1) + _dot(ins, spec, head, y) + _dot(node, spec, head, y)),
-    )
-
-    def next_row(above: Column, x: Column) -> Column:
-        first = F.element_at(b, 1)
-        begin = F.array(F.element_at(above, 1) + _dot(dele, spec, x, first) + _dot(node, spec, x, first))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            begin,
-            lambda row, j: F.when(j == 1, row).otherwise(
-                pushed(
-                    row,
-                    add(F.element_at(above, (j - 1).cast("int")) + _dot(mat, spec, x, F.element_at(b, j.cast("int"))), F.element_at(row, -1) + _dot(ins, spec, x, F.element_at(b, j.cast("int"))), F.element_at(above, j.cast("int")) + _dot(dele, spec, x, F.element_at(b, j.cast("int"))))
-                    + _dot(node, spec, x, F.element_at(b, j.cast("int"))),
-                )
-            ),
-        )
-
-    whole = F.aggregate(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), top, next_row, lambda row: F.element_at(row, -1))
+    def body(a: Column, b: Column) -> Column:
+        rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+        at = lambda row, j: F.element_at(row, j.cast("int"))
+        head, first = F.element_at(a, 1), F.element_at(b, 1)
+        top = F.aggregate(rest(b), F.array(_dot(node, spec, head, first)), lambda row, y: pushed(row, F.element_at(row, -1) + _dot(ins + node, spec, head, y)))
+
+        def next_row(above: Column, x: Column) -> Column:
+            begin = F.array(F.element_at(above, 1) + _dot(dele + node, spec, x, first))
+
+            def cell(row: Column, j: Column) -> Column:
+                y = at(b, j)
+                come = add(at(above, j - 1) + _dot(mat, spec, x, y), F.element_at(row, -1) + _dot(ins, spec, x, y), at(above, j) + _dot(dele, spec, x, y))
+                return F.when(j == 1, row).otherwise(pushed(row, come + _dot(node, spec, x, y)))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(b)), begin, cell)
+
+        return F.aggregate(rest(a), top, next_row, lambda row: F.element_at(row, -1))
+
+    # through a lambda's variable, so that the strings are split once and not for each cell
+    whole = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: body(p["a"], p["b"]))[0]
     return F.when((F.char_length("s1") > 0) & (F.char_length("s2") > 0), whole)
 
 
