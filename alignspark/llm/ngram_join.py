@@ -34,6 +34,8 @@ from alignspark.llm.common import components, dropped, in_slices, least_count, s
 FREQUENT, IDS, LISTS = 300_000, 1_000_000, 2_000_000
 #: A shingle is frequent from so many sets on, and counts in a task from so many on.
 OFTEN, OFTEN_IN_TASK = 8, 4
+#: Longs of the parity map that joins compare.
+WIDE = 8
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,6 +80,11 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
+def folded(own: np.ndarray) -> np.ndarray:
+    """The parity of WIDE * 64 cells as WIDE longs, to be compared within a join."""
+    return np.packbits(np.bincount((own & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1, bitorder="little").view(np.int64)
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the shingles that are in one of two sets only: cells of different parity (a wider map is folded)."""
     a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
@@ -121,7 +128,7 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
 
 
 def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
-    """row, doc_id, class, n (size of the set), prefix (its first shingles in the common order, one more than a link needs), bits."""
+    """row, doc_id, class, n (size of the set), prefix (its first shingles in the common order, one more than a link needs), bits and fold (parity maps)."""
     spark = documents.sparkSession
     often = stored(frequent_shingles(documents, k), "often")
     top = often.where(F.col("n") >= least_count(often, "n", FREQUENT)).toArrow()
@@ -143,11 +150,11 @@ def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
                     first = own[np.lexsort((own, np.where(known[at] == own, count[at], 0)))[:size]]
                 else:
                     first = own[:size]
-                rows.append((row, class_of(own) if len(own) else None, len(own), first.view(np.int64), parity(own)))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], ["row", "doc_id", "class", "n", "prefix", "bits"])
+                rows.append((row, class_of(own) if len(own) else None, len(own), first.view(np.int64), parity(own), folded(own)))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], ["row", "doc_id", "class", "n", "prefix", "bits", "fold"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, class long, n long, prefix array<long>, bits binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, class long, n long, prefix array<long>, bits binary, fold array<long>")
 
 
 def boundary(sizes: dict[int, int], list_length: float, t: int) -> int:
@@ -199,6 +206,12 @@ def _may_link(a: str, b: str, t: int) -> str:
     return f"{t} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n) AND least({a}.rest, {b}.rest) >= {need}"
 
 
+def _may_be_near(a: str, b: str, t: int) -> str:
+    """Whether the parity maps differ in no more cells than a link's sets may in shingles."""
+    differ = " + ".join(f"bit_count({a}.p{i} ^ {b}.p{i})" for i in range(WIDE))
+    return f"{differ} <= {a}.n + {b}.n - 2 * (({100 + t} - 1 + {t} * ({a}.n + {b}.n)) div {100 + t})"
+
+
 def _near(pairs: DataFrame, maps: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) that the sets' parity maps (class, n, bits) leave possible; drops no pair that links."""
     left, right = (maps.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
@@ -259,7 +272,7 @@ def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
     members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
     ones = members.where("copies > 1").select("class", F.col("row").alias("one"))
     copies = stored(salted_join(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"), "copies")
-    classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits").join(small_enough(copies, IDS), "row", "left_anti")
+    classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies, IDS), "row", "left_anti")
     sizes = {r["n"]: r["k"] for r in members.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
@@ -286,8 +299,9 @@ def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
     open_ = entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = stored(open_, "labelled")
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(open_.join(mixed, "key", "left_semi"), "open")
-    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.class < y.class AND x.component <> y.component AND {_may_link('x', 'y', t)}"))
+    maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
+    rest = stored(open_.join(mixed, "key", "left_semi").join(maps, "class"), "open")
+    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.class < y.class AND x.component <> y.component AND {_may_link('x', 'y', t)} AND {_may_be_near('x', 'y', t)}"))
     more = stored(cross.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"), "cross")
     if not more.isEmpty():
         found = linked(more)
@@ -310,13 +324,13 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a doc_id one stays; documents with a null doc_id can't be told apart and stay.
     """
     found = stored(join_documents(docs, 5, 80).where("doc_id IS NOT NULL"), "groups")
-    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(small_enough(gone, IDS), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("_alignspark_id")).distinct(), "gone")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_alignspark_id"))
+    kept = docs.join(small_enough(gone, IDS), docs["doc_id"].cast("long") == F.col("_alignspark_id"), "left_anti")
     repeated = stored(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    on, side = docs["doc_id"].cast("long") == F.col("_id"), small_enough(repeated, IDS)
+    on, side = docs["doc_id"].cast("long") == F.col("_alignspark_id"), small_enough(repeated, IDS)
     return kept.join(side, on, "left_anti").unionByName(kept.join(side, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
