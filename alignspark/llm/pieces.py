@@ -27,7 +27,10 @@ from alignspark.llm.common import in_slices, table
 BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1) << 40
-UNITS = re.compile(f"{BLANK}+[^{BLANK}]*")
+HIGH = np.uint64(44)
+#: Blanks with what follows them, and line ends by themselves; no piece reaches across (checked for each model).
+UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
+MARKS = ".,;:!?$%&*#)\"'"
 
 
 def key(piece: str) -> int:
@@ -60,6 +63,9 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
         assert (np.diff(self.keys) > 0).all(), "two pieces have one hash"
+        self.maybe = np.zeros(1 << 20, bool)  # what no key shares its high bits with needs no probe
+        self.maybe[self.keys >> HIGH] = True
+        assert not any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.by_piece), "pieces reach across units"
         self.joined = {p[i : i + 2] for p in self.by_piece for i in range(len(p) - 1)}  # neighbours inside a piece
         self.ranked = bool((self.scores[normal] == np.round(self.scores[normal])).all())  # merge ranks, not log-probabilities
         self.bytes = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -95,11 +101,17 @@ class Pieces:
                 self.parts[i] = by_piece[parts[0]], by_piece[parts[1]]
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.pair_maybe = np.zeros(1 << 20, bool)
+        self.pair_maybe[self.pair_keys.astype(np.uint64) * BASE >> HIGH] = True
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        out = np.full(len(hashes), -1)
+        rows = np.flatnonzero(self.maybe[hashes >> HIGH])
+        some = hashes[rows]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[rows] = np.where(self.keys[at] == some, self.ids[at], -1)
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of pieces a and b together gives these two.
@@ -113,8 +125,10 @@ class Pieces:
         limit = np.full(len(a), NONE)
         while len(rows):
             code = a * n + b
-            at = np.minimum(np.searchsorted(self.pair_keys, code), len(self.pair_keys) - 1)
-            merged = np.where(self.pair_keys[at] == code, self.pair_ranks[at], NONE)
+            merged = np.full(len(code), NONE)
+            likely = np.flatnonzero(self.pair_maybe[code.astype(np.uint64) * BASE >> HIGH])
+            at = np.minimum(np.searchsorted(self.pair_keys, code[likely]), len(self.pair_keys) - 1)
+            merged[likely] = np.where(self.pair_keys[at] == code[likely], self.pair_ranks[at], NONE)
             fails = merged < limit
             good[rows[fails]] = False
             ra, rb = self.rank[a], self.rank[b]
@@ -135,8 +149,11 @@ class Pieces:
             hashes[:, j + 1] = hashes[:, j] * BASE + words[:, j] + np.uint64(1)
         return hashes, np.cumprod(powers, dtype=np.uint64)
 
-    def viterbi(self, words: np.ndarray) -> list[list[int]]:
-        """Ids of each word; words is a matrix of code points.  A character without a piece is given as -1 - code point."""
+    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, at the end of its row, and their numbers; words is a matrix of code points.
+
+        A character without a piece is given as -1 - code point.
+        """
         n, length = words.shape
         hashes, powers = self.prefix_hashes(words)
         best = np.full((n, length + 1), -np.inf)
@@ -163,35 +180,44 @@ class Pieces:
                     rows = rows[good]
                 rows = rows[score[rows] > best[rows, j]]
                 best[rows, j], last[rows, j], back[rows, j] = score[rows], np.where(ids[rows] >= 0, ids[rows], -1 - words[rows, j - 1].astype(np.int64)), i
-        out = []
-        for w in range(n):
-            j, ids = length, []
-            while j:
-                ids.append(int(last[w, j]))
-                j = int(back[w, j])
-            out.append(ids[::-1])
-        return out
+        ids, at, counts = np.zeros((n, length), np.int64), np.full(n, length), np.zeros(n, np.int64)
+        rows = np.arange(n)
+        for place in range(length - 1, -1, -1):  # all words step back together
+            ids[rows, place] = last[rows, at[rows]]
+            at[rows] = back[rows, at[rows]]
+            counts[rows] += 1
+            rows = rows[at[rows] > 0]
+            if not len(rows):
+                break
+        return ids, counts
 
 
 class Encoder:
     """Encodes texts unit by unit (blanks and what follows them); each unit is encoded once and kept."""
 
-    def __init__(self, pieces: Pieces, most_kept: int = 300_000) -> None:
+    def __init__(self, pieces: Pieces, most_kept: int = 600_000) -> None:
         self.pieces, self.most_kept = pieces, most_kept
         self.units: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def split(self, unit: str) -> list[str]:
-        """Parts of a unit that no piece reaches across."""
-        joined = self.pieces.joined
-        cuts = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in joined), len(unit)]
-        return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _as_bytes(self, ids: list[int]) -> bytes:
-        out: list[int] = []
-        for i in ids:
-            out += [i] if i >= 0 else [int(self.pieces.byte_ids[b]) for b in chr(-1 - i).encode()]
-        return np.array(out, "<u4").tobytes()
+        """A unit without its closing mark, and that mark, if no piece reaches across; else the unit."""
+        if len(unit) > 1 and unit[-1] in MARKS and unit[-2:] not in self.pieces.joined:
+            return [unit[:-1], unit[-1]]
+        return [unit]
+
+    def _bytes(self, words: np.ndarray) -> list[bytes]:
+        ids, counts = self.pieces.viterbi(words)
+        width = ids.shape[1]
+        data, out = ids.astype("<u4").tobytes(), []
+        lost = (ids < 0).any(1).tolist()
+        for w, (k, odd) in enumerate(zip(counts.tolist(), lost, strict=True)):
+            if odd:
+                row = [x for i in ids[w, width - k :].tolist() for x in ([i] if i >= 0 else self.pieces.byte_ids[list(chr(-1 - i).encode())].tolist())]
+                out.append(np.array(row, "<u4").tobytes())
+            else:
+                out.append(data[4 * (w * width + width - k) : 4 * (w + 1) * width])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -209,7 +235,7 @@ class Encoder:
             for i in range(0, len(words), together):
                 part = words[i : i + together]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
-                self.parts.update(zip(part, map(self._as_bytes, self.pieces.viterbi(codes)), strict=True))
+                self.parts.update(zip(part, self._bytes(codes), strict=True))
         self.units.update((u, b"".join(map(self.parts.__getitem__, s))) for u, s in new.items())
         return [b"".join(map(self.units.__getitem__, s)) for s in split]
 
