@@ -37,7 +37,7 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(at)
-    back = spark.read.parquet(at) if partition_by else spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
     back._stored_at = at
     return back
 

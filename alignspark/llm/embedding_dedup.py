@@ -263,7 +263,7 @@ def dedup_embeddings(embeddings: DataFrame, least: float) -> DataFrame:
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = every.join(linked, every["vec_id"] == linked["id"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def recall(embeddings: DataFrame, result: DataFrame, least: float, every: int = 20) -> float:
