@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,8 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        at = os.path.join("/tmp/checkpoints", f"alignspark-{uuid.uuid4().hex}") if os.name == "posix" else tempfile.mkdtemp()
-        context.setCheckpointDir(at)
+        context.setCheckpointDir(f"/tmp/checkpoints/alignspark-{uuid.uuid4().hex}")
         at = context.getCheckpointDir()
     return at.rstrip("/")
 
@@ -70,16 +67,6 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
         yield batch.slice(begin)
 
 
-def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over bounded slices of df's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_slices(batches, column):
-            yield function(part)
-
-    return df.mapInArrow(run, schema)
-
-
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 32, how: str = "inner") -> DataFrame:
     """Join on key where big may hold a third of its rows under one key: small's rows are repeated once for each salt.
 

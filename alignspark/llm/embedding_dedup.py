@@ -18,6 +18,8 @@ takes no part in links; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,8 +103,7 @@ def deal(nodes: DataFrame, levels: int = 6) -> tuple[DataFrame, DataFrame]:
         go_on = stored(go_on.select("shard", "n"), "large")
         now = stored(_divide(now, stored(_centroids(now, go_on), "centroids")), "shards")
         before = sizes.select("shard", "n")
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    flat, thick = union(ready), union(dense)
+    flat, thick = reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, dense)
     blocks = F.ceil(F.col("n") / SHARD)
     block = F.concat_ws("#", "shard", F.pmod(F.xxhash64("node"), blocks).cast("string"))
     keep = ["shard", "node", "vec", "dim"]
@@ -266,31 +267,29 @@ def dedup_embeddings(embeddings: DataFrame, least: float) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def recall(embeddings: DataFrame, result: DataFrame, least: float, every: int = 20) -> float:
-    """Links found over links there are, for rows whose vec_id is divisible by every; brute force in blocks (an audit)."""
+def recall(embeddings: DataFrame, result: DataFrame, least: float, every: int = 20, block: int = 4096) -> float:
+    """Links found over links there are, for rows whose vec_id is divisible by every: an audit by brute force in blocks."""
     rows = stored(valid_vectors(embeddings).where("label IS NOT NULL"), "audit")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("asks"), F.col("label").alias("l"), F.col("vec").alias("avec"), F.col("dim").alias("d")).withColumn("part", F.pmod(F.xxhash64("asks"), F.ceil(F.lit(asked_count(rows, every)) / 4096)))
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(asked_count(rows, every)) / 4096) - 1)
-    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows.count() // 4096)))).withColumn("part", F.explode(parts))
-    pairs = held.join(asked, (held["part"] == asked["part"]) & (held["label"] == asked["l"]) & (held["dim"] == asked["d"]) & (held["vec_id"] != asked["asks"])).select("asks", "avec", "vec", "dim")
-
-    def run(batches):
-        for part in batches:
-            dims = part.column("dim").to_numpy()
-            good = np.zeros(part.num_rows, bool)
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                a, b = (unit(matrix(part.column(c).take(pa.array(at)), d), np.float64) for c in ("avec", "vec"))
-                good[at] = (a * b).sum(1) >= least
-            yield pa.RecordBatch.from_arrays([part.column("asks")], ["asks"]).filter(pa.array(good))
-
-    there = pairs.mapInArrow(run, "asks long").groupBy("asks").agg(F.count(F.lit(1)).alias("there"))
-    both = there.join(result.select(F.col("vec_id").alias("asks"), "n_links"), "asks").agg(F.sum("there").alias("t"), F.sum("n_links").alias("f")).first()
-    return 1.0 if not both["t"] else both["f"] / both["t"]
-
-
-def asked_count(rows: DataFrame, every: int) -> int:
-    return max(1, rows.where(F.pmod("vec_id", F.lit(every)) == 0).count())
+    asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    parts, blocks = max(1, -(-asks.count() // block)), max(1, -(-rows.count() // block))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+
+    def run(key, asks: pa.Table, held: pa.Table) -> pa.Table:
+        dim = key[2].as_py()
+        out = pa.schema([("there", pa.int64())])
+        if not len(asks) or not len(held):
+            return out.empty_table()
+        near = unit(matrix(asks["vec"], dim), np.float64) @ unit(matrix(held["vec"], dim), np.float64).T >= least
+        near &= asks["label"].to_numpy()[:, None] == held["label"].to_numpy()[None, :]
+        near &= asks["vec_id"].to_numpy()[:, None] != held["vec_id"].to_numpy()[None, :]
+        return pa.table({"there": [int(near.sum())]}, out)
+
+    keys = ("part", "block", "dim")
+    renamed = held.select(*[F.col(c).alias(f"{c}_") for c in keys], "vec_id", "label", "vec")
+    there = asks.groupBy(*keys).cogroup(renamed.groupBy(*[f"{c}_" for c in keys])).applyInArrow(run, "there long").agg(F.sum("there")).first()[0]
+    found = result.where(F.pmod("vec_id", F.lit(every)) == 0).agg(F.sum("n_links")).first()[0]
+    return 1.0 if not there else found / there
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,6 +333,8 @@ def test_embedding_dedup(spark, tmp_path, monkeypatch):
         got = [r for r in embedding_dedup.op7_embedding_dedup(spark, str(tmp_path)).collect() if r["vec_id"] != 5]
         assert len(got) == len(rows) - 2
         want = sum(linked[i] for i, _, _ in keep if i != 5)
+        embeddings = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+        assert 0.9 <= embedding_dedup.recall(embeddings, spark.createDataFrame([(r["vec_id"], r["n_links"]) for r in got], "vec_id long, n_links long"), 0.93, every=3, block=50) <= 1.02
         assert 0.9 * want <= sum(r["n_links"] for r in got) <= want
         if shard == 2000:
             for r in got:
