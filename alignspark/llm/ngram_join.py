@@ -107,9 +107,13 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
         words, seen, held, size = Words(), set(), [], 0
 
         def give():
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= OFTEN_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+            every = np.concatenate([*held, np.zeros(0, np.uint64)])
+            held.clear()
+            every.sort()
+            far = OFTEN_IN_TASK - 1
+            h = np.unique(every[far:][every[far:] == every[:-far]])
+            n = np.searchsorted(every, h, "right") - np.searchsorted(every, h)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for part in in_slices(batches, "text"):
             for text in part.column("text").to_pylist():
@@ -118,9 +122,9 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
                     seen.add(c)
                     held.append(own)
                     size += len(own)
-                if size > 6_000_000:
+                if size > 4_000_000:
                     yield give()
-                    held, size = [], 0
+                    size = 0
         yield give()
 
     counted = documents.select("text").mapInArrow(run, "h long, n long")
