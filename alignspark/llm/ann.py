@@ -16,6 +16,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from alignspark.llm.common import dropped, stored, table
 from alignspark.llm.vectors import matrix, unit, valid_vectors
 
-#: Neighbours of a node, nodes of a first block, iterations, beam of a search, hops at most, nodes expanded in a hop.
-NEIGHBOURS, BLOCK, ITERATIONS, BEAM, HOPS, EXPANDED = 20, 1024, 5, 96, 16, 48
+#: Neighbours of a node, nodes of a first block, times that all nodes are dealt to blocks, iterations.
+NEIGHBOURS, BLOCK, DEALS, ITERATIONS = 24, 2048, 8, 5
+#: Beam of a search, hops at most, nodes expanded in a hop.
+BEAM, HOPS, EXPANDED = 160, 12, 160
 GRAPH = "node long, ids array<long>, sims array<float>"
 
 
@@ -101,13 +105,16 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
     forward = graph.select("node", F.explode("ids").alias("other"))
     spread = Window.partitionBy("node").orderBy(F.xxhash64("other", F.lit(turn)))
     backward = forward.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k).drop("r")
-    meet = forward.unionByName(backward).distinct().join(nodes.select(F.col("node").alias("other"), "vec", "dim"), "other")
+    meet = forward.unionByName(backward).join(nodes.select(F.col("node").alias("other"), "vec", "dim"), "other")
 
     def run(batches):
         for part in _whole_nodes(batches, "node"):
             dim = part["dim"][0].as_py()
             at, other = part["node"].to_numpy(), part["other"].to_numpy()
-            x = unit(matrix(part["vec"], dim))
+            order = np.lexsort((other, at))
+            repeat = np.r_[False, (at[order][1:] == at[order][:-1]) & (other[order][1:] == other[order][:-1])]
+            once = order[~repeat]  # a neighbour both ways comes twice
+            at, other, x = at[once], other[once], unit(matrix(part["vec"], dim))[once]
             found = []
             starts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -125,7 +132,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, iterations: int = ITERATIONS) -> DataFrame:
     """node, ids, sims: the neighbour graph of nodes (node, vec, dim)."""
-    graph = stored(_merged(_from_blocks(nodes, k, 1).unionByName(_from_blocks(nodes, k, 2)), k), "graph")
+    first = [_from_blocks(nodes, k, seed) for seed in range(DEALS)]
+    graph = stored(_merged(reduce(DataFrame.unionByName, first), k), "graph")
     for turn in range(iterations):
         better = stored(_merged(graph.unionByName(_descend(graph, nodes, k, turn)), k), "graph")
         dropped(graph)
@@ -148,8 +156,10 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         fresh = np.zeros(0, np.int64)
         old = set(s["beam"]) - set(s["left"])  # expanded so far
         if len(found):
-            fresh = found["cand"].to_numpy()
-            ids, sims = np.r_[ids, fresh], np.r_[sims, unit(matrix(found["vec"], s["dim"])) @ q]
+            fresh, first = np.unique(found["cand"].to_numpy(), return_index=True)
+            new = ~np.isin(fresh, np.array(s["seen"], np.int64))
+            fresh, first = fresh[new], first[new]
+            ids, sims = np.r_[ids, fresh], np.r_[sims, unit(matrix(found["vec"].take(pa.array(first)), s["dim"])) @ q]
         order = np.lexsort((ids, -sims))[:beam]
         ids, sims = ids[order], sims[order]
         left = [i for i in ids.tolist() if i not in old]
@@ -159,9 +169,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     state = queries.select("query", "qvec", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), none.alias("left"), own.alias("todo"), own.alias("seen"))
     state = stored(state, "search")
     for _ in range(HOPS):
-        expand = state.select("query", F.explode("todo").alias("node")).join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("cand")).distinct()
-        new = expand.join(state.select("query", "seen"), "query").where(~F.array_contains("seen", F.col("cand"))).select("query", "cand")
-        found = new.join(nodes.select(F.col("node").alias("cand"), "vec"), "cand").select(F.col("query").alias("asked"), "cand", "vec")
+        expand = state.select("query", F.explode("todo").alias("node")).join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("cand"))
+        found = expand.join(nodes.select(F.col("node").alias("cand"), "vec"), "cand").select(F.col("query").alias("asked"), "cand", "vec")
         after = stored(state.groupBy("query").cogroup(found.groupBy("asked")).applyInArrow(run, STATE), "search")
         dropped(state)
         state = after
