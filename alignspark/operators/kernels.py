@@ -1,6 +1,6 @@
 """Batches of pairs as padded arrays: features, potentials, sum-product and max-sum over the lattice, gradients.
 
-All pairs of a batch advance together, cell by cell; a pair's result is read at its own last cell, so padding never
+All pairs of a batch advance together, by cells or whole diagonals; a pair's result is read at its own last cell, so padding never
 leaks into it.  -inf marks what can't be reached.
 """
 
@@ -151,12 +151,16 @@ def forward(batch: Batch, machine: StateMachine, weights: np.ndarray, cells: np.
         alpha[:, 0, 0, s] = weights[:, 0, 0, s]
     if machine.static and machine.transitions and all(len({x[1] for x in g}) == len(g) for g in _groups(machine).values()):
         groups = {d: tuple(np.array(c) for c in zip(*g, strict=True)) for d, g in _groups(machine).items()}
-        for i in range(size1):
-            for j in range(size2):
-                for (di, dj), (s0, s1, t) in groups.items():
-                    if i >= di and j >= dj:
-                        come = alpha[:, i - di, j - dj][:, s0] + weights[:, i, j][:, states + t] + weights[:, i, j][:, s1]
-                        alpha[:, i, j][:, s1] = add(alpha[:, i, j][:, s1], come)
+        for d in range(size1 + size2 - 1):  # every move leads to a later diagonal, so a diagonal's cells advance together
+            row = np.arange(max(0, d - size2 + 1), min(size1 - 1, d) + 1)
+            for (di, dj), (s0, s1, t) in groups.items():
+                i = row[(row >= di) & (d - row >= dj)]
+                if len(i):
+                    j = d - i
+                    own, here = weights[:, i, j], alpha[:, i, j]
+                    come = alpha[:, i - di, j - dj][..., s0] + own[..., states + t] + own[..., s1]
+                    here[..., s1] = add(here[..., s1], come)
+                    alpha[:, i, j] = here
         return alpha
     for i in range(size1):
         for j in range(size2):
