@@ -273,7 +273,7 @@ def recall(embeddings: DataFrame, result: DataFrame, least: float, every: int =
     asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     parts, blocks = max(1, -(-asks.count() // block)), max(1, -(-rows.count() // block))
     asks = asks.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def run(key, asks: pa.Table, held: pa.Table) -> pa.Table:
         dim = key[2].as_py()
