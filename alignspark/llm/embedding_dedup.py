@@ -7,7 +7,7 @@ Each shard builds a graph: the nearest of every node, pruned robustly (a neighbo
 nearer to it), with some far neighbours, and all edges in both directions.  The adjacency lists of a node's shards are
 united.  Every node then searches the shards it calls home (all blocks of a dense cluster): greedily from the shard's
 medoids, and from where it comes within range it expands all that lies in range.  A search that misses its own node is
-repeated from there.  What it finds is verified by the cosine in double precision.
+repeated from there.  What it finds is verified by the cosine in double precision and counts for both ends of the link.
 
 recall() audits links found against brute force for a sample of nodes.
 
@@ -79,8 +79,8 @@ def _divide(nodes: DataFrame, centroids: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "shard string, node long, vec binary, dim int, home boolean")
 
 
-def deal(nodes: DataFrame, levels: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Index rows (shard, node, vec, dim) and search rows (shard, node, vec, dim): which shards hold and which search a node."""
+def deal(nodes: DataFrame, levels: int = 6) -> DataFrame:
+    """shard, block, blocks, node, vec, dim, home: which shards hold a node, and whether it searches there (all blocks of it)."""
     now = stored(nodes.select(F.concat_ws("x", "label", "dim").alias("shard"), "node", "vec", "dim", F.lit(True).alias("home")), "shards")
     ready, dense = [], []
     before: DataFrame | None = None
@@ -105,11 +105,10 @@ def deal(nodes: DataFrame, levels: int = 6) -> tuple[DataFrame, DataFrame]:
         before = sizes.select("shard", "n")
     flat, thick = reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, dense)
     blocks = F.ceil(F.col("n") / SHARD)
-    block = F.concat_ws("#", "shard", F.pmod(F.xxhash64("node"), blocks).cast("string"))
-    keep = ["shard", "node", "vec", "dim"]
-    index = flat.select(*keep).unionByName(thick.withColumn("shard", block).select(*keep))
-    every = thick.where("home").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("shard", F.concat_ws("#", "shard", F.col("b").cast("string")))
-    return index, flat.where("home").select(*keep).unionByName(every.select(*keep))
+    flat = flat.withColumn("block", F.lit(0).cast("long")).withColumn("blocks", F.lit(1).cast("long"))
+    thick = thick.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
+    keep = ["shard", "block", "blocks", "node", "vec", "dim", "home"]
+    return flat.select(*keep).unionByName(thick.select(*keep))
 
 
 def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
@@ -154,7 +153,7 @@ def graph(index: DataFrame) -> DataFrame:
         near = build(unit(matrix(group["vec"], group["dim"][0].as_py())))
         return pa.table({"node": group["node"], "near": pa.array([node[e] for e in near], pa.list_(pa.int64()))})
 
-    lists = index.groupBy("shard").applyInArrow(run, "node long, near array<long>")
+    lists = index.groupBy("shard", "block").applyInArrow(run, "node long, near array<long>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -196,54 +195,69 @@ def medoids(x: np.ndarray, most: int = 8) -> list[int]:
     return out
 
 
-def links(index: DataFrame, searches: DataFrame, near: DataFrame, least: float, weights: DataFrame) -> DataFrame:
-    """node, n (rows linked with, weights counted, without its own copies), root (a node of the same component), from each shard."""
-    held = index.join(near, "node").join(weights, "node").select("shard", "node", "vec", "dim", "weight", "near")
-    spread = searches.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD)).alias("parts"))
-    asks = searches.join(small_enough(spread, 100_000), "shard").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))).select(F.col("shard").alias("of"), F.col("part").alias("ask_part"), F.col("node").alias("asks"), F.col("vec").alias("avec"))
-    held = held.join(small_enough(spread, 100_000), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-
-    def run(key, held: pa.Table, asks: pa.Table) -> pa.Table:
-        schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-        if not len(held) or not len(asks):
-            return schema.empty_table()
-        held = held.sort_by("node")
-        node, weight, dim = held["node"].to_numpy(), held["weight"].to_numpy(), held["dim"][0].as_py()
-        raw = matrix(held["vec"], dim)
+def roots(near: np.ndarray) -> np.ndarray:
+    """The least node that each node of a symmetric matrix of links reaches."""
+    root = np.full(len(near), -1)
+    for i in range(len(near)):
+        if root[i] < 0:
+            root[i], border = i, np.array([i])
+            while len(border):
+                border = np.flatnonzero(near[border].any(0) & (root < 0))
+                root[border] = i
+    return root
+
+
+LINKS = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("root", pa.int64())])
+
+
+def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame) -> DataFrame:
+    """Verified links, each for both ends whichever search found it, as rows of two kinds.
+
+    Without other: node, n (weights it links with among the nodes that search the same shard), root (a node of its
+    component).  With other: a link of nodes that search different shards, n and m being the weights of other and node; both
+    may find it, so these rows may repeat.  Each pair of a shard's blocks is a group, so nodes at home there meet once.
+    """
+    held = index.join(near, "node").join(weights, "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.select("shard", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "home", "node", "vec", "dim", "weight", "near")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, weight, block, dim = group["node"].to_numpy(), group["weight"].to_numpy(), group["block"].to_numpy(), group["dim"][0].as_py()
+        home = group["home"].to_numpy(zero_copy_only=False).astype(bool)
+        raw, lists = matrix(group["vec"], dim), group["near"].combine_chunks()
         x, exact = unit(raw), unit(raw, np.float64)
-        adjacency = []
-        for e in held["near"].combine_chunks():
-            e = e.values.to_numpy()
-            at = np.minimum(np.searchsorted(node, e), len(node) - 1)
-            adjacency.append(at[node[at] == e])
-        starts, parent = medoids(x), {}
-
-        def root(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        ids, counts = [], []
-        asked = unit(matrix(asks["avec"], dim), np.float64)
-        for a, q in zip(asks["asks"].to_pylist(), asked, strict=True):
-            found = range_search(x, adjacency, q.astype(np.float32), starts, least)
-            own = int(np.searchsorted(node, a))
-            if own < len(node) and node[own] == a and own not in found:
-                found = list({*found, *range_search(x, adjacency, q.astype(np.float32), [own], least)})
-            found = np.array(found, np.int64)
-            if len(found):
-                found = found[(exact[found] @ q >= least) & (node[found] != a)]
-            ids.append(a)
-            counts.append(int(weight[found].sum()))
-            for b in node[found].tolist():
-                x1, x2 = root(a), root(b)
-                if x1 != x2:
-                    parent[max(x1, x2)] = min(x1, x2)
-        touched = [i for i in parent if i not in set(ids)]
-        return pa.table({"node": ids + touched, "n": counts + [0] * len(touched), "root": [root(i) for i in ids + touched]}, schema)
-
-    return held.groupBy("shard", "part").cogroup(asks.groupBy("of", "ask_part")).applyInArrow(run, "node long, n long, root long")
+        linked = np.zeros((len(node), len(node)), bool)
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        for asking, asked in {(low, high), (high, low)}:
+            asks, there = np.flatnonzero((block == asking) & home), np.flatnonzero(block == asked)
+            if not len(asks) or not len(there):
+                continue
+            own, part = node[there], x[there]
+            adjacency = []
+            for i in there.tolist():
+                e = lists[i].values.to_numpy()
+                at = np.minimum(np.searchsorted(own, e), len(own) - 1)
+                adjacency.append(at[own[at] == e])
+            starts = medoids(part)
+            for a in asks.tolist():
+                found = range_search(part, adjacency, x[a], starts, least)
+                if asking == asked and (self := int(np.searchsorted(own, node[a]))) not in found:
+                    found = list({*found, *range_search(part, adjacency, x[a], [self], least)})
+                found = there[np.array(found, np.int64)]
+                linked[a, found[(exact[found] @ exact[a] >= least) & (found != a)]] = True
+        linked |= linked.T
+        between = np.triu(linked)
+        between[np.ix_(home, home)] = False
+        a, b = np.nonzero(between)
+        linked[~home], linked[:, ~home] = False, False
+        inside = np.flatnonzero(linked.any(1))
+        root = node[roots(linked)[inside]]
+        n = np.array([weight[linked[i]].sum() for i in inside.tolist()], np.int64)
+        none = lambda k: pa.nulls(k, pa.int64())
+        one = pa.table([pa.array(node[inside]), none(len(inside)), pa.array(n), none(len(inside)), pa.array(root)], schema=LINKS)
+        return pa.concat_tables([one, pa.table([pa.array(node[a]), pa.array(node[b]), pa.array(weight[b]), pa.array(weight[a]), none(len(a))], schema=LINKS)])
+
+    return held.groupBy("shard", "low", "high").applyInArrow(run, "node long, other long, n long, m long, root long")
 
 
 def dedup_embeddings(embeddings: DataFrame, least: float) -> DataFrame:
@@ -251,15 +265,17 @@ def dedup_embeddings(embeddings: DataFrame, least: float) -> DataFrame:
     valid = valid_vectors(embeddings).where("label IS NOT NULL")
     rows = stored(valid.withColumn("node", F.xxhash64("key", "label")), "vectors")
     nodes = stored(rows.groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id")), "nodes")
-    index, searches = deal(nodes)
+    index = deal(nodes)
     near = stored(graph(index), "graph")
-    found = stored(links(index, searches, near, least, nodes.select("node", "weight")), "links")
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = stored(links(index, near, least, nodes.select("node", "weight")), "links")
+    inside, between = found.where("other IS NULL"), found.where("other IS NOT NULL").select("node", "other", "n", "m").distinct()
+    ends = inside.select("node", "n").unionByName(between.select("node", "n")).unionByName(between.select(F.col("other").alias("node"), F.col("m").alias("n")))
+    counts = ends.groupBy("node").agg(F.sum("n").alias("n"))
+    labels = components(found.select(F.col("node").alias("a"), F.coalesce("other", "root").alias("b")))
     named = nodes.join(counts, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named.select("node", "component", "least_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_node = stored(salted_join(named, ids, "component", F.col("node")).where((F.col("n_links") > 0)).select("node", "n_links", "component_id"), "per-node")
+    per_node = stored(salted_join(named, ids, "component", F.col("node")).select("node", "n_links", "component_id"), "per-node")
     linked = salted_join(rows.select("node", "vec_id"), per_node, "node", F.col("vec_id")).select(F.col("vec_id").alias("id"), "n_links", "component_id").dropDuplicates(["id"])
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = every.join(linked, every["vec_id"] == linked["id"], "left")

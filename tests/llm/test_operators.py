@@ -344,6 +344,21 @@ def test_embedding_dedup(spark, tmp_path, monkeypatch):
                     assert r["component_id"] == (root(i) if i in parent else i) and r["kept"] == (r["vec_id"] == r["component_id"])
 
 
+def test_links_count_for_both_ends(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x = np.concatenate([x, x + 0.33 * rng.normal(size=x.shape)]).astype(np.float32)  # pairs near the least cosine
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)  # borders, where just one of two searches finds a link
+    got = {r["vec_id"]: r for r in embedding_dedup.op7_embedding_dedup(spark, str(tmp_path)).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    there = (y @ y.T >= 0.93).sum(1) - 1
+    assert all(r["n_links"] <= there[i] for i, r in got.items())
+    sizes = collections.Counter(r["component_id"] for r in got.values())
+    assert all((r["n_links"] > 0) == (sizes[r["component_id"]] > 1) for r in got.values())
+    assert sum(r["n_links"] for r in got.values()) % 2 == 0  # without copies each link counts at two rows
+
+
 # 8: language model
 
 
