@@ -24,6 +24,8 @@ from alignspark.llm.common import in_slices, table
 
 #: Bounds of the fit: labelled rows in all, landmarks in all; bits of the hashed n-gram space; the ridge.
 FIT_ROWS, LANDMARKS, BITS, RIDGE = 1600, 192, 18, 1e-3
+#: The stage rejects scores below this share of the least score of a labelled text that the fit hasn't seen.
+MARGIN = 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -148,14 +150,30 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def least_score(docs: DataFrame, model: Model) -> float:
+    """The score below which a text is in no learned language: MARGIN of the least that a labelled, held-out text has."""
+    labelled = docs.where(held_out() & F.col("lang").isNotNull())
+    least = identify(labelled, model).where(F.col("lang_pred") != UNKNOWN).agg(F.min("score")).first()[0]
+    return MARGIN * (least or 0.0)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects the documents in which no language is found (null texts, texts without a letter)."""
-    sent = spark.sparkContext.broadcast(train(docs.where(F.col("doc_id").isNotNull() & ~held_out())))
+    """Pipeline stage: rejects null texts, texts without a letter and texts that score less than least_score.
+
+    Without labelled rows there is no model, and every text with a letter stays.
+    """
+    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    least = least_score(docs, model) if model else 0.0
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for part in in_slices(batches, "text"):
-            found = predict(part.column("text").to_pylist(), sent.value)
-            yield part.filter(pa.array([f[0] != UNKNOWN for f in found], pa.bool_()))
+            texts = part.column("text").to_pylist()
+            if sent.value is None:
+                keep = [bool(t and LETTER.search(t)) for t in texts]
+            else:
+                keep = [found != UNKNOWN and score >= least for found, score in predict(texts, sent.value)]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from alignspark.llm import ann, embedding_dedup, html_text, language, line_dedup, lm_score, ngram_join, packing, pieces, pii, registry
 from alignspark.llm.common import components, dropped, least_count, stored
@@ -226,6 +227,15 @@ def test_language_kernel_by_hand():
     assert [x[0] for x in language.predict([a, b, None, "", "12 !"], model)] == ["x", "y", "und", "und", "und"]
 
 
+def test_language_stage_decides_by_the_classifier(spark, sf):
+    docs = documents_of(spark, sf).select("doc_id", "text", "lang")
+    other = spark.createDataFrame([(-1, "\u6211\u80fd\u541e\u4e0b\u73bb\u7483\u800c\u4e0d\u4f24\u8eab\u4f53", None), (-2, "12 !", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.language_stage(spark, docs.unionByName(other), sf).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.where("text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    unlabelled = docs.unionByName(other).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language.language_stage(spark, unlabelled, sf).select("doc_id").collect()} == kept | {-1}
+
+
 # 6: pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
