@@ -4,6 +4,7 @@ Copies are one node.  The first graph takes each node's nearest within random bl
 every node's neighbours (forward ones, and backward ones up to as many) with their vectors, compares them with each other
 at that node and merges what it finds into the lists: neighbours of neighbours become neighbours.  Backward lists are
 bounded as the method has it (a sample by hash that changes with the iteration); the graph is approximate anyway.
+Iterations end when few neighbours are new, whatever the size of the table.
 
 A query starts at its own node.  Each hop expands the nearest nodes that aren't expanded yet, in a join with the graph and
 the vectors, for all queries at once, until every query's beam is expanded.  The nearest found are measured again in double
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from alignspark.llm.common import dropped, stored, table
 from alignspark.llm.vectors import matrix, unit, valid_vectors
 
-#: Neighbours of a node, nodes of a first block, times that all nodes are dealt to blocks, iterations.
-NEIGHBOURS, BLOCK, DEALS, ITERATIONS = 24, 2048, 8, 5
-#: Beam of a search, hops at most, nodes expanded in a hop.
-BEAM, HOPS, EXPANDED = 160, 12, 160
+#: Neighbours of a node, nodes of a first block, times that all nodes are dealt to blocks, share of new neighbours at which iterations end.
+NEIGHBOURS, BLOCK, DEALS, SETTLED = 24, 2048, 8, 0.001
+#: Beam of a search, nodes expanded in a hop.
+BEAM, EXPANDED = 160, 160
 GRAPH = "node long, ids array<long>, sims array<float>"
 
 
@@ -130,15 +131,22 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
     return meet.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, iterations: int = ITERATIONS) -> DataFrame:
-    """node, ids, sims: the neighbour graph of nodes (node, vec, dim)."""
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, settled: float = SETTLED) -> DataFrame:
+    """node, ids, sims: the neighbour graph of nodes (node, vec, dim); iterations go on until few neighbours are new.
+
+    They end, as lists only get nearer neighbours.
+    """
     first = [_from_blocks(nodes, k, seed) for seed in range(DEALS)]
-    graph = stored(_merged(reduce(DataFrame.unionByName, first), k), "graph")
-    for turn in range(iterations):
+    graph, turn = stored(_merged(reduce(DataFrame.unionByName, first), k), "graph"), 0
+    while True:
         better = stored(_merged(graph.unionByName(_descend(graph, nodes, k, turn)), k), "graph")
+        both = better.select("node", "ids").join(graph.select("node", F.col("ids").alias("old")), "node", "left")
+        new = F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>"))))
+        changed = both.agg(F.sum(new).alias("new"), F.sum(F.size("ids")).alias("all")).first()
         dropped(graph)
-        graph = better
-    return graph
+        graph, turn = better, turn + 1
+        if (changed["new"] or 0) <= settled * (changed["all"] or 0):
+            return graph
 
 
 STATE = "query long, qvec binary, dim int, beam array<long>, sims array<float>, left array<long>, todo array<long>, seen array<long>"
@@ -168,7 +176,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     own, none = F.array("query"), F.array().cast("array<long>")
     state = queries.select("query", "qvec", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), none.alias("left"), own.alias("todo"), own.alias("seen"))
     state = stored(state, "search")
-    for _ in range(HOPS):
+    while True:  # a hop expands nodes that no hop did, so it ends
         expand = state.select("query", F.explode("todo").alias("node")).join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("cand"))
         found = expand.join(nodes.select(F.col("node").alias("cand"), "vec"), "cand").select(F.col("query").alias("asked"), "cand", "vec")
         after = stored(state.groupBy("query").cogroup(found.groupBy("asked")).applyInArrow(run, STATE), "search")

@@ -320,6 +320,18 @@ def test_nearest_recall(spark, sf):
     assert hits / (5 * len(asked)) >= 0.9
 
 
+def test_graph_settles_with_many_blocks(spark, sf, tmp_path, monkeypatch):
+    t = pq.read_table(f"{sf}/embeddings.parquet")
+    ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"].to_numpy(zero_copy_only=False)).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "DEALS", 2)
+    nodes = spark.createDataFrame([(int(i), v.astype(np.float32).tobytes(), x.shape[1]) for i, v in zip(ids, x, strict=True)], "node long, vec binary, dim int")
+    got = {r["node"]: set(r["ids"]) for r in ann.build_graph(nodes, 8).collect()}
+    place = np.argsort(-(x @ x.T - 2 * np.eye(len(x))), axis=1)[:, :5]
+    assert np.mean([i in got[int(ids[a])] for a, row in enumerate(place) for i in ids[row].tolist()]) >= 0.7
+
+
 def test_embedding_dedup(spark, tmp_path, monkeypatch):
     rows = vectors_table(spark, tmp_path, 1)
     keep = [r for r in usable(rows) if r[2] is not None]
