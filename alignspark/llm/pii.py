@@ -130,7 +130,9 @@ def spans_of(text: str) -> list[Span]:
             for m in PHONE.finditer(text):
                 if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                     add("phone", *m.span(), False, True)
-        for m in IBAN.finditer(text):
+        at = 0
+        while m := IBAN.search(text, at):
+            at = m.start() + 1  # a failed match may hide one that begins within it
             whole = m[0].replace(" ", "")
             while len(whole) >= 15 and not mod97(whole):  # a following capital word may have been taken in
                 whole = whole[:-1]
@@ -140,6 +142,7 @@ def spans_of(text: str) -> list[Span]:
                     left -= text[end] != " "
                     end += 1
                 add("iban", m.start(), end, True, False)
+                at = end
     found.sort(key=lambda s: (s.start, KINDS.index(s.kind)))
     return found
 

@@ -101,6 +101,13 @@ def test_pii_adds_what_checksums_confirm():
     assert pii.spans_of("9" * 200_000 + "." + "a" * 200_000) == []
 
 
+def test_ibans_side_by_side():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for text in (f"{german} {british}", f"AB12 3456 7890 1234 {british}"):
+        found = [("iban " + text)[s.start : s.end] for s in pii.spans_of("iban " + text) if s.kind == "iban"]
+        assert found == [x for x in (german, british) if x in text]
+
+
 def test_pii_query(spark, sf, texts):
     got = pii.op2_pii(spark, sf).collect()
     assert len(got) == len(texts)
