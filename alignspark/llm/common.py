@@ -1,31 +1,51 @@
-"""Shared pieces: the shared folder, written tables, bounded Arrow batches, salted joins, components."""
+"""Shared pieces: the shared folder, written tables, bounded Arrow batches, joins of a checked size, components."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters and bytes that the operators' contracts call white space.
 SPACE = " \t\n\x0b\x0c\r"
+#: Most rows of a side that is broadcast (a few numbers each), and of hot keys that are salted; counted first.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders of this process, by the shared folder they are in; deleted when the process ends.
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """An own folder where driver and executors both see it: in spark.checkpoint.dir, or beside the warehouse where that is unset."""
     context = spark.sparkContext
-    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not at:
-        context.setCheckpointDir(f"/tmp/checkpoints/alignspark-{uuid.uuid4().hex}")
-        at = context.getCheckpointDir()
-    return at.rstrip("/")
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    if at not in _folders:
+        own = _folders[at] = f"{at.rstrip('/')}/alignspark-{uuid.uuid4().hex}"
+        atexit.register(_deleted, context._gateway.jvm, own)
+    return _folders[at]
+
+
+def _deleted(jvm, at: str) -> None:
+    """Delete a folder through Hadoop; nothing to do where the JVM is gone (the cluster's clean-up has it then)."""
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):
+        pass
 
 
 def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
@@ -39,16 +59,19 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that stored() wrote and that nothing reads any more."""
-    at = getattr(df, "_stored_at", None)
-    if at:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(conf).delete(path, True)
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        if at := getattr(df, "_stored_at", None):
+            delete(df.sparkSession, at)
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose text stays near most_bytes (a single longer row is a slice of its own)."""
     for batch in batches:
         n = batch.num_rows
@@ -67,14 +90,53 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
         yield batch.slice(begin)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 32, how: str = "inner") -> DataFrame:
-    """Join on key where big may hold a third of its rows under one key: small's rows are repeated once for each salt.
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, with the worker's free memory given back to the system at the end of a task.
+
+    Workers live on from stage to stage; without this each keeps the most that any task took.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return wrapped
+
+
+def rows_of(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with lean workers and Arrow batches bounded by bytes before they leave the JVM."""
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(most) in ("64MB", "67108864b"):  # the default: a caller's own setting stays
+        conf.set(most, "8m")
+    return df.mapInArrow(lean(run), schema)
+
+
+def looked_up(big: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "inner", rows: int | None = None, salts: int = 32) -> DataFrame:
+    """Join on key where big may hold a third of its rows under one key; small has one row a key, so nothing multiplies.
 
-    small has one row a key, so nothing multiplies; salt_by spreads big's rows of a key.
+    A small of at most BROADCAST_ROWS rows (counted, unless rows says) is broadcast.  Else big's hot keys (those of more
+    than a share of its rows, few by that share) are salted by salt_by and only their rows of small repeated; all other
+    rows meet by key alone.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(f"{key} IS NOT NULL")
+    total = big.count()
+    hot = [r[0] for r in counts.where(F.col("_n") > max(total // 2000, 10_000)).select(key).collect()]  # 2000 at most
+    if not hot:
+        return big.join(small.hint("merge"), key, how)
+    spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left, right = big.withColumn("_salt", spread), small.withColumn("_salt", F.explode(every))
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,8 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stored(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")), "pointers")
+        nodes = to.count()
         while True:  # pointer jumping
-            step = salted_join(to.withColumnRenamed("r", "k"), to.select(F.col("a").alias("k"), "r"), "k", F.col("a"))
+            step = looked_up(to.withColumnRenamed("r", "k"), to.select(F.col("a").alias("k"), "r"), "k", F.col("a"), rows=nodes)
             jumped = stored(step.select("a", "r", (F.col("r") != F.col("k")).alias("moved")), "jumped")
             dropped(to)
             moved = not jumped.where("moved").isEmpty()
@@ -102,10 +165,12 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             new = to.select(F.col("a").alias("id"), F.col("r").alias("component"))
         else:
-            new = salted_join(labels.withColumnRenamed("component", "a"), to, "a", F.col("id"), how="left").select("id", F.coalesce("r", "a").alias("component"))
-        labels = stored(new, "labels")
-        one = salted_join(left, to, "a", F.col("b")).select(F.col("r").alias("x"), F.col("b").alias("a"))
-        two = salted_join(one, to, "a", F.col("x")).select("x", F.col("r").alias("y"))
+            new = looked_up(labels.withColumnRenamed("component", "a"), to, "a", F.col("id"), "left", nodes).select("id", F.coalesce("r", "a").alias("component"))
+        old, labels = labels, stored(new, "labels")
+        if old is not None:
+            dropped(old)
+        one = looked_up(left, to, "a", F.col("b"), rows=nodes).select(F.col("r").alias("x"), F.col("b").alias("a"))
+        two = looked_up(one, to, "a", F.col("x"), rows=nodes).select("x", F.col("r").alias("y"))
         after = stored(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         dropped(left)
         dropped(to)
@@ -115,8 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def small_enough(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most most_rows (counted), else for a merge join."""
+def small_enough(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most most_rows (counted), else for a merge join (whose skew Spark splits at run time)."""
     return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")
 
 

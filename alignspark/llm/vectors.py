@@ -9,32 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
+from alignspark.llm.common import rows_of
 
-def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, key (16 bytes, equal just for equal vectors), vec (their numbers as little-endian bytes), dim.
 
-    Vectors that are null, zero or hold null or non-finite components, and rows without vec_id, are left out.
+def all_vectors(embeddings: DataFrame) -> DataFrame:
+    """vec_id, label, key (16 bytes, equal just for equal vectors), vec (their numbers as little-endian bytes), dim, for every row.
+
+    key, vec and dim are null where the vector is null, zero or holds null or non-finite components, or vec_id is null.
     """
     single = isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType)
     kind = np.float32 if single else np.float64
 
     def run(batches):
         for part in batches:
-            keep, vecs = [], []
-            for i, row in enumerate(part.column("embedding")):
-                if row.is_valid and len(row.values) and not row.values.null_count:
+            vecs: list[bytes | None] = []
+            for row, known in zip(part.column("embedding"), part.column("vec_id").is_valid().to_pylist(), strict=True):
+                vecs.append(None)
+                if known and row.is_valid and len(row.values) and not row.values.null_count:
                     v = row.values.to_numpy(zero_copy_only=False).astype(kind)
                     if np.isfinite(v).all() and v.any():
-                        keep.append(i)
-                        vecs.append((v + kind(0)).tobytes())  # -0 is 0
-            at = pa.array(keep, pa.int32())
+                        vecs[-1] = (v + kind(0)).tobytes()  # -0 is 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("vec_id").take(at), part.column("label").take(at), pa.array([xxhash.xxh3_128_digest(v) for v in vecs], pa.binary()), pa.array(vecs, pa.binary()), pa.array([len(v) // np.dtype(kind).itemsize for v in vecs], pa.int32())],
+                [part.column("vec_id"), part.column("label"), pa.array([v and xxhash.xxh3_128_digest(v) for v in vecs], pa.binary()), pa.array(vecs, pa.binary()), pa.array([v and len(v) // np.dtype(kind).itemsize for v in vecs], pa.int32())],
                 ["vec_id", "label", "key", "vec", "dim"],
             )
 
-    rows = embeddings.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id long, label long, key binary, vec binary, dim int")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    return rows_of(rows, run, "vec_id long, label long, key binary, vec binary, dim int")
+
+
+def valid_vectors(embeddings: DataFrame) -> DataFrame:
+    """The rows of all_vectors that take part."""
+    return all_vectors(embeddings).where("key IS NOT NULL")
 
 
 def matrix(column, dim: int) -> np.ndarray:
