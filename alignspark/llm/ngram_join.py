@@ -8,9 +8,10 @@ small sets stand too if a large one can reach them.  The boundary is the size wi
 histogram of sizes and the mean length of a list.
 
 A list is never paired with itself as a whole: each list has a leader (the set with the fewest rare shingles, the hub of
-near copies), and first each set meets only the best of its lists' leaders; then sets of a list that are still in different components meet, if sizes
-and positions allow a link.  Sets in one component need not meet: links are wanted as components.  Candidates whose parity
-maps differ in more cells than the sets of a link can differ in shingles go; the others are verified exactly on whole sets.  Shingles and classes are 64-bit hashes.
+near copies), and first each set meets only the best of its lists' leaders; then sets of a list that are still in different
+components meet, if sizes and positions allow a link, a long list in pairs of blocks that many tasks share.  Sets in one
+component need not meet: links are wanted as components.  Candidates whose parity maps differ in more cells than the sets of
+a link can differ in shingles go; the others are verified exactly on whole sets.  Shingles and classes are 64-bit hashes.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text with fewer words than a shingle is
 one shingle; repeated rows are copies; a null doc_id takes part and can't be a component's id; an empty table gives no
@@ -27,11 +28,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from alignspark.llm.common import components, dropped, in_slices, least_count, salted_join, small_enough, stored, table
+from alignspark.llm.common import components, dropped, in_slices, least_count, looked_up, rows_of, small_enough, stored, table
 
-#: Bounds of what is broadcast: frequent shingles, ids of candidates, keys of lists with several sets.
-FREQUENT, IDS, LISTS = 300_000, 1_000_000, 2_000_000
+#: Most frequent shingles that are broadcast (their number is counted first); words and shingles that a task holds at once.
+FREQUENT, WORDS, HELD = 300_000, 100_000, 1_500_000
+#: Sets of a list's block: longer lists are compared in pairs of blocks.
+LIST_BLOCK = 1024
 #: A shingle is frequent from so many sets on, and counts in a task from so many on.
 OFTEN, OFTEN_IN_TASK = 8, 4
 #: Longs of the parity map that joins compare.
@@ -43,7 +47,7 @@ class Words(dict):
     """Hash of each word; words are kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,12 +126,13 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
                     seen.add(c)
                     held.append(own)
                     size += len(own)
-                if size > 4_000_000:
+                if size > HELD:
                     yield give()
+                    seen.clear()
                     size = 0
         yield give()
 
-    counted = documents.select("text").mapInArrow(run, "h long, n long")
+    counted = rows_of(documents.select("text"), run, "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
 
 
@@ -158,7 +163,7 @@ def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())), strict=True)]
             yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], ["row", "doc_id", "class", "n", "prefix", "bits", "fold"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, class long, n long, prefix array<long>, bits binary, fold array<long>")
+    return rows_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "row long, doc_id long, class long, n long, prefix array<long>, bits binary, fold array<long>")
 
 
 def boundary(sizes: dict[int, int], list_length: float, t: int) -> int:
@@ -201,7 +206,7 @@ def _keys(classes: DataFrame, least_large: int, t: int) -> DataFrame:
                     ["key", "class", "n", "rest", "kind"],
                 )
 
-    return classes.select("class", "n", "prefix").mapInArrow(run, "key long, class long, n long, rest long, kind long")
+    return rows_of(classes.select("class", "n", "prefix"), run, "key long, class long, n long, rest long, kind long")
 
 
 def _may_link(a: str, b: str, t: int) -> str:
@@ -228,7 +233,7 @@ def _near(pairs: DataFrame, maps: DataFrame, t: int) -> DataFrame:
                 good.append(100 * both >= t * (n + m - both))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return rows_of(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -244,7 +249,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 good.append(100 * both >= t * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows_of(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -254,7 +259,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """
     one = wanted.select(F.col("doc_id").alias("_id"), "class")
     docs = documents.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    texts = docs.join(small_enough(one, IDS), F.col("_doc").eqNullSafe(F.col("_id"))).select("class", "text")
+    texts = docs.join(small_enough(one), F.col("_doc").eqNullSafe(F.col("_id"))).select("class", "text")
 
     def run(batches):
         words, seen = Words(), set()
@@ -266,76 +271,121 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     rows.append((c, own.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["class", "own"])
 
-    return texts.mapInArrow(run, "class long, own array<long>")
+    return rows_of(texts, run, "class long, own array<long>")
 
 
-def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
+def _across(entries: DataFrame, mixed: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of classes of one list but of different components that sizes, positions and parity maps leave possible.
+
+    mixed: key and the number of blocks of each list with several components.  A row goes to each pair of blocks its own is
+    in, so a list's work is shared by as many tasks as it has pairs of blocks.
+    """
+    rest = looked_up(entries, mixed, "key", F.col("class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
+    met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND x.class < y.class AND (x.block <> y.block OR x.low = x.high) AND x.component <> y.component AND {_may_link('x', 'y', t)} AND {_may_be_near('x', 'y', t)}")
+    rest = stored(rest, "open")
+    return rest.alias("x").join(rest.alias("y").hint("merge"), met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
+    """doc_id, n, class, component (a class), component_id (least doc_id reachable by links) of every row; class and component are null for empty sets."""
     rows = stored(classify(documents, k, t), "rows")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("row", "doc_id", "n")).alias("one"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
     ones = members.where("copies > 1").select("class", F.col("row").alias("one"))
-    copies = stored(salted_join(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"), "copies")
-    classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies, IDS), "row", "left_anti")
+    copies = stored(looked_up(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"), "copies")
+    classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies), "row", "left_anti")
     sizes = {r["n"]: r["k"] for r in members.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
     several = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"), "lists")
-    entries = stored(keys.join(small_enough(several, LISTS), "key", "left_semi"), "entries")
+    entries = stored(keys.join(small_enough(several), "key", "left_semi"), "entries")
+    dropped(several)
 
-    leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", "s.class", "s.n", "s.rest")
-    leaders = stored(leaders, "leaders")
-    star = entries.alias("x").join(leaders.alias("y"), F.expr(f"x.key = y.key AND x.class <> y.class AND {_may_link('x', 'y', t)}"))
-    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    stars = star.select(F.col("x.class").alias("x"), "y.rest", "y.n", F.col("y.class")).groupBy("x").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), "class")).alias("y"))
-    stars = stored(stars.select(F.least("x", "y.class").alias("a"), F.greatest("x", "y.class").alias("b")).distinct(), "stars")
+    leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
+    star = looked_up(entries, stored(leaders, "leaders"), "key", F.col("class")).withColumn("x", F.struct("n", "rest")).withColumn("y", F.struct(F.col("n_").alias("n"), F.col("rest_").alias("rest")))
+    star = star.where(f"class <> leader AND {_may_link('x', 'y', t)}")
+    stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
+    stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        sets = stored(_sets(documents, stored(members.join(wanted, "class").select("class", "doc_id"), "wanted"), k), "sets")
+        wanted = stored(members.join(wanted, "class").select("class", "doc_id"), "wanted")
+        sets = stored(_sets(documents, wanted, k), "sets")
         out = stored(_verified(pairs, sets, t), "links")
-        dropped(sets)
+        dropped(sets, wanted, pairs)
         return out
 
     links = linked(stars)
     labels = components(links)
-    open_ = entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = stored(open_, "labelled")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
-    rest = stored(open_.join(mixed, "key", "left_semi").join(maps, "class"), "open")
-    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.class < y.class AND x.component <> y.component AND {_may_link('x', 'y', t)} AND {_may_be_near('x', 'y', t)}"))
-    more = stored(cross.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"), "cross")
-    if not more.isEmpty():
-        found = linked(more)
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+    now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
+    dropped(entries)
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
+    mixed = stored(mixed, "mixed")
+    if not mixed.isEmpty():
+        maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
+        more = stored(_across(now.join(small_enough(mixed.select("key")), "key", "left_semi").join(maps, "class"), mixed, t).join(stars, ["a", "b"], "left_anti"), "across")
+        if not more.isEmpty():
+            found = linked(more)
+            if not found.isEmpty():
+                labels = components(links.unionByName(found))
+    dropped(now)
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1")
-    wide = stored(salted_join(named.select("class", "component"), least.select("component", "component_id"), "component", F.col("class")).select("class", "component_id"), "wide")
-    out = salted_join(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), how="left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"), "least")
+    wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
+    out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
+    return out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
+    return grouped(documents, k, t).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"), 3, 90)
 
 
-def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays.
+def one_of_each(docs: DataFrame, k: int, t: int) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least doc_id (a null one comes last), all its columns.
 
-    Of rows that repeat a doc_id one stays; documents with a null doc_id can't be told apart and stay.
+    Rows are decided one by one: a row that shares its doc_id with others, or has none, is known by doc_id and set.  Of
+    rows with equal doc_id and equal set any one stays; rows with an empty set all stay.
     """
-    found = stored(join_documents(docs, 5, 80).where("doc_id IS NOT NULL"), "groups")
-    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("_alignspark_id")).distinct(), "gone")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_alignspark_id"))
-    kept = docs.join(small_enough(gone, IDS), docs["doc_id"].cast("long") == F.col("_alignspark_id"), "left_anti")
-    repeated = stored(repeated, "repeated")
-    if repeated.isEmpty():
+    key, own = "_alignspark_id", "_alignspark_class"
+    found = stored(grouped(docs, k, t), "groups")
+    first = found.where("class IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("s"))
+    first = stored(first.select(F.col("s.doc_id").alias(key), F.col("s.class").alias(own)), "first")
+    alone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("class").alias("class"))
+    alone = stored(alone.join(first, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("class") == F.col(own)), "left").select("doc_id", "n", (F.col("class").isNotNull() & F.col(own).isNull()).alias("gone")), "ids")
+    gone = alone.where("n = 1 AND gone AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
+    unclear = alone.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key))
+    kept = docs.join(small_enough(gone), docs["doc_id"].cast("long") == F.col(key), "left_anti")
+    if unclear.isEmpty():
         return kept
-    on, side = docs["doc_id"].cast("long") == F.col("_alignspark_id"), small_enough(repeated, IDS)
-    return kept.join(side, on, "left_anti").unionByName(kept.join(side, on, "left_semi").dropDuplicates(["doc_id"]))
+    side, same = small_enough(unclear), docs["doc_id"].cast("long").eqNullSafe(F.col(key))
+
+    def run(batches):
+        words = Words()
+        for part in in_slices(batches, "text"):
+            sets = [shingles(x, words, k) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*part.schema.names, own])
+
+    marked = rows_of(kept.join(side, same, "left_semi"), run, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    several = marked.where(F.col(own).isNotNull()).dropDuplicates(["doc_id", own])
+    winners = first.select(F.col(key), F.col(own).alias("_alignspark_first"))
+    several = several.join(small_enough(winners), several["doc_id"].cast("long").eqNullSafe(winners[key]) & (several[own] == winners["_alignspark_first"]), "left_semi")
+    return kept.join(side, same, "left_anti").unionByName(several.drop(own)).unionByName(marked.where(F.col(own).isNull()).drop(own))
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays.
+
+    See one_of_each for which; repeated and null ids, and empty texts, lose nothing but copies.
+    """
+    return one_of_each(docs, 5, 80)
 
 
 QUERIES = {"op4_ngram_join": op4_ngram_join}
