@@ -1,11 +1,11 @@
 """Language identification by string kernels: Nystroem landmarks and one-versus-rest kernel ridge regression.
 
 A text's features are the character n-grams (1 to 3, a blended spectrum) that occur in it, as presence bits of a hashed
-space.  The kernel of two texts is the n-grams they share over the root of the product of their numbers.  Landmarks are
+space.  The kernel of two texts is the n-grams they share over the root of the product of the n-grams that each has.  Landmarks are
 whole labelled texts; a batch of texts is scored by two matrix products (presence by landmarks, kernels by weights).
 
-The fit takes a bounded sample of labelled rows: at most FIT_ROWS, shared equally by the languages, picked by a hash of
-doc_id.  Defined results: a null text, or one without a letter, is `und` with score 0; without labelled rows all texts
+The fit takes a bounded sample of labelled rows, shared equally by all languages and picked by a hash of doc_id: FIT_ROWS of
+them and FIT_CODES n-grams at most, but with four rows of each language (one, if those hold too many n-grams).  Defined results: a null text, or one without a letter, is `und` with score 0; without labelled rows all texts
 are `und`; a null doc_id is in no training set and not held out; repeated rows get repeated results; other columns are
 ignored by identify and kept by the pipeline's stage.
 """
@@ -17,52 +17,65 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, table
+from alignspark.llm.common import in_slices, rows_of, table
 
-#: Bounds of the fit: labelled rows in all, landmarks in all; bits of the hashed n-gram space; the ridge.
-FIT_ROWS, LANDMARKS, BITS, RIDGE = 1600, 192, 18, 1e-3
+#: Bounds of the fit: labelled rows, n-grams of their sets, landmarks; bits of the hashed n-gram space; the ridge.
+FIT_ROWS, FIT_CODES, LANDMARKS, BITS, RIDGE = 1600, 8_000_000, 192, 18, 1e-3
 #: The stage rejects scores below this share of the least score of a labelled text that the fit hasn't seen.
 MARGIN = 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def ngrams(text: str, bits: int = BITS) -> np.ndarray:
-    """Hashed codes of the text's 1-, 2- and 3-grams, repeats included."""
-    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    shift = np.uint32(32 - bits)
-    a = c * np.uint32(0x9E3779B1)
-    b = (a[:-1] ^ c[1:]) * np.uint32(0x85EBCA6B)
-    d = (b[:-1] ^ c[2:]) * np.uint32(0xC2B2AE35)
-    return np.concatenate([a >> shift, b >> shift, d >> shift])
+class Marks:
+    """Presence of hashed 1-, 2- and 3-grams; one array that each text uses again."""
+
+    def __init__(self, bits: int = BITS, chunk: int = 1 << 18) -> None:
+        self.shift, self.chunk, self.marks = np.uint32(32 - bits), chunk, np.zeros(1 << bits, bool)
+
+    def of(self, text: str) -> np.ndarray:
+        """The marks of the whole text, read in chunks that overlap by two characters; valid until the next call."""
+        marks, shift, low = self.marks, self.shift, text.lower()
+        marks[:] = False
+        for at in range(0, max(1, len(low)), self.chunk):
+            c = np.frombuffer(low[at : at + self.chunk + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+            a = c * np.uint32(0x9E3779B1)
+            b = (a[:-1] ^ c[1:]) * np.uint32(0x85EBCA6B)
+            d = (b[:-1] ^ c[2:]) * np.uint32(0xC2B2AE35)
+            for codes in (a, b, d):
+                marks[codes >> shift] = True
+        return marks
+
+    def codes(self, text: str) -> np.ndarray:
+        """The sorted codes of the n-grams that occur in the text."""
+        return np.flatnonzero(self.of(text)).astype(np.int32)
 
 
 class Model(NamedTuple):
     languages: list[str]
-    index: np.ndarray  # n-gram code -> column, or -1
-    landmarks: np.ndarray  # columns x landmarks, presence
+    codes: np.ndarray  # n-gram codes that occur in landmarks
+    landmarks: np.ndarray  # codes x landmarks, presence
     sizes: np.ndarray  # n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], marks: Marks) -> np.ndarray:
         """texts x languages: the ridge regressions' outputs."""
-        width = len(self.landmarks)
-        presence = np.zeros((len(texts), width), np.float32)
-        for row, text in zip(presence, texts, strict=True):
-            columns = self.index[ngrams(text)]
-            row[columns[columns >= 0]] = 1
-        return self.kernel(presence) @ self.weights
+        presence, own = np.empty((len(texts), len(self.codes)), np.float32), np.empty(len(texts))
+        for i, text in enumerate(texts):
+            found = marks.of(text)
+            presence[i], own[i] = found[self.codes], np.count_nonzero(found)
+        return self.kernel(presence, own) @ self.weights
 
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        own = np.maximum(presence.sum(1, keepdims=True), 1)
-        return (presence @ self.landmarks) / np.sqrt(own * self.sizes)
+    def kernel(self, presence: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """n-grams shared with each landmark, over the root of the product of both texts' numbers of n-grams."""
+        return (presence @ self.landmarks) / np.sqrt(np.maximum(own, 1)[:, None] * self.sizes)
 
 
 def fit(samples: dict[str, list[np.ndarray]], landmarks: int = LANDMARKS) -> Model | None:
-    """samples: each language's texts as sets of n-gram codes; the first ones of each language are landmarks too."""
+    """samples: each language's texts as sets of n-gram codes; the first ones of each language (one at least) are landmarks too."""
     languages = sorted(k for k, v in samples.items() if v)
     if not languages:
         return None
@@ -79,24 +92,30 @@ def fit(samples: dict[str, list[np.ndarray]], landmarks: int = LANDMARKS) -> Mod
             row[at[at >= 0]] = 1
         return out
 
+    sizes = lambda sets: np.array([len(s) for s in sets], float)
     marks = presence(chosen)
-    model = Model(languages, index, marks.T.copy(), marks.sum(1), np.zeros((len(chosen), len(languages)), np.float32))
-    among, vectors = np.linalg.eigh(model.kernel(marks).astype(np.float64))
+    model = Model(languages, codes, marks.T.copy(), sizes(chosen).astype(np.float32), np.zeros((len(chosen), len(languages)), np.float32))
+    among, vectors = np.linalg.eigh(model.kernel(marks, sizes(chosen)).astype(np.float64))
     good = among > 1e-6 * among.max()
     root = vectors[:, good] / np.sqrt(among[good])  # landmark kernel to the power -1/2
     rows = [s for k in languages for s in samples[k]]
     answers = np.concatenate([np.tile(np.eye(len(languages))[i], (len(samples[k]), 1)) for i, k in enumerate(languages)])
-    mapped = np.concatenate([model.kernel(presence(rows[i : i + 256])) for i in range(0, len(rows), 256)]) @ root
+    parts = [rows[i : i + 256] for i in range(0, len(rows), 256)]
+    mapped = np.concatenate([model.kernel(presence(p), sizes(p)) for p in parts]) @ root
     balance = 1 / (answers @ answers.sum(0))[:, None]  # each language weighs the same
     left = mapped.T @ (mapped * balance) + RIDGE * np.eye(mapped.shape[1])
     weights = root @ np.linalg.solve(left, mapped.T @ (answers * balance))
     return model._replace(weights=weights.astype(np.float32))
 
 
-def train(documents: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on at most fit_rows of documents' rows with text and lang; their n-gram sets come to the driver."""
+def train(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_codes: int = FIT_CODES) -> Model | None:
+    """Fit on about fit_rows of documents' rows with text and lang (four of each language at least); their n-gram sets come to the driver.
+
+    Of these rows, the first by a hash of doc_id are taken until their sets hold fit_codes n-grams (one row of each
+    language always).
+    """
     labelled = documents.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count")).limit(fit_rows // 4).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(4, fit_rows // len(counts))
@@ -105,24 +124,28 @@ def train(documents: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     picked = labelled.select("lang", "text", spread.alias("at")).where(F.col("at") < share[F.col("lang")])
 
     def run(batches):
+        marks = Marks()
         for part in in_slices(batches, "text"):
-            sets = [np.unique(ngrams(t)).astype(np.int32) for t in part.column("text").to_pylist()]
+            sets = [marks.codes(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("at"), pa.array(sets, pa.list_(pa.int32()))], ["lang", "at", "codes"])
 
-    rows = picked.mapInArrow(run, "lang string, at double, codes array<int>").toArrow()
+    found = rows_of(picked, run, "lang string, at double, codes array<int>")
+    order = Window.partitionBy("lang").orderBy("at")
+    nth, held = F.row_number().over(order), F.sum(F.size("codes")).over(order)
+    found = found.withColumn("nth", nth).withColumn("held", held).where((F.col("nth") <= each) & ((F.col("nth") == 1) | (F.col("held") <= fit_codes // len(counts))))
+    rows = found.select("lang", "at", "codes").toArrow()
     samples: dict[str, list] = {k: [] for k in counts}
     codes = rows["codes"].combine_chunks()
     for i in np.argsort(rows["at"].to_numpy(), kind="stable").tolist():
-        if len(own := samples[rows["lang"][i].as_py()]) < each:
-            own.append(codes[i].values.to_numpy())
+        samples[rows["lang"][i].as_py()].append(codes[i].values.to_numpy())
     return fit(samples)
 
 
-def predict(texts: list[str | None], model: Model | None, together: int = 128) -> list[tuple[str, float]]:
+def predict(texts: list[str | None], model: Model | None, marks: Marks, together: int = 64) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
     for k in range(0, len(rows), together):
-        scores = model.scores([texts[i] for i in rows[k : k + together]])
+        scores = model.scores([texts[i] for i in rows[k : k + together]], marks)
         for i, best, score in zip(rows[k : k + together], scores.argmax(1).tolist(), np.clip(scores.max(1), 0, 1).tolist(), strict=True):
             out[i] = (model.languages[best], score)
     return out
@@ -137,11 +160,12 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        marks = Marks()
         for part in in_slices(batches, "text"):
-            found = predict(part.column("text").to_pylist(), sent.value)
+            found = predict(part.column("text").to_pylist(), sent.value, marks)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +191,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        marks = Marks()
         for part in in_slices(batches, "text"):
             texts = part.column("text").to_pylist()
             if sent.value is None:
                 keep = [bool(t and LETTER.search(t)) for t in texts]
             else:
-                keep = [found != UNKNOWN and score >= least for found, score in predict(texts, sent.value)]
+                keep = [found != UNKNOWN and score >= least for found, score in predict(texts, sent.value, marks)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_of(docs, run, docs.schema)
 
 
 QUERIES = {"op5_language": op5_language}
