@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, table
+from alignspark.llm.common import in_slices, rows_of, table
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -23,18 +23,33 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-
-#: Words that, near a span, raise its score.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+WORD = re.compile(r"[^\W\d_]+")
+
+# Length of each country's IBAN, as registered.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+#: Whole words that, near a span, raise its score.
 CONTEXT = {
-    "card": ("card", "visa", "credit", "carte", "karte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "telefon"),
-    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
+    "card": frozenset("card cards visa mastercard credit debit carte karte kreditkarte tarjeta".split()),
+    "phone": frozenset("phone phones telephone call tel mobile telefon handy fax".split()),
+    "iban": frozenset("iban bank account accounts konto compte cuenta transfer".split()),
+    "email": frozenset("mail email e contact write".split()),
+    "ip": frozenset("ip host server address".split()),
 }
-#: A pattern's score, what a checksum adds, what a context word within WINDOW characters adds; an added span needs LEAST.
-PATTERN, CHECKED, NEAR, WINDOW, LEAST = 0.4, 0.4, 0.2, 40, 0.6
+#: Whole words that, near a span, lower it: what follows is made up.
+AGAINST = frozenset("example sample dummy fake invalid placeholder".split())
+#: A pattern's score, what a passed checksum adds by its strength, what a context word within WINDOW characters adds or takes; an added span needs LEAST.
+PATTERN, CHECKED, NEAR, WINDOW, LEAST = 0.4, {"ip": 0.4, "card": 0.3, "iban": 0.4}, 0.2, 40, 0.75
 
 
 class Span(NamedTuple):
@@ -100,49 +115,56 @@ def ips(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers of their country's length, single blanks between groups allowed, that pass mod 97; one try a start."""
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1  # a failed match may hide one that begins within it
+        left, end = IBAN_LENGTH.get(text[m.start() : m.start() + 2], 0) - 4, m.end()
+        while left > 0 and end < len(text):
+            end += text[end] == " "
+            c = text[end : end + 1]
+            if not ("0" <= c <= "9" or "A" <= c <= "Z"):
+                break
+            end, left = end + 1, left - 1
+        if left == 0 and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97(text[m.start() : end].replace(" ", "")):
+            found.append((m.start(), end))
+            at = end
+    return found
+
+
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """The span's score: its pattern, its checksum, and the whole words within WINDOW characters."""
+    near = {*WORD.findall(text[max(0, start - WINDOW) : start].lower()), *WORD.findall(text[end : end + WINDOW].lower())}
+    return round(PATTERN + CHECKED.get(kind, 0.0) + NEAR * (not near.isdisjoint(CONTEXT[kind])) - NEAR * (not near.isdisjoint(AGAINST)), 3)
+
+
 def spans_of(text: str) -> list[Span]:
-    """All spans by start, then kind: the base ones, and IBANs and short cards that checksum and context confirm."""
+    """All spans by start, then kind: the base ones, and IBANs and cards of 12 or 13 digits whose checksum and context reach LEAST."""
     found: list[Span] = []
 
-    def add(kind: str, start: int, end: int, checked: bool, base: bool) -> None:
-        near = text[max(0, start - WINDOW) : start].lower() + " " + text[end : end + WINDOW].lower()
-        score = PATTERN + CHECKED * checked + NEAR * any(w in near for w in CONTEXT[kind])
-        if base or score > LEAST + CHECKED / 2:
-            found.append(Span(kind, start, end, round(score, 3), base))
+    def add(kind: str, start: int, end: int, base: bool) -> None:
+        own = score(text, kind, start, end)
+        if base or own >= LEAST:
+            found.append(Span(kind, start, end, own, base))
 
     if "@" in text:
         for a, b in emails(text):
-            add("email", a, b, False, True)
+            add("email", a, b, True)
     runs = [m.span() for m in DIGITS.finditer(text)]
     if runs:
         for a, b in ips(text, runs):
-            add("ip", a, b, True, True)
+            add("ip", a, b, True)
         for i, j, a, b in chains(text, runs):
             n = sum(y - x for x, y in runs[i : j + 1])
-            if 12 <= n <= 19:
-                digits = "".join(text[x:y] for x, y in runs[i : j + 1])
-                if luhn(digits):
-                    if n >= 14:
-                        add("card", a, b, True, True)
-                    elif any(w in text[max(0, a - WINDOW) : a].lower() for w in CONTEXT["card"]):
-                        add("card", a, b, True, False)
+            if 12 <= n <= 19 and luhn("".join(text[x:y] for x, y in runs[i : j + 1])):
+                add("card", a, b, n >= 14)
         if "+" in text:
             for m in PHONE.finditer(text):
                 if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
-                    add("phone", *m.span(), False, True)
-        at = 0
-        while m := IBAN.search(text, at):
-            at = m.start() + 1  # a failed match may hide one that begins within it
-            whole = m[0].replace(" ", "")
-            while len(whole) >= 15 and not mod97(whole):  # a following capital word may have been taken in
-                whole = whole[:-1]
-            if len(whole) >= 15:
-                end, left = m.start(), len(whole)
-                while left:
-                    left -= text[end] != " "
-                    end += 1
-                add("iban", m.start(), end, True, False)
-                at = end
+                    add("phone", *m.span(), True)
+        for a, b in ibans(text):
+            add("iban", a, b, False)
     found.sort(key=lambda s: (s.start, KINDS.index(s.kind)))
     return found
 
@@ -181,7 +203,8 @@ def find_pii(documents: DataFrame, id_column: str = "doc_id", text_column: str =
                 columns.append(pa.array([redacted(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "spans", "redacted_text"][: len(columns)])
 
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, spans {SPANS}" + ", redacted_text string" * redact)
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    out = rows_of(out, run, f"id {kind}, spans {SPANS}" + ", redacted_text string" * redact)
     return out.withColumnRenamed("id", id_column)
 
 
@@ -203,7 +226,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns = {n: part.column(n) for n in part.schema.names} | {"text": new, "n_chars": pc.cast(pc.utf8_length(new), part.schema.field("n_chars").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_of(docs, run, docs.schema)
 
 
 QUERIES = {"op2_pii": op2_pii}
