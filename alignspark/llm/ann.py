@@ -1,93 +1,87 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent in Spark joins, queries by greedy search on it.
 
-Copies are one node.  The first graph takes each node's nearest within random blocks of bounded size.  An iteration joins
-every node's neighbours (forward ones, and backward ones up to as many) with their vectors, compares them with each other
-at that node and merges what it finds into the lists: neighbours of neighbours become neighbours.  Backward lists are
-bounded as the method has it (a sample by hash that changes with the iteration); the graph is approximate anyway.
-Iterations end when few neighbours are new, whatever the size of the table.
+Copies are one node.  Lists start with random nodes (those that a node meets in small random groups).  In an iteration all
+neighbours of a node, forward ones and as many backward ones, meet at the node and are compared with each other: neighbours
+of neighbours become neighbours.  Only pairs with a neighbour that is new since it last met take part, and only what is
+nearer than the last of a list is sent to it.  Iterations end when few neighbours are new, whatever the size of the table.
+Comparisons use directions rounded to eight bits a number, which is a quarter of what has to be shuffled otherwise.
 
-A query starts at its own node.  Each hop expands the nearest nodes that aren't expanded yet, in a join with the graph and
-the vectors, for all queries at once, until every query's beam is expanded.  The nearest found are measured again in double
-precision on the original vectors, with all copies that can be among the nearest.
+A query starts at its own node.  Each hop expands the nearest few nodes of its beam that aren't expanded yet, for all
+queries at once, in two joins with the graph's table; that is bucketed by node, so only what the queries ask is shuffled.
+A search ends when its whole beam is expanded.  The nodes found are measured again in double precision on the original
+vectors, with all copies that can be among the nearest.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of another length
-are never candidates; ties go to the smaller vec_id; a repeated vec_id is a row of its own; an empty table gives no rows;
-other columns are ignored.
+are never candidates; ties go to the smaller vec_id; a repeated vec_id is a row of its own, and a query's own vec_id is
+left out with all its copies of the same vector; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import dropped, stored, table
+from alignspark.llm.common import delete, dropped, looked_up, rows_of, shared_dir, stored, table
 from alignspark.llm.vectors import matrix, unit, valid_vectors
 
-#: Neighbours of a node, nodes of a first block, times that all nodes are dealt to blocks, share of new neighbours at which iterations end.
-NEIGHBOURS, BLOCK, DEALS, SETTLED = 24, 2048, 8, 0.001
+#: Neighbours of a node, random groups that it starts in, share of new neighbours at which iterations end.
+NEIGHBOURS, GROUPS, SETTLED = 32, 4, 0.005
 #: Beam of a search, nodes expanded in a hop.
-BEAM, EXPANDED = 160, 160
-GRAPH = "node long, ids array<long>, sims array<float>"
+BEAM, EXPANDED = 192, 32
+GRAPH = "node long, dim int, code binary, ids array<long>, sims array<float>, fresh array<boolean>"
+FOUND = "node long, ids array<long>, sims array<float>"
 
 
-def _top(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest distinct others of each owner, by owner, nearest first."""
-    order = np.lexsort((other, -sim, owner))
-    owner, other, sim = owner[order], other[order], sim[order]
-    pair = np.lexsort((np.arange(len(owner)), other, owner))
-    repeat = np.zeros(len(owner), bool)
-    repeat[pair[1:]] = (owner[pair[1:]] == owner[pair[:-1]]) & (other[pair[1:]] == other[pair[:-1]])
-    owner, other, sim = owner[~repeat], other[~repeat], sim[~repeat]
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-    rank = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
-    good = rank < k
-    return owner[good], other[good], sim[good]
+def rounded(vecs: np.ndarray) -> list[bytes]:
+    """Directions with eight bits a number."""
+    x = vecs.astype(np.float64)
+    return [r.tobytes() for r in np.round(127 * (x / np.abs(x).max(1, keepdims=True))).astype(np.int8)]
 
 
-def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-    at = pa.array(np.r_[starts, len(owner)].astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.ListArray.from_arrays(at, pa.array(other)), pa.ListArray.from_arrays(at, pa.array(sim.astype(np.float32)))], ["node", "ids", "sims"])
+def directions(codes, dim: int) -> np.ndarray:
+    """Unit vectors of rounded ones."""
+    x = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _from_blocks(nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """Each node's nearest within its block; blocks are dealt by a hash and hold about BLOCK nodes of one dimension."""
-    blocks = max(1, -(-nodes.count() // BLOCK))
+def _top(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k nearest distinct others of each owner, by owner, nearest first; of a repeated one the first given."""
+    pair = np.lexsort((np.arange(len(owner)), other, owner))
+    first = np.r_[True, (owner[pair[1:]] != owner[pair[:-1]]) | (other[pair[1:]] != other[pair[:-1]])] if len(pair) else np.zeros(0, bool)
+    once = pair[first]
+    once = once[np.lexsort((other[once], -sim[once], owner[once]))]
+    starts = np.flatnonzero(np.r_[True, owner[once][1:] != owner[once][:-1]]) if len(once) else np.zeros(0, int)
+    rank = np.arange(len(once)) - np.repeat(starts, np.diff(np.r_[starts, len(once)]))
+    once = once[rank < k]
+    return owner[once], other[once], sim[once], *(m[once] for m in more)
 
-    def run(group: pa.Table) -> pa.Table:
-        node, dim = group["node"].to_numpy(), group["dim"][0].as_py()
-        x = unit(matrix(group["vec"], dim))
-        sims = x @ x.T
-        np.fill_diagonal(sims, -2)
-        n = min(k, len(node) - 1)
-        if n < 1:
-            return pa.Table.from_batches([_lists(node[:0], node[:0], sims[0, :0])])
-        best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-        own = np.repeat(node, n)
-        return pa.Table.from_batches([_lists(*_top(own, node[best.ravel()], np.take_along_axis(sims, best, 1).ravel(), k))])
 
-    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)))
-    return dealt.groupBy("dim", "block").applyInArrow(run, GRAPH)
+def _lists(owner: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """The distinct owners, and for each of values (sorted by owner) their lists."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+    at = pa.array(np.r_[starts, len(owner)].astype(np.int32))
+    return owner[starts], [pa.ListArray.from_arrays(at, pa.array(v)) for v in values]
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    """One list a node from several."""
+def _found(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
+    owner, other, sim = _top(owner, other, sim, k)
+    node, lists = _lists(owner, other, sim.astype(np.float32))
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *lists], ["node", "ids", "sims"])
 
-    def run(batches):
-        for part in _whole_nodes(batches, "node"):
-            sizes = part["ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-            owner = np.repeat(part["node"].to_numpy(), sizes)
-            yield _lists(*_top(owner, part["ids"].combine_chunks().flatten().to_numpy(), part["sims"].combine_chunks().flatten().to_numpy(), k))
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
+def _whole(batches, column: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, of one dim each, from batches that are sorted by column."""
 
+    def parts(t: pa.Table):
+        dims = t["dim"].to_numpy()
+        for d in np.unique(dims):
+            yield (t if (dims == d).all() else t.filter(pa.array(dims == d))).combine_chunks()
 
-def _whole_nodes(batches, column: str):
-    """Tables of whole groups from batches that are sorted by column."""
     held = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -95,106 +89,197 @@ def _whole_nodes(batches, column: str):
         values = now[column].to_numpy()
         cut = int(np.searchsorted(values, values[-1])) if len(values) else 0
         if cut:
-            yield now.slice(0, cut)
+            yield from parts(now.slice(0, cut))
         held = now.slice(cut)
     if held is not None and len(held):
-        yield held
+        yield from parts(held)
+
+
+def _groups(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    starts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)].tolist()
+    return zip(starts[:-1], starts[1:], strict=True)
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
-    """One iteration: neighbours of each node meet there."""
-    forward = graph.select("node", F.explode("ids").alias("other"))
-    spread = Window.partitionBy("node").orderBy(F.xxhash64("other", F.lit(turn)))
-    backward = forward.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k).drop("r")
-    meet = forward.unionByName(backward).join(nodes.select(F.col("node").alias("other"), "vec", "dim"), "other")
+def _merge(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """graph with what was found: the k nearest of both; only what comes from found is fresh."""
+    nodes = graph.select("node", "dim", "code", "ids", "sims").withColumn("old", F.lit(True))
+    every = nodes.unionByName(found.withColumn("old", F.lit(False)), allowMissingColumns=True)
 
     def run(batches):
-        for part in _whole_nodes(batches, "node"):
-            dim = part["dim"][0].as_py()
-            at, other = part["node"].to_numpy(), part["other"].to_numpy()
-            order = np.lexsort((other, at))
-            repeat = np.r_[False, (at[order][1:] == at[order][:-1]) & (other[order][1:] == other[order][:-1])]
-            once = order[~repeat]  # a neighbour both ways comes twice
-            at, other, x = at[once], other[once], unit(matrix(part["vec"], dim))[once]
-            found = []
-            starts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if b - a > 1:
+        held = None
+        for part in [*batches, None]:
+            now = held if part is None else pa.Table.from_batches([part]) if held is None else pa.concat_tables([held, pa.Table.from_batches([part])])
+            if now is None or not len(now):
+                continue
+            values = now["node"].to_numpy()
+            cut = len(now) if part is None else int(np.searchsorted(values, values[-1]))
+            held = now.slice(cut)
+            if not cut:
+                continue
+            now = now.slice(0, cut).combine_chunks()
+            own = now.filter(now["old"])  # one row a node, as ordered
+            ids, sims = now["ids"].combine_chunks(), now["sims"].combine_chunks()
+            sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+            fresh = np.repeat(~now["old"].to_numpy(), sizes)
+            order = np.argsort(fresh, kind="stable")  # what a list had comes first, and stays not fresh
+            owner = np.repeat(now["node"].to_numpy(), sizes)
+            owner, other, sim, fresh = _top(owner[order], ids.flatten().to_numpy()[order], sims.flatten().to_numpy()[order], k, fresh[order])
+            nodes = own["node"].to_numpy()
+            ends = np.searchsorted(owner, nodes, "right")
+            at = pa.array(np.r_[0, ends].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (other, sim.astype(np.float32), fresh)]
+            yield from pa.table([*(own[c].combine_chunks() for c in ("node", "dim", "code")), *lists], names=["node", "dim", "code", "ids", "sims", "fresh"]).to_batches()
+
+    return rows_of(every.repartition("node").sortWithinPartitions("node", F.desc("old")), run, GRAPH)
+
+
+def _random_lists(nodes: DataFrame, k: int, groups: int) -> DataFrame:
+    """Each node's neighbours in `groups` random groups of about k / groups others of its dimension, dealt by hashes."""
+    size = k // groups + 1
+    sizes = nodes.groupBy("dim").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / size)).alias("blocks"))
+    dealt = looked_up(nodes, sizes, "dim", F.col("node")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = dealt.select("node", "dim", "code", F.xxhash64("dim", "deal", F.pmod(F.xxhash64("node", "deal"), F.col("blocks"))).alias("group"))
+
+    def run(batches):
+        for part in _whole(batches, "group"):
+            node, x, out = part["node"].to_numpy(), directions(part["code"], part["dim"][0].as_py()), []
+            for a, b in _groups(part["group"].to_numpy()):
+                for i in range(a, b, 1024):
+                    rows = np.arange(i, min(b, i + 1024))
+                    sims = x[rows] @ x[a:b].T
+                    sims[np.arange(len(rows)), rows - a] = -2
+                    one, two = np.nonzero(sims > -2)
+                    out.append((node[rows][one], node[a:b][two], sims[one, two]))
+            if out:
+                yield _found(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
+
+    return rows_of(dealt.repartition("group").sortWithinPartitions("group"), run, FOUND)
+
+
+def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """node, other, fresh: forward neighbours, and k backward ones at most (fresh ones first, else by a hash of the turn)."""
+    forward = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("other"), F.col("e.fresh").alias("fresh"))
+    spread = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("other", F.lit(turn)))
+    backward = forward.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh").withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k).drop("r")
+    return forward.unionByName(backward)
+
+
+def _descend(graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """One iteration: neighbours of each node meet there; what is nearer than the last of a full list is found."""
+    last = F.when(F.size("ids") < k, F.lit(-2.0)).otherwise(F.element_at("sims", -1)).cast("float")
+    side = graph.select(F.col("node").alias("other"), "dim", "code", last.alias("last"))
+    meet = _both_ways(graph, k, turn).join(side, "other")
+
+    def run(batches):
+        for part in _whole(batches, "node"):
+            at, other, fresh = part["node"].to_numpy(), part["other"].to_numpy(), part["fresh"].to_numpy(zero_copy_only=False).astype(bool)
+            order = np.lexsort((~fresh, other, at))  # a neighbour both ways comes twice
+            once = order[np.r_[True, (at[order][1:] != at[order][:-1]) | (other[order][1:] != other[order][:-1])]]
+            at, other, fresh, last = at[once], other[once], fresh[once], part["last"].to_numpy()[once]
+            x, out = directions(part["code"].take(pa.array(once)), part["dim"][0].as_py()), []
+            for a, b in _groups(at):
+                new = fresh[a:b]
+                if b - a > 1 and new.any():
                     sims = x[a:b] @ x[a:b].T
-                    np.fill_diagonal(sims, -2)
-                    n = min(k // 2, b - a - 1)
-                    best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                    found.append((np.repeat(other[a:b], n), other[a:b][best.ravel()], np.take_along_axis(sims, best, 1).ravel()))
-            if found:
-                yield _lists(*_top(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
+                    np.fill_diagonal(sims, -3)
+                    one, two = np.nonzero((sims > last[a:b, None]) & (new[:, None] | new[None, :]))
+                    out.append((other[a:b][one], other[a:b][two], sims[one, two]))
+            if out:
+                yield _found(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
 
-    return meet.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
+    return rows_of(meet.repartition("node").sortWithinPartitions("node"), run, FOUND)
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, settled: float = SETTLED) -> DataFrame:
-    """node, ids, sims: the neighbour graph of nodes (node, vec, dim); iterations go on until few neighbours are new.
+    """The neighbour graph of nodes (node, dim, code); iterations go on until few neighbours are new.
 
     They end, as lists only get nearer neighbours.
     """
-    first = [_from_blocks(nodes, k, seed) for seed in range(DEALS)]
-    graph, turn = stored(_merged(reduce(DataFrame.unionByName, first), k), "graph"), 0
+    none = [F.array().cast(t).alias(n) for n, t in (("ids", "array<long>"), ("sims", "array<float>"), ("fresh", "array<boolean>"))]
+    graph, turn = stored(_merge(nodes.select("node", "dim", "code", *none), _random_lists(nodes, k, GROUPS), k), "graph"), 0
     while True:
-        better = stored(_merged(graph.unionByName(_descend(graph, nodes, k, turn)), k), "graph")
-        both = better.select("node", "ids").join(graph.select("node", F.col("ids").alias("old")), "node", "left")
-        new = F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>"))))
-        changed = both.agg(F.sum(new).alias("new"), F.sum(F.size("ids")).alias("all")).first()
+        better = stored(_merge(graph, _descend(graph, k, turn), k), "graph")
+        changed = better.agg(F.sum(F.size(F.filter("fresh", lambda f: f))).alias("new"), F.sum(F.size("ids")).alias("all")).first()
         dropped(graph)
         graph, turn = better, turn + 1
         if (changed["new"] or 0) <= settled * (changed["all"] or 0):
             return graph
 
 
-STATE = "query long, qvec binary, dim int, beam array<long>, sims array<float>, left array<long>, todo array<long>, seen array<long>"
+STATE = "query long, qcode binary, dim int, beam array<long>, sims array<float>, expanded array<long>, todo array<long>, seen array<long>"
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
-    """query, node, for the nodes of each query's final beam.  queries: query (a node), qvec, dim."""
+def search(queries: DataFrame, graph: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
+    """query, node, for the nodes of each query's final beam.  queries: query (a node), qcode, dim; edges go both ways."""
+    spark = graph.sparkSession
+    ways = _both_ways(graph, k, -1).groupBy("node").agg(F.collect_set("other").alias("near"))
+    name = f"alignspark_graph_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    graph.select("node", "code").join(ways, "node", "left").write.bucketBy(buckets, "node").sortBy("node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    edges = spark.table(name)
+    names = [c.split()[0] for c in STATE.split(", ")]
 
     def run(key, state: pa.Table, found: pa.Table) -> pa.Table:
         if not len(state):
-            return state.select(["query", "qvec", "dim", "beam", "sims", "left", "todo", "seen"])
+            return state.select(names)
         s = state.to_pylist()[0]
-        q = unit(matrix(state["qvec"], s["dim"]))[0]
-        ids, sims = np.array(s["beam"], np.int64), np.array(s["sims"], np.float32)
-        fresh = np.zeros(0, np.int64)
-        old = set(s["beam"]) - set(s["left"])  # expanded so far
+        ids, sims, seen = np.array(s["beam"], np.int64), np.array(s["sims"], np.float32), np.array(s["seen"], np.int64)
+        done = set(s["expanded"]) | set(s["todo"])
         if len(found):
             fresh, first = np.unique(found["cand"].to_numpy(), return_index=True)
-            new = ~np.isin(fresh, np.array(s["seen"], np.int64))
+            new = ~np.isin(fresh, seen)
             fresh, first = fresh[new], first[new]
-            ids, sims = np.r_[ids, fresh], np.r_[sims, unit(matrix(found["vec"].take(pa.array(first)), s["dim"])) @ q]
+            if len(fresh):
+                ids, sims = np.r_[ids, fresh], np.r_[sims, directions(found["code"].take(pa.array(first)), s["dim"]) @ directions(state["qcode"], s["dim"])[0]]
+                seen = np.r_[seen, fresh]
         order = np.lexsort((ids, -sims))[:beam]
         ids, sims = ids[order], sims[order]
-        left = [i for i in ids.tolist() if i not in old]
-        return pa.table({"query": state["query"], "qvec": state["qvec"], "dim": state["dim"], "beam": pa.array([ids.tolist()], pa.list_(pa.int64())), "sims": pa.array([sims], pa.list_(pa.float32())), "left": pa.array([left[EXPANDED:]], pa.list_(pa.int64())), "todo": pa.array([left[:EXPANDED]], pa.list_(pa.int64())), "seen": pa.array([s["seen"] + fresh.tolist()], pa.list_(pa.int64()))})
+        todo = [i for i in ids.tolist() if i not in done][:expanded]
+        one = lambda v, t: pa.array([v], pa.list_(t))
+        return pa.table([state["query"], state["qcode"], state["dim"], one(ids, pa.int64()), one(sims, pa.float32()), one([i for i in ids.tolist() if i in done], pa.int64()), one(todo, pa.int64()), one(seen, pa.int64())], names=names)
 
     own, none = F.array("query"), F.array().cast("array<long>")
-    state = queries.select("query", "qvec", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), none.alias("left"), own.alias("todo"), own.alias("seen"))
+    state = queries.select("query", "qcode", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), none.alias("expanded"), own.alias("todo"), own.alias("seen"))
     state = stored(state, "search")
     while True:  # a hop expands nodes that no hop did, so it ends
-        expand = state.select("query", F.explode("todo").alias("node")).join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("cand"))
-        found = expand.join(nodes.select(F.col("node").alias("cand"), "vec"), "cand").select(F.col("query").alias("asked"), "cand", "vec")
+        asks = state.select("query", F.explode("todo").alias("node")).join(edges.select("node", "near").hint("merge"), "node").select("query", F.explode("near").alias("node")).distinct()
+        found = asks.join(edges.select("node", "code").hint("merge"), "node").select(F.col("query").alias("asked"), F.col("node").alias("cand"), "code")
         after = stored(state.groupBy("query").cogroup(found.groupBy("asked")).applyInArrow(run, STATE), "search")
         dropped(state)
         state = after
         if state.where(F.size("todo") > 0).isEmpty():
             break
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(spark, f"{shared_dir(spark)}/{name}")
     return state.select("query", F.explode("beam").alias("node"))
 
 
+def _coded(nodes: DataFrame) -> DataFrame:
+    """node, dim, code of nodes (node, vec, dim)."""
+
+    def run(batches):
+        for part in batches:
+            dims, codes = part.column("dim").to_numpy(), [b""] * part.num_rows
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                for i, code in zip(at.tolist(), rounded(matrix(part.column("vec").take(pa.array(at)), d)), strict=True):
+                    codes[i] = code
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("dim"), pa.array(codes, pa.binary())], ["node", "dim", "code"])
+
+    return rows_of(nodes.select("node", "dim", "vec"), run, "node long, dim int, code binary")
+
+
 def nearest(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every."""
     rows = stored(valid_vectors(embeddings).withColumn("key", F.xxhash64("key")).drop("label"), "vectors")
     nodes = stored(rows.groupBy(F.col("key").alias("node")).agg(F.first("vec").alias("vec"), F.first("dim").alias("dim")), "nodes")
-    graph = build_graph(nodes)
+    coded = stored(_coded(nodes), "codes")
+    graph = build_graph(coded)
     asked = stored(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", F.col("key").alias("query")), "asked")
-    one = asked.select("query").distinct().join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("qvec"), "dim"), "query")
-    found = stored(search(one, nodes, graph), "found")
+    one = asked.select("query").distinct()
+    found = stored(search(one.join(coded.select(F.col("node").alias("query"), F.col("code").alias("qcode"), "dim"), "query"), graph), "found")
+    dropped(coded, graph)
+    one = one.join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("qvec"), "dim"), "query")
     copies = rows.select("key", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= k + 1)
 
     def run(batches):
@@ -208,8 +293,7 @@ def nearest(embeddings: DataFrame, every: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("query"), part.column("node"), pa.array(score)], ["query", "node", "score"])
 
     both = found.join(one, "query").join(nodes.select("node", "vec"), "node").select("query", "node", "qvec", "vec", "dim")
-    scored = both.mapInArrow(run, "query long, node long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    scored = rows_of(both, run, "query long, node long, score double")
     scored = scored.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("r") <= k + 1).drop("r")
     wide = asked.withColumnRenamed("vec_id", "query_id").join(scored, "query").join(copies.select(F.col("key").alias("node"), "vec_id", "r"), "node")
     wide = wide.where(~((F.col("vec_id") == F.col("query_id")) & (F.col("node") == F.col("query"))))
