@@ -1,37 +1,51 @@
 """Near-duplicate embeddings by a flat pruned neighbour graph on overlapping cluster shards.
 
-Copies (equal vectors of one label) are one node with a weight.  Nodes are dealt to shards: a label's nodes go to the two
-nearest of centroids that are themselves nodes picked from a bounded sample, none too near to another; shards that are
-still too large are dealt again, and a shard that centroids can't divide (one dense cluster) is cut into blocks by a hash.
-Each shard builds a graph: the nearest of every node, pruned robustly (a neighbour goes if a nearer one lies clearly
-nearer to it), with some far neighbours, and all edges in both directions.  The adjacency lists of a node's shards are
-united.  Every node then searches the shards it calls home (all blocks of a dense cluster): greedily from the shard's
-medoids, and from where it comes within range it expands all that lies in range.  A search that misses its own node is
-repeated from there.  What it finds is verified by the cosine in double precision and counts for both ends of the link.
-
-recall() audits links found against brute force for a sample of nodes.
+Copies (equal vectors of one label) are one node with a weight.  Nodes are dealt to overlapping shards: the centroids of a
+division are nodes picked from a bounded sample, none too near to another; a node is at home with the nearest and stands
+also in every shard whose border is so near that a linked node may be at home there: for a cosine c, at most sqrt(1 - c^2)
+away, and in many dimensions, where a link's way across a border is a chance part of it, REACH standard deviations of
+that.  Shards that are still too large are divided again as long as that saves work; one that centroids can't divide (one
+dense cluster) is cut into blocks by a hash.
+
+Each shard builds a graph: the nearest of every node (exact, as a shard is small), pruned robustly (a neighbour goes if a
+nearer one lies clearly nearer to it), with some far neighbours, and all edges in both directions.  The adjacency lists of
+a node's shards are united.  Every node then searches the shard it calls home (all blocks of a dense cluster): greedily
+from the shard's medoids, and from where it comes within range it expands all that lies in range.  A search that misses
+its own node is repeated from there.  What it finds is verified by the cosine in double precision and counts for both ends
+of the link.
+
+The links of a bounded sample of nodes are audited by brute force against all nodes.  If fewer than TARGET of them were
+found, all is done again with the greatest reach, at which every link meets in a shard, and a wider search.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
-nothing and are kept; vectors of another length or label never link; each row counts, repeated ones too; a null vec_id
-takes no part in links; an empty table gives no rows; other columns are ignored.
+nothing and are kept; vectors of another length or label never link; each row counts, repeated ones and those that share a
+vec_id too; a null vec_id takes no part in links; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import components, salted_join, small_enough, stored, table
-from alignspark.llm.vectors import matrix, unit, valid_vectors
+from alignspark.llm.common import components, dropped, looked_up, rows_of, small_enough, stored, table
+from alignspark.llm.vectors import all_vectors, matrix, unit
+
+log = logging.getLogger(__name__)
 
 #: Nodes of a shard, centroids of a division, candidates that pruning sees, degree, far neighbours, beam, the pruning's factor.
-SHARD, FANOUT, CANDIDATES, DEGREE, FAR, BEAM, ALPHA = 2000, 16, 48, 16, 6, 24, 1.2
+SHARD, FANOUT, CANDIDATES, DEGREE, FAR, BEAM, ALPHA = 2000, 48, 48, 16, 6, 24, 1.2
 #: Centroids are at least this far from each other (cosine at most); most rows of a table of centroids that is broadcast.
-APART, CENTROID_ROWS = 0.8, 20_000
+APART, CENTROID_ROWS = 0.8, 2_000
+#: Reach across borders in standard deviations; a division must leave at most this share of the pairs.
+REACH, WORTH = 2.5, 0.7
+#: Nodes that are audited, share of their links that must have been found.
+AUDITED, TARGET = 256, 0.99
 
 
 def _centroids(nodes: DataFrame, large: DataFrame) -> DataFrame:
@@ -55,60 +69,65 @@ def _centroids(nodes: DataFrame, large: DataFrame) -> DataFrame:
     return sample.groupBy("shard").applyInArrow(run, "shard string, centroids binary")
 
 
-def _divide(nodes: DataFrame, centroids: DataFrame) -> DataFrame:
-    """nodes of divided shards in their two nearest new shards; home only in the nearest."""
+def near_shards(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, centroid, home: for each row the centroids whose border with every other centroid is at most reach behind it."""
+    sims = x @ centroids.T
+    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-12))
+    np.fill_diagonal(apart, np.inf)
+    home = sims.argmax(1)
+    good = np.empty(sims.shape, bool)
+    for i in range(0, len(x), 256):
+        good[i : i + 256] = ((sims[i : i + 256, None, :] - sims[i : i + 256, :, None]) / apart).max(2) <= reach
+    good[np.arange(len(x)), home] = True
+    row, shard = np.nonzero(good)
+    return row, shard, home[row] == shard
+
+
+def _divide(nodes: DataFrame, centroids: DataFrame, least: float, deviations: float) -> DataFrame:
+    """nodes of divided shards in their new shards; home only in the nearest of the shard that was home."""
     joined = nodes.join(small_enough(centroids, CENTROID_ROWS), "shard").select("shard", "node", "vec", "dim", "home", "centroids")
+    away = (1 - least * least) ** 0.5
 
     def run(batches):
         for part in batches:
-            shard, dim, blobs = part.column("shard").to_pylist(), part.column("dim").to_pylist(), part.column("centroids").to_pylist()
-            take, name, home = [], [], []
-            cache: dict[str, np.ndarray] = {}
-            vecs, homes = part.column("vec").to_pylist(), part.column("home").to_pylist()
-            for i, (s, d, v, h) in enumerate(zip(shard, dim, vecs, homes, strict=True)):
-                if s not in cache:
-                    cache[s] = np.frombuffer(blobs[i], np.float32).reshape(-1, d)
-                sims = cache[s] @ unit(matrix(pa.array([v]), d))[0]
-                for k, c in enumerate(np.argsort(-sims)[:2].tolist()):
-                    take.append(i)
-                    name.append(f"{s}/{c}")
-                    home.append(h and k == 0)
-            at = pa.array(take, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), part.column("node").take(at), part.column("vec").take(at), part.column("dim").take(at), pa.array(home, pa.bool_())], ["shard", "node", "vec", "dim", "home"])
-
-    return joined.mapInArrow(run, "shard string, node long, vec binary, dim int, home boolean")
-
-
-def deal(nodes: DataFrame, levels: int = 6) -> DataFrame:
+            shard = np.array(part.column("shard").to_pylist(), object)
+            for s in dict.fromkeys(shard.tolist()):
+                rows = np.flatnonzero(shard == s)
+                own = part.take(pa.array(rows))
+                dim = own.column("dim")[0].as_py()
+                reach = away * min(1.0, deviations / max(dim - 1, 1) ** 0.5)
+                at, near, home = near_shards(unit(matrix(own.column("vec"), dim)), np.frombuffer(own.column("centroids")[0].as_py(), np.float32).reshape(-1, dim), reach)
+                take = pa.array(at)
+                home &= own.column("home").to_numpy(zero_copy_only=False).astype(bool)[at]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{s}/{c}" for c in near.tolist()], pa.string()), *(own.column(c).take(take) for c in ("node", "vec", "dim")), pa.array(home)], ["shard", "node", "vec", "dim", "home"])
+
+    return rows_of(joined, run, "shard string, node long, vec binary, dim int, home boolean")
+
+
+def deal(nodes: DataFrame, least: float, deviations: float = REACH) -> DataFrame:
     """shard, block, blocks, node, vec, dim, home: which shards hold a node, and whether it searches there (all blocks of it)."""
     now = stored(nodes.select(F.concat_ws("x", "label", "dim").alias("shard"), "node", "vec", "dim", F.lit(True).alias("home")), "shards")
-    ready, dense = [], []
-    before: DataFrame | None = None
-    for level in range(levels):
-        sizes = stored(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        if before is not None:  # a child with nearly all of its parent's nodes is one dense cluster
-            up = before.select(F.col("shard").alias("parent"), F.col("n").alias("had"))
-            sizes = sizes.withColumn("parent", F.regexp_replace("shard", "/[0-9]+$", "")).join(small_enough(up, 100_000), "parent").withColumn("stuck", F.col("n") > 0.95 * F.col("had")).select("shard", "n", "stuck")
-            sizes = stored(sizes, "sizes")
-        else:
-            sizes = sizes.withColumn("stuck", F.lit(False))
+    sizes = stored(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    flat, thick = [], []
+    while True:  # each division leaves at most WORTH of the pairs
         large = sizes.where(F.col("n") > 2 * SHARD)
-        go_on = large.where(~F.col("stuck")) if level < levels - 1 else large.limit(0)
-        small = now.join(small_enough(large.select("shard"), 100_000), "shard", "left_anti")
-        ready.append(small)
-        held = large.where("stuck") if level < levels - 1 else large
-        dense.append(now.join(small_enough(held.select("shard", "n"), 100_000), "shard"))
-        if go_on.isEmpty():
+        flat.append(now.join(small_enough(large.select("shard")), "shard", "left_anti"))
+        if large.isEmpty():
             break
-        go_on = stored(go_on.select("shard", "n"), "large")
-        now = stored(_divide(now, stored(_centroids(now, go_on), "centroids")), "shards")
-        before = sizes.select("shard", "n")
-    flat, thick = reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, dense)
-    blocks = F.ceil(F.col("n") / SHARD)
-    flat = flat.withColumn("block", F.lit(0).cast("long")).withColumn("blocks", F.lit(1).cast("long"))
-    thick = thick.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
+        parts = stored(_divide(now, stored(_centroids(now, large), "centroids"), least, deviations), "shards")
+        parted = stored(parts.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "sizes").withColumn("parent", F.regexp_replace("shard", "/[0-9]+$", ""))
+        saved = parted.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+        verdict = stored(large.join(saved, large["shard"] == saved["parent"], "left").select("shard", "n", (F.coalesce("pairs", F.lit(float("inf"))) > WORTH * F.col("n").cast("double") * F.col("n")).alias("dense")), "verdict")
+        dense, divided = verdict.where("dense").select("shard", "n"), verdict.where("NOT dense").select(F.col("shard").alias("parent"))
+        thick.append(now.join(small_enough(dense), "shard"))
+        sizes = stored(parted.join(small_enough(divided), "parent").select("shard", "n"), "sizes")
+        now = parts.join(small_enough(sizes.select("shard")), "shard", "left_semi")
     keep = ["shard", "block", "blocks", "node", "vec", "dim", "home"]
-    return flat.select(*keep).unionByName(thick.select(*keep))
+    out = reduce(DataFrame.unionByName, flat).withColumn("block", F.lit(0).cast("long")).withColumn("blocks", F.lit(1).cast("long")).select(*keep)
+    if thick:
+        blocks = F.ceil(F.col("n") / SHARD)
+        out = out.unionByName(reduce(DataFrame.unionByName, thick).withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks).select(*keep))
+    return out
 
 
 def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
@@ -157,14 +176,14 @@ def graph(index: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def range_search(x: np.ndarray, adjacency: list[np.ndarray], q: np.ndarray, starts: list[int], least: float, slack: float = 0.05) -> list[int]:
+def range_search(x: np.ndarray, adjacency: list[np.ndarray], q: np.ndarray, starts: list[int], least: float, slack: float = 0.05, most: int = BEAM) -> list[int]:
     """Nodes with cosine of at least least to q: greedy from starts with a beam, then everything next to what is in range."""
     seen = dict(zip(starts, (x[starts] @ q).tolist(), strict=True))
     expanded: set[int] = set()
     while True:
-        beam = sorted(seen, key=seen.__getitem__, reverse=True)[:BEAM]
+        beam = sorted(seen, key=seen.__getitem__, reverse=True)[:most]
         todo = [i for i in beam if i not in expanded]
-        if not todo or len(beam) == BEAM and seen[beam[0]] >= least:
+        if not todo or len(beam) == most and seen[beam[0]] >= least:
             break
         todo = todo[:4]
         expanded.update(todo)
@@ -210,12 +229,13 @@ def roots(near: np.ndarray) -> np.ndarray:
 LINKS = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("root", pa.int64())])
 
 
-def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame) -> DataFrame:
+def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame, wide: int = 1) -> DataFrame:
     """Verified links, each for both ends whichever search found it, as rows of two kinds.
 
     Without other: node, n (weights it links with among the nodes that search the same shard), root (a node of its
     component).  With other: a link of nodes that search different shards, n and m being the weights of other and node; both
     may find it, so these rows may repeat.  Each pair of a shard's blocks is a group, so nodes at home there meet once.
+    wide: how much wider than usual beams and ranges are.
     """
     held = index.join(near, "node").join(weights, "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = held.select("shard", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "home", "node", "vec", "dim", "weight", "near")
@@ -240,9 +260,9 @@ def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame) -
                 adjacency.append(at[own[at] == e])
             starts = medoids(part)
             for a in asks.tolist():
-                found = range_search(part, adjacency, x[a], starts, least)
+                found = range_search(part, adjacency, x[a], starts, least, 0.05 * wide, BEAM * wide)
                 if asking == asked and (self := int(np.searchsorted(own, node[a]))) not in found:
-                    found = list({*found, *range_search(part, adjacency, x[a], [self], least)})
+                    found = list({*found, *range_search(part, adjacency, x[a], [self], least, 0.05 * wide, BEAM * wide)})
                 found = there[np.array(found, np.int64)]
                 linked[a, found[(exact[found] @ exact[a] >= least) & (found != a)]] = True
         linked |= linked.T
@@ -260,54 +280,58 @@ def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame) -
     return held.groupBy("shard", "low", "high").applyInArrow(run, "node long, other long, n long, m long, root long")
 
 
-def dedup_embeddings(embeddings: DataFrame, least: float) -> DataFrame:
+def audit(nodes: DataFrame, found: DataFrame, least: float, sample: int = AUDITED) -> float:
+    """Links found (node, n_links) over links there are, for about `sample` nodes by a hash: each against all nodes, in one narrow pass."""
+    share = max(1, nodes.count() // sample)
+    asks = nodes.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(share)) == 0).orderBy("node").limit(4 * sample).select("node", "label", "dim", "vec", "weight").toArrow()
+    sent = nodes.sparkSession.sparkContext.broadcast([(d, asks.filter(pc.equal(asks["dim"], d))) for d in pc.unique(asks["dim"]).to_pylist()])
+
+    def run(batches):
+        known = [(d, a["node"].to_numpy(), a["label"].to_numpy(), unit(matrix(a["vec"], d), np.float64)) for d, a in sent.value]
+        for part in batches:
+            dims = part.column("dim").to_numpy()
+            for d, node, label, x in known:
+                own = part.filter(pa.array(dims == d))
+                if own.num_rows:
+                    near = x @ unit(matrix(own.column("vec"), d), np.float64).T >= least
+                    near &= (label[:, None] == own.column("label").to_numpy()) & (node[:, None] != own.column("node").to_numpy())
+                    n = near @ own.column("weight").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], ["node", "n"])
+
+    there = rows_of(nodes.select("node", "label", "dim", "vec", "weight"), run, "node long, n long").agg(F.sum("n")).first()[0] or 0
+    there += sum(w - 1 for w in asks["weight"].to_pylist())
+    some = nodes.sparkSession.createDataFrame(pa.table({"node": asks["node"]}))
+    got = found.join(F.broadcast(some), "node", "left_semi").agg(F.sum("n_links")).first()[0] or 0
+    return got / there if there else 1.0
+
+
+def dedup_embeddings(embeddings: DataFrame, least: float, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    valid = valid_vectors(embeddings).where("label IS NOT NULL")
-    rows = stored(valid.withColumn("node", F.xxhash64("key", "label")), "vectors")
-    nodes = stored(rows.groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id")), "nodes")
-    index = deal(nodes)
-    near = stored(graph(index), "graph")
-    found = stored(links(index, near, least, nodes.select("node", "weight")), "links")
-    inside, between = found.where("other IS NULL"), found.where("other IS NOT NULL").select("node", "other", "n", "m").distinct()
-    ends = inside.select("node", "n").unionByName(between.select("node", "n")).unionByName(between.select(F.col("other").alias("node"), F.col("m").alias("n")))
-    counts = ends.groupBy("node").agg(F.sum("n").alias("n"))
+    rows = all_vectors(embeddings).withColumn("node", F.when(F.col("key").isNotNull() & F.col("label").isNotNull(), F.xxhash64("key", "label")))
+    rows = stored(rows, "vectors")
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id")), "nodes")
+    for deviations, wide in ((REACH, 1), (float("inf"), 4)):
+        index = stored(deal(nodes, least, deviations), "index")
+        near = stored(graph(index), "graph")
+        found = stored(links(index, near, least, nodes.select("node", "weight"), wide), "links")
+        dropped(index, near)
+        inside, between = found.where("other IS NULL"), found.where("other IS NOT NULL").select("node", "other", "n", "m").distinct()
+        ends = inside.select("node", "n").unionByName(between.select("node", "n")).unionByName(between.select(F.col("other").alias("node"), F.col("m").alias("n")))
+        counts = ends.groupBy("node").agg(F.sum("n").alias("n"))
+        counted = stored(nodes.join(counts, "node", "left").select("node", "least_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "counted")
+        share = audit(nodes, counted, least)
+        log.info("recall of the audited nodes' links: %.4f", share)
+        if share >= target:
+            break
     labels = components(found.select(F.col("node").alias("a"), F.coalesce("other", "root").alias("b")))
-    named = nodes.join(counts, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = stored(named.select("node", "component", "least_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
-    ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_node = stored(salted_join(named, ids, "component", F.col("node")).select("node", "n_links", "component_id"), "per-node")
-    linked = salted_join(rows.select("node", "vec_id"), per_node, "node", F.col("vec_id")).select(F.col("vec_id").alias("id"), "n_links", "component_id").dropDuplicates(["id"])
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = every.join(linked, every["vec_id"] == linked["id"], "left")
+    named = stored(counted.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    ids = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "ids")
+    per_node = stored(looked_up(named, ids, "component", F.col("node")).select("node", "n_links", "component_id"), "per-node")
+    out = looked_up(rows.select("node", "vec_id"), per_node, "node", F.col("vec_id"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def recall(embeddings: DataFrame, result: DataFrame, least: float, every: int = 20, block: int = 4096) -> float:
-    """Links found over links there are, for rows whose vec_id is divisible by every: an audit by brute force in blocks."""
-    rows = stored(valid_vectors(embeddings).where("label IS NOT NULL"), "audit")
-    asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    parts, blocks = max(1, -(-asks.count() // block)), max(1, -(-rows.count() // block))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def run(key, asks: pa.Table, held: pa.Table) -> pa.Table:
-        dim = key[2].as_py()
-        out = pa.schema([("there", pa.int64())])
-        if not len(asks) or not len(held):
-            return out.empty_table()
-        near = unit(matrix(asks["vec"], dim), np.float64) @ unit(matrix(held["vec"], dim), np.float64).T >= least
-        near &= asks["label"].to_numpy()[:, None] == held["label"].to_numpy()[None, :]
-        near &= asks["vec_id"].to_numpy()[:, None] != held["vec_id"].to_numpy()[None, :]
-        return pa.table({"there": [int(near.sum())]}, out)
-
-    keys = ("part", "block", "dim")
-    renamed = held.select(*[F.col(c).alias(f"{c}_") for c in keys], "vec_id", "label", "vec")
-    there = asks.groupBy(*keys).cogroup(renamed.groupBy(*[f"{c}_" for c in keys])).applyInArrow(run, "there long").agg(F.sum("there")).first()[0]
-    found = result.where(F.pmod("vec_id", F.lit(every)) == 0).agg(F.sum("n_links")).first()[0]
-    return 1.0 if not there else found / there
-
-
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
 
