@@ -13,6 +13,7 @@ repeated results; an empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -20,28 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, table
+from alignspark.llm.common import in_slices, rows_of, table
 
 #: Elements without content, elements that start a line, elements that have no end tag.
-SKIP = frozenset("nav footer aside form script style noscript template svg iframe button select option textarea input label dialog menu head title object embed canvas audio video".split())
+HARD = frozenset("script style noscript template svg iframe button select option textarea input label menu head title object embed canvas audio video".split())
+SOFT = frozenset("nav footer aside form dialog".split())
+SKIP = HARD | SOFT
 BLOCK = frozenset("address article blockquote caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html body li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
 CONTAINER = CONTENT | frozenset(("body", "div", "section", "td"))
 #: Words of a class, id or role that mark an element as none of the article.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*|share|social|related|comments?|disqus|replies|widget\w*|pagination|pager|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
+#: Those that stay so however much text they hold.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|comments?|disqus|replies)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header)(?:$|[\s_-])", re.I)
 
 
+class Box:
+    """A skipped element: whether it may turn out to be content, the boxes around it, what it holds beside inner boxes."""
+
+    __slots__ = ("soft", "outer", "text", "paragraphs", "content")
+
+    def __init__(self, soft: bool, outer: Box | None) -> None:
+        self.soft, self.outer, self.text, self.paragraphs, self.content = soft, outer, 0, 0, False
+
+
 class Lines(HTMLParser):
-    """Collects lines: [text parts, tags, characters inside links, container (below 0: an article or main element)]."""
+    """Collects lines: [text parts, tags, characters inside links, container (below 0: an article or main element)].
 
-    def __init__(self) -> None:
+    released: numbers of skipped elements, in the page's order, that are not to be skipped.
+    """
+
+    def __init__(self, released: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.released = released
         self.lines: list[list] = [[[], 0, 0, 0]]
         self.open: list[tuple[str, bool, bool]] = []  # name, skipped, content
+        self.names: Counter = Counter()  # of open elements
         self.inside = [0]  # containers around, innermost last
-        self.skipped = self.content = self.links = self.elements = 0
+        self.boxes: list[Box] = []
+        self.around: list[Box] = []  # open boxes
+        self.skipped = self.content = self.links = self.elements = self.outside = self.articles = 0
 
     def _new(self) -> None:
         line = self.lines[-1]
@@ -50,22 +71,40 @@ class Lines(HTMLParser):
         else:
             line[3] = self.inside[-1]
 
-    def _boiler(self, tag: str, attrs: list) -> bool:
-        if tag in SKIP or tag == "header" and not self.content:
-            return True
+    def _boiler(self, tag: str, attrs: list) -> str:
+        """"": a part of the page like others; "hard", "soft": skipped; a soft one may be released."""
+        if tag in HARD:
+            return "hard"
+        found = "soft" if tag in SOFT or tag == "header" and not self.content else ""
         for name, value in attrs:
-            if value and name in ("class", "id", "role") and (BOILER.search(value) or not self.content and HEADER.search(value)):
-                return tag not in ("html", "body", "article", "main")
-            if name in ("hidden",) or name == "aria-hidden" and value == "true":
-                return True
-        return False
+            if value and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+                if NEVER.search(value):
+                    return "hard"
+                if BOILER.search(value) or not self.content and HEADER.search(value):
+                    found = "soft"
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return "hard"
+        return found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in VOID:
-            skipped, content = self._boiler(tag, attrs), tag in CONTENT
+            boiler, content = self._boiler(tag, attrs), tag in CONTENT
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.open and self.open[-1][0] == tag:
                 self._close()
+            skipped = bool(boiler)
+            if skipped:
+                box = Box(boiler == "soft", self.around[-1] if self.around else None)
+                self.boxes.append(box)
+                skipped = len(self.boxes) - 1 not in self.released
+            if skipped:
+                self.around.append(box)
+            elif self.around:
+                self.around[-1].paragraphs += tag == "p"
+                self.around[-1].content |= content
+            else:
+                self.articles += content
             self.open.append((tag, skipped, content))
+            self.names[tag] += 1
             self.skipped += skipped
             self.content += content
             self.links += tag == "a"
@@ -87,6 +126,9 @@ class Lines(HTMLParser):
 
     def _close(self) -> None:
         tag, skipped, content = self.open.pop()
+        self.names[tag] -= 1
+        if skipped:
+            self.around.pop()
         self.skipped -= skipped
         self.content -= content
         self.links -= tag == "a"
@@ -94,7 +136,7 @@ class Lines(HTMLParser):
             self.inside.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(o[0] == tag for o in reversed(self.open)):
+        if self.names[tag]:
             while self.open[-1][0] != tag:
                 self._close()
             self._close()
@@ -105,8 +147,11 @@ class Lines(HTMLParser):
         if not self.skipped:
             line = self.lines[-1]
             line[0].append(data)
+            self.outside += len(data.strip())
             if self.links:
                 line[2] += len(data)
+        else:
+            self.around[-1].text += len(data.strip())
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -117,6 +162,29 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return wide / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
 
 
+def wrongly_skipped(parser: Lines) -> frozenset[int]:
+    """Skipped elements that are the page's content all the same, with those around them, if no article stands outside.
+
+    These are elements that hold the article or main element, and else one that holds most of the page's text in several
+    paragraphs: a form around the whole page, an element that its author never closed, a container with an odd class.
+    """
+    if parser.articles:
+        return frozenset()
+    soft = [b for b in parser.boxes if b.soft]
+    chosen = [b for b in soft if b.content]
+    if not chosen:
+        most = 0.5 * (parser.outside + sum(b.text for b in soft))
+        chosen = [b for b in soft if b.paragraphs > 1 and b.text > most]
+    wanted = set()
+    for box in chosen:
+        chain = [box]
+        while chain[-1].outer:
+            chain.append(chain[-1].outer)
+        if all(b.soft for b in chain):
+            wanted.update(map(id, chain))
+    return frozenset(i for i, b in enumerate(parser.boxes) if id(b) in wanted)
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, joined by line ends."""
     if not html:
@@ -124,6 +192,10 @@ def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
+    if parser.boxes and (released := wrongly_skipped(parser)):
+        parser = Lines(released)
+        parser.feed(html)
+        parser.close()
     lines = []
     for parts, tags, linked, inside in parser.lines:
         text = " ".join("".join(parts).split())
@@ -148,7 +220,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows_of(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
