@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, table
+from alignspark.llm.common import in_slices, rows_of, table
 
 BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +30,8 @@ NONE = np.int64(1) << 40
 HIGH = np.uint64(44)
 #: Blanks with what follows them, and line ends by themselves; no piece reaches across (checked for each model).
 UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
+#: Characters from which a unit advances in windows.
+LONG = 1024
 MARKS = ".,;:!?$%&*#)\"'"
 
 
@@ -62,10 +64,16 @@ class Pieces:
         keys = np.array([key(self.pieces[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
-        assert (np.diff(self.keys) > 0).all(), "two pieces have one hash"
+        if not (np.diff(self.keys) > 0).all():
+            raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << 20, bool)  # what no key shares its high bits with needs no probe
         self.maybe[self.keys >> HIGH] = True
-        assert not any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.by_piece), "pieces reach across units"
+        if any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.by_piece):
+            raise ValueError("pieces reach across units")
+        if model.decode(model.encode(" a  b\tＡ")) != " a  b\tＡ":
+            raise ValueError("the model normalises texts")
+        if model.id_to_piece(model.encode("a")[0])[:1] != BLANK:
+            raise ValueError("the model puts no blank before a text")
         self.joined = {p[i : i + 2] for p in self.by_piece for i in range(len(p) - 1)}  # neighbours inside a piece
         self.ranked = bool((self.scores[normal] == np.round(self.scores[normal])).all())  # merge ranks, not log-probabilities
         self.bytes = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -75,6 +83,7 @@ class Pieces:
     def _merges(self) -> None:
         """Of each piece: its rank (-1: one character) and the two parts that its last merge joins; all pairs that merge."""
         n = len(self.pieces)
+        self.lengths = np.array([len(p) for p in self.pieces])
         self.rank = np.full(n, -1, np.int64)
         self.parts = np.zeros((n, 2), np.int64)
         self.reached = np.zeros(n, bool)
@@ -195,7 +204,7 @@ class Pieces:
 class Encoder:
     """Encodes texts unit by unit (blanks and what follows them); each unit is encoded once and kept."""
 
-    def __init__(self, pieces: Pieces, most_kept: int = 600_000) -> None:
+    def __init__(self, pieces: Pieces, most_kept: int = 250_000) -> None:
         self.pieces, self.most_kept = pieces, most_kept
         self.units: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -219,6 +228,67 @@ class Encoder:
                 out.append(data[4 * (w * width + width - k) : 4 * (w + 1) * width])
         return out
 
+    def _tokens(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each word of one length: its pieces' ids and the places in the text where they begin."""
+        ids, counts = self.pieces.viterbi(words)
+        out = []
+        for row, k, start in zip(ids, counts.tolist(), starts.tolist(), strict=True):
+            own = row[len(row) - k :]
+            sizes = np.where(own >= 0, self.pieces.lengths[np.maximum(own, 0)], 1)
+            out.append((own, start + np.cumsum(sizes) - sizes))
+        return out
+
+    def _windows(self, codes: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for i in range(0, len(starts), max(1, 400_000 // window)):
+            part = starts[i : i + max(1, 400_000 // window)]
+            out += self._tokens(codes[part[:, None] + np.arange(window)], part)
+        return out
+
+    @staticmethod
+    def _meet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: int) -> tuple[int, int] | None:
+        """Places in a (from least on) and b of the first piece that both have in the same place of the text."""
+        lo = max(least, int(np.searchsorted(a[1], b[1][0])))
+        _, x, y = np.intersect1d(a[1][lo:], b[1], assume_unique=True, return_indices=True)
+        same = np.flatnonzero(a[0][lo:][x] == b[0][y])
+        return (lo + int(x[same[0]]), int(y[same[0]])) if len(same) else None
+
+    def long(self, text: str, window: int = 512, overlap: int = 128, shifts: int = 16) -> bytes:
+        """Ids of a long unit of a BPE model, in windows that advance together.
+
+        A split is the model's just if all neighbours in it are compatible.  So where two windows have a piece in common,
+        the first's pieces up to it and the second's from it on are a split of both.  A window that has none in common
+        with the one before is begun anew at the next few characters; if that doesn't help, windows grow.
+        """
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        while window < len(codes):
+            starts = np.r_[np.arange(0, max(1, len(codes) - window - shifts), window - overlap), len(codes) - window]
+            tokens = self._windows(codes, starts, window)
+            others: dict[int, list] = {}
+            now, at, out = tokens[0], 0, []
+            for i in range(1, len(tokens)):
+                met = self._meet(now, tokens[i], at)
+                if not met and i == len(tokens) - 1:  # the text's last window gets shorter
+                    others[i] = (self._tokens(codes[None, starts[i] + k :], starts[i : i + 1] + k)[0] for k in range(1, shifts))
+                elif not met and i not in others:  # one shift often leads to others: those that follow are begun anew together
+                    again = range(i, min(len(tokens) - 1, i + 512))
+                    moved = (starts[again.start : again.stop, None] + np.arange(1, shifts)).ravel()
+                    for n, found in enumerate(self._windows(codes, moved, window)):
+                        others.setdefault(again[n // (shifts - 1)], []).append(found)
+                after = tokens[i] if met else next((x for x in others[i] if self._meet(now, x, at)), None)
+                if after is None:
+                    break
+                met = met or self._meet(now, after, at)
+                out.append(now[0][at : met[0]])
+                now, at = after, met[1]
+            else:
+                ids = np.concatenate([*out, now[0][at:]])
+                if (ids < 0).any():
+                    ids = np.concatenate([[i] if i >= 0 else self.pieces.byte_ids[list(chr(-1 - i).encode())] for i in ids.tolist()])
+                return ids.astype("<u4").tobytes()
+            window, overlap = 8 * window, 8 * overlap
+        return self._bytes(codes[None, :])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.units) > self.most_kept:
@@ -229,7 +299,10 @@ class Encoder:
         new = {u: self.split(u) for u in {u for s in split for u in s}.difference(self.units)}
         by_length: dict[int, list[str]] = {}
         for p in {p for s in new.values() for p in s}.difference(self.parts):
-            by_length.setdefault(len(p), []).append(p)
+            if self.pieces.ranked and len(p) > LONG:
+                self.parts[p] = self.long(p)
+            else:
+                by_length.setdefault(len(p), []).append(p)
         for length, words in by_length.items():
             together = max(1, 400_000 // (length + 1))
             for i in range(0, len(words), together):
@@ -256,7 +329,7 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
             encoded = [np.frombuffer(b, "<u4").astype(np.int32) if t is not None else None for t, b in zip(texts, encoder.encode([t or "" for t in texts]), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encoded, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return rows_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -269,7 +342,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if ids is None else encoder.decode(ids) for ids in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows_of(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 class _Sent:
@@ -309,7 +382,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
+    return rows_of(docs, run, "doc_id long, n_pieces long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
 
 
 QUERIES = {"op10_pieces": op10_pieces}
