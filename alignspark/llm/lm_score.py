@@ -24,13 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, least_count, stored, table
+from alignspark.llm.common import in_slices, least_count, rows_of, stored, table
 from alignspark.llm.pieces import BLANK, Pieces, vocabulary
 
+#: Characters from which a word advances in windows.
+LONG = 512
 #: Most words that are broadcast; distinct words that a task counts before it hands them on; shift of Zipf's law.
 HEAD_WORDS, TASK_WORDS, ZIPF_SHIFT = 150_000, 200_000, 2.7
 
 
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis, keepdims=True)
+    safe = np.where(np.isfinite(most), most, 0.0)
+    with np.errstate(divide="ignore"):
+        return (np.log(np.exp(x - safe).sum(axis, keepdims=True)) + safe).squeeze(axis)
+
+
 class Lattice:
     """log10 marginal probabilities of words under a vocabulary."""
 
@@ -51,7 +60,10 @@ class Lattice:
         out = np.zeros(len(words))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w) + 1, []).append(i)
+            if len(w) >= LONG:
+                out[i] = self.long(BLANK + w)
+            else:
+                by_length.setdefault(len(w) + 1, []).append(i)
         for length, rows in by_length.items():
             together = max(1, 400_000 // (length + 1))
             for k in range(0, len(rows), together):
@@ -60,6 +72,53 @@ class Lattice:
                 out[part] = self._forward(codes.astype(np.uint64))
         return (out / math.log(10)).tolist()
 
+    def long(self, text: str, window: int = 256, windows: int = 256) -> float:
+        """Log of the probability of one long text: windows advance together, then join in their order.
+
+        What a window does is a matrix: from the alphas of the characters before it, as far as a piece reaches, to those
+        at its end.
+        """
+        reach = self.pieces.longest
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        state = np.full(reach, -np.inf)
+        state[0] = 0.0
+        before = codes[:0]
+        for begin in range(0, len(codes), window * windows):
+            own = codes[begin : begin + window * windows]
+            ways = self._ways(before, own)
+            before = np.r_[before, own][-reach:]
+            whole = len(own) // window * window
+            for matrix in self._matrices(ways[:whole].reshape(-1, window, reach)):
+                state = log_sum(state[:, None] + matrix, 0)
+            for row in ways[whole:]:
+                state = np.r_[log_sum(state + row, 0), state[:-1]]
+        return float(state[0])
+
+    def _ways(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each character of own and each length up to the longest: the log weight of the piece of this length that ends there."""
+        pieces = self.pieces
+        both = np.r_[before, own]
+        hashes, powers = pieces.prefix_hashes(both[None, :])
+        hashes, ends = hashes[0], np.arange(len(before) + 1, len(both) + 1)
+        out = np.full((len(own), pieces.longest), -np.inf)
+        for size in range(1, min(pieces.longest, len(both)) + 1):
+            rows = np.flatnonzero(ends >= size)
+            ids = pieces.find(hashes[ends[rows]] - hashes[ends[rows] - size] * powers[size])
+            out[rows, size - 1] = np.where(ids >= 0, self.logp[ids], -np.inf)
+            if size == 1:  # a character without a piece: its bytes
+                for r in rows[ids < 0].tolist():
+                    out[r, 0] = self.logp[pieces.byte_ids[list(chr(int(own[r])).encode())]].sum()
+        return out
+
+    @staticmethod
+    def _matrices(ways: np.ndarray) -> np.ndarray:
+        """ways: windows x characters x lengths.  Each window's matrix of log weights."""
+        n, window, reach = ways.shape
+        state = np.broadcast_to(np.where(np.eye(reach) > 0, 0.0, -np.inf), (n, reach, reach))
+        for t in range(window):
+            state = np.concatenate([log_sum(state + ways[:, t, None, :], 2)[:, :, None], state[:, :, :-1]], 2)
+        return state
+
     def _forward(self, words: np.ndarray) -> np.ndarray:
         n, length = words.shape
         pieces = self.pieces
@@ -108,7 +167,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
                 yield give()
         yield give()
 
-    counted = documents.select("text", trains().alias("train")).mapInArrow(run, "word binary, c long, n long")
+    counted = rows_of(documents.select("text", trains().alias("train")), run, "word binary, c long, n long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
@@ -121,7 +180,7 @@ def with_lattice(counts: DataFrame, sent) -> DataFrame:
             lp = lattice.words([w.decode() for w in batch.column("word").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64())], ["word", "c", "n", "lp"])
 
-    return counts.select("word", "c", "n").mapInArrow(run, "word binary, c long, n long, lp double")
+    return rows_of(counts.select("word", "c", "n"), run, "word binary, c long, n long, lp double")
 
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[int, dict[bytes, tuple[int, float]]]:
@@ -167,7 +226,7 @@ def score_documents(documents: DataFrame, path: str) -> DataFrame:
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     schema = "doc_id long, held_out boolean, row long, n_tokens long, base double, score double, known long, tail array<binary>, times array<int>"
-    parts = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, schema), "parts")
+    parts = stored(rows_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), run, schema), "parts")
     tail = parts.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
     rare = words.where(F.col("n") < least)
     known = tail.join(rare, "word").select(
