@@ -3,7 +3,9 @@
 Documents are tokenised once; those longer than a sequence are cut so that only their first piece may be short.  Full
 pieces are sequences of their own.  The others are dealt to partitions of bounded size, each packed by best-fit
 decreasing; dual-feasible functions bound from below the bins that a partition's sizes need.  A partition that uses more
-bins than its bound gives up its emptiest bins; what such partitions give up is dealt anew and packed again.
+bins than its bound gives up its emptiest bins; what such partitions give up is dealt anew and packed again.  Rounds end
+when no partition has a gap, or when a round has closed none; a piece's `gap` says how far above its bound the partition
+is that placed it (0: certified).
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed each for itself; a null doc_id
 stays null; an empty table gives no rows; other columns are ignored.
@@ -11,6 +13,7 @@ stays null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -22,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, stored, table
+from alignspark.llm.common import in_slices, rows_of, stored, table
 
 #: The pattern that the file's kind of tokeniser splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long, left boolean"
+PLACED = PIECES + ", sequence_id long, offset long, gap long, left boolean"
 
 
 class Chunked(dict):
@@ -36,25 +39,30 @@ class Chunked(dict):
 
     The file's pattern never joins over a blank between two other characters, nor over a single line end, so a text's
     ids are its chunks' ids in order.  Chunks of old scripts (below U+0370, the same letters in every Unicode version) are
-    merged by tiktoken with the file's own vocabulary as ranks, which is several times faster; others, and texts with other
-    white space, runs of it, special tokens or the mark itself, go to the tokeniser.
+    merged by tiktoken with the file's own vocabulary as ranks, which is several times faster; that gives the file's ids
+    because merges_are_ranks() proves, for the file at hand, that its merges come in the order of their ids.  Other chunks,
+    texts with other white space, runs of it, special tokens or the mark itself, and all texts of a file without that
+    proof, go to the tokeniser.
     """
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most_kept: int = 500_000) -> None:
+    def __init__(self, path: str, most_kept: int = 100_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        vocab = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())  # its printable ones are their own bytes, the others follow
         printable = [c for c in alphabet if ord(c) < 256]
         byte_of = {c: ord(c) for c in printable}
         byte_of |= dict(zip([c for c in alphabet if ord(c) >= 256], [b for b in range(256) if chr(b) not in byte_of], strict=True))
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = None
+        if merges_are_ranks(path, vocab, byte_of):
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most_kept = most_kept
 
     def whole(self, text: str) -> bytes:
@@ -66,7 +74,7 @@ class Chunked(dict):
             raise NotPlain
         if len(self) > self.most_kept:
             self.clear()
-        if max(chunk) < "\u0370":
+        if self.fast and max(chunk) < "\u0370":
             ids = self[chunk] = array("I", self.fast.encode_ordinary(chunk)).tobytes()
         else:
             ids = self[chunk] = self.whole(chunk)
@@ -85,6 +93,17 @@ class Chunked(dict):
         return out
 
 
+def merges_are_ranks(path: str, vocab: dict[str, int], byte_of: dict[str, int]) -> bool:
+    """Whether the file splits by the byte-level pattern alone and its merges, in their order, make just the vocabulary's tokens beyond the bytes, ids ascending."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = file.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return plain and None not in made and made == sorted(set(made)) and set(made) | {vocab.get(c) for c in byte_of} == set(vocab.values())
+
+
 class NotPlain(Exception):
     """A chunk or text that the tokeniser must see as a whole."""
 
@@ -120,7 +139,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 1024, end_id: int =
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return rows_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -189,33 +208,46 @@ def _packer(capacity: int, number: int, last: bool) -> Callable[[pa.Table], pa.T
             sequence[items] = (1 << 62) | (number << 56) | (part << 20) | b
             offset[items] = np.concatenate([[0], np.cumsum(sizes[items])[:-1]])
             left[items] = b in give
-        return group.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("left", pa.array(left))
+        added = {"sequence_id": sequence, "offset": offset, "gap": np.full(len(sizes), gap), "left": left}
+        out = group.drop_columns(["part"])
+        for name, values in added.items():
+            out = out.append_column(name, pa.array(values))
+        return out
 
     return pack
 
 
-def pack(items: DataFrame, capacity: int = 1024, partition_items: int = 2048, rounds: int = 3) -> DataFrame:
-    """items of pieces() with sequence_id and offset.  Partitions hold about partition_items, whatever the input's size."""
-    full = items.where(F.col("length") == capacity).withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
-    done, todo = [full], items.where(F.col("length") < capacity)
+def pack(items: DataFrame, capacity: int = 1024, partition_items: int = 2048, rounds: int = 8) -> DataFrame:
+    """items of pieces() with sequence_id, offset and gap.  Partitions hold about partition_items, whatever the input's size.
+
+    A round packs what partitions above their bound gave up before.  When that has shrunk to nothing, or to no less than in
+    the round before, or after `rounds` rounds, all that is left is placed; its gap stays in the result.
+    """
+    full = items.where(F.col("length") == capacity).withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long")).withColumn("gap", F.lit(0).cast("long"))
+    done, todo, before = [full], items.where(F.col("length") < capacity), 0
     for number in range(rounds):
         n = todo.count()
         if not n:
             break
         parts = max(1, round(n / partition_items))
-        last = number == rounds - 1
+        last = number == rounds - 1 or parts == 1 or number > 1 and n >= before
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
         packed = stored(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), PLACED), "packed")
         done.append(packed.where("NOT left").drop("left"))
-        todo = packed.where("left").drop("sequence_id", "offset", "left")
+        todo, before = packed.where("left").drop("sequence_id", "offset", "gap", "left"), n
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def certificates(packed: DataFrame) -> DataFrame:
+    """gap, sequences: how many sequences come from partitions that are gap bins above their lower bound."""
+    return packed.groupBy("gap").agg(F.count_distinct("sequence_id").alias("sequences"))
+
+
 def pack_documents(documents: DataFrame, path: str, capacity: int = 1024) -> DataFrame:
-    """Every document's pieces with their sequence and offset; tokenised once, kept in the shared folder."""
+    """Every document's pieces with their sequence, offset and gap; tokenised once, kept in the shared folder."""
     return pack(stored(pieces(documents, path, capacity), "pieces"), capacity).drop("item")
 
 
@@ -230,6 +262,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: every document's pieces and their places; null texts are their end token alone."""
     return pack_documents(docs, vocabulary())
 
 
