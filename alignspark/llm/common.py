@@ -12,6 +12,7 @@ from functools import wraps
 import pyarrow as pa
 import pyarrow.compute as pc
 from py4j.protocol import Py4JError
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +65,24 @@ def delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out now and held on the executors' disks (not in their heaps) until dropped() lets it go.
+
+    For what is read more than once: unlike a written table it keeps its lineage, from which lost parts are worked out again,
+    and costs no files in the shared folder.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df._rows = df.count()
+    return df
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and that nothing reads any more."""
+    """Let go of tables that stored() wrote or kept() holds and that nothing reads any more."""
     for df in tables:
         if at := getattr(df, "_stored_at", None):
             delete(df.sparkSession, at)
+        else:
+            df.unpersist()
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -151,29 +165,27 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")), "pointers")
-        nodes = to.count()
+        to = kept(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")))
+        nodes = to._rows
         while True:  # pointer jumping
             step = looked_up(to.withColumnRenamed("r", "k"), to.select(F.col("a").alias("k"), "r"), "k", F.col("a"), rows=nodes)
-            jumped = stored(step.select("a", "r", (F.col("r") != F.col("k")).alias("moved")), "jumped")
+            jumped = kept(step.select("a", "r", (F.col("r") != F.col("k")).alias("moved")))
             dropped(to)
-            moved = not jumped.where("moved").isEmpty()
-            to = jumped.select("a", "r")
-            to._stored_at = jumped._stored_at
-            if not moved:
+            to = jumped
+            if to.where("moved").isEmpty():
                 break
+        roots = to.select("a", "r")
         if labels is None:
-            new = to.select(F.col("a").alias("id"), F.col("r").alias("component"))
+            new = roots.select(F.col("a").alias("id"), F.col("r").alias("component"))
         else:
-            new = looked_up(labels.withColumnRenamed("component", "a"), to, "a", F.col("id"), "left", nodes).select("id", F.coalesce("r", "a").alias("component"))
+            new = looked_up(labels.withColumnRenamed("component", "a"), roots, "a", F.col("id"), "left", nodes).select("id", F.coalesce("r", "a").alias("component"))
         old, labels = labels, stored(new, "labels")
         if old is not None:
             dropped(old)
-        one = looked_up(left, to, "a", F.col("b"), rows=nodes).select(F.col("r").alias("x"), F.col("b").alias("a"))
-        two = looked_up(one, to, "a", F.col("x"), rows=nodes).select("x", F.col("r").alias("y"))
+        one = looked_up(left, roots, "a", F.col("b"), rows=nodes).select(F.col("r").alias("x"), F.col("b").alias("a"))
+        two = looked_up(one, roots, "a", F.col("x"), rows=nodes).select("x", F.col("r").alias("y"))
         after = stored(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        dropped(left)
-        dropped(to)
+        dropped(left, to)
         left = after
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from alignspark.llm.common import components, dropped, in_slices, least_count, looked_up, rows_of, small_enough, stored, table
+from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, table
 
 #: Most frequent shingles that are broadcast (their number is counted first); words and shingles that a task holds at once.
 FREQUENT, WORDS, HELD = 300_000, 100_000, 1_500_000
@@ -139,7 +139,7 @@ def frequent_shingles(documents: DataFrame, k: int) -> DataFrame:
 def classify(documents: DataFrame, k: int, t: int) -> DataFrame:
     """row, doc_id, class, n (size of the set), prefix (its first shingles in the common order, one more than a link needs), bits and fold (parity maps)."""
     spark = documents.sparkSession
-    often = stored(frequent_shingles(documents, k), "often")
+    often = kept(frequent_shingles(documents, k))
     top = often.where(F.col("n") >= least_count(often, "n", FREQUENT)).toArrow()
     order = np.argsort(top["h"].to_numpy().view(np.uint64))
     sent = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]))
@@ -284,59 +284,63 @@ def _across(entries: DataFrame, mixed: DataFrame, t: int) -> DataFrame:
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
     met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND x.class < y.class AND (x.block <> y.block OR x.low = x.high) AND x.component <> y.component AND {_may_link('x', 'y', t)} AND {_may_be_near('x', 'y', t)}")
-    rest = stored(rest, "open")
+    rest = kept(rest)
     return rest.alias("x").join(rest.alias("y").hint("merge"), met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     """doc_id, n, class, component (a class), component_id (least doc_id reachable by links) of every row; class and component are null for empty sets."""
-    rows = stored(classify(documents, k, t), "rows")
+    rows = kept(classify(documents, k, t))
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("row", "doc_id", "n")).alias("one"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
+    members = kept(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"))
     ones = members.where("copies > 1").select("class", F.col("row").alias("one"))
-    copies = stored(looked_up(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"), "copies")
+    copies = kept(looked_up(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"))
     classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies), "row", "left_anti")
     sizes = {r["n"]: r["k"] for r in members.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
-    several = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"), "lists")
-    entries = stored(keys.join(small_enough(several), "key", "left_semi"), "entries")
+    several = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"))
+    entries = kept(keys.join(small_enough(several), "key", "left_semi"))
     dropped(several)
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
-    star = looked_up(entries, stored(leaders, "leaders"), "key", F.col("class")).withColumn("x", F.struct("n", "rest")).withColumn("y", F.struct(F.col("n_").alias("n"), F.col("rest_").alias("rest")))
+    leaders = kept(leaders)
+    star = looked_up(entries, leaders, "key", F.col("class")).withColumn("x", F.struct("n", "rest")).withColumn("y", F.struct(F.col("n_").alias("n"), F.col("rest_").alias("rest")))
     star = star.where(f"class <> leader AND {_may_link('x', 'y', t)}")
     stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
-    stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
+    stars = kept(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
+        pairs = kept(_near(pairs, classes.select("class", "n", "bits"), t))
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = stored(members.join(wanted, "class").select("class", "doc_id"), "wanted")
-        sets = stored(_sets(documents, wanted, k), "sets")
+        wanted = kept(members.join(wanted, "class").select("class", "doc_id"))
+        sets = kept(_sets(documents, wanted, k))
         out = stored(_verified(pairs, sets, t), "links")
         dropped(sets, wanted, pairs)
         return out
 
     links = linked(stars)
     labels = components(links)
-    now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
+    now = kept(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     dropped(entries)
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
-    mixed = stored(mixed, "mixed")
+    mixed = kept(mixed)
     if not mixed.isEmpty():
         maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
-        more = stored(_across(now.join(small_enough(mixed.select("key")), "key", "left_semi").join(maps, "class"), mixed, t).join(stars, ["a", "b"], "left_anti"), "across")
+        more = kept(_across(now.join(small_enough(mixed.select("key")), "key", "left_semi").join(maps, "class"), mixed, t).join(stars, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             found = linked(more)
             if not found.isEmpty():
                 labels = components(links.unionByName(found))
     dropped(now)
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"), "least")
-    wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
-    out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
-    return out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = kept(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"))
+    wide = kept(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"))
+    dropped(members, copies, leaders, stars, mixed, least)
+    out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left", wide._rows)
+    out = out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out._reads = (rows, wide)
+    return out
 
 
 def join_documents(documents: DataFrame, k: int, t: int) -> DataFrame:
@@ -355,11 +359,14 @@ def one_of_each(docs: DataFrame, k: int, t: int) -> DataFrame:
     rows with equal doc_id and equal set any one stays; rows with an empty set all stay.
     """
     key, own = "_alignspark_id", "_alignspark_class"
-    found = stored(grouped(docs, k, t), "groups")
+    groups = grouped(docs, k, t)
+    found = kept(groups)
+    dropped(*groups._reads)
     first = found.where("class IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("s"))
-    first = stored(first.select(F.col("s.doc_id").alias(key), F.col("s.class").alias(own)), "first")
+    first = kept(first.select(F.col("s.doc_id").alias(key), F.col("s.class").alias(own)))
     alone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("class").alias("class"))
-    alone = stored(alone.join(first, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("class") == F.col(own)), "left").select("doc_id", "n", (F.col("class").isNotNull() & F.col(own).isNull()).alias("gone")), "ids")
+    alone = kept(alone.join(first, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("class") == F.col(own)), "left").select("doc_id", "n", (F.col("class").isNotNull() & F.col(own).isNull()).alias("gone")))
+    dropped(found)
     gone = alone.where("n = 1 AND gone AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
     unclear = alone.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key))
     kept = docs.join(small_enough(gone), docs["doc_id"].cast("long") == F.col(key), "left_anti")

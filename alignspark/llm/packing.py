@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, rows_of, stored, table
+from alignspark.llm.common import in_slices, kept, rows_of, table
 
 #: The pattern that the file's kind of tokeniser splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,7 +232,7 @@ def pack(items: DataFrame, capacity: int = 1024, partition_items: int = 2048, ro
         parts = max(1, round(n / partition_items))
         last = number == rounds - 1 or parts == 1 or number > 1 and n >= before
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
-        packed = stored(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), PLACED), "packed")
+        packed = kept(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), PLACED))
         done.append(packed.where("NOT left").drop("left"))
         todo, before = packed.where("left").drop("sequence_id", "offset", "gap", "left"), n
     out = done[0]
@@ -247,8 +247,8 @@ def certificates(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: int = 1024) -> DataFrame:
-    """Every document's pieces with their sequence, offset and gap; tokenised once, kept in the shared folder."""
-    return pack(stored(pieces(documents, path, capacity), "pieces"), capacity).drop("item")
+    """Every document's pieces with their sequence, offset and gap; tokenised once."""
+    return pack(kept(pieces(documents, path, capacity)), capacity).drop("item")
 
 
 def vocabulary() -> str:
