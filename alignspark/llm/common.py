@@ -69,7 +69,7 @@ def kept(df: DataFrame) -> DataFrame:
     """df, worked out now and held on the executors' disks (not in their heaps) until dropped() lets it go.
 
     For what is read more than once: unlike a written table it keeps its lineage, from which lost parts are worked out again,
-    and costs no files in the shared folder.
+    and costs no files in the shared folder.  Not for loops: plans would grow with each turn.
     """
     df = df.persist(StorageLevel.DISK_ONLY)
     df._rows = df.count()
@@ -165,11 +165,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = kept(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")))
-        nodes = to._rows
-        while True:  # pointer jumping
-            step = looked_up(to.withColumnRenamed("r", "k"), to.select(F.col("a").alias("k"), "r"), "k", F.col("a"), rows=nodes)
-            jumped = kept(step.select("a", "r", (F.col("r") != F.col("k")).alias("moved")))
+        to = stored(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")), "pointers")
+        nodes = to.count()
+        while True:  # pointer jumping, three jumps at a time
+            step, next_ = to.select("a", "r"), to.select(F.col("a").alias("k"), F.col("r").alias("n"))
+            for _ in range(3):
+                step = looked_up(step.withColumnRenamed("r", "k"), next_, "k", F.col("a"), rows=nodes).select("a", F.col("k").alias("before"), F.col("n").alias("r"))
+            jumped = stored(step.select("a", "r", (F.col("r") != F.col("before")).alias("moved")), "jumped")
             dropped(to)
             to = jumped
             if to.where("moved").isEmpty():

@@ -290,9 +290,9 @@ def _across(entries: DataFrame, mixed: DataFrame, t: int) -> DataFrame:
 
 def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     """doc_id, n, class, component (a class), component_id (least doc_id reachable by links) of every row; class and component are null for empty sets."""
-    rows = kept(classify(documents, k, t))
+    rows = stored(classify(documents, k, t), "rows")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("row", "doc_id", "n")).alias("one"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    members = kept(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"))
+    members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
     ones = members.where("copies > 1").select("class", F.col("row").alias("one"))
     copies = kept(looked_up(rows.select("row", "class"), ones, "class", F.col("row")).where("row <> one").select("row"))
     classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies), "row", "left_anti")
@@ -300,7 +300,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
     several = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"))
-    entries = kept(keys.join(small_enough(several), "key", "left_semi"))
+    entries = stored(keys.join(small_enough(several), "key", "left_semi"), "entries")
     dropped(several)
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
@@ -321,8 +321,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
 
     links = linked(stars)
     labels = components(links)
-    now = kept(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    dropped(entries)
+    now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
     mixed = kept(mixed)
     if not mixed.isEmpty():
@@ -332,12 +331,11 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
             found = linked(more)
             if not found.isEmpty():
                 labels = components(links.unionByName(found))
-    dropped(now)
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = kept(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"))
-    wide = kept(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"))
-    dropped(members, copies, leaders, stars, mixed, least)
-    out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left", wide._rows)
+    wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
+    dropped(members, copies, leaders, stars, mixed, least, now, entries)
+    out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
     out = out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out._reads = (rows, wide)
     return out
@@ -360,18 +358,18 @@ def one_of_each(docs: DataFrame, k: int, t: int) -> DataFrame:
     """
     key, own = "_alignspark_id", "_alignspark_class"
     groups = grouped(docs, k, t)
-    found = kept(groups)
+    found = stored(groups, "groups")
     dropped(*groups._reads)
     first = found.where("class IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("s"))
-    first = kept(first.select(F.col("s.doc_id").alias(key), F.col("s.class").alias(own)))
+    first = stored(first.select(F.col("s.doc_id").alias(key), F.col("s.class").alias(own)), "first")
     alone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("class").alias("class"))
-    alone = kept(alone.join(first, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("class") == F.col(own)), "left").select("doc_id", "n", (F.col("class").isNotNull() & F.col(own).isNull()).alias("gone")))
+    alone = stored(alone.join(first, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("class") == F.col(own)), "left").select("doc_id", "n", (F.col("class").isNotNull() & F.col(own).isNull()).alias("gone")), "ids")
     dropped(found)
     gone = alone.where("n = 1 AND gone AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
     unclear = alone.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key))
-    kept = docs.join(small_enough(gone), docs["doc_id"].cast("long") == F.col(key), "left_anti")
+    rest = docs.join(small_enough(gone), docs["doc_id"].cast("long") == F.col(key), "left_anti")
     if unclear.isEmpty():
-        return kept
+        return rest
     side, same = small_enough(unclear), docs["doc_id"].cast("long").eqNullSafe(F.col(key))
 
     def run(batches):
@@ -380,11 +378,11 @@ def one_of_each(docs: DataFrame, k: int, t: int) -> DataFrame:
             sets = [shingles(x, words, k) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*part.schema.names, own])
 
-    marked = rows_of(kept.join(side, same, "left_semi"), run, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    marked = rows_of(rest.join(side, same, "left_semi"), run, StructType([*docs.schema.fields, StructField(own, LongType())]))
     several = marked.where(F.col(own).isNotNull()).dropDuplicates(["doc_id", own])
     winners = first.select(F.col(key), F.col(own).alias("_alignspark_first"))
     several = several.join(small_enough(winners), several["doc_id"].cast("long").eqNullSafe(winners[key]) & (several[own] == winners["_alignspark_first"]), "left_semi")
-    return kept.join(side, same, "left_anti").unionByName(several.drop(own)).unionByName(marked.where(F.col(own).isNull()).drop(own))
+    return rest.join(side, same, "left_anti").unionByName(several.drop(own)).unionByName(marked.where(F.col(own).isNull()).drop(own))
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
