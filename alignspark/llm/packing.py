@@ -47,7 +47,7 @@ class Chunked(dict):
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most_kept: int = 100_000) -> None:
+    def __init__(self, path: str, most_kept: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
