@@ -65,11 +65,7 @@ def planes(spec: FeatureSpec) -> list[Column]:
 
 def feature_long(pairs: DataFrame, spec: FeatureSpec, tokens: bool = False) -> DataFrame:
     """pair_id, i, j, k, value: one row for each feature that isn't zero."""
-    values = F.array(*planes(spec))
-    out = cells(pairs, tokens).select("pair_id", "i", "j", F.posexplode(values).alias("k", "value"), transition().alias("t")).where("value <> 0")
-    rows = out.select("pair_id", "i", "j", "k", "value")
-    for name, at, _ in spec.blocks:
-        if name == "transition":
-            hot = cells(pairs, tokens).select("pair_id", "i", "j", (transition() + at).cast("int").alias("k"), F.lit(1.0).alias("value")).where("k IS NOT NULL")
-            rows = rows.unionByName(hot)
-    return rows
+    entries = [F.struct(F.lit(k).alias("k"), value.alias("value")) for k, value in enumerate(planes(spec))]
+    entries += [F.struct((transition() + at).cast("int").alias("k"), F.lit(1.0).alias("value")) for name, at, _ in spec.blocks if name == "transition"]
+    rows = cells(pairs, tokens).select("pair_id", "i", "j", F.explode(F.array(*entries)).alias("f"))
+    return rows.select("pair_id", "i", "j", "f.k", "f.value").where("k IS NOT NULL AND value <> 0")

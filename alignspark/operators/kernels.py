@@ -1,7 +1,9 @@
 """Batches of pairs as padded arrays: features, potentials, sum-product and max-sum over the lattice, gradients.
 
-All pairs of a batch advance together, by cells or whole diagonals; a pair's result is read at its own last cell, so padding never
-leaks into it.  -inf marks what can't be reached.
+All pairs of a batch advance together, by whole diagonals; a pair's result is read at its own last cell, so padding never
+leaks into it.  Scores hold the last few diagonals only, so their memory grows with the strings' lengths and not with the
+product; training holds whole lattices.  Moves that a caller's function decides go cell by cell.  -inf marks what can't
+be reached.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import numpy as np
 
 from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine
 
-#: Doubles that a sub-batch's potentials may take.
-BUDGET = 4_000_000
+#: Doubles that a sub-batch's potentials may take: those of whole lattices, those of one diagonal.
+BUDGET, DIAGONAL = 4_000_000, 500_000
 _INDEX = {c: i for i, c in enumerate(CHARACTERS)}
 
 
@@ -141,6 +143,65 @@ def _moves(machine: StateMachine, batch: Batch, i: int, j: int, cells) -> Iterat
             yield t, s0, s1, i1, j1, np.array(pairs)
 
 
+def _groups(machine: StateMachine) -> list[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Static moves by delta: from, to and transition of moves to different states, which one assignment can update."""
+    groups: list[tuple[tuple[int, int], list]] = []
+    for t, (s0, s1, delta) in enumerate(machine.transitions):
+        own = next((g for d, g in groups if d == delta and all(s1 != x[1] for x in g)), None)
+        if own is None:
+            groups.append((delta, own := []))
+        own.append((s0, s1, t))
+    return [(d, tuple(np.array(c) for c in zip(*g, strict=True))) for d, g in groups]
+
+
+def diagonal_weights(batch: Batch, spec: FeatureSpec, theta: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Potentials of the cells (i[k], j[k]): (pairs, cells, rows of theta), without a caller's own features."""
+    own = {
+        "bias": lambda: np.full((len(batch), len(i)), float(spec.bias)),
+        "start": lambda: np.broadcast_to((i == 0) | (j == 0), (len(batch), len(i))),
+        "end": lambda: (i == batch.n1[:, None] - 1) | (j == batch.n2[:, None] - 1),
+        "match": lambda: batch.a[:, i] == batch.b[:, j],
+        "numeric": lambda: batch.digit1[:, i] & batch.digit2[:, j],
+    }
+    values = np.empty((len(batch), len(i), len(spec.planes)))
+    for k, name in enumerate(spec.planes):
+        values[..., k] = own[name]()
+    out = values @ theta[:, : values.shape[-1]].T
+    for _, at, _ in spec.blocks:
+        first, second = batch.known1[:, i], batch.known2[:, j]
+        index = np.where((first >= 0) & (second >= 0), second + len(CHARACTERS) * first, -1)
+        out += np.where(index[..., None] >= 0, theta.T[at + np.maximum(index, 0)], 0.0)
+    return out
+
+
+def last_weights(batch: Batch, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray, best: bool = False) -> np.ndarray:
+    """Log weights of all alignments (of the best one) at the pairs' last cells: (pairs, states), holding a few diagonals."""
+    n, size1, size2, states = len(batch), batch.a.shape[1], batch.b.shape[1], machine.n_states
+    add, groups = np.maximum if best else np.logaddexp, _groups(machine)
+    deep = max((di + dj for (di, dj), _ in groups), default=1) + 1
+    ring = [np.full((n, size1, states), -np.inf) for _ in range(deep)]
+    out, last = np.full((n, states), -np.inf), batch.n1 + batch.n2 - 2
+    for d in range(size1 + size2 - 1):
+        low, high = max(0, d - size2 + 1), min(size1 - 1, d) + 1
+        row = np.arange(low, high)
+        weights = diagonal_weights(batch, spec, theta, row, d - row)
+        here = ring[d % deep]
+        here[:] = -np.inf
+        if d == 0:
+            for s in machine.start_states:
+                here[:, 0, s] = weights[:, 0, s]
+        for (di, dj), (s0, s1, t) in groups:
+            begin, end = max(low, di), min(high, d - dj + 1)
+            if d >= di + dj and begin < end:
+                own = weights[:, begin - low : end - low]
+                come = ring[(d - di - dj) % deep][:, begin - di : end - di][..., s0] + own[..., states + t] + own[..., s1]
+                target = here[:, begin:end]
+                target[..., s1] = add(target[..., s1], come)
+        done = np.flatnonzero(last == d)
+        out[done] = here[done, batch.n1[done] - 1]
+    return out
+
+
 def forward(batch: Batch, machine: StateMachine, weights: np.ndarray, cells: np.ndarray | None = None, best: bool = False) -> np.ndarray:
     """Log weights of all alignments (of the best one) up to each node: (pairs, I, J, states)."""
     n, size1, size2, _ = weights.shape
@@ -149,11 +210,11 @@ def forward(batch: Batch, machine: StateMachine, weights: np.ndarray, cells: np.
     alpha = np.full((n, size1, size2, states), -np.inf)
     for s in machine.start_states:
         alpha[:, 0, 0, s] = weights[:, 0, 0, s]
-    if machine.static and machine.transitions and all(len({x[1] for x in g}) == len(g) for g in _groups(machine).values()):
-        groups = {d: tuple(np.array(c) for c in zip(*g, strict=True)) for d, g in _groups(machine).items()}
+    if machine.static:
+        groups = _groups(machine)
         for d in range(size1 + size2 - 1):  # every move leads to a later diagonal, so a diagonal's cells advance together
             row = np.arange(max(0, d - size2 + 1), min(size1 - 1, d) + 1)
-            for (di, dj), (s0, s1, t) in groups.items():
+            for (di, dj), (s0, s1, t) in groups:
                 i = row[(row >= di) & (d - row >= dj)]
                 if len(i):
                     j = d - i
@@ -170,14 +231,6 @@ def forward(batch: Batch, machine: StateMachine, weights: np.ndarray, cells: np.
     return alpha
 
 
-def _groups(machine: StateMachine) -> dict:
-    """Transitions by delta: (from, to, transition)."""
-    out: dict = {}
-    for t, (s0, s1, delta) in enumerate(machine.transitions):
-        out.setdefault(delta, []).append((s0, s1, t))
-    return out
-
-
 def backward(batch: Batch, machine: StateMachine, weights: np.ndarray, final: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
     """Log weights of all alignments from each node to the pair's last cell, the node's own weight left out.
 
@@ -187,6 +240,25 @@ def backward(batch: Batch, machine: StateMachine, weights: np.ndarray, final: np
     states = machine.n_states
     beta = np.full((n, size1, size2, states), -np.inf)
     beta[np.arange(n), batch.n1 - 1, batch.n2 - 1] = final
+    if machine.static:
+        turned = []  # moves from different states, so that one assignment can update them
+        for (di, dj), (s0, s1, t) in _groups(machine):
+            left = list(zip(s0.tolist(), s1.tolist(), t.tolist(), strict=True))
+            while left:
+                now = [x for k, x in enumerate(left) if all(x[0] != y[0] for y in left[:k])]
+                left = [x for x in left if x not in now]
+                turned.append((di, dj, *(np.array(c) for c in zip(*now, strict=True))))
+        for d in range(size1 + size2 - 2, -1, -1):
+            row = np.arange(max(0, d - size2 + 1), min(size1 - 1, d) + 1)
+            for di, dj, s0, s1, t in turned:
+                i = row[(row + di < size1) & (d - row + dj < size2)]
+                if len(i):
+                    j = d - i
+                    own, here = weights[:, i + di, j + dj], beta[:, i, j]
+                    go = beta[:, i + di, j + dj][..., s1] + own[..., states + t] + own[..., s1]
+                    here[..., s0] = np.logaddexp(here[..., s0], go)
+                    beta[:, i, j] = here
+        return beta
     for i in range(size1 - 1, -1, -1):
         for j in range(size2 - 1, -1, -1):
             for t, s0, s1, i1, j1, on in _moves(machine, batch, i, j, cells):
@@ -204,7 +276,11 @@ def log_sum(x: np.ndarray, axis: int = -1) -> np.ndarray:
 
 def class_weights(alpha: np.ndarray, batch: Batch, machine: StateMachine) -> np.ndarray:
     """Log weight of each class at the pairs' last cells; a class's states are added."""
-    last = alpha[np.arange(len(batch)), batch.n1 - 1, batch.n2 - 1]
+    return of_classes(alpha[np.arange(len(batch)), batch.n1 - 1, batch.n2 - 1], machine)
+
+
+def of_classes(last: np.ndarray, machine: StateMachine) -> np.ndarray:
+    """(pairs, classes) of weights at the last cells (pairs, states)."""
     return np.stack([log_sum(last[:, [s for s, c in machine.states_to_classes if c == label]]) for label in machine.classes], 1)
 
 
@@ -225,7 +301,8 @@ def dense(planes: np.ndarray, blocks: list[tuple[int, np.ndarray]], size: int) -
 def class_log_weights(first: list, second: list, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray, best: bool = False) -> np.ndarray:
     """(pairs, classes): log weight of each class; NaN for pairs without a result."""
     out = np.full((len(first), len(machine.classes)), np.nan)
-    for rows in sub_batches(first, second, theta.shape[0] + machine.n_states):
+    rolling = machine.static and not spec.real and not spec.sparse
+    for rows in sub_batches(first, second, theta.shape[0] + machine.n_states, rolling):
         batch = Batch.of([first[r] for r in rows], [second[r] for r in rows])
         good = batch.valid(spec)
         if not good.all():
@@ -233,32 +310,50 @@ def class_log_weights(first: list, second: list, spec: FeatureSpec, machine: Sta
             if not len(rows):
                 continue
             batch = Batch.of([first[r] for r in rows], [second[r] for r in rows])
-        planes, blocks = features(batch, spec)
-        weights = potentials(planes, blocks, theta)
-        out[rows] = class_weights(forward(batch, machine, weights, _needs_cells(machine, planes, blocks, spec.size), best), batch, machine)
+        if rolling:
+            out[rows] = of_classes(last_weights(batch, spec, machine, theta, best), machine)
+        else:
+            planes, blocks = features(batch, spec)
+            weights = potentials(planes, blocks, theta)
+            out[rows] = class_weights(forward(batch, machine, weights, _needs_cells(machine, planes, blocks, spec.size), best), batch, machine)
     return out
 
 
-def sub_batches(first: list, second: list, width: int) -> Iterator[np.ndarray]:
-    """Row numbers in batches of similar shape whose arrays stay in BUDGET."""
+def sub_batches(first: list, second: list, width: int, rolling: bool = False) -> Iterator[np.ndarray]:
+    """Row numbers in batches of similar shape whose arrays (of lattices, or of diagonals) stay in their budget."""
     n1, n2 = (np.array([len(s) if s is not None else 0 for s in side], np.int64) for side in (first, second))
     order = np.lexsort((n2, n1))
     begin = 0
     while begin < len(order):
-        end, most1, most2 = begin, 0, 0
+        end, most1, most2, least2 = begin, 0, 0, n2[order[begin]]
         while end < len(order):
-            most1, most2 = max(most1, n1[order[end]]), max(most2, n2[order[end]])
-            if end > begin and (end + 1 - begin) * most1 * most2 * width > BUDGET:
+            most1, most2, least2 = max(most1, n1[order[end]]), max(most2, n2[order[end]]), min(least2, n2[order[end]])
+            rows = (end + 1 - begin) * width
+            if end > begin and (rows * most1 > DIAGONAL or most2 > 2 * least2 + 16 if rolling else rows * most1 * most2 > BUDGET):
                 break
             end += 1
         yield order[begin:end]
         begin = end
 
 
+def _class_of_states(machine: StateMachine) -> list[int] | None:
+    """The one class that each state can end in (-1: none), or None where a state can end in several."""
+    reach: list[set] = [{c for x, c in machine.states_to_classes if x == s} for s in range(machine.n_states)]
+    for _ in range(machine.n_states):
+        for s0, s1, _ in machine.transitions:
+            reach[s0] |= reach[s1]
+    if any(len(r) > 1 for r in reach):
+        return None
+    return [machine.classes.index(next(iter(r))) if r else -1 for r in reach]
+
+
 def loss_gradient(first: list, second: list, labels: list, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum over the pairs of log p(label), and its gradient.  Pairs without a result count nothing."""
+    """Sum over the pairs of log p(label), and its gradient.  Pairs without a result count nothing.
+
+    Where every state belongs to one class, as in the default machine, one pass backward serves all classes.
+    """
     total, gradient = 0.0, np.zeros_like(theta)
-    classes, states = machine.classes, machine.n_states
+    classes, states, own_class = machine.classes, machine.n_states, _class_of_states(machine)
     for rows in sub_batches(first, second, 3 * theta.shape[0]):
         batch = Batch.of([first[r] for r in rows], [second[r] for r in rows])
         good = batch.valid(spec)
@@ -276,10 +371,15 @@ def loss_gradient(first: list, second: list, labels: list, spec: FeatureSpec, ma
         answer = np.array([[label == labels[r] for label in classes] for r in rows], float)
         with np.errstate(divide="ignore"):
             total += float(np.log((share * answer).sum(1)).sum())
-        post = np.zeros_like(weights)
-        for c, label in enumerate(classes):
-            final = np.array([0.0 if (s, label) in machine.states_to_classes else -np.inf for s in range(states)])
-            post += (answer - share)[:, c, None, None, None] * posteriors(batch, machine, weights, alpha, backward(batch, machine, weights, final, cells), z[:, c], cells)
+        final = lambda c: np.array([0.0 if any(x == s and (c is None or y == c) for x, y in machine.states_to_classes) else -np.inf for s in range(states)])
+        if own_class is not None:
+            at = np.maximum(own_class, 0)
+            post = posteriors(batch, machine, weights, alpha, backward(batch, machine, weights, final(None), cells), z[:, at], cells, (answer - share)[:, at])
+        else:
+            post = np.zeros_like(weights)
+            for c, label in enumerate(classes):
+                every = np.repeat(z[:, c : c + 1], states, 1)
+                post += posteriors(batch, machine, weights, alpha, backward(batch, machine, weights, final(label), cells), every, cells, np.repeat((answer - share)[:, c : c + 1], states, 1))
         gradient[:, : planes.shape[-1]] += np.einsum("nijr,nijk->rk", post, planes)
         for at, index in blocks:
             p, i, j = np.nonzero(index >= 0)
@@ -287,14 +387,40 @@ def loss_gradient(first: list, second: list, labels: list, spec: FeatureSpec, ma
     return total, gradient
 
 
-def posteriors(batch: Batch, machine: StateMachine, weights: np.ndarray, alpha: np.ndarray, beta: np.ndarray, z: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
-    """Probability that an alignment of the class passes each node and each edge (by its destination cell): like weights."""
+def posteriors(batch: Batch, machine: StateMachine, weights: np.ndarray, alpha: np.ndarray, beta: np.ndarray, z: np.ndarray, cells: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """Probability that an alignment of the class passes each node and each edge (by its destination cell): like weights.
+
+    z: log weight of the class that each state belongs to (pairs, states); times: a factor for each of these.
+    """
     states = machine.n_states
     z = np.where(np.isfinite(z), z, 0.0)
+    times = np.ones_like(z) if times is None else times
     out = np.zeros_like(weights)
-    out[..., :states] = np.exp(alpha + beta - z[:, None, None, None])
+    out[..., :states] = np.exp(alpha + beta - z[:, None, None, :]) * times[:, None, None, :]
+    if machine.static:
+        size1, size2 = weights.shape[1:3]
+        for t, (s0, s1, (di, dj)) in enumerate(machine.transitions):
+            if di < size1 and dj < size2:
+                own = weights[:, di:, dj:]
+                log = alpha[:, : size1 - di, : size2 - dj, s0] + own[..., states + t] + own[..., s1] + beta[:, di:, dj:, s1]
+                out[:, di:, dj:, states + t] = np.exp(log - z[:, None, None, s1]) * times[:, None, None, s1]
+        return out
     for i in range(weights.shape[1]):
         for j in range(weights.shape[2]):
             for t, s0, s1, i1, j1, on in _moves(machine, batch, i, j, cells):
-                out[on, i1, j1, states + t] += np.exp(alpha[on, i, j, s0] + weights[on, i1, j1, states + t] + weights[on, i1, j1, s1] + beta[on, i1, j1, s1] - z[on])
+                out[on, i1, j1, states + t] += np.exp(alpha[on, i, j, s0] + weights[on, i1, j1, states + t] + weights[on, i1, j1, s1] + beta[on, i1, j1, s1] - z[on, s1]) * times[on, s1]
     return out
+
+
+def lattice_nodes(batch: Batch, machine: StateMachine) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each node can be reached from a start, and whether the pair's last cell can be reached from it (static moves)."""
+    none = np.zeros((len(batch), batch.a.shape[1], batch.b.shape[1], machine.n_states + machine.n_transitions))
+    return forward(batch, machine, none, best=True) == 0, backward(batch, machine, none, np.zeros(machine.n_states)) > -np.inf
+
+
+def lattice_edges(from_start: np.ndarray, to_end: np.ndarray, machine: StateMachine) -> Iterator[tuple[int, tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """For each static transition: its number, its delta, and pair, i and j of the cells that its edges leave from."""
+    size1, size2 = from_start.shape[1:3]
+    for t, (s0, s1, (di, dj)) in enumerate(machine.transitions):
+        if di < size1 and dj < size2:
+            yield t, (di, dj), *np.nonzero(from_start[:, : size1 - di, : size2 - dj, s0] & to_end[:, di:, dj:, s1])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignspark.operators.kernels import Batch, dense, features
+from alignspark.operators.kernels import Batch, dense, features, lattice_edges, lattice_nodes, sub_batches
 from alignspark.spec import FeatureSpec, StateMachine
 
 EDGES = "pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int"
@@ -45,17 +45,29 @@ def edges(n1: int, n2: int, machine: StateMachine, cells: np.ndarray | None = No
 def lattice(pairs: DataFrame, machine: StateMachine, spec: FeatureSpec | None = None) -> DataFrame:
     """Edges of every pair's lattice, for any machine; spec gives the features that callable moves look at."""
     spec = spec or FeatureSpec()
+    names = [c.split()[0] for c in EDGES.split(", ")]
 
     def run(batches):
         for part in batches:
-            rows = []
-            for pair, s1, s2 in zip(*(part.column(c).to_pylist() for c in ("pair_id", "s1", "s2")), strict=True):
-                if s1 and s2:
-                    cells = None if machine.static else dense(*features(Batch.of([s1], [s2]), spec), spec.size)[0]
-                    rows += [(pair, *e) for e in edges(len(s1), len(s2), machine, cells)]
-            names = [c.split()[0] for c in EDGES.split(", ")]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "pair_id" else pa.int32()) for c, n in zip(columns, names, strict=True)], names)
+            ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
+            keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
+            for own in sub_batches([first[r] for r in keep], [second[r] for r in keep], machine.n_states + machine.n_transitions):
+                own = keep[own]
+                batch = Batch.of([first[r] for r in own], [second[r] for r in own])
+                found = []
+                if machine.static:
+                    for t, (di, dj), p, i, j in lattice_edges(*lattice_nodes(batch, machine), machine):
+                        s0, s1, _ = machine.transitions[t]
+                        found.append(np.stack([p, i, j, np.full(len(p), s0), i + di, j + dj, np.full(len(p), s1), np.full(len(p), machine.n_states + t)]))
+                else:
+                    cells = dense(*features(batch, spec), spec.size)
+                    for p in range(len(batch)):
+                        rows = edges(batch.n1[p], batch.n2[p], machine, cells[p, : batch.n1[p], : batch.n2[p]])
+                        found.append(np.array([(p, *e) for e in rows], np.int64).reshape(-1, 8).T)
+                if found:
+                    columns = np.concatenate(found, 1)
+                    pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0]))
+                    yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:])], names)
 
     return pairs.select("pair_id", "s1", "s2").mapInArrow(run, EDGES)
 

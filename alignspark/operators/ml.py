@@ -6,7 +6,8 @@ import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame
 
 from alignspark.operators import training
 from alignspark.operators.scoring import Parameters, from_json, score, to_json
@@ -54,7 +55,7 @@ class PairClassifier(_Shared, Estimator):
         return PairClassifierModel(parameters, self.getOrDefault(self.viterbi), history)
 
 
-class PairClassifierModel(_Shared, Model):
+class PairClassifierModel(_Shared, Model, MLWritable, MLReadable):
     """Adds probability and prediction to pairs (pair_id, s1, s2); other columns stay."""
 
     def __init__(self, parameters: Parameters, viterbi: bool = False, history: list[float] | None = None) -> None:
@@ -67,19 +68,38 @@ class PairClassifierModel(_Shared, Model):
         return self.parameters.machine.classes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        keep = [c for c in dataset.columns if c != "pair_id"]
+        """dataset's columns with probability and prediction, which replace columns of these names."""
+        keep = [c for c in dataset.columns if c not in ("pair_id", "probability", "prediction")]
         return score(dataset, self.parameters, self.getOrDefault(self.viterbi), keep)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """theta as Parquet (row, k, value), the rest as one line of JSON beside it."""
-        self.parameters.table(spark).coalesce(1).write.parquet(f"{path}/theta")
-        text = to_json(self.parameters)
-        spark.createDataFrame([(text, self.getOrDefault(self.viterbi))], "model string, viterbi boolean").coalesce(1).write.json(f"{path}/metadata")
+    def write(self) -> _Writer:
+        """As other models, so a fitted Pipeline that holds this one can be saved."""
+        return _Writer(self)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> PairClassifierModel:
-        meta = spark.read.schema("model string, viterbi boolean").json(f"{path}/metadata").first()
-        rows = spark.read.parquet(f"{path}/theta").toPandas()
+    def read(cls) -> _Reader:
+        return _Reader()
+
+
+class _Writer(MLWriter):
+    """theta as Parquet (row, k, value); features and machine in the metadata."""
+
+    def __init__(self, model: PairClassifierModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"model": to_json(self.model.parameters)})
+        self.model.parameters.table(self.sparkSession).coalesce(1).write.parquet(f"{path}/theta")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> PairClassifierModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        rows = self.sparkSession.read.parquet(f"{path}/theta").toPandas()
         theta = np.zeros((rows["row"].max() + 1, rows["k"].max() + 1))
         theta[rows["row"], rows["k"]] = rows["value"]
-        return cls(from_json(meta["model"], theta), meta["viterbi"])
+        model = PairClassifierModel(from_json(meta["model"], theta))
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model

@@ -84,7 +84,7 @@ def score(pairs: DataFrame, model: Parameters, best: bool = False, keep: list[st
 def balanced(pairs: DataFrame, parts: int) -> DataFrame:
     """pairs dealt so that every part has some of each cost: cost grows with the product of the lengths, not with rows."""
     cost = F.floor(F.log2(F.greatest(F.length("s1") * F.length("s2"), F.lit(1))))
-    return pairs.repartition(parts, cost, F.pmod(F.xxhash64("pair_id"), F.lit(parts)))
+    return pairs.repartition(parts, cost, F.pmod(F.xxhash64("s1", "s2", *(c for c in ("pair_id",) if c in pairs.columns)), F.lit(4 * parts)))
 
 
 def feature_rows(pairs: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -123,37 +123,55 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
     machine, states = model.machine, model.machine.n_states
-    schema = "kind int, pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int, w double"
-
-    def run(batches):
-        for part in batches:
-            rows = []
-            for pair, s1, s2 in zip(*(part.column(c).to_pylist() for c in ("pair_id", "s1", "s2")), strict=True):
-                if not s1 or not s2:
-                    continue
-                batch = kernels.Batch.of([s1], [s2])
-                planes, blocks = kernels.features(batch, model.spec)
-                weights = kernels.potentials(planes, blocks, model.theta)
-                cells = None if machine.static else kernels.dense(planes, blocks, model.spec.size)
-                alpha = kernels.forward(batch, machine, weights, cells)[0]
-                beta = kernels.backward(batch, machine, weights, np.zeros(states), cells)[0]
-                w, nodes, own = weights[0], set(), edges(len(s1), len(s2), machine, None if cells is None else cells[0])
-                for i0, j0, a, i1, j1, b, e in own:
-                    nodes |= {(i0, j0, a), (i1, j1, b)}
-                    value = alpha[i0, j0, a] + w[i1, j1, e] if direction == "forward" else beta[i1, j1, b] + w[i1, j1, b]
-                    rows.append((1, pair, i0, j0, a, i1, j1, b, e, float(value)))
-                if not own and len(s1) == len(s2) == 1:
-                    nodes = {(0, 0, s) for s in machine.start_states}
-                table = alpha if direction == "forward" else beta
-                rows += [(0, pair, i, j, s, None, None, None, None, float(table[i, j, s])) for i, j, s in nodes]
-            names = [c.split()[0] for c in schema.split(", ")]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.float64() if n == "w" else pa.int64() if n == "pair_id" else pa.int32() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    both = pairs.select("pair_id", "s1", "s2").mapInArrow(run, schema)
-    nodes = both.where("kind = 0").select("pair_id", F.col("i0").alias("i"), F.col("j0").alias("j"), F.col("s0").alias("s"), "w")
-    return nodes, both.where("kind = 1").drop("kind")
+    node_schema, edge_schema = "pair_id long, i int, j int, s int, w double", "pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int, w double"
+
+    def tables(first: list, second: list):
+        """Of a sub-batch: nodes (pair, i, j, s, w) and edges (pair, i0, j0, s0, i1, j1, s1, e, w) as columns."""
+        batch = kernels.Batch.of(first, second)
+        planes, blocks = kernels.features(batch, model.spec)
+        weights = kernels.potentials(planes, blocks, model.theta)
+        cells = None if machine.static else kernels.dense(planes, blocks, model.spec.size)
+        ahead = direction == "forward"
+        held = kernels.forward(batch, machine, weights, cells) if ahead else kernels.backward(batch, machine, weights, np.zeros(states), cells)
+        if machine.static:
+            from_start, to_end = kernels.lattice_nodes(batch, machine)
+            p, i, j, s = np.nonzero(from_start & to_end)
+            nodes = (p, i, j, s, held[p, i, j, s])
+            parts = []
+            for t, (di, dj), p, i, j in kernels.lattice_edges(from_start, to_end, machine):
+                s0, s1, e = machine.transitions[t][0], machine.transitions[t][1], states + t
+                w = held[p, i, j, s0] + weights[p, i + di, j + dj, e] if ahead else held[p, i + di, j + dj, s1] + weights[p, i + di, j + dj, s1]
+                full = lambda v, n=len(p): np.full(n, v)
+                parts.append((p, i, j, full(s0), i + di, j + dj, full(s1), full(e), w))
+            return nodes, tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0) for _ in range(9))
+        nodes, out = set(), []
+        for p in range(len(batch)):
+            own = edges(len(first[p]), len(second[p]), machine, cells[p, : batch.n1[p], : batch.n2[p]])
+            for i0, j0, a, i1, j1, b, e in own:
+                nodes |= {(p, i0, j0, a), (p, i1, j1, b)}
+                out.append((p, i0, j0, a, i1, j1, b, e, held[p, i0, j0, a] + weights[p, i1, j1, e] if ahead else held[p, i1, j1, b] + weights[p, i1, j1, b]))
+            if not own and len(first[p]) == len(second[p]) == 1:
+                nodes |= {(p, 0, 0, s) for s in machine.start_states}
+        at = np.array(sorted(nodes), np.int64).reshape(-1, 4).T
+        columns = tuple(np.array(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0) for _ in range(9))
+        return (*at, held[tuple(at)]), columns
+
+    def rows(kind: int, schema: str):
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches):
+            for part in batches:
+                ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
+                keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
+                for own in kernels.sub_batches([first[r] for r in keep], [second[r] for r in keep], model.theta.shape[0]):
+                    own = keep[own]
+                    columns = tables([first[r] for r in own], [second[r] for r in own])[kind]
+                    pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:-1]), pa.array(columns[-1].astype(float))], names)
+
+        return pairs.select("pair_id", "s1", "s2").mapInArrow(run, schema)
+
+    return rows(0, node_schema), rows(1, edge_schema)
 
 
 def to_json(model: Parameters) -> str:
@@ -171,5 +189,3 @@ def from_json(text: str, theta: np.ndarray) -> Parameters:
     d = json.loads(text)
     m = d["machine"]
     return Parameters(FeatureSpec(**d["spec"]), StateMachine(tuple(m["start_states"]), tuple((a, b, tuple(x)) for a, b, x in m["transitions"]), tuple((s, c) for s, c in m["states_to_classes"])), theta)
-
-

@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignspark.operators import kernels, lbfgs
-from alignspark.operators.scoring import Parameters, zeros
+from alignspark.operators.scoring import Parameters, balanced, zeros
 from alignspark.spec import FeatureSpec, StateMachine
 
 log = logging.getLogger(__name__)
 
+#: Gradients that are added in one place.
+FAN = 64
 
-def log_likelihood(labelled: DataFrame, model: Parameters) -> tuple[float, np.ndarray]:
+
+def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = None) -> tuple[float, np.ndarray]:
     """Sum of log p(label) over labelled pairs (s1, s2, label) and its gradient.
 
-    Each partition gives one row; theta goes out in a broadcast.  Rows are added in the partitions' order, so the same
+    Each partition gives one row; theta goes out in a broadcast.  Unless labelled is known to have few parts, rows are
+    first added on executors, FAN at a time and then again.  Rows are added in the partitions' order, so the same
     partitioning gives the same bits.
     """
     spark = labelled.sparkSession
@@ -38,8 +42,18 @@ def log_likelihood(labelled: DataFrame, model: Parameters) -> tuple[float, np.nd
             total, gradient = total + value, gradient + own
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([gradient.ravel()], pa.list_(pa.float64()))], ["part", "value", "gradient"])
 
-    rows = labelled.select("s1", "s2", "label").mapInArrow(run, "part long, value double, gradient array<double>").toArrow().sort_by("part")
-    sent.unpersist()
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        total = np.sum([np.asarray(g) for g in group["gradient"].to_pylist()], 0)
+        return pa.table([group["part"].slice(0, 1), pa.array([float(np.sum(group["value"].to_numpy()))]), pa.array([total], pa.list_(pa.float64()))], names=["part", "value", "gradient"])
+
+    schema = "part long, value double, gradient array<double>"
+    rows = labelled.select("s1", "s2", "label").mapInArrow(run, schema)
+    if parts is None or parts > FAN:
+        for level in (FAN, FAN * FAN):
+            rows = rows.groupBy(F.floor(F.col("part") / level)).applyInArrow(add, schema)
+    rows = rows.toArrow().sort_by("part")
+    sent.destroy()
     value = float(np.sum(rows["value"].to_numpy())) if len(rows) else 0.0
     gradient = np.zeros(model.theta.size)
     for g in rows["gradient"].to_pylist():
@@ -58,18 +72,22 @@ def fit(labelled: DataFrame, spec: FeatureSpec, l2: float = 0.0, machine: StateM
     """Parameters that maximise the penalised likelihood of labelled pairs (s1, s2, label), and the objective's history.
 
     optimizer(objective, start, **optimizer_kwargs) gives the best point as its first result; without one, L-BFGS.
-    The pairs are cached for the iterations; classes are the labels, sorted.
+    The pairs are cached for the iterations, dealt by cost to the session's shuffle partitions, or to one for each core
+    if these are more; classes are the labels, sorted.
     """
-    labelled = labelled.select("s1", "s2", "label").persist()
+    spark = labelled.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    labelled = balanced(labelled.select("s1", "s2", "label"), parts).persist()
     try:
         if machine is None:
             classes = [r[0] for r in labelled.select("label").where("label IS NOT NULL").distinct().collect()]
             machine = StateMachine.default(classes)
+        machine = StateMachine.of(machine)
         start, history = zeros(spec, machine), []
 
         def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
             theta = np.asarray(flat, float).reshape(start.shape)
-            value, gradient = penalised(*log_likelihood(labelled, Parameters(spec, machine, theta)), theta, l2)
+            value, gradient = penalised(*log_likelihood(labelled, Parameters(spec, machine, theta), parts), theta, l2)
             history.append(value)
             if verbosity and len(history) % verbosity == 0:
                 log.info("evaluation %d: %.6f, gradient %.3g", len(history), value, np.abs(gradient).max())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -40,6 +40,9 @@ THETA = np.array([
 WORDS_ALL = [0.5227226, 0.52568993, 0.4547091, 0.51179222, 0.46347576, 0.45710098, 0.46159657, 0.42997978, 0.47419724, 0.50797852]
 WORDS_BEST = [0.56394611, 0.52977205, 0.4751729, 0.51183761, 0.48608081, 0.4986367, 0.46947222, 0.43233544, 0.47463002, 0.51265109]
 
+# Probabilities of a match for pairs.PHRASES, fitted with l2 of 1.
+PHRASES_MATCH = [0.94914812, 0.92397711, 0.86756034, 0.05438812, 0.02641275]
+
 #: The same with a weight on digits, so that this feature shows in results.
 NUMERIC = THETA + np.outer([0.02, -0.03, 0.05, 0.01, -0.02, 0.04, 0.03, -0.01], [0, 0, 1])
 MODEL = Parameters(SPEC, TWO, NUMERIC)
@@ -60,7 +63,8 @@ def _rounded(c, places: int = 4):
 
 
 def _probabilities(scored: DataFrame, n: int = 2) -> DataFrame:
-    return scored.where("probability IS NOT NULL").select("pair_id", *[_rounded(F.col("probability")[c]).alias(f"p{c}") for c in range(n)])
+    """Of all pairs; of those without a result they are null."""
+    return scored.select("pair_id", *[_rounded(F.col("probability")[c]).alias(f"p{c}") for c in range(n)])
 
 
 # Features
@@ -134,6 +138,7 @@ def _two_by_three(spark: SparkSession) -> DataFrame:
 
 
 _EDGES = "pair_id, i0, j0, s0, i1, j1, s1, e"
+# Two machines and, in their queries, the edges of their lattices for lengths 2 and 3.
 JUMP = StateMachine((0, 1), ((0, 0, (1, 1)), (0, 1, (0, 2)), (0, 0, (1, 0))), {0: 0, 1: 1})
 CALLS = StateMachine((0, 1), ((0, 0, (1, 1)), (0, 1, (0, 1)), (0, 0, (1, 0)), (0, 3, lambda i, j, x: (0, 2))), {0: 0, 1: 1, 3: 3})
 
@@ -185,8 +190,9 @@ def potentials_sparse(spark, sf_dir):
     return rows.join(F.broadcast(table), "k").groupBy("pair_id", "i", "j").agg(_rounded(F.sum(F.col("v") * F.col("value"))).alias("w"))
 
 
-_ALPHAS = " UNION ALL ".join(f"SELECT pair_id, {c} AS s, {oracle.alpha(NUMERIC, 2, c)} AS m, s1, s2 FROM p" for c in range(2))
-_NODES = f"WITH p AS ({oracle.PARTS}), a AS ({_ALPHAS}), r AS (SELECT pair_id, s, unnest(m) AS row, (generate_subscripts(m, 1) - 1)::INT AS i, s1, s2 FROM a), n AS (SELECT pair_id, s, i, unnest(row) AS w, (generate_subscripts(row, 1) - 1)::INT AS j, s1, s2 FROM r)"
+_NODES = f"WITH p AS ({oracle.PARTS}), {oracle.grid('n', 2, lambda c: oracle.alpha(NUMERIC, 2, c), 'p')}"
+#: Turned round, a pair's ways are walked from their end.
+_BACK = f"WITH p AS ({oracle.PARTS}), pr AS (SELECT pair_id, reverse(s1) AS s1, reverse(s2) AS s2 FROM p), {oracle.grid('n', 2, lambda c: oracle.beta(2, c, oracle.rows_of(NUMERIC)), 'pr', True)}"
 
 
 @query("forward_nodes", f"{_NODES} SELECT pair_id, i, j, s, {oracle.rounded('w')} AS w FROM n")
@@ -194,28 +200,30 @@ def forward_nodes(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "forward")[0].withColumn("w", _rounded("w"))
 
 
-def _edge_sql(nodes: str, add) -> str:
-    """Rows of all edges between n's nodes; add(c, e, i1, j1): what the weight of the edge adds to that of its end in n."""
+def _edge_sql(nodes: str, ahead: bool) -> str:
+    """Rows of all edges between n's nodes: ahead, a node's weight and the edge's; back, that of the edge's end and its node's own."""
     parts = []
     for m, (di, dj) in enumerate(((1, 1), (0, 1), (1, 0))):
         for c in range(2):
             e = c + 2 + 2 * m
-            parts.append(f"SELECT pair_id, i AS i0, j AS j0, {c} AS s0, i + {di} AS i1, j + {dj} AS j1, {c} AS s1, {e} AS e, {oracle.rounded('w + ' + add(c, e, f'i + {di} + 1', f'j + {dj} + 1'))} AS w FROM n WHERE s = {c} AND i + {di} < length(s1) AND j + {dj} < length(s2)")
+            begin, end = (("i", "j"), (f"i + {di}", f"j + {dj}")) if ahead else ((f"i - {di}", f"j - {dj}"), ("i", "j"))
+            w = f"w + {oracle.weight(NUMERIC[e if ahead else c], f'{end[0]} + 1', f'{end[1]} + 1')}"
+            inside = f"i + {di} < length(s1) AND j + {dj} < length(s2)" if ahead else f"i >= {di} AND j >= {dj}"
+            parts.append(f"SELECT pair_id, {begin[0]} AS i0, {begin[1]} AS j0, {c} AS s0, {end[0]} AS i1, {end[1]} AS j1, {c} AS s1, {e} AS e, {oracle.rounded(w)} AS w FROM n JOIN p USING (pair_id) WHERE s = {c} AND {inside}")
     return f"{nodes} {' UNION ALL '.join(parts)}"
 
 
-@query("forward_edges", _edge_sql(_NODES, lambda c, e, i, j: oracle.weight(NUMERIC[e], i, j)))
+@query("forward_edges", _edge_sql(_NODES, True))
 def forward_edges(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "forward")[1].withColumn("w", _rounded("w"))
 
 
-#: Turned round, a pair's ways are walked from their end: what came out of a cell goes into it.
-@query("backward_nodes")
+@query("backward_nodes", f"{_BACK} SELECT pair_id, i, j, s, {oracle.rounded('w')} AS w FROM n")
 def backward_nodes(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "backward")[0].withColumn("w", _rounded("w"))
 
 
-@query("backward_edges")
+@query("backward_edges", _edge_sql(_BACK, False))
 def backward_edges(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "backward")[1].withColumn("w", _rounded("w"))
 
@@ -295,29 +303,74 @@ def predict_three_class(spark, sf_dir):
     return _probabilities(score(pairs.parts(spark, sf_dir), Parameters(SPEC, StateMachine.default("abc"), THREE_THETA)), 3)
 
 
-@query("predict_long_strings")
+def _diagonals(source: str, theta: np.ndarray) -> str:
+    """Probabilities of whole texts: a recursion over diagonals that holds two of them; w is the diagonal's, v the one before."""
+    node, mat, ins, dele = (" CASE c WHEN 0 THEN {0} ELSE {1} END".format(*(oracle.weight(theta[c + 2 * m], "i + 1", "d - i + 1") for c in range(2))) for m in range(4))
+    x, y, z = "lag(v) OVER up", "w", "lag(w) OVER up"
+    return f"""WITH RECURSIVE p AS ({source}), q AS (SELECT pair_id, s1, s2, length(s1) AS n1, length(s2) AS n2 FROM p),
+f(pair_id, c, i, d, v, w) USING KEY (pair_id, c, i) AS (
+  SELECT pair_id, c, i, 0, '-infinity'::DOUBLE, CASE WHEN i = 0 THEN ({node.replace("(d - i + 1)", "(1)").replace("(i + 1)", "(1)")}) ELSE '-infinity'::DOUBLE END
+  FROM (SELECT *, unnest(range(n1))::INT AS i FROM q) t, (VALUES (0), (1)) k(c)
+  UNION
+  SELECT pair_id, c, i, d, w, CASE WHEN d - i < 0 OR d - i >= n2 THEN '-infinity'::DOUBLE ELSE {node} + most + ln(exp(x - most) + exp(y - most) + exp(z - most)) END
+  FROM (SELECT *, greatest(x, y, z, -1e300) AS most FROM (
+    SELECT pair_id, c, i, d, w, s1, s2, n1, n2, coalesce(x, '-infinity') + {mat} AS x, y + {ins} AS y, coalesce(z, '-infinity') + {dele} AS z FROM (
+      SELECT f.pair_id, c, i, d + 1 AS d, w, s1, s2, n1, n2, {x} AS x, {y} AS y, {z} AS z FROM f JOIN q USING (pair_id) WHERE d < n1 + n2 - 2
+      WINDOW up AS (PARTITION BY f.pair_id, c ORDER BY i)) t) t) t),
+z AS (SELECT pair_id, max(w) FILTER (c = 0) AS z0, max(w) FILTER (c = 1) AS z1 FROM f JOIN q USING (pair_id) WHERE i = n1 - 1 AND d = n1 + n2 - 2 GROUP BY pair_id)
+SELECT pair_id, {oracle.rounded(oracle.share(2, 0))} AS p0, {oracle.rounded(oracle.share(2, 1))} AS p1 FROM z"""
+
+
+_LONG_TEXTS = "SELECT a.item_id AS pair_id, a.text AS s1, b.text AS s2 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+
+
+@query("predict_long_strings", _diagonals(_LONG_TEXTS, NUMERIC))
 def predict_long_strings(spark, sf_dir):
-    """Whole texts: folds over lists are too slow for their lattices, so tests hold it against a plain recurrence."""
+    """Whole texts."""
     return _probabilities(score(pairs.long_texts(spark, sf_dir), MODEL))
 
 
 GENERAL_THETA = np.random.default_rng(4).normal(0, 0.1, (GENERAL.n_states + GENERAL.n_transitions, 3)).round(3)
+_GENERAL = lambda r, i, j: "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(GENERAL_THETA[n], i, j)}" for n in range(len(GENERAL_THETA))) + " END"
 
 
-@query("predict_general_machine")
+@query("predict_general_machine", f"""WITH RECURSIVE {_WORDS}, {_MOVES},
+f(pair_id, i, j, s, w) AS (SELECT pair_id, 0, 0, s, exp({_GENERAL('s', '1', '1')}) FROM p, (VALUES (0), (2)) v(s)
+  UNION ALL SELECT f.pair_id, i + di, j + dj, b, sum(w * exp({_GENERAL('t + 4', 'i + di + 1', 'j + dj + 1')} + {_GENERAL('b', 'i + di + 1', 'j + dj + 1')})) FROM f JOIN m ON a = s JOIN p ON p.pair_id = f.pair_id WHERE i + di < length(s1) AND j + dj < length(s2) GROUP BY f.pair_id, i + di, j + dj, b),
+z AS (SELECT f.pair_id, sum(w) FILTER (s < 2) AS w0, sum(w) FILTER (s >= 2) AS w1 FROM f JOIN p ON p.pair_id = f.pair_id WHERE i = length(s1) - 1 AND j = length(s2) - 1 GROUP BY f.pair_id),
+y AS (SELECT pair_id, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1 FROM z)
+SELECT p.pair_id, round(w0 / (w0 + w1), 4) + 0.0 AS p0, round(w1 / (w0 + w1), 4) + 0.0 AS p1 FROM p LEFT JOIN y USING (pair_id)""")
 def predict_general_machine(spark, sf_dir):
     return _probabilities(score(pairs.words(spark), Parameters(SPEC, GENERAL, GENERAL_THETA)))
 
 
+def _by_transition(spec: FeatureSpec, rows: int) -> np.ndarray:
+    """Parameters of bias and transition features by oracle.by_transition's rule."""
+    theta = np.empty((rows, spec.size))
+    theta[:, 0] = 0.3
+    theta[:, 1:] = ((np.arange(spec.size - 1) * (np.arange(rows)[:, None] + 1)) % 7 - 3) / 20.0
+    return theta
+
+
+TRANSITIONS = FeatureSpec(transition=True)
+TRANSITION_MODEL = Parameters(TRANSITIONS, TWO, _by_transition(TRANSITIONS, 8))
+
+
+@query("predict_transition", oracle.probabilities(oracle.PARTS, None, 2, at=oracle.by_transition))
+def predict_transition(spark, sf_dir):
+    """Probabilities by the pairs of characters that alignments meet."""
+    return _probabilities(score(pairs.parts(spark, sf_dir), TRANSITION_MODEL))
+
+
 @query("sql_udf_score", oracle.probabilities(oracle.PARTS, NUMERIC, 2))
 def sql_udf_score(spark, sf_dir):
     sql.register(spark, MODEL, "pair_proba")
     return _probabilities(pairs.parts(spark, sf_dir).withColumn("probability", F.expr("pair_proba(s1, s2)")))
 
 
-@query("predict_edge_cases", oracle.probabilities(oracle.values([(i, a, b) for i, a, b in pairs.EDGE if a and b and b != "2"], "pair_id, s1, s2"), NUMERIC, 2))
+@query("predict_edge_cases", oracle.probabilities(oracle.values(pairs.EDGE, "pair_id, s1, s2"), NUMERIC, 2))
 def predict_edge_cases(spark, sf_dir):
-    return _probabilities(score(pairs.edge_cases(spark).where("pair_id <> 8"), MODEL))
+    return _probabilities(score(pairs.edge_cases(spark), MODEL))
 
 
 # Training
@@ -343,20 +396,25 @@ def l2_objective(spark, sf_dir):
     return spark.createDataFrame([(round(value, 3) + 0.0,)], "objective double")
 
 
-@query("gradient_check", "SELECT r::INT AS row, k::INT AS k, true AS good FROM range(8) a(r), range(3) b(k)")
+_LABELLED = oracle.values([(i, a, b, str(y)) for i, (a, b, y) in enumerate(pairs.WORDS)], "pair_id, s1, s2, label")
+
+
+def _gradient_rows(spark: SparkSession, model: Parameters) -> DataFrame:
+    _, gradient = training.log_likelihood(pairs.words(spark), model)
+    rows = [(r, k, float(v)) for (r, k), v in np.ndenumerate(gradient.round(4) + 0.0) if v]
+    return spark.createDataFrame(rows, "row int, k int, value double")
+
+
+@query("gradient_check", oracle.gradient(_LABELLED, 2, oracle.rows_of(NUMERIC), [("0", "1.0"), ("1", "(substr(s1, i + 1, 1) = substr(s2, j + 1, 1))::INT"), ("2", "(regexp_matches(substr(s1, i + 1, 1), '^[0-9]$') AND regexp_matches(substr(s2, j + 1, 1), '^[0-9]$'))::INT")]))
 def gradient_check(spark, sf_dir):
-    """The gradient of the words' likelihood against differences of it."""
-    rows = [(a, b, str(y)) for a, b, y in pairs.WORDS]
-    first, second, labels = zip(*rows, strict=True)
-    _, gradient = training.log_likelihood(pairs.words(spark), MODEL)
-    out = []
-    for (r, k), g in np.ndenumerate(gradient):
-        up, down = NUMERIC.copy(), NUMERIC.copy()
-        up[r, k] += 1e-5
-        down[r, k] -= 1e-5
-        slope = (kernels.loss_gradient(first, second, labels, SPEC, TWO, up)[0] - kernels.loss_gradient(first, second, labels, SPEC, TWO, down)[0]) / 2e-5
-        out.append((r, k, bool(abs(slope - g) < 1e-4)))
-    return spark.createDataFrame(out, "row int, k int, good boolean")
+    """The gradient of the words' likelihood; the SQL has it from posteriors of its own."""
+    return _gradient_rows(spark, MODEL)
+
+
+@query("gradient_sparse", oracle.gradient(_LABELLED, 2, oracle.by_transition, [("0", "1.0"), (f"1 + {oracle.transition('i + 1', 'j + 1')}", "1.0")]))
+def gradient_sparse(spark, sf_dir):
+    """The same with transition features, whose parameters are a row for each pair of characters."""
+    return _gradient_rows(spark, TRANSITION_MODEL)
 
 
 def _fitted(spark: SparkSession, best: bool = False) -> DataFrame:
@@ -370,6 +428,27 @@ def train_golden(spark, sf_dir):
     return _fitted(spark).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 1.5e-3).alias("near"), "prediction")
 
 
+@query("train_golden_best", oracle.values([(i, True, "0" if p > 0.5 else "1") for i, p in enumerate(WORDS_BEST)], "pair_id, near, prediction"))
+def train_golden_best(spark, sf_dir):
+    """Fitted by all alignments, scored by the best."""
+    golden = F.element_at(F.array(*map(F.lit, WORDS_BEST)), (F.col("pair_id") + 1).cast("int"))
+    return _fitted(spark, True).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 1.5e-3).alias("near"), "prediction")
+
+
+@query("train_golden_free", oracle.values([(i, str(y)) for i, (_, _, y) in enumerate(pairs.WORDS)], "pair_id, prediction"))
+def train_golden_free(spark, sf_dir):
+    """Without a penalty every label is learned."""
+    return PairClassifier(spec=SPEC).fit(pairs.words(spark)).transform(pairs.words(spark)).select("pair_id", "prediction")
+
+
+@query("train_phrases", oracle.values([(i, True, label) for i, (*_, label) in enumerate(pairs.PHRASES)], "pair_id, near, prediction"))
+def train_phrases(spark, sf_dir):
+    """Labels that are words, probabilities near the fixed ones (the penalty spares one number, which depends on the classes' order)."""
+    source = pairs.phrases(spark)
+    golden = F.element_at(F.array(*map(F.lit, PHRASES_MATCH)), (F.col("pair_id") + 1).cast("int"))
+    return PairClassifier(spec=SPEC, l2=1.0).fit(source).transform(source).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 3e-3).alias("near"), "prediction")
+
+
 @query("pinned_golden", oracle.values([(i, True, True) for i in range(10)], "pair_id, near_all, near_best"))
 def pinned_golden(spark, sf_dir):
     """The fixed parameters give the fixed probabilities, by all alignments and by the best one."""
@@ -404,7 +483,7 @@ def custom_optimizer(spark, sf_dir):
 @query("model_round_trip", oracle.probabilities(oracle.PARTS, NUMERIC, 2))
 def model_round_trip(spark, sf_dir):
     """Saved, loaded and applied as a pyspark.ml model."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    at = f"{base}/model-{np.random.default_rng().integers(1 << 62)}"
-    PairClassifierModel(MODEL).save(spark, at)
-    return _probabilities(PairClassifierModel.load(spark, at).transform(pairs.parts(spark, sf_dir)))
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    at = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
+    PairClassifierModel(MODEL).write().overwrite().save(at)
+    return _probabilities(PairClassifierModel.load(at).transform(pairs.parts(spark, sf_dir)))

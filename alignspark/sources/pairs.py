@@ -44,18 +44,19 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("pair_id", F.split("s1", " ").alias("s1"), F.split("s2", " ").alias("s2"))
 
 
-def candidates(rows: DataFrame, block: str, most: int = 100) -> DataFrame:
-    """Candidate pairs of rows (id, s): each with its next rows of the same block, by s and id.
+def candidates(rows: DataFrame, block: str, tile: int = 2000) -> DataFrame:
+    """Candidate pairs (id, id2, s1, s2, id < id2) of rows (id, s) of the same block; a null block has no pairs.
 
-    A block's rows are never all paired: partners lie at most `most` places further in the block's order.
+    All pairs of a block are candidates, so blocks should be narrow; a large one is shared by many tasks, as pairs of
+    tiles of about `tile` rows.  Rows of equal id are no candidates of each other.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(block).orderBy("s", "id")
-    ranked = rows.withColumn("r", F.row_number().over(order))
-    near = ranked.withColumn("r", F.explode(F.sequence(F.col("r") + 1, F.col("r") + most)))
-    other = ranked.select(block, "r", F.col("id").alias("id2"), F.col("s").alias("s2"))
-    return near.join(other, [block, "r"]).select("id", "id2", F.col("s").alias("s1"), "s2")
+    sizes = rows.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / tile).alias("_tiles")).where("_tiles > 1")
+    held = rows.select(block, "id", "s").join(sizes, block, "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    held = held.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_tiles"))).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+    held = held.select(block, "id", "s", "_own", F.least("_own", "_with").alias("_low"), F.greatest("_own", "_with").alias("_high"))
+    other = held.select(block, "_low", "_high", F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("_own").alias("_own2"))
+    both = held.join(other, [block, "_low", "_high"]).where("id < id2 AND (_own <> _own2 OR _low = _high)")
+    return both.select("id", "id2", F.col("s").alias("s1"), "s2")
 
 
 #: Pairs at the edges of what features and lattices know.
@@ -70,6 +71,14 @@ def edge_cases(spark: SparkSession) -> DataFrame:
 WORDS = [("helloooo", "hello", 0), ("freshh", "fresh", 0), ("ffb", "facebook", 0), ("h0me", "home", 0), ("wonderin", "wondering", 0), ("relaionship", "relationship", 1), ("hubby", "husband", 1), ("krazii", "crazy", 1), ("mite", "might", 1), ("tropic", "topic", 1)]
 
 
+# Five pairs of phrases with labels.
+PHRASES = [("helloooo", "hello", "match"), ("h0me", "home", "match"), ("krazii", "crazy", "match"), ("non matching string example", "no really", "non-match"), ("and another one", "yep", "non-match")]
+
+
+def phrases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PHRASES)], "pair_id long, s1 string, s2 string, label string").coalesce(1)
+
+
 def words(spark: SparkSession) -> DataFrame:
     rows = [(i, a, b, str(y)) for i, (a, b, y) in enumerate(WORDS)]
     return spark.createDataFrame(rows, "pair_id long, s1 string, s2 string, label string").coalesce(1)

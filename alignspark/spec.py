@@ -103,6 +103,11 @@ class StateMachine:
     def static(self) -> bool:
         return not any(callable(d) for _, _, d in self.transitions)
 
+    @classmethod
+    def of(cls, machine: object) -> StateMachine:
+        """A caller's own object with start_states, transitions and states_to_classes as a machine."""
+        return machine if isinstance(machine, cls) else cls(machine.start_states, machine.transitions, machine.states_to_classes)
+
     @classmethod
     def default(cls, classes: Iterable) -> StateMachine:
         """One state a class, each with the moves match, insertion (advances s2) and deletion (advances s1)."""

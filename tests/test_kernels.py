@@ -28,6 +28,8 @@ def lattice_weights(x, theta, machine):
     return batch, weights, cells
 
 
+# The inputs, machines and parameters of the tests from here to test_features, and the weights, edges and
+# places of features that follow from them.
 CONNECTED = [[[0, 1], [2, 1]], [[0, 1], [1, 0]]]
 
 
@@ -182,6 +184,26 @@ def test_batches_and_padding_change_nothing(monkeypatch):
     assert np.allclose(together, kernels.class_log_weights(second, first, spec, machine, turned))
 
 
+@pytest.mark.parametrize("best", [False, True])
+@pytest.mark.parametrize("machine", [StateMachine.default("abc"), GENERAL])
+def test_a_few_diagonals_give_what_whole_lattices_give(machine, best):
+    spec = FeatureSpec(start=True, end=True, match=True, numeric=True, transition=True)
+    theta = np.random.default_rng(8).normal(0, 0.2, (machine.n_states + machine.n_transitions, spec.size))
+    batch = kernels.Batch.of(["a", "ab1", "x" * 40, "ba{7"], ["b9", "b", "xy" * 9, "7{"])
+    whole = kernels.forward(batch, machine, kernels.potentials(*kernels.features(batch, spec), theta), best=best)
+    assert np.allclose(kernels.last_weights(batch, spec, machine, theta, best), whole[np.arange(4), batch.n1 - 1, batch.n2 - 1])
+
+
+def test_edges_of_many_pairs_at_once():
+    for machine in (StateMachine.default("ab"), GENERAL):
+        batch = kernels.Batch.of(["a", "abc", "abcde", "ab"], ["b", "ab", "abcd", "abcdefgh"])
+        found = [[] for _ in range(4)]
+        for t, (di, dj), p, i, j in kernels.lattice_edges(*kernels.lattice_nodes(batch, machine), machine):
+            for n, x, y in zip(p.tolist(), i.tolist(), j.tolist(), strict=True):
+                found[n].append((x, y, machine.transitions[t][0], x + di, y + dj, machine.transitions[t][1], machine.n_states + t))
+        assert [sorted(f) for f in found] == [edges(len(a), len(b), machine) for a, b in zip(batch.first, batch.second, strict=True)]
+
+
 def test_long_strings_against_a_plain_recurrence():
     rng = np.random.default_rng(6)
     spec, machine = FeatureSpec(match=True), StateMachine.default("01")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alignspark.functions import hof
+from alignspark.operators import training
 from alignspark.operators.ml import PairClassifier
 from alignspark.operators.scoring import Parameters, balanced, score
 from alignspark.plans import queries
@@ -92,6 +93,35 @@ def test_labels_and_probabilities_have_one_order(spark):
     assert np.allclose([r["probability"][0] for r in out], [0.94914812, 0.92397711, 0.86756034, 0.05438812, 0.02641275], atol=3e-3)  # the penalty spares one number, which depends on the classes' order
 
 
+def test_saved_in_a_pipeline(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    source = pairs.words(spark)
+    model = Pipeline(stages=[PairClassifier(spec=queries.SPEC, l2=10.0, iterations=5, viterbi=True)]).fit(source)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    back = PipelineModel.load(str(tmp_path / "model"))
+    again = back.transform(model.transform(source))  # columns of the same names are replaced
+    assert again.columns.count("probability") == again.columns.count("prediction") == 1
+    assert back.stages[0].uid == model.stages[0].uid and back.stages[0].getOrDefault("viterbi")
+    assert [r["probability"] for r in again.orderBy("pair_id").collect()] == [r["probability"] for r in model.transform(source).orderBy("pair_id").collect()]
+
+
+def test_a_caller_s_own_machine(spark):
+    class Own:
+        start_states, transitions, states_to_classes = queries.TWO.start_states, queries.TWO.transitions, dict(queries.TWO.states_to_classes)
+
+    parameters, history = training.fit(pairs.words(spark), queries.SPEC, l2=10.0, machine=Own(), iterations=3)
+    assert parameters.machine == queries.TWO and history[-1] > history[0]
+
+
+def test_gradients_are_added_in_groups(spark, monkeypatch):
+    source = pairs.words(spark)
+    one = training.log_likelihood(source, queries.MODEL, 1)
+    monkeypatch.setattr(training, "FAN", 2)
+    many = training.log_likelihood(source.repartition(7), queries.MODEL)
+    assert one[0] == pytest.approx(many[0]) and np.allclose(one[1], many[1])
+
+
 def test_streams(spark, tmp_path):
     source = pairs.words(spark)
     source.write.parquet(str(tmp_path / "in"))
@@ -105,10 +135,10 @@ def test_streams(spark, tmp_path):
 
 
 def test_candidates(spark):
-    source = spark.createDataFrame([(i, f"name{i % 7}", i % 2) for i in range(40)], "id long, s string, block int")
-    got = pairs.candidates(source, "block", most=3)
-    assert got.count() == 2 * (20 * 3 - 6)
-    assert not got.where("id = id2").count()
+    source = spark.createDataFrame([(i, f"name{i % 7}", i % 2 if i < 40 else None) for i in range(45)], "id long, s string, block int")
+    for tile in (2000, 3):
+        got = [(r["id"], r["id2"]) for r in pairs.candidates(source, "block", tile).collect()]
+        assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2]
 
 
 def test_shape_of_theta():
