@@ -39,11 +39,12 @@ from alignspark.llm.vectors import all_vectors, matrix, unit
 log = logging.getLogger(__name__)
 
 #: Nodes of a shard, centroids of a division, candidates that pruning sees, degree, far neighbours, beam, the pruning's factor.
-SHARD, FANOUT, CANDIDATES, DEGREE, FAR, BEAM, ALPHA = 2000, 48, 48, 16, 6, 24, 1.2
+SHARD, FANOUT, CANDIDATES, DEGREE, FAR, BEAM, ALPHA = 2000, 64, 48, 16, 6, 24, 1.2
 #: Centroids are at least this far from each other (cosine at most); most rows of a table of centroids that is broadcast.
 APART, CENTROID_ROWS = 0.8, 2_000
-#: Reach across borders in standard deviations; a division must leave at most this share of the pairs.
-REACH, WORTH = 2.5, 0.7
+#: Reach across borders in standard deviations (a link is lost where both its ends are further behind the border than that);
+#: a division must leave at most this share of the pairs.
+REACH, WORTH = 1.25, 0.7
 #: Nodes that are audited, share of their links that must have been found.
 AUDITED, TARGET = 256, 0.99
 
@@ -56,7 +57,7 @@ def _centroids(nodes: DataFrame, large: DataFrame) -> DataFrame:
         group = group.sort_by("node")
         dim, n = group["dim"][0].as_py(), group["n"][0].as_py()
         x = unit(matrix(group["vec"], dim))
-        wanted, chosen = min(FANOUT, max(2, -(-2 * n // SHARD))), [0]
+        wanted, chosen = min(FANOUT, max(2, -(-8 * n // SHARD))), [0]
         near = x @ x[0]
         while len(chosen) < wanted:
             i = int(np.argmin(near))
@@ -130,37 +131,42 @@ def deal(nodes: DataFrame, least: float, deviations: float = REACH) -> DataFrame
     return out
 
 
-def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Of candidates (nearest first), those that no kept one is nearer to by the factor alpha."""
-    left, kept = candidates, []
-    vectors = x[candidates]
-    away = 1 - vectors @ own
-    while len(left) and len(kept) < degree:
-        kept.append(int(left[0]))
-        stay = alpha * (1 - vectors @ vectors[0]) > away
-        stay[0] = False
-        left, vectors, away = left[stay], vectors[stay], away[stay]
+def robust_prune(pairs: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Of each row's candidates (nearest first, -2 where none), those that no kept one is nearer to by the factor alpha.
+
+    sims: cosines of candidates to their row's node; pairs: of candidates to each other.
+    """
+    rows, left, kept = np.arange(len(sims)), sims > -2, np.zeros(sims.shape, bool)
+    for _ in range(degree):
+        first = left.argmax(1)
+        kept[rows, first] |= left[rows, first]
+        left[rows, first] = False
+        left &= alpha * (1 - pairs[rows, first]) > 1 - sims
+        if not left.any():
+            break
     return kept
 
 
-def build(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
-    """Adjacency of a shard's unit vectors: pruned nearest neighbours, far ones, both directions."""
+def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency of a shard's unit vectors, as starts and neighbours: pruned nearest neighbours, far ones, both directions."""
     n = len(x)
-    random = np.random.default_rng(seed)
-    edges: list[set[int]] = [set() for _ in range(n)]
     most = min(CANDIDATES, n - 1)
-    for i in range(0, n, 512):
-        sims = x[i : i + 512] @ x.T
+    far = np.random.default_rng(seed).integers(0, n, (n, FAR))
+    one, two = [np.repeat(np.arange(n), FAR)], [far.ravel()]
+    for i in range(0, n if most else 0, 256):
+        sims = x[i : i + 256] @ x.T
         sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -2
-        near = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most else np.zeros((len(sims), 0), int)
+        near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1), 1)
-        for r in range(len(sims)):
-            a = i + r
-            for b in robust_prune(x, x[a], near[r]) + random.integers(0, n, FAR).tolist():
-                if a != b:
-                    edges[a].add(b)
-                    edges[b].add(a)
-    return [np.fromiter(e, np.int64, len(e)) for e in edges]
+        own = x[near]
+        row, place = np.nonzero(robust_prune(own @ own.transpose(0, 2, 1), np.take_along_axis(sims, near, 1)))
+        one.append(i + row)
+        two.append(near[row, place])
+    a, b = np.concatenate(one), np.concatenate(two)
+    code = np.unique(np.r_[a * n + b, b * n + a])
+    a, b = code // n, code % n
+    a, b = a[a != b], b[a != b]
+    return np.searchsorted(a, np.arange(n + 1)), b
 
 
 def graph(index: DataFrame) -> DataFrame:
@@ -169,36 +175,55 @@ def graph(index: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
         node = group["node"].to_numpy()
-        near = build(unit(matrix(group["vec"], group["dim"][0].as_py())))
-        return pa.table({"node": group["node"], "near": pa.array([node[e] for e in near], pa.list_(pa.int64()))})
+        starts, near = build(unit(matrix(group["vec"], group["dim"][0].as_py())))
+        return pa.table({"node": group["node"], "near": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(node[near], pa.int64()))})
 
     lists = index.groupBy("shard", "block").applyInArrow(run, "node long, near array<long>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def range_search(x: np.ndarray, adjacency: list[np.ndarray], q: np.ndarray, starts: list[int], least: float, slack: float = 0.05, most: int = BEAM) -> list[int]:
-    """Nodes with cosine of at least least to q: greedy from starts with a beam, then everything next to what is in range."""
-    seen = dict(zip(starts, (x[starts] @ q).tolist(), strict=True))
-    expanded: set[int] = set()
-    while True:
-        beam = sorted(seen, key=seen.__getitem__, reverse=True)[:most]
-        todo = [i for i in beam if i not in expanded]
-        if not todo or len(beam) == most and seen[beam[0]] >= least:
+def range_search(x: np.ndarray, starts: np.ndarray, near: np.ndarray, asks: np.ndarray, seeds: np.ndarray, least: float, slack: float = 0.05, most: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Ask and node of pairs with a cosine of at least least: greedy from each ask's seeds with a beam, then everything next to what is in range.
+
+    starts, near: adjacency of x; asks: unit vectors; seeds: nodes for each ask.  All asks advance together; a cosine is only
+    worked out for nodes that an ask's search comes to.
+    """
+    m, n = len(asks), len(x)
+    sims, expanded = np.full((m, n), -2, np.float32), np.zeros((m, n), bool)
+
+    def meet(ask: np.ndarray, node: np.ndarray) -> None:
+        code = np.unique((ask * n + node)[sims[ask, node] == -2])
+        for i in range(0, len(code), 65536):
+            a, b = code[i : i + 65536] // n, code[i : i + 65536] % n
+            sims[a, b] = np.einsum("ij,ij->i", asks[a], x[b])
+
+    def expand(ask: np.ndarray, node: np.ndarray) -> None:
+        sizes = starts[node + 1] - starts[node]
+        at = np.repeat(starts[node] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        meet(np.repeat(ask, sizes), near[at])
+
+    meet(np.repeat(np.arange(m), seeds.shape[1]), seeds.ravel())
+    active, beam = np.arange(m), min(most, n)
+    while len(active):
+        top = np.argpartition(-sims[active], beam - 1, axis=1)[:, :beam]
+        own = sims[active[:, None], top]
+        todo = np.where(expanded[active[:, None], top], -2, own)
+        ended = (todo == -2).all(1) | (own > -2).all(1) & (own.max(1) >= least) & (beam == most)
+        active, top, todo = active[~ended], top[~ended], todo[~ended]
+        best = np.argsort(-todo, axis=1)[:, :4]
+        row, place = np.nonzero(np.take_along_axis(todo, best, 1) > -2)
+        ask, node = active[row], top[row, best[row, place]]
+        expanded[ask, node] = True
+        expand(ask, node)
+    expanded[:] = False
+    while True:  # the range grows as long as its border does
+        ask, node = np.nonzero((sims >= least - slack) & ~expanded)
+        if not len(ask):
             break
-        todo = todo[:4]
-        expanded.update(todo)
-        new = [int(i) for i in np.unique(np.concatenate([adjacency[i] for i in todo])) if i not in seen]
-        if new:
-            seen.update(zip(new, (x[new] @ q).tolist(), strict=True))
-    inside = [i for i, s in seen.items() if s >= least - slack]
-    expanded = set()
-    while inside:  # the range grows as long as its border does
-        expanded.update(inside)
-        new = [int(i) for i in np.unique(np.concatenate([adjacency[i] for i in inside])) if i not in seen]
-        if new:
-            seen.update(zip(new, (x[new] @ q).tolist(), strict=True))
-        inside = [i for i in new if seen[i] >= least - slack]
-    return [i for i, s in seen.items() if s >= least - 1e-5]
+        expanded[ask, node] = True
+        for i in range(0, len(ask), 4096):
+            expand(ask[i : i + 4096], node[i : i + 4096])
+    return np.nonzero(sims >= least - 1e-5)
 
 
 def medoids(x: np.ndarray, most: int = 8) -> list[int]:
@@ -253,18 +278,28 @@ def links(index: DataFrame, near: DataFrame, least: float, weights: DataFrame, w
             if not len(asks) or not len(there):
                 continue
             own, part = node[there], x[there]
-            adjacency = []
-            for i in there.tolist():
-                e = lists[i].values.to_numpy()
-                at = np.minimum(np.searchsorted(own, e), len(own) - 1)
-                adjacency.append(at[own[at] == e])
-            starts = medoids(part)
-            for a in asks.tolist():
-                found = range_search(part, adjacency, x[a], starts, least, 0.05 * wide, BEAM * wide)
-                if asking == asked and (self := int(np.searchsorted(own, node[a]))) not in found:
-                    found = list({*found, *range_search(part, adjacency, x[a], [self], least, 0.05 * wide, BEAM * wide)})
-                found = there[np.array(found, np.int64)]
-                linked[a, found[(exact[found] @ exact[a] >= least) & (found != a)]] = True
+            e = lists.take(pa.array(there))
+            sizes = e.value_lengths().to_numpy(zero_copy_only=False)
+            e = e.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(own, e), len(own) - 1)
+            good = own[at] == e  # neighbours in other shards and blocks aren't here
+            starts, adjacent = np.r_[0, np.cumsum(good)[np.cumsum(sizes) - 1] if len(e) else np.zeros(len(own), int)], at[good]
+            seeds = np.array(medoids(part))
+            for i in range(0, len(asks), 256):
+                some = asks[i : i + 256]
+                a, b = range_search(part, starts, adjacent, x[some], np.broadcast_to(seeds, (len(some), len(seeds))), least, 0.05 * wide, BEAM * wide)
+                if asking == asked:  # what missed its own node is searched again from there
+                    itself = np.searchsorted(own, node[some])
+                    found = np.zeros(len(some), bool)
+                    found[a[b == itself[a]]] = True
+                    lost = np.flatnonzero(~found)
+                    if len(lost):
+                        more, others = range_search(part, starts, adjacent, x[some[lost]], itself[lost, None], least, 0.05 * wide, BEAM * wide)
+                        a, b = np.r_[a, lost[more]], np.r_[b, others]
+                for k in range(0, len(a), 65536):
+                    one, two = some[a[k : k + 65536]], there[b[k : k + 65536]]
+                    good = (np.einsum("ij,ij->i", exact[one], exact[two]) >= least) & (one != two)
+                    linked[one[good], two[good]] = True
         linked |= linked.T
         between = np.triu(linked)
         between[np.ix_(home, home)] = False
