@@ -32,8 +32,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, table
 
-#: Most frequent shingles that are broadcast (their number is counted first); words and shingles that a task holds at once.
-FREQUENT, WORDS, HELD = 300_000, 100_000, 1_500_000
+#: Most frequent shingles, and keys of lists with several sets, that are broadcast (eight bytes each; their number is counted first).
+FREQUENT, LISTS = 300_000, 1_000_000
+#: Words and shingles that a task holds at once.
+WORDS, HELD = 100_000, 1_500_000
 #: Sets of a list's block: longer lists are compared in pairs of blocks.
 LIST_BLOCK = 1024
 #: A shingle is frequent from so many sets on, and counts in a task from so many on.
@@ -300,7 +302,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
     several = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"))
-    entries = stored(keys.join(small_enough(several), "key", "left_semi"), "entries")
+    entries = stored(keys.join(small_enough(several, LISTS), "key", "left_semi"), "entries")
     dropped(several)
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
@@ -309,6 +311,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     star = star.where(f"class <> leader AND {_may_link('x', 'y', t)}")
     stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
     stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
+    dropped(leaders)
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
@@ -334,7 +337,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = kept(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"))
     wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
-    dropped(members, copies, leaders, stars, mixed, least, now, entries)
+    dropped(members, copies, stars, mixed, least, now, entries)
     out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
     out = out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out._reads = (rows, wide)
