@@ -204,10 +204,19 @@ class Pieces:
 class Encoder:
     """Encodes texts unit by unit (blanks and what follows them); each unit is encoded once and kept."""
 
-    def __init__(self, pieces: Pieces, most_kept: int = 250_000) -> None:
+    def __init__(self, pieces: Pieces, most_kept: int = 300_000) -> None:
         self.pieces, self.most_kept = pieces, most_kept
         self.units: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.before: tuple[dict, dict] = ({}, {})  # what was kept before; what is used again is kept on
+
+    @staticmethod
+    def _unknown(wanted: set[str], now: dict[str, bytes], before: dict[str, bytes]) -> set[str]:
+        """What of wanted is kept nowhere; what was kept before is kept on."""
+        missing = wanted.difference(now)
+        again = missing & before.keys()
+        now.update((k, before[k]) for k in again)
+        return missing - again
 
     def split(self, unit: str) -> list[str]:
         """A unit without its closing mark, and that mark, if no piece reaches across; else the unit."""
@@ -292,13 +301,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.units) > self.most_kept:
-            self.units.clear()
+            self.before, self.units = (self.units, self.before[1]), {}
         if len(self.parts) > self.most_kept:
-            self.parts.clear()
+            self.before, self.parts = (self.before[0], self.parts), {}
         split = [UNITS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = {u: self.split(u) for u in {u for s in split for u in s}.difference(self.units)}
+        new = {u: self.split(u) for u in self._unknown({u for s in split for u in s}, self.units, self.before[0])}
         by_length: dict[int, list[str]] = {}
-        for p in {p for s in new.values() for p in s}.difference(self.parts):
+        for p in self._unknown({p for s in new.values() for p in s}, self.parts, self.before[1]):
             if self.pieces.ranked and len(p) > LONG:
                 self.parts[p] = self.long(p)
             else:
