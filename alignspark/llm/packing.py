@@ -47,7 +47,7 @@ class Chunked(dict):
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most_kept: int = 300_000) -> None:
+    def __init__(self, path: str, most_kept: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
@@ -63,7 +63,7 @@ class Chunked(dict):
         if merges_are_ranks(path, vocab, byte_of):
             ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most_kept = most_kept
+        self.most_kept, self.before = most_kept, {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -72,7 +72,11 @@ class Chunked(dict):
         body = chunk[1:] if chunk[:1] == " " else chunk
         if chunk != "\n" and body.split() != [body]:
             raise NotPlain
+        if (ids := self.before.get(chunk)) is not None:  # kept before and used again: kept on
+            self[chunk] = ids
+            return ids
         if len(self) > self.most_kept:
+            self.before = self.copy()
             self.clear()
         if self.fast and max(chunk) < "\u0370":
             ids = self[chunk] = array("I", self.fast.encode_ordinary(chunk)).tobytes()
