@@ -276,17 +276,17 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows_of(texts, run, "class long, own array<long>")
 
 
-def _across(entries: DataFrame, mixed: DataFrame, t: int) -> DataFrame:
+def _across(entries: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) of classes of one list but of different components that sizes, positions and parity maps leave possible.
 
     mixed: key and the number of blocks of each list with several components.  A row goes to each pair of blocks its own is
-    in, so a list's work is shared by as many tasks as it has pairs of blocks.
+    in, so a list's work is shared by as many tasks as it has pairs of blocks.  Both sides of the join are one shuffle.
     """
-    rest = looked_up(entries, mixed, "key", F.col("class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    rest = looked_up(entries.select("key", "class", F.col("n").cast("int"), F.col("rest").cast("int"), "component"), mixed, "key", F.col("class"), rows=mixed._rows)
+    rest = rest.join(maps, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
     met = F.expr(f"x.key = y.key AND x.low = y.low AND x.high = y.high AND x.class < y.class AND (x.block <> y.block OR x.low = x.high) AND x.component <> y.component AND {_may_link('x', 'y', t)} AND {_may_be_near('x', 'y', t)}")
-    rest = kept(rest)
     return rest.alias("x").join(rest.alias("y").hint("merge"), met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
@@ -329,7 +329,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     mixed = kept(mixed)
     if not mixed.isEmpty():
         maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
-        more = stored(_across(now.join(small_enough(mixed.select("key")), "key", "left_semi").join(maps, "class"), mixed, t).join(stars, ["a", "b"], "left_anti"), "across")
+        more = stored(_across(now, mixed, maps, t).join(stars, ["a", "b"], "left_anti"), "across")
         if not more.isEmpty():
             found = linked(more)
             if not found.isEmpty():
