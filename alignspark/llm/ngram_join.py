@@ -282,7 +282,7 @@ def _across(entries: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> Da
     mixed: key and the number of blocks of each list with several components.  A row goes to each pair of blocks its own is
     in, so a list's work is shared by as many tasks as it has pairs of blocks.  Both sides of the join are one shuffle.
     """
-    rest = looked_up(entries.select("key", "class", F.col("n").cast("int"), F.col("rest").cast("int"), "component"), mixed, "key", F.col("class"), rows=mixed._rows)
+    rest = entries.select("key", "class", F.col("n").cast("int"), F.col("rest").cast("int"), "component").join(small_enough(mixed, LISTS), "key")
     rest = rest.join(maps, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
@@ -307,7 +307,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
     leaders = kept(leaders)
-    star = looked_up(entries, leaders, "key", F.col("class")).withColumn("x", F.struct("n", "rest")).withColumn("y", F.struct(F.col("n_").alias("n"), F.col("rest_").alias("rest")))
+    star = entries.join(small_enough(leaders), "key").withColumn("x", F.struct("n", "rest")).withColumn("y", F.struct(F.col("n_").alias("n"), F.col("rest_").alias("rest")))
     star = star.where(f"class <> leader AND {_may_link('x', 'y', t)}")
     stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
     stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
@@ -325,6 +325,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     links = linked(stars)
     labels = components(links)
     now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
+    dropped(entries)
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
     mixed = kept(mixed)
     if not mixed.isEmpty():
@@ -337,7 +338,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = kept(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"))
     wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
-    dropped(members, copies, stars, mixed, least, now, entries)
+    dropped(members, copies, stars, mixed, least, now)
     out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
     out = out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out._reads = (rows, wide)
