@@ -77,17 +77,21 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Let go of tables that stored() wrote or kept() holds and that nothing reads any more.
-
-    The driver's JVM is asked to collect what is free: only then Spark's cleaner deletes the shuffle files of plans that are
-    over, which otherwise pile up for half an hour.
-    """
+    """Let go of tables that stored() wrote or kept() holds and that nothing reads any more."""
     for df in tables:
         if at := getattr(df, "_stored_at", None):
             delete(df.sparkSession, at)
         else:
             df.unpersist()
-    tables[0].sparkSession._jvm.System.gc()
+    swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what is free: only then Spark's cleaner deletes the shuffle files of plans that are over.
+
+    They would pile up for half an hour otherwise.
+    """
+    spark._jvm.System.gc()
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, table
+from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, swept, table
 
 #: Most frequent shingles, and keys of lists with several sets, that are broadcast (eight bytes each; their number is counted first).
 FREQUENT, LISTS = 300_000, 1_000_000
@@ -302,7 +302,8 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
     keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
     several = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"))
-    entries = stored(keys.join(small_enough(several, LISTS), "key", "left_semi"), "entries")
+    entries = keys.join(small_enough(several, LISTS), "key", "left_semi")
+    entries = stored(entries.select("key", "class", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")), "entries")
     dropped(several)
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
@@ -315,9 +316,11 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
+        swept(documents.sparkSession)
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = kept(members.join(wanted, "class").select("class", "doc_id"))
         sets = kept(_sets(documents, wanted, k))
+        swept(documents.sparkSession)
         out = stored(_verified(pairs, sets, t), "links")
         dropped(sets, wanted, pairs)
         return out
