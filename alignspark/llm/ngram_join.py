@@ -41,7 +41,7 @@ LIST_BLOCK = 1024
 #: A shingle is frequent from so many sets on, and counts in a task from so many on.
 OFTEN, OFTEN_IN_TASK = 8, 4
 #: Longs of the parity map that joins compare.
-WIDE = 8
+WIDE = 4
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
