@@ -305,6 +305,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     entries = keys.join(small_enough(several, LISTS), "key", "left_semi")
     entries = stored(entries.select("key", "class", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")), "entries")
     dropped(several)
+    del several, keys  # a plan that Python still holds keeps its shuffle files
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
     leaders = kept(leaders)
@@ -313,6 +314,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
     stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
     dropped(leaders)
+    del leaders, star
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
@@ -330,7 +332,8 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
     dropped(entries)
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
-    mixed = kept(mixed)
+    mixed = stored(mixed, "mixed")
+    swept(documents.sparkSession)
     if not mixed.isEmpty():
         maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
         more = stored(_across(now, mixed, maps, t).join(stars, ["a", "b"], "left_anti"), "across")
