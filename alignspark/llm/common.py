@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -65,6 +66,47 @@ def delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_text(spark: SparkSession, at: str, text: str) -> None:
+    """A small file, put in place at once: it's written beside and renamed."""
+    jvm = spark._jvm
+    path, new = jvm.org.apache.hadoop.fs.Path(at), jvm.org.apache.hadoop.fs.Path(f"{at}.{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(path, False)
+    if not fs.rename(new, path):
+        raise OSError(f"{new} can't be renamed to {path}")
+
+
+def read_text(spark: SparkSession, at: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session's setting for plans that run within; then what it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, worked out now and held on the executors' disks (not in their heaps) until dropped() lets it go.
 

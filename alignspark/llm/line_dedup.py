@@ -2,10 +2,13 @@
 
 A LineRuns store holds sorted runs (key hash, documents that have the line), each a table bucketed and sorted by key in the
 shared folder, all with the same buckets.  A new batch of documents is reduced to its distinct keys and merge-anti-joined,
-bucket by bucket, with the keys that the runs already settle as frequent; its remaining counts become a new run of level
-0.  When a level holds `fanout` runs they are merged, counts added, into one run of the next level.  At the end one merge of
-all runs gives the frequent keys exactly.  Only a batch's own counts are shuffled; runs meet without an exchange.  Keys
-are 128-bit hashes.
+bucket by bucket, with the keys that single runs already settle as frequent; its remaining counts become a new run of
+level 0.  When a level holds `fanout` runs they are compacted, two by two, into one run of the next level by full outer
+merge joins that add counts.  At the end the same joins of what runs are left give the frequent keys exactly.  Only a
+batch's own counts are shuffled: in joins of tables with equal buckets nothing is exchanged (a union of them would put
+bucket behind bucket instead of together).  Keys are 128-bit hashes.
+
+A store with a folder of its own keeps a list of its runs there, so that a later session opens it and adds further batches.
 
 Defined results: a null or empty text is one empty line; keys of no code points are never dropped; each row is a document,
 repeated rows too; a null doc_id is an id like others; an empty table gives no rows; other columns are ignored by
@@ -14,8 +17,8 @@ dedup_lines and kept by the pipeline's stage.
 
 from __future__ import annotations
 
+import json
 import uuid
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import SPACE, delete, in_slices, kept, looked_up, rows_of, shared_dir, stored, table
+from alignspark.llm.common import SPACE, delete, dropped, exists, in_slices, kept, looked_up, read_text, rows_of, setting, shared_dir, stored, table, write_text
 
 #: The production parameters of the query and of the pipeline's stage.
 LEAST_DOCUMENTS = 10
-#: Batches at least, and keys of a batch at most (about).
-BATCHES, BATCH_KEYS = 2, 1 << 33
+#: Batches at least (the third begins a level anew, so levels are compacted at every size), and bytes of hashes in one (about).
+BATCHES, BATCH_BYTES = 3, 64 << 30
 GONE = "_alignspark_gone"
 
 
@@ -55,70 +58,110 @@ def line_keys(documents: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs.  The store lives as long as its tables; frequent() may be asked after any batch."""
+    """The levelled runs.  frequent() may be asked after any batch; the store lives until close().
+
+    at: a folder that driver and executors see, for a store that outlives the session; what it holds already is opened.
+    """
 
-    def __init__(self, spark: SparkSession, least: int, fanout: int = 3) -> None:
-        self.spark, self.least, self.fanout = spark, least, fanout
+    def __init__(self, spark: SparkSession, least: int, fanout: int = 2, at: str | None = None) -> None:
+        self.spark, self.least, self.fanout, self.at = spark, least, fanout, at
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self._between: list[str] = []  # written within a merge; they go with the next one
+        if at and exists(spark, f"{at}/runs.json"):
+            held = json.loads(read_text(spark, f"{at}/runs.json"))
+            self.buckets, self.levels = held["buckets"], held["levels"]
+            for run in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (h BINARY, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{at}/{run}'")
 
     @property
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> None:
-        """One batch of keys (h: one row for each document that has the line)."""
-        counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        if self.runs:  # as an outer join: an anti-join would be pushed below the counts, before hot lines are combined
-            counts = counts.join(self.frequent().withColumn("settled", F.lit(True)).hint("merge"), "h", "left").where("settled IS NULL").select("h", "n")
-        self.levels[0].append(self._written(counts))
-        level = 0
+        """One batch of keys (h: one row for each document that has the line), then compaction of the levels it fills."""
+        with setting(self.spark, "spark.sql.shuffle.partitions", str(self.buckets)):
+            counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+            for run in self.runs:  # as outer joins: an anti-join would be pushed below the counts, before hot lines are combined
+                settled = self.spark.table(run).where(F.col("n") >= self.least).select("h", F.lit(True).alias("settled"))
+                counts = counts.join(settled.hint("merge"), "h", "left").where("settled IS NULL").select("h", "n")
+            self.levels[0].append(self._written(counts))
+        gone, level = [], 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             if len(self.levels) == level + 1:
                 self.levels.append([])
             self.levels[level + 1].append(self._written(self._merged(old)))
-            self._forget(old)
+            gone += old
             level += 1
+        self._list()
+        self._forget(gone)
 
     def frequent(self) -> DataFrame:
         """Keys that at least `least` documents of the batches so far have."""
         return self._merged(self.runs).where(F.col("n") >= self.least).select("h")
 
     def close(self) -> None:
-        self._forget(self.runs)
-        self.levels = [[]]
+        """Delete the store."""
+        runs, self.levels = [*self.runs, *self._between], [[]]
+        self._list()
+        self._forget(runs)
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        """Counts added bucket by bucket: a union of tables with the same buckets keeps them, so nothing is exchanged."""
-        return reduce(DataFrame.unionByName, map(self.spark.table, runs)).groupBy("h").agg(F.sum("n").alias("n"))
+        """The runs' counts, added by key: a full outer merge join of equal buckets, two tables at a time.
+
+        An outer join's result has no known partitioning, so what is joined once more is written in between.
+        """
+        self._forget(self._between)
+        self._between, waiting = [], list(runs)
+        while len(waiting) > 2:
+            waiting.append(self._written(self._both(*waiting[:2])))
+            self._between.append(waiting[-1])
+            waiting = waiting[2:]
+        return self._both(*waiting) if len(waiting) == 2 else self.spark.table(waiting[0])
+
+    def _both(self, one: str, two: str) -> DataFrame:
+        left, right = self.spark.table(one), self.spark.table(two).withColumnRenamed("n", "m")
+        added = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+        return left.join(right.hint("merge"), "h", "full").select("h", added.alias("n"))
 
     def _written(self, counts: DataFrame) -> str:
         name = f"alignspark_run_{uuid.uuid4().hex}"
-        counts.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        counts.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self._folder}/{name}").saveAsTable(name)
         return name
 
+    @property
+    def _folder(self) -> str:
+        return self.at or shared_dir(self.spark)
+
+    def _list(self) -> None:
+        """The store's runs as they are now; written before old runs go, so a stop in between loses none."""
+        if self.at:
+            write_text(self.spark, f"{self.at}/runs.json", json.dumps({"buckets": self.buckets, "levels": self.levels}))
+
     def _forget(self, runs: list[str]) -> None:
         for run in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-            delete(self.spark, f"{shared_dir(self.spark)}/{run}")
+            delete(self.spark, f"{self._folder}/{run}")
 
 
-def frequent_keys(documents: DataFrame, least: int, fanout: int = 3) -> DataFrame:
+def frequent_keys(documents: DataFrame, least: int, fanout: int = 2) -> DataFrame:
     """doc_id, gone: for each document that loses lines, the hashes of its frequent keys (as many as it has lines).
 
-    Documents are dealt to batches of about BATCH_KEYS keys, BATCHES at least.
+    Documents are dealt to batches of about BATCH_BYTES of hashes, BATCHES at least.
     """
     keys = kept(line_keys(documents))
-    batches = max(BATCHES, -(-keys._rows // BATCH_KEYS))
+    batches = max(BATCHES, -(-keys._rows * 16 // BATCH_BYTES))
     runs = LineRuns(documents.sparkSession, least, fanout)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
         runs.add(keys.where(batch == i).select("h"))
-    frequent = stored(runs.frequent(), "frequent")  # written, as a dropped run takes what is held of it along
+    frequent = stored(runs.frequent(), "frequent")
     runs.close()
     hit = looked_up(keys.select("doc_id", "h"), frequent, "h", F.col("doc_id"))
-    return hit.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    gone = stored(hit.groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "gone")
+    dropped(keys, frequent)
+    return gone
 
 
 def _with_gone(documents: DataFrame, least: int) -> DataFrame:

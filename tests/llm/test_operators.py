@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alignspark.llm import ann, embedding_dedup, html_text, language, line_dedup, lm_score, ngram_join, packing, pieces, pii, registry
-from alignspark.llm.common import components, dropped, least_count, stored
+from alignspark.llm.common import components, dropped, least_count, setting, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -138,11 +138,15 @@ def test_pii_query(spark, sf, texts):
 # 3: lines
 
 
-def test_line_dedup_against_sql(spark, sf):
+@pytest.mark.parametrize("partitions", ["4", "8", "13"])
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_line_dedup_against_sql(spark, table, partitions):
+    sf = f"/root/testdata/{table}"
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = duck.sql(line_dedup.OP3_SQL).fetchall()
-    got = line_dedup.op3_line_dedup(spark, sf)
+    with setting(spark, "spark.sql.shuffle.partitions", partitions):
+        got = line_dedup.op3_line_dedup(spark, sf)
     assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())) == sorted(want)
 
 
@@ -155,14 +159,47 @@ def test_line_runs(spark, batches, monkeypatch):
     assert gone == {i: {line_dedup.key_hash("common")} for i in range(30)}
 
 
-def test_runs_meet_without_an_exchange(spark):
-    runs = line_dedup.LineRuns(spark, 2, 9)
-    for k in range(3):
-        runs.add(spark.range(20).selectExpr(f"unhex(hex(id % {5 + k})) AS h"))
-    plan = runs.frequent()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and runs.frequent().count() == 7
+@pytest.mark.parametrize(("fanout", "batches"), [(2, 3), (2, 7), (3, 5), (9, 4)])
+def test_keys_that_are_frequent_only_in_sum(spark, fanout, batches):
+    """No run alone has 10 of any key; buckets of the runs must meet, without an exchange, compacted or not."""
+    counts = collections.Counter()
+    runs = line_dedup.LineRuns(spark, 10, fanout)
+    rng = random.Random(fanout * 10 + batches)
+    for _ in range(batches):
+        batch = [f"{k:016d}".encode() for k in range(400) for _ in range(rng.randrange(0, 5))]
+        counts.update(batch)
+        keys = spark.createDataFrame([(h,) for h in batch], "h binary")
+        runs.add(keys.repartition(rng.choice((1, 3, 8))))
+        got = runs.frequent()
+        assert {bytes(r["h"]) for r in got.collect()} == {h for h, n in counts.items() if n >= 10}
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(runs.runs) < batches or fanout > batches
     runs.close()
-    assert not runs.runs
+    assert not runs.runs and not spark.sql("SHOW TABLES LIKE 'alignspark_run_*'").count()
+
+
+def test_settled_keys_are_counted_no_further(spark):
+    runs = line_dedup.LineRuns(spark, 5, 9)
+    runs.add(spark.range(50).selectExpr("unhex(hex(id % 5)) AS h"))
+    runs.add(spark.range(60).selectExpr("unhex(hex(id % 6)) AS h"))
+    assert spark.table(runs.runs[1]).count() == 1
+    assert runs.frequent().count() == 6
+    runs.close()
+
+
+def test_a_store_outlives_its_session(spark, tmp_path):
+    at = f"{tmp_path}/lines"
+    first = line_dedup.LineRuns(spark, 6, 2, at)
+    for _ in range(3):
+        first.add(spark.range(20).selectExpr("unhex(hex(id % 10)) AS h"))
+    tables = first.runs
+    for run in tables:
+        spark.sql(f"DROP TABLE {run}")  # the files stay
+    again = line_dedup.LineRuns(spark, 6, 2, at)
+    assert again.levels == first.levels and again.frequent().count() == 10
+    again.add(spark.range(3).selectExpr("unhex(hex(id + 100)) AS h"))
+    assert again.frequent().count() == 10
+    again.close()
 
 
 # 4: n-gram join
