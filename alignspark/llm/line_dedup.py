@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from alignspark.llm.common import SPACE, delete, dropped, exists, in_slices, kep
 LEAST_DOCUMENTS = 10
 #: Batches at least (the third begins a level anew, so levels are compacted at every size), and bytes of hashes in one (about).
 BATCHES, BATCH_BYTES = 3, 64 << 30
+#: Most frequent keys that are sent to all tasks as one set (about 6 MB); counted first.
+SET_KEYS = 100_000
 GONE = "_alignspark_gone"
 
 
@@ -145,8 +150,8 @@ class LineRuns:
             delete(self.spark, f"{self._folder}/{run}")
 
 
-def frequent_keys(documents: DataFrame, least: int, fanout: int = 2) -> DataFrame:
-    """doc_id, gone: for each document that loses lines, the hashes of its frequent keys (as many as it has lines).
+def frequent_keys(documents: DataFrame, least: int, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The written table of frequent keys (h), and what was held of line_keys (let go of it by dropped()).
 
     Documents are dealt to batches of about BATCH_BYTES of hashes, BATCHES at least.
     """
@@ -158,38 +163,56 @@ def frequent_keys(documents: DataFrame, least: int, fanout: int = 2) -> DataFram
         runs.add(keys.where(batch == i).select("h"))
     frequent = stored(runs.frequent(), "frequent")
     runs.close()
-    hit = looked_up(keys.select("doc_id", "h"), frequent, "h", F.col("doc_id"))
-    gone = stored(hit.groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "gone")
-    dropped(keys, frequent)
-    return gone
+    return frequent, keys
+
+
+class Losses(NamedTuple):
+    """documents, and where their frequent keys are: all in one broadcast set, or each row's own in the column GONE."""
 
+    documents: DataFrame
+    every: Broadcast | None
 
-def _with_gone(documents: DataFrame, least: int) -> DataFrame:
-    """documents with one more column, GONE; its name and the join's are such that no table will have them."""
-    gone = frequent_keys(documents, least).select(F.col("doc_id").alias("_alignspark_id"), F.col("gone").alias(GONE))
-    return documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["_alignspark_id"]), "left").drop("_alignspark_id")
+    def of(self, part: pa.RecordBatch) -> list:
+        """For each row of a batch: the frequent keys that its text may have."""
+        return [self.every.value] * part.num_rows if self.every else part.column(GONE).to_pylist()
+
+
+def losses(documents: DataFrame, least: int) -> Losses:
+    """Up to SET_KEYS frequent keys (counted) are sent to all tasks, and documents aren't shuffled; more are joined by document."""
+    frequent, keys = frequent_keys(documents, least)
+    if frequent.count() <= SET_KEYS:
+        every = frozenset(map(bytes, frequent.toArrow()["h"].to_pylist()))
+        dropped(keys, frequent)
+        return Losses(documents, documents.sparkSession.sparkContext.broadcast(every))
+    hit = looked_up(keys.select("doc_id", "h"), frequent, "h", F.col("doc_id"))
+    gone = stored(hit.groupBy(F.col("doc_id").alias("_alignspark_id")).agg(F.collect_set("h").alias(GONE)), "gone")
+    dropped(keys, frequent)
+    both = documents.join(gone.hint("merge"), documents["doc_id"].cast("long").eqNullSafe(gone["_alignspark_id"]), "left")
+    return Losses(both.drop("_alignspark_id"), None)
 
 
-def kept_text(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:
+def kept_text(text: str | None, gone: Collection[bytes] | None) -> tuple[str, int, int]:
     """The text without its frequent lines, the lines it had and the lines it lost."""
     lines = (text or "").split("\n")
     if not gone:
         return text or "", len(lines), 0
-    frequent = set(gone)
+    frequent = gone if isinstance(gone, frozenset) else set(gone)
     kept = [line for line in lines if key_hash(line) not in frequent]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def dedup_lines(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """doc_id, kept (the text that stays), n_lines, n_dropped for every row."""
+    found = losses(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
+    sent = found._replace(documents=None)
 
     def run(batches):
         for part in in_slices(batches, "text"):
-            rows = [kept_text(t, g) for t, g in zip(part.column("text").to_pylist(), part.column(GONE).to_pylist(), strict=True)]
+            rows = [kept_text(t, g) for t, g in zip(part.column("text").to_pylist(), sent.of(part), strict=True)]
             kept, had, lost = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.string()), pa.array(had, pa.int64()), pa.array(lost, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
 
-    return rows_of(_with_gone(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least), run, "doc_id long, kept string, n_lines long, n_dropped long")
+    return rows_of(found.documents, run, "doc_id long, kept string, n_lines long, n_dropped long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,16 +221,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, without the lines that LEAST_DOCUMENTS or more documents have; null texts stay null."""
-    names = docs.columns
+    names, found = docs.columns, losses(docs, LEAST_DOCUMENTS)
+    sent = found._replace(documents=None)
 
     def run(batches):
         for part in in_slices(batches, "text"):
-            texts = [t if t is None else kept_text(t, g)[0] for t, g in zip(part.column("text").to_pylist(), part.column(GONE).to_pylist(), strict=True)]
+            texts = [t if t is None else kept_text(t, g)[0] for t, g in zip(part.column("text").to_pylist(), sent.of(part), strict=True)]
             new = pa.array(texts, pa.string())
             columns = {n: part.column(n) for n in names} | {"text": new, "n_chars": pc.cast(pc.utf8_length(new), part.schema.field("n_chars").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return rows_of(_with_gone(docs, LEAST_DOCUMENTS), run, docs.schema)
+    return rows_of(found.documents, run, docs.schema)
 
 
 #: The same rows in plain SQL.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ann", "pii", "line_dedup", "ngram_join", "language", "html_text", "embedding_dedup", "lm_score", "packing", "pieces")
+MODULES = ("ann", "pii", "line_dedup", "ngram_join", "language", "html_text", "embedding_dedup", "lm_score", "packing", "pieces", "merkle", "toxicity", "periods")
 
 
 def _merged(name: str) -> dict:

@@ -8,6 +8,7 @@ import re
 import string
 import time
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from alignspark.llm import ann, embedding_dedup, html_text, language, line_dedup, lm_score, ngram_join, packing, pieces, pii, registry
+from alignspark.llm import ann, embedding_dedup, html_text, language, line_dedup, lm_score, merkle, ngram_join, packing, periods, pieces, pii, registry, toxicity
 from alignspark.llm.common import components, dropped, least_count, setting, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
@@ -138,9 +139,9 @@ def test_pii_query(spark, sf, texts):
 # 3: lines
 
 
-@pytest.mark.parametrize("partitions", ["4", "8", "13"])
-@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
-def test_line_dedup_against_sql(spark, table, partitions):
+@pytest.mark.parametrize(("table", "partitions", "set_keys"), [("sf0.001", "4", 0), ("sf0.01", "4", 100_000), ("sf0.01", "8", 0), ("sf0.01", "13", 100_000)])
+def test_line_dedup_against_sql(spark, table, partitions, set_keys, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SET_KEYS", set_keys)
     sf = f"/root/testdata/{table}"
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
@@ -155,8 +156,9 @@ def test_line_runs(spark, batches, monkeypatch):
     monkeypatch.setattr(line_dedup, "BATCHES", batches)
     rows = [(i, "\n".join(["Common ", f"own {i}", "pair" if i < 2 else f"x{i}", ""])) for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = {r["doc_id"]: set(map(bytes, r["gone"])) for r in line_dedup.frequent_keys(frame, 10, 2).collect()}
-    assert gone == {i: {line_dedup.key_hash("common")} for i in range(30)}
+    frequent, keys = line_dedup.frequent_keys(frame, 10, 2)
+    assert [bytes(r["h"]) for r in frequent.collect()] == [line_dedup.key_hash("common")]
+    dropped(keys, frequent)
 
 
 @pytest.mark.parametrize(("fanout", "batches"), [(2, 3), (2, 7), (3, 5), (9, 4)])
@@ -732,6 +734,225 @@ def test_encode_and_decode_tables(spark):
     back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(encoded, pieces.vocabulary()).collect()}
     assert back == dict(rows)
 
+# 11: Merkle manifest
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_manifest_against_sql(spark, table):
+    sf = f"/root/testdata/{table}"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    want = duck.sql(merkle.OP11_SQL).select(*names).fetchall()
+    got = merkle.op11_merkle(spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def plain_manifest(rows):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) by whole lists."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf_of = lambda r, text: h(*map(part, (r[0], r[3], r[2], r[4], text)))
+
+    def tree(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + 16]) for i in range(0, len(out[-1]), 16)])
+        return out
+
+    def proof(levels, i):
+        out = []
+        for level in levels[:-1]:
+            b = i - i % 16
+            out.append((level[b:i], level[i + 1 : b + 16]))
+            i //= 16
+        return out
+
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r[3]].append((r[0] is not None, r[0] or 0, leaf_of(r, r[1]), r))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[2] for x in sorted(by_source[s], key=lambda x: x[:3])]) for s in sources}
+    top = tree([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, (_, _, leaf, r) in enumerate(sorted(by_source[s], key=lambda x: x[:3])):
+            steps = proof(trees[s], i) + proof(top, k)
+            node = leaf
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                node = leaf_of(r, r[1] and re.sub("[A-Z]", lambda m: m[0].lower(), r[1]))
+            for a, b in steps:
+                node = h(*a, node, *b)
+            out.append((r[0], leaf, trees[s][-1][0], top[-1][0], h(*(x for a, b in steps for x in a + b)), node, node == top[-1][0]))
+    return out
+
+
+@pytest.mark.parametrize(("levels", "small"), [(1, 0), (2, 100_000), (3, 100_000)])
+def test_manifest_by_superblocks(spark, levels, small, monkeypatch):
+    """Many rounds of buckets, sources of all sizes, ties, nulls and repeated rows."""
+    monkeypatch.setattr(merkle, "BROADCAST_ROWS", small)
+    sizes = {"a": 1, "b": 2, "ü": 16, "c": 17, "Z": 256, "d": 257, None: 35, "": 3} | {f"s{i}": 1 for i in range(20)}
+    rows, at = [], 0
+    for s, n in sizes.items():
+        for i in range(n):
+            rows.append((at, f"Text ß {i % 7}", "en" if i % 3 else None, s, i % 11 if i % 4 else None))
+            at += 1
+    rows += [(None, "null id", "en", "d", 1), (5, "again", None, "d", 2), (5, "again", None, "d", 2), (7, None, None, "d", None), (8, "", None, "d", 0)]
+    got = merkle.manifest(spark.createDataFrame(rows, DOCS).repartition(5), levels).drop("source").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(plain_manifest(rows), key=str)
+    assert any(not r["verified"] for r in got)
+
+
+def test_a_proof_fails_for_any_change():
+    nodes = [merkle.digest(f"{i:x}") for i in range(300)]
+    tree = merkle.collapse(nodes, merkle.levels_of(300))
+    assert [len(level) for level in tree] == [300, 19, 2, 1]
+    for i in (0, 15, 16, 299):
+        proof = merkle.siblings(tree, i)
+        assert merkle.fold(nodes[i], proof) == tree[-1][0] != merkle.fold(merkle.digest("other"), proof)
+    assert merkle.siblings(merkle.collapse(["a" * 64], 0), 0) == []
+
+
+# 12: toxicity
+
+
+MARKED = ("vexblatterung", "grumsnotwart", "ziffelbrecht", "quarghwimpel")
+
+
+def made_texts(rng, n, share, words=MARKED):
+    """Random prose of a vocabulary in which some words are frequent, a share of the texts with some of a few marked words."""
+    make = random.Random(9)
+    syllables = [a + b for a in "bcdfghklmnprst" for b in ("a", "e", "io", "un")]
+    vocabulary = ["".join(make.choice(syllables) for _ in range(make.randrange(1, 6))) for _ in range(300)]
+    weights = [1 / (i + 3) for i in range(len(vocabulary))]
+    out = []
+    for _ in range(n):
+        text = rng.choices(vocabulary, weights, k=rng.randrange(30, 300))
+        marked = rng.random() < share
+        for _ in range(rng.randrange(3, 7) if marked else 0):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        out.append((" ".join(text), marked))
+    return out
+
+
+def test_toxic_words_are_learned_by_compression():
+    rng = random.Random(4)
+    sample = made_texts(rng, 600, 0.3)
+    label = [marked if rng.random() > 0.05 else not marked for _, marked in sample]  # some labels are wrong
+    model = toxicity.fit([t for (t, _), y in zip(sample, label, strict=True) if y], [t for (t, _), y in zip(sample, label, strict=True) if not y])
+    assert {w for w in MARKED if w.encode() in model.segments} == set(MARKED)
+    fresh = made_texts(rng, 400, 0.3)
+    score = toxicity.score_texts([t for t, _ in fresh], model, model.pair())
+    marked, plain = (np.array([s for s, (_, m) in zip(score, fresh, strict=True) if m == which]) for which in (True, False))
+    assert (marked >= toxicity.LEAST_SCORE).mean() > 0.6 and (plain >= toxicity.LEAST_SCORE).mean() < 0.02
+    assert (marked[:, None] > plain[None, :]).mean() > 0.8
+
+
+def test_a_text_s_score_is_its_own():
+    rng = random.Random(5)
+    sample = made_texts(rng, 200, 0.5)
+    model = toxicity.fit([t for t, m in sample if m], [t for t, m in sample if not m])
+    texts = [t for t, _ in sample[:20]] + [None, "", "  \n ", "x" * 100_000, " ".join(t for t, _ in sample[:60])]
+    pair = model.pair()
+    together = toxicity.score_texts(texts, model, pair)
+    assert np.allclose(together, [toxicity.score_texts([t], model, pair)[0] for t in texts])
+    assert ((together >= 0) & (together <= 1)).all() and together[20] == together[21] == together[22]
+    gains = pair.gains(toxicity.windows_of(toxicity.words_of(texts[0])))
+    plain = [len(pair.ordinary.zstd.compress(w)) - len(pair.toxic.zstd.compress(w)) for w in toxicity.windows_of(toxicity.words_of(texts[0]))]
+    assert gains.tolist() == plain
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in toxicity.op12_toxicity(spark, sf).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    for d, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7)
+    toxic = [r["score"] for d, r in got.items() if r["held_out"] and labels.get(d) == 1]
+    plain = [r["score"] for d, r in got.items() if r["held_out"] and labels.get(d) == 0]
+    assert sum(s >= 0.7 for s in plain) <= 0.05 * len(plain) + 1 < len(plain)
+    assert np.mean(toxic) > np.mean(plain)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (None, None, None, None, None)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long")
+    assert toxicity.train(docs, labels) is None
+    assert [(r["score"], r["predicted"]) for r in toxicity.judge(docs, None).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+# 13: periodic runs
+
+
+def plain_runs(words):
+    """Runs by comparing all words with those p words on, for every period."""
+    number: dict = {}
+    a = np.array([number.setdefault(w, len(number)) for w in words])
+    found: dict = {}
+    for p in range(1, len(words) // 3 + 1):
+        equal = np.r_[False, a[:-p] == a[p:], False].astype(int)
+        for s, e in zip(np.flatnonzero(np.diff(equal) == 1).tolist(), np.flatnonzero(np.diff(equal) == -1).tolist(), strict=True):
+            if e - s + p >= max(24, 3 * p):
+                found.setdefault((s, e - s + p), p)
+    return sorted(((s, m, p) for (s, m), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def made_runs(n=300):
+    rng = random.Random(1)
+    for _ in range(n):
+        words = [str(rng.randrange(rng.choice((1, 2, 3, 50)))) for _ in range(rng.choice((0, 1, 5, 23, 24, 30, 80, 200)))]
+        for _ in range(rng.randrange(3)):
+            block = [str(rng.randrange(9)) for _ in range(rng.randrange(1, 15))]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = (block * 30)[: rng.randrange(10, 100)]
+        yield words
+
+
+def test_runs_by_brute_force():
+    docs = [*made_runs(), ["a"] * 5000, list("ab") * 999, []]
+    assert [[tuple(r) for r in runs] for runs in periods.runs_of(docs)] == [plain_runs(d) for d in docs]
+
+
+def test_extensions_by_brute_force():
+    rng = np.random.default_rng(2)
+    for symbols in (rng.integers(0, 3, 200), np.zeros(100, int), np.arange(50), np.tile(rng.integers(0, 9, 7), 20)):
+        one, two = (rng.integers(0, len(symbols), 300) for _ in range(2))
+        one, two = one[one != two], two[one != two]
+        got = periods.Extensions(symbols, len(symbols)).of(one, two)
+        for i, j, n in zip(one.tolist(), two.tolist(), got.tolist(), strict=True):
+            m = 0
+            while max(i, j) + m < len(symbols) and symbols[i + m] == symbols[j + m]:
+                m += 1
+            assert n == m
+
+
+def test_runs_query(spark, sf, texts):
+    got = {r["doc_id"]: r for r in periods.op13_periods(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    changed = 0
+    for d, text in texts.items():
+        own = (text or "").encode().split()
+        words = list(own)
+        h = zlib.crc32(str(d).encode())
+        if h % 10 == 0 and own:
+            a = h // 10 % len(own)
+            p = 1 + (len(own) - a) // (3 + h // 10 % 8)
+            for i in range(a, len(own)):
+                words[i] = own[a + (i - a) % p]
+            changed += 1
+        if len(words) > 6000:
+            continue
+        runs = plain_runs(words)
+        r = got[d]
+        assert r["n_runs"] == len(runs)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{m},{p}\n" for s, m, p in runs).encode()).hexdigest()
+        gone = {i for s, m, p in runs for i in range(s + p, s + m)}
+        assert r["collapsed_sha256"] == hashlib.sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest()
+        top = max(runs, key=lambda x: (Fraction(x[1], x[2]), -x[0], -x[2]), default=(None,) * 3)
+        assert (r["start"], r["length"], r["period"]) == top
+        assert r["exponent_milli"] == (1000 * top[1] // top[2] if runs else None)
+    assert changed > 5
+
 
 # All: odd tables
 
@@ -750,6 +971,9 @@ def odd_tables(spark, tmp_path_factory):
     spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "long " * 50_000, "x"), (2, "u", "", None), (2, "u", "", None)], "page_id long, url string, html string, text string").write.parquet(f"{base}/some/pages.parquet")
     spark.createDataFrame([], "page_id long, url string, html string, text string").write.parquet(f"{base}/none/pages.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{base}/none/embeddings.parquet")
+    marks = [(1, 1, 0, "a"), (1, 0, 1, None), (2, None, None, "a"), (None, 1, 1, "a"), (4, 0, 1, "x"), (5, 1, 0, "x"), (5, 1, 0, "x"), (99, 1, 1, "x")]
+    for where, rows_ in (("some", marks), ("none", [])):
+        spark.createDataFrame(rows_, "doc_id long, quality long, toxic long, text string").write.parquet(f"{base}/{where}/labels.parquet")
     return str(base), rows
 
 
