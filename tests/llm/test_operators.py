@@ -835,17 +835,19 @@ def made_texts(rng, n, share, words=MARKED):
     return out
 
 
-def test_toxic_words_are_learned_by_compression():
-    rng = random.Random(4)
-    sample = made_texts(rng, 600, 0.3)
-    label = [marked if rng.random() > 0.05 else not marked for _, marked in sample]  # some labels are wrong
-    model = toxicity.fit([t for (t, _), y in zip(sample, label, strict=True) if y], [t for (t, _), y in zip(sample, label, strict=True) if not y])
-    assert {w for w in MARKED if w.encode() in model.segments} == set(MARKED)
-    fresh = made_texts(rng, 400, 0.3)
-    score = toxicity.score_texts([t for t, _ in fresh], model, model.pair())
-    marked, plain = (np.array([s for s, (_, m) in zip(score, fresh, strict=True) if m == which]) for which in (True, False))
-    assert (marked >= toxicity.LEAST_SCORE).mean() > 0.6 and (plain >= toxicity.LEAST_SCORE).mean() < 0.02
-    assert (marked[:, None] > plain[None, :]).mean() > 0.8
+def test_toxic_texts_are_learned_from_wrong_labels_too():
+    """About half of the labels 1 of this table are flips, spread over all texts: those that are predicted must be the others."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    known = [(r["doc_id"], r["text"], labels[r["doc_id"]]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in labels]
+    held = [k for k in known if zlib.crc32(str(k[0]).encode()) % 3 == 1]
+    seen = [k for k in known if zlib.crc32(str(k[0]).encode()) % 3 != 1]
+    model = toxicity.fit([t for _, t, y in seen if y == 1], [t for _, t, y in seen if y == 0])
+    score = toxicity.score_texts([t for _, t, _ in held], model, model.pair())
+    label = np.array([y for *_, y in held])
+    predicted = score >= toxicity.LEAST_SCORE
+    assert label[predicted].mean() > 0.85 and predicted[label == 1].mean() > 0.4
+    assert predicted[label == 0].mean() < 0.01
 
 
 def test_a_text_s_score_is_its_own():
