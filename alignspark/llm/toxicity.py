@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, rows_of, table
+from alignspark.llm.common import in_slices, rows_of, small_enough, table
 
 #: Bounds of the sample: rows and bytes of text of each label.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
@@ -214,7 +214,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     # about as many rows as the sample takes, picked by their hash before texts are joined; a third more for those without text
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * SAMPLE_ROWS / n))])
     known = known.where(F.pmod(spread, F.lit(1 << 40)) / float(1 << 40) < share[F.col("toxic")])
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(known, "doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(small_enough(known), "doc_id")
     order = Window.partitionBy("toxic").orderBy("at", "text")
     rows = rows.select("toxic", "text", F.pmod(spread, F.lit(1 << 40)).alias("at")).withColumn("nth", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order))
     sample = rows.where((F.col("nth") <= SAMPLE_ROWS) & ((F.col("nth") == 1) | (F.col("bytes") <= SAMPLE_BYTES))).select("toxic", "nth", "text").toArrow().sort_by([("toxic", "ascending"), ("nth", "ascending")])
