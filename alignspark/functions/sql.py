@@ -12,8 +12,11 @@ from alignspark.operators.lattice import edges
 from alignspark.operators.scoring import Parameters
 
 
-def register(spark: SparkSession, model: Parameters, name: str = "pair_proba", best: bool = False) -> None:
-    """SQL functions name(s1, s2) -> array<double> (classes sorted), pair_features(s1, s2) and pair_lattice(s1, s2)."""
+def register(spark: SparkSession, model: Parameters, name: str = "pair_proba", best: bool = False, prefix: str = "pair") -> None:
+    """SQL functions name(s1, s2) -> array<double> (classes sorted), and, for LATERAL joins, prefix_features(s1, s2) and prefix_lattice(s1, s2).
+
+    The table functions give rows as they are found: of features those that aren't zero, without a grid of all of them.
+    """
 
     @pandas_udf("array<double>")
     def proba(s1: pd.Series, s2: pd.Series) -> pd.Series:
@@ -26,17 +29,26 @@ def register(spark: SparkSession, model: Parameters, name: str = "pair_proba", b
     class PairFeatures:
         def eval(self, s1: str, s2: str):
             if s1 and s2:
-                cells = kernels.dense(*kernels.features(kernels.Batch.of([s1], [s2]), model.spec), model.spec.size)[0]
-                for i, j, k in zip(*np.nonzero(cells), strict=True):
-                    yield int(i), int(j), int(k), float(cells[i, j, k])
+                planes, blocks = kernels.features(kernels.Batch.of([s1], [s2]), model.spec)
+                for i, j, k in zip(*(x.tolist() for x in np.nonzero(planes[0])), strict=True):
+                    yield i, j, k, float(planes[0, i, j, k])
+                for at, index in blocks:
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(index[0] >= 0)), strict=True):
+                        yield i, j, at + int(index[0, i, j]), 1.0
 
     @udtf(returnType="i0: int, j0: int, s0: int, i1: int, j1: int, s1: int, e: int")
     class PairLattice:
         def eval(self, s1: str, s2: str):
-            if s1 and s2:
-                cells = None if model.machine.static else kernels.dense(*kernels.features(kernels.Batch.of([s1], [s2]), model.spec), model.spec.size)[0]
+            if s1 and s2 and model.machine.static:
+                batch = kernels.Batch.of([s1], [s2])
+                for t, (di, dj), _, i, j in kernels.lattice_edges(*kernels.lattice_nodes(batch, model.machine), model.machine):
+                    a, b, _ = model.machine.transitions[t]
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        yield x, y, a, x + di, y + dj, b, t + model.machine.n_states
+            elif s1 and s2:
+                cells = kernels.dense(*kernels.features(kernels.Batch.of([s1], [s2]), model.spec), model.spec.size)[0]
                 yield from edges(len(s1), len(s2), model.machine, cells)
 
     spark.udf.register(name, proba)
-    spark.udtf.register("pair_features", PairFeatures)
-    spark.udtf.register("pair_lattice", PairLattice)
+    spark.udtf.register(f"{prefix}_features", PairFeatures)
+    spark.udtf.register(f"{prefix}_lattice", PairLattice)

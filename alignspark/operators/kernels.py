@@ -8,6 +8,7 @@ be reached.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -319,8 +320,8 @@ def class_log_weights(first: list, second: list, spec: FeatureSpec, machine: Sta
     return out
 
 
-def sub_batches(first: list, second: list, width: int, rolling: bool = False) -> Iterator[np.ndarray]:
-    """Row numbers in batches of similar shape whose arrays (of lattices, or of diagonals) stay in their budget."""
+def sub_batches(first: list, second: list, width: int, rolling: bool = False, segments: bool = False) -> Iterator[np.ndarray]:
+    """Row numbers in batches of similar shape whose arrays (of lattices, of diagonals, or of a root of all diagonals) stay in their budget."""
     n1, n2 = (np.array([len(s) if s is not None else 0 for s in side], np.int64) for side in (first, second))
     order = np.lexsort((n2, n1))
     begin = 0
@@ -329,7 +330,8 @@ def sub_batches(first: list, second: list, width: int, rolling: bool = False) ->
         while end < len(order):
             most1, most2, least2 = max(most1, n1[order[end]]), max(most2, n2[order[end]]), min(least2, n2[order[end]])
             rows = (end + 1 - begin) * width
-            if end > begin and (rows * most1 > DIAGONAL or most2 > 2 * least2 + 16 if rolling else rows * most1 * most2 > BUDGET):
+            many = rows * most1 > DIAGONAL if rolling else rows * most1 * (math.isqrt(int(most1 + most2)) + 1) > BUDGET if segments else rows * most1 * most2 > BUDGET
+            if end > begin and (many or (rolling or segments) and most2 > 2 * least2 + 16):
                 break
             end += 1
         yield order[begin:end]
@@ -348,9 +350,9 @@ def _class_of_states(machine: StateMachine) -> list[int] | None:
 
 
 def loss_gradient(first: list, second: list, labels: list, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum over the pairs of log p(label), and its gradient.  Pairs without a result count nothing.
+    """Sum over the pairs of log p(label), and its gradient, over whole lattices: for moves that a caller's function decides.
 
-    Where every state belongs to one class, as in the default machine, one pass backward serves all classes.
+    Pairs without a result count nothing.  Where every state belongs to one class, one pass backward serves all classes.
     """
     total, gradient = 0.0, np.zeros_like(theta)
     classes, states, own_class = machine.classes, machine.n_states, _class_of_states(machine)

@@ -83,7 +83,9 @@ def score(pairs: DataFrame, model: Parameters, best: bool = False, keep: list[st
 
 def balanced(pairs: DataFrame, parts: int) -> DataFrame:
     """pairs dealt so that every part has some of each cost: cost grows with the product of the lengths, not with rows."""
-    cost = F.floor(F.log2(F.greatest(F.length("s1") * F.length("s2"), F.lit(1))))
+    kinds = dict(pairs.dtypes)
+    long = lambda c: F.size(c) if kinds[c].startswith("array") else F.length(c)
+    cost = F.floor(F.log2(F.greatest(long("s1") * long("s2"), F.lit(1))))
     return pairs.repartition(parts, cost, F.pmod(F.xxhash64("s1", "s2", *(c for c in ("pair_id",) if c in pairs.columns)), F.lit(4 * parts)))
 
 

@@ -1,4 +1,4 @@
-"""Training: the loss and gradient are summed over the pairs' partitions, the optimiser runs at the driver."""
+"""Training: pairs are encoded once, losses and gradients are summed over their partitions, the optimiser runs at the driver."""
 
 from __future__ import annotations
 
@@ -7,39 +7,68 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignspark.operators import kernels, lbfgs
+from alignspark.operators import encoded, kernels, lbfgs
 from alignspark.operators.scoring import Parameters, balanced, zeros
 from alignspark.spec import FeatureSpec, StateMachine
 
 log = logging.getLogger(__name__)
 
-#: Gradients that are added in one place.
-FAN = 64
+#: Gradients that are added in one place; classes that a label column may have.
+FAN, MOST_CLASSES = 64, 1000
 
 
-def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = None) -> tuple[float, np.ndarray]:
-    """Sum of log p(label) over labelled pairs (s1, s2, label) and its gradient.
+def counted(labelled: DataFrame, parts: int) -> DataFrame:
+    """s1, s2, label and times: equal pairs once, with how often they occur, dealt by cost to parts; null ones go."""
+    rows = labelled.where("s1 IS NOT NULL AND s2 IS NOT NULL AND label IS NOT NULL").groupBy("s1", "s2", "label").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    return balanced(rows, parts)
+
+
+def encoded_batches(pairs: DataFrame, spec: FeatureSpec, machine: StateMachine) -> DataFrame:
+    """Pairs (s1, s2, label, times) as rows of encoded batches, one narrow pass: what each evaluation needs, worked out once."""
+
+    def run(batches):
+        for part in batches:
+            first, second, labels, times = (part.column(c).to_pylist() for c in ("s1", "s2", "label", "times"))
+            for batch in encoded.encode(first, second, labels, times, spec, machine):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in batch.to_row()], list(encoded.ARRAYS))
 
-    Each partition gives one row; theta goes out in a broadcast.  Unless labelled is known to have few parts, rows are
+    return pairs.select("s1", "s2", "label", "times").mapInArrow(run, encoded.SCHEMA)
+
+
+def summed(batches: DataFrame, model: Parameters, parts: int | None = None) -> tuple[float, np.ndarray]:
+    """Loss and gradient over encoded batches, or, where moves are a caller's functions, over pairs (s1, s2, label, times).
+
+    Each partition gives one row; theta goes out in a broadcast.  Unless batches are known to have few parts, rows are
     first added on executors, FAN at a time and then again.  Rows are added in the partitions' order, so the same
     partitioning gives the same bits.
     """
-    spark = labelled.sparkSession
-    sent = spark.sparkContext.broadcast(model.theta)
+    sent = batches.sparkSession.sparkContext.broadcast(model.theta)
     spec, machine = model.spec, model.machine
 
-    def run(batches):
+    def whole(part: pa.RecordBatch) -> tuple[float, np.ndarray]:
+        first, second, labels, times = (part.column(c).to_pylist() for c in ("s1", "s2", "label", "times"))
+        own: tuple[list, list, list] = ([], [], [])  # pairs are repeated as often as they occur
+        for row, n in zip(zip(first, second, labels, strict=True), times, strict=True):
+            for column, value in zip(own, row, strict=True):
+                column += [value] * int(n)
+        return kernels.loss_gradient(*own, spec, machine, sent.value)
+
+    def run(parts_):
         from pyspark import TaskContext
 
         total, gradient = 0.0, np.zeros_like(sent.value)
-        for part in batches:
-            first, second, labels = (part.column(c).to_pylist() for c in ("s1", "s2", "label"))
-            keep = [r for r in range(len(first)) if first[r] is not None and second[r] is not None and labels[r] is not None]
-            value, own = kernels.loss_gradient([first[r] for r in keep], [second[r] for r in keep], [labels[r] for r in keep], spec, machine, sent.value)
-            total, gradient = total + value, gradient + own
+        for part in parts_:
+            if machine.static:
+                for row in zip(*part.columns, strict=True):
+                    value, own = encoded.loss_gradient(encoded.Encoded.from_row(row), spec, machine, sent.value)
+                    total, gradient = total + value, gradient + own
+            else:
+                value, own = whole(part)
+                total, gradient = total + value, gradient + own
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([gradient.ravel()], pa.list_(pa.float64()))], ["part", "value", "gradient"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -48,7 +77,7 @@ def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = N
         return pa.table([group["part"].slice(0, 1), pa.array([float(np.sum(group["value"].to_numpy()))]), pa.array([total], pa.list_(pa.float64()))], names=["part", "value", "gradient"])
 
     schema = "part long, value double, gradient array<double>"
-    rows = labelled.select("s1", "s2", "label").mapInArrow(run, schema)
+    rows = batches.mapInArrow(run, schema)
     if parts is None or parts > FAN:
         for level in (FAN, FAN * FAN):
             rows = rows.groupBy(F.floor(F.col("part") / level)).applyInArrow(add, schema)
@@ -61,6 +90,36 @@ def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = N
     return value, gradient.reshape(model.theta.shape)
 
 
+def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = None) -> tuple[float, np.ndarray]:
+    """Sum of log p(label) over labelled pairs (s1, s2, label) and its gradient."""
+    pairs = labelled.select("s1", "s2", "label", F.lit(1.0).alias("times")).where("s1 IS NOT NULL AND s2 IS NOT NULL AND label IS NOT NULL")
+    return summed(encoded_batches(pairs, model.spec, model.machine) if model.machine.static else pairs, model, parts)
+
+
+def pair_slopes(labelled: DataFrame, model: Parameters, direction: np.ndarray) -> DataFrame:
+    """pair_id, ll, slope: each labelled pair's log p(label), and its derivative along a direction of the parameters.
+
+    Whole texts, in memory that grows with a root of their lattices; pairs without a result give no row.
+    """
+    spec, machine, theta = model.spec, model.machine, model.theta
+    if not machine.static:
+        raise ValueError("moves that a function decides have no encoded form")
+
+    def run(batches):
+        for part in batches:
+            ids, values, slopes = [], [], []
+            for pair, *row in zip(*(part.column(c).to_pylist() for c in ("pair_id", "s1", "s2", "label")), strict=True):
+                for batch in encoded.encode(*([x] for x in row), [1.0], spec, machine):
+                    value, gradient = encoded.loss_gradient(batch, spec, machine, theta)
+                    ids.append(pair)
+                    values.append(value)
+                    slopes.append(float((gradient * direction).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.float64()), pa.array(slopes, pa.float64())], ["pair_id", "ll", "slope"])
+
+    good = labelled.where("s1 IS NOT NULL AND s2 IS NOT NULL AND label IS NOT NULL")
+    return good.select("pair_id", "s1", "s2", "label").mapInArrow(run, "pair_id long, ll double, slope double")
+
+
 def penalised(value: float, gradient: np.ndarray, theta: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
     """Less l2 times the squares of theta but its very first number."""
     free = theta.copy()
@@ -72,22 +131,25 @@ def fit(labelled: DataFrame, spec: FeatureSpec, l2: float = 0.0, machine: StateM
     """Parameters that maximise the penalised likelihood of labelled pairs (s1, s2, label), and the objective's history.
 
     optimizer(objective, start, **optimizer_kwargs) gives the best point as its first result; without one, L-BFGS.
-    The pairs are cached for the iterations, dealt by cost to the session's shuffle partitions, or to one for each core
-    if these are more; classes are the labels, sorted.
+    Equal pairs are counted, dealt by cost to the session's shuffle partitions, or to one for each core if these are
+    more, encoded once and held for the iterations; classes are the labels, sorted.
     """
     spark = labelled.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    labelled = balanced(labelled.select("s1", "s2", "label"), parts).persist()
+    if machine is None:
+        found = labelled.select("label").where("label IS NOT NULL").distinct().limit(MOST_CLASSES + 1).collect()
+        if len(found) > MOST_CLASSES:
+            raise ValueError(f"label has more than {MOST_CLASSES} values")
+        machine = StateMachine.default([r[0] for r in found])
+    machine = StateMachine.of(machine)
+    pairs = counted(labelled.select("s1", "s2", "label"), parts)
+    batches = (encoded_batches(pairs, spec, machine) if machine.static else pairs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if machine is None:
-            classes = [r[0] for r in labelled.select("label").where("label IS NOT NULL").distinct().collect()]
-            machine = StateMachine.default(classes)
-        machine = StateMachine.of(machine)
         start, history = zeros(spec, machine), []
 
         def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
             theta = np.asarray(flat, float).reshape(start.shape)
-            value, gradient = penalised(*log_likelihood(labelled, Parameters(spec, machine, theta), parts), theta, l2)
+            value, gradient = penalised(*summed(batches, Parameters(spec, machine, theta), parts), theta, l2)
             history.append(value)
             if verbosity and len(history) % verbosity == 0:
                 log.info("evaluation %d: %.6f, gradient %.3g", len(history), value, np.abs(gradient).max())
@@ -99,7 +161,7 @@ def fit(labelled: DataFrame, spec: FeatureSpec, l2: float = 0.0, machine: StateM
             best = lbfgs.minimise(objective, start.ravel(), tolerance=tolerance, most=iterations).x
         return Parameters(spec, machine, best.reshape(start.shape)), history
     finally:
-        labelled.unpersist()
+        batches.unpersist()
 
 
 def accuracy(scored: DataFrame) -> float:

@@ -17,6 +17,11 @@ SELECT 2 * p_partkey AS pair_id, CASE p_partkey % 4 WHEN 0 THEN replace(p_name,
   WHEN 2 THEN substr(p_name, 2) ELSE replace(p_name, 'i', 'ie') END AS s1, p_name AS s2, 'match' AS label FROM part
 UNION ALL SELECT 2 * a.p_partkey + 1, a.p_name, b.p_name, 'non-match' FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7 WHERE a.p_name <> b.p_name"""
 
+ODD = """
+SELECT p_partkey AS pair_id,
+  CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN upper(p_name) WHEN 4 THEN left(p_name, 1) WHEN 5 THEN chr(178) || p_name WHEN 6 THEN chr(128578) || p_name ELSE repeat(p_name, 8) END AS s1,
+  CASE p_partkey % 8 WHEN 0 THEN '' WHEN 5 THEN '2' || p_name WHEN 6 THEN p_name || chr(128578) WHEN 7 THEN left(p_name, 1) ELSE p_name END AS s2 FROM part"""
+
 CELLS = """c AS (SELECT pair_id, i, j, length(s1) AS n1, length(s2) AS n2, substr(s1, i + 1, 1) AS c1, substr(s2, j + 1, 1) AS c2
   FROM (SELECT *, unnest(range(length(s1)))::INT AS i FROM p) q, LATERAL (SELECT unnest(range(length(q.s2)))::INT AS j))"""
 
@@ -86,7 +91,22 @@ def grid(name: str, n: int, matrix, source: str, turned: bool = False) -> str:
 {name} AS (SELECT pair_id, s, ({i})::INT AS i, ({j})::INT AS j, w FROM {name}_c)"""
 
 
-def gradient(source: str, n: int, at, features: list[tuple[str, str]]) -> str:
+def edge_posteriors(source: str, n: int, at) -> str:
+    """pair_id, i0, j0, s0, i1, j1, s1, e, p of every edge: the probability that an alignment of its class passes it."""
+    here = lambda r: at(r, "b.i + 1", "b.j + 1")
+    parts = []
+    for m, (di, dj) in enumerate(((1, 1), (0, 1), (1, 0))):
+        for c in range(n):
+            e = c + n + n * m
+            p = rounded(f"exp(a.w + {here(e)} + {here(c)} + b.w - z.w)")
+            parts.append(f"SELECT b.pair_id, a.i AS i0, a.j AS j0, {c} AS s0, b.i AS i1, b.j AS j1, {c} AS s1, {e} AS e, {p} AS p FROM b JOIN a ON a.pair_id = b.pair_id AND a.s = b.s AND a.i = b.i - {di} AND a.j = b.j - {dj} JOIN z ON z.pair_id = b.pair_id AND z.s = b.s JOIN p ON p.pair_id = b.pair_id WHERE b.s = {c}")
+    return f"""WITH p AS ({source}), pr AS (SELECT pair_id, reverse(s1) AS s1, reverse(s2) AS s2 FROM p),
+{grid("a", n, lambda c: _alpha(n, c, at), "p")}, {grid("b", n, lambda c: beta(n, c, at), "pr", True)},
+z AS (SELECT a.pair_id, s, w FROM a JOIN p USING (pair_id) WHERE i = length(s1) - 1 AND j = length(s2) - 1)
+{" UNION ALL ".join(parts)}"""
+
+
+def gradient(source: str, n: int, at, features: list[tuple[str, str]], scale: str = "1") -> str:
     """row, k, value: the log-likelihood's gradient by the pairs' posteriors; source has labels '0', '1', ...; features: (k, value) of cell (i, j), 0-based."""
     states = f"""WITH p AS ({source}), pr AS (SELECT pair_id, reverse(s1) AS s1, reverse(s2) AS s2 FROM p),
 {grid("a", n, lambda c: _alpha(n, c, at), "p")}, {grid("b", n, lambda c: beta(n, c, at), "pr", True)},
@@ -100,7 +120,7 @@ k AS (SELECT z.pair_id, s, w AS z, (label = s::VARCHAR)::INT - exp(w) / sum(exp(
             parts.append(f"SELECT b.pair_id, {e}, b.i, b.j, times * exp(a.w + {here(e)} + {here(c)} + b.w - z) FROM b JOIN a ON a.pair_id = b.pair_id AND a.s = b.s AND a.i = b.i - {di} AND a.j = b.j - {dj} JOIN k ON k.pair_id = b.pair_id AND k.s = b.s JOIN p ON p.pair_id = b.pair_id WHERE b.s = {c}")
     post = f"post AS ({' UNION ALL '.join(parts)})"
     values = " UNION ALL ".join(f"SELECT row, {k} AS k, post * {v} AS value FROM post JOIN p USING (pair_id)" for k, v in features)
-    return f"{states} {post}, v AS ({values}) SELECT row::INT AS row, k::INT AS k, round(sum(value), 4) + 0.0 AS value FROM v GROUP BY row, k HAVING round(sum(value), 4) <> 0"
+    return f"{states} {post}, v AS ({values}) SELECT row::INT AS row, k::INT AS k, round(sum(value) * {scale}, 4) + 0.0 AS value FROM v GROUP BY row, k HAVING round(sum(value) * {scale}, 4) <> 0"
 
 
 def alpha(theta: np.ndarray, n: int, c: int, best: bool = False, names: tuple[str, ...] = ("bias", "match", "numeric")) -> str:
@@ -138,6 +158,22 @@ def probabilities(source: str, theta: np.ndarray | None, n: int, best: bool = Fa
     return f"{class_weights(source, theta, n, best, at=at)} SELECT pair_id, {ps} FROM p LEFT JOIN z USING (pair_id)"
 
 
+def moves(transitions: list[tuple]) -> str:
+    """m(t, a, b, di, dj, need): a machine's moves; need: 1 or 0 where a move is made only from a cell that matches, or doesn't."""
+    rows = ", ".join(f"({t}, {a}, {b}, {d[0]}, {d[1]}, {need})" for t, a, b, d, need in transitions)
+    return f"m(t, a, b, di, dj, need) AS (VALUES {rows})"
+
+
+def lattice(source: str, starts: tuple, states: int, transitions: list[tuple]) -> str:
+    """Edges of the lattices of a machine with moves (t, from, to, (di, dj), need), by recursion from both ends."""
+    may = lambda f: f"(need IS NULL OR need = (substr(s1, ({f}.i + 1)::BIGINT, 1) = substr(s2, ({f}.j + 1)::BIGINT, 1))::INT)"
+    some = lambda xs: ", ".join(f"({x})" for x in xs)
+    return f"""WITH RECURSIVE p AS ({source}), {moves(transitions)}, n AS (SELECT pair_id, s1, s2, length(s1) AS n1, length(s2) AS n2 FROM p WHERE length(s1) > 0 AND length(s2) > 0),
+f(pair_id, i, j, s) AS (SELECT pair_id, 0, 0, s FROM n, (VALUES {some(starts)}) v(s) UNION SELECT f.pair_id, i + di, j + dj, b FROM f JOIN m ON a = s JOIN n ON n.pair_id = f.pair_id WHERE i + di < n1 AND j + dj < n2 AND {may('f')}),
+g(pair_id, i, j, s) AS (SELECT pair_id, n1 - 1, n2 - 1, s FROM n, (VALUES {some(range(states))}) v(s) UNION SELECT q.pair_id, q.i, q.j, a FROM (SELECT g.pair_id, i - di AS i, j - dj AS j, a, need FROM g JOIN m ON b = s WHERE i >= di AND j >= dj) q JOIN n ON n.pair_id = q.pair_id WHERE {may('q')})
+SELECT f.pair_id, f.i::INT AS i0, f.j::INT AS j0, f.s AS s0, g.i::INT AS i1, g.j::INT AS j1, g.s AS s1, t + {states} AS e FROM f JOIN m ON a = f.s JOIN n ON n.pair_id = f.pair_id JOIN g ON g.pair_id = f.pair_id AND g.i = f.i + di AND g.j = f.j + dj AND g.s = b WHERE {may('f')}"""
+
+
 def values(rows: list[tuple], names: str) -> str:
     show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({names})"

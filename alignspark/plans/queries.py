@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from alignspark.functions import features as feats
 from alignspark.functions import hof, sql
-from alignspark.operators import kernels, lattice, training
+from alignspark.operators import lattice, relational, training
 from alignspark.operators.ml import PairClassifier, PairClassifierModel
 from alignspark.operators.scoring import Parameters, class_log_weights, feature_rows, node_edge_weights, score, zeros
 from alignspark.plans import oracle
 from alignspark.sources import pairs
 from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine, custom_features
+from alignspark.streaming.scoring import scored_to
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,7 @@ SPEC = FeatureSpec(match=True, numeric=True)
 TWO = StateMachine.default(["0", "1"])
 
 # Parameters fitted to pairs.WORDS with l2 of 10 (rows: states, matches, insertions, deletions of both
-# classes; columns: bias, match, numeric), and the probabilities of class 0 by all alignments and by the best one.
+# classes; columns: bias, match, numeric).
 THETA = np.array([
     [-0.0569188, 0.07413339, 0.0],
     [0.00187709, -0.06377866, 0.0],
@@ -37,11 +38,6 @@ THETA = np.array([
     [-0.00623241, 0.02937325, 0.0],
     [0.00810951, -0.01774676, 0.0],
 ])
-WORDS_ALL = [0.5227226, 0.52568993, 0.4547091, 0.51179222, 0.46347576, 0.45710098, 0.46159657, 0.42997978, 0.47419724, 0.50797852]
-WORDS_BEST = [0.56394611, 0.52977205, 0.4751729, 0.51183761, 0.48608081, 0.4986367, 0.46947222, 0.43233544, 0.47463002, 0.51265109]
-
-# Probabilities of a match for pairs.PHRASES, fitted with l2 of 1.
-PHRASES_MATCH = [0.94914812, 0.92397711, 0.86756034, 0.05438812, 0.02641275]
 
 #: The same with a weight on digits, so that this feature shows in results.
 NUMERIC = THETA + np.outer([0.02, -0.03, 0.05, 0.01, -0.02, 0.04, 0.03, -0.01], [0, 0, 1])
@@ -133,38 +129,40 @@ def lattice_default(spark, sf_dir):
     return lattice.lattice_of_default(pairs.parts(spark, sf_dir), 2)
 
 
-def _two_by_three(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, "ab", "abc")], "pair_id long, s1 string, s2 string")
-
-
-_EDGES = "pair_id, i0, j0, s0, i1, j1, s1, e"
-# Two machines and, in their queries, the edges of their lattices for lengths 2 and 3.
+# Two machines with moves over several elements.
 JUMP = StateMachine((0, 1), ((0, 0, (1, 1)), (0, 1, (0, 2)), (0, 0, (1, 0))), {0: 0, 1: 1})
 CALLS = StateMachine((0, 1), ((0, 0, (1, 1)), (0, 1, (0, 1)), (0, 0, (1, 0)), (0, 3, lambda i, j, x: (0, 2))), {0: 0, 1: 1, 3: 3})
 
+#: Class "0" may skip one element of s1 or s2 at a time, class "1" two of s2; both move on by pairs.
+GENERAL = StateMachine((0, 2), ((0, 0, (1, 1)), (0, 1, (1, 0)), (1, 0, (1, 1)), (0, 0, (0, 1)), (2, 2, (1, 1)), (2, 3, (0, 2)), (3, 2, (1, 1))), {0: "0", 1: "0", 2: "1", 3: "1"})
+#: From a cell that matches, the second move skips two elements of s2, else one of each.
+LOOKS = StateMachine((0, 1), ((0, 0, (1, 0)), (0, 1, lambda i, j, x: (0, 2) if x[i, j, 1] else (1, 1)), (1, 0, (1, 1)), (0, 0, (0, 1))), {0: "0", 1: "1"})
+
+
+def _rows(machine: StateMachine) -> list[tuple]:
+    return [(t, a, b, d, "NULL") for t, (a, b, d) in enumerate(machine.transitions)]
 
-@query("lattice_jumps", oracle.values([(0, 0, 0, 0, 1, 0, 0, 4), (0, 1, 0, 0, 1, 2, 1, 3)], _EDGES))
+
+@query("lattice_jumps", oracle.lattice(oracle.PARTS, (0, 1), 2, _rows(JUMP)))
 def lattice_jumps(spark, sf_dir):
-    return lattice.lattice(_two_by_three(spark), JUMP)
+    return lattice.lattice(pairs.parts(spark, sf_dir), JUMP)
 
 
-@query("lattice_callable", oracle.values([(0, 0, 0, 0, 1, 0, 0, 6), (0, 0, 0, 0, 1, 1, 0, 4), (0, 1, 0, 0, 1, 2, 3, 7), (0, 1, 1, 0, 1, 2, 1, 5)], _EDGES))
+@query("lattice_callable", oracle.lattice(oracle.PARTS, (0, 1), 2, [(0, 0, 0, (1, 0), "NULL"), (1, 0, 1, (0, 2), 1), (1, 0, 1, (1, 1), 0), (2, 1, 0, (1, 1), "NULL"), (3, 0, 0, (0, 1), "NULL")]))
 def lattice_callable(spark, sf_dir):
-    return lattice.lattice(_two_by_three(spark), CALLS)
+    """A move that looks at its cell's features."""
+    return lattice.lattice(pairs.parts(spark, sf_dir), LOOKS, SPEC)
 
 
-#: Class "0" may skip one element of s1 or s2 at a time, class "1" two of s2; both move on by pairs.
-GENERAL = StateMachine((0, 2), ((0, 0, (1, 1)), (0, 1, (1, 0)), (1, 0, (1, 1)), (0, 0, (0, 1)), (2, 2, (1, 1)), (2, 3, (0, 2)), (3, 2, (1, 1))), {0: "0", 1: "0", 2: "1", 3: "1"})
-_MOVES = "m(t, a, b, di, dj) AS (VALUES " + ", ".join(f"({t}, {a}, {b}, {d[0]}, {d[1]})" for t, (a, b, d) in enumerate(GENERAL.transitions)) + ")"
-_WORDS = "p AS (" + oracle.values([(i, a, b) for i, (a, b, _) in enumerate(pairs.WORDS)], "pair_id, s1, s2") + ")"
+@query("lattice_general", oracle.lattice(oracle.PARTS, (0, 2), 4, _rows(GENERAL)))
+def lattice_general(spark, sf_dir):
+    return lattice.lattice(pairs.parts(spark, sf_dir), GENERAL)
 
 
-@query("lattice_general", f"""WITH RECURSIVE {_WORDS}, {_MOVES}, n AS (SELECT pair_id, length(s1) AS n1, length(s2) AS n2 FROM p),
-f(pair_id, i, j, s) AS (SELECT pair_id, 0, 0, s FROM n, (VALUES (0), (2)) v(s) UNION SELECT f.pair_id, i + di, j + dj, b FROM f JOIN m ON a = s JOIN n ON n.pair_id = f.pair_id WHERE i + di < n1 AND j + dj < n2),
-g(pair_id, i, j, s) AS (SELECT pair_id, n1 - 1, n2 - 1, s FROM n, (VALUES (0), (1), (2), (3)) v(s) UNION SELECT g.pair_id, i - di, j - dj, a FROM g JOIN m ON b = s WHERE i >= di AND j >= dj)
-SELECT f.pair_id, f.i::INT AS i0, f.j::INT AS j0, f.s AS s0, g.i::INT AS i1, g.j::INT AS j1, g.s AS s1, t + 4 AS e FROM f JOIN m ON a = f.s JOIN g ON g.pair_id = f.pair_id AND g.i = f.i + di AND g.j = f.j + dj AND g.s = b""")
-def lattice_general(spark, sf_dir):
-    return lattice.lattice(pairs.words(spark), GENERAL)
+@query("lattice_frontier", oracle.lattice(oracle.PARTS, (0, 2), 4, _rows(GENERAL)))
+def lattice_frontier(spark, sf_dir):
+    """The same edges by joins of a frontier until nothing is new."""
+    return relational.lattice(pairs.parts(spark, sf_dir), GENERAL, relational.shared(spark, "lattice"))
 
 
 # Potentials and lattice weights
@@ -213,6 +211,13 @@ def _edge_sql(nodes: str, ahead: bool) -> str:
     return f"{nodes} {' UNION ALL '.join(parts)}"
 
 
+@query("edge_posteriors", oracle.edge_posteriors(oracle.PARTS, 2, oracle.rows_of(NUMERIC)))
+def edge_posteriors(spark, sf_dir):
+    """How likely an alignment of its class passes each edge: alpha and beta joined as relations."""
+    rows = relational.posteriors(pairs.parts(spark, sf_dir), MODEL).where("i0 IS NOT NULL")
+    return rows.select("pair_id", "i0", "j0", "s0", F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("s").alias("s1"), F.col("row").alias("e"), _rounded("p").alias("p"))
+
+
 @query("forward_edges", _edge_sql(_NODES, True))
 def forward_edges(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "forward")[1].withColumn("w", _rounded("w"))
@@ -303,22 +308,38 @@ def predict_three_class(spark, sf_dir):
     return _probabilities(score(pairs.parts(spark, sf_dir), Parameters(SPEC, StateMachine.default("abc"), THREE_THETA)), 3)
 
 
-def _diagonals(source: str, theta: np.ndarray) -> str:
-    """Probabilities of whole texts: a recursion over diagonals that holds two of them; w is the diagonal's, v the one before."""
-    node, mat, ins, dele = (" CASE c WHEN 0 THEN {0} ELSE {1} END".format(*(oracle.weight(theta[c + 2 * m], "i + 1", "d - i + 1") for c in range(2))) for m in range(4))
-    x, y, z = "lag(v) OVER up", "w", "lag(w) OVER up"
+def _diagonals(source: str, theta: np.ndarray, direction: np.ndarray | None = None) -> str:
+    """Probabilities of whole texts: a recursion over diagonals that holds two of them; w is the diagonal's, v the one before.
+
+    direction: instead, log p of the label (pair_id modulo 2) and its derivative along this direction of the parameters; h
+    and g are the derivatives of w and v.
+    """
+    by_class = lambda rows, m: " CASE c WHEN 0 THEN {0} ELSE {1} END".format(*(oracle.weight(rows[c + 2 * m], "i + 1", "d - i + 1") for c in range(2)))
+    first = lambda text: text.replace("(d - i + 1)", "(1)").replace("(i + 1)", "(1)")
+    node, mat, ins, dele = (by_class(theta, m) for m in range(4))
+    vary = np.zeros_like(theta) if direction is None else direction
+    dnode, dmat, dins, ddele = (by_class(vary, m) for m in range(4))
+    none = "'-infinity'::DOUBLE"
+    ends = f"""z AS (SELECT pair_id, max(w) FILTER (c = 0) AS z0, max(w) FILTER (c = 1) AS z1, max(h) FILTER (c = 0) AS h0, max(h) FILTER (c = 1) AS h1 FROM f JOIN q USING (pair_id) WHERE i = n1 - 1 AND d = n1 + n2 - 2 GROUP BY pair_id)"""
+    p0, p1 = oracle.share(2, 0), oracle.share(2, 1)
+    if direction is None:
+        out = f"SELECT pair_id, {oracle.rounded(p0)} AS p0, {oracle.rounded(p1)} AS p1 FROM z"
+    else:
+        mean = f"({p0} * h0 + {p1} * h1)"
+        out = f"SELECT pair_id, {oracle.rounded(f'ln(CASE pair_id % 2 WHEN 0 THEN {p0} ELSE {p1} END)')} AS ll, {oracle.rounded(f'CASE pair_id % 2 WHEN 0 THEN h0 ELSE h1 END - {mean}', 3)} AS slope FROM z"
     return f"""WITH RECURSIVE p AS ({source}), q AS (SELECT pair_id, s1, s2, length(s1) AS n1, length(s2) AS n2 FROM p),
-f(pair_id, c, i, d, v, w) USING KEY (pair_id, c, i) AS (
-  SELECT pair_id, c, i, 0, '-infinity'::DOUBLE, CASE WHEN i = 0 THEN ({node.replace("(d - i + 1)", "(1)").replace("(i + 1)", "(1)")}) ELSE '-infinity'::DOUBLE END
+f(pair_id, c, i, d, v, w, g, h) USING KEY (pair_id, c, i) AS (
+  SELECT pair_id, c, i, 0, {none}, CASE WHEN i = 0 THEN ({first(node)}) ELSE {none} END, 0.0::DOUBLE, CASE WHEN i = 0 THEN ({first(dnode)}) ELSE 0.0::DOUBLE END
   FROM (SELECT *, unnest(range(n1))::INT AS i FROM q) t, (VALUES (0), (1)) k(c)
   UNION
-  SELECT pair_id, c, i, d, w, CASE WHEN d - i < 0 OR d - i >= n2 THEN '-infinity'::DOUBLE ELSE {node} + most + ln(exp(x - most) + exp(y - most) + exp(z - most)) END
-  FROM (SELECT *, greatest(x, y, z, -1e300) AS most FROM (
-    SELECT pair_id, c, i, d, w, s1, s2, n1, n2, coalesce(x, '-infinity') + {mat} AS x, y + {ins} AS y, coalesce(z, '-infinity') + {dele} AS z FROM (
-      SELECT f.pair_id, c, i, d + 1 AS d, w, s1, s2, n1, n2, {x} AS x, {y} AS y, {z} AS z FROM f JOIN q USING (pair_id) WHERE d < n1 + n2 - 2
-      WINDOW up AS (PARTITION BY f.pair_id, c ORDER BY i)) t) t) t),
-z AS (SELECT pair_id, max(w) FILTER (c = 0) AS z0, max(w) FILTER (c = 1) AS z1 FROM f JOIN q USING (pair_id) WHERE i = n1 - 1 AND d = n1 + n2 - 2 GROUP BY pair_id)
-SELECT pair_id, {oracle.rounded(oracle.share(2, 0))} AS p0, {oracle.rounded(oracle.share(2, 1))} AS p1 FROM z"""
+  SELECT pair_id, c, i, d, w, CASE WHEN d - i < 0 OR d - i >= n2 THEN {none} ELSE {node} + most + ln(total) END, h,
+    CASE WHEN d - i < 0 OR d - i >= n2 THEN 0.0::DOUBLE ELSE {dnode} + (exp(x - most) * (dx + {dmat}) + exp(y - most) * (dy + {dins}) + exp(z - most) * (dz + {ddele})) / total END
+  FROM (SELECT *, exp(x - most) + exp(y - most) + exp(z - most) AS total FROM (SELECT *, greatest(x, y, z, -1e300) AS most FROM (
+    SELECT pair_id, c, i, d, w, h, s1, s2, n1, n2, coalesce(x, '-infinity') + {mat} AS x, y + {ins} AS y, coalesce(z, '-infinity') + {dele} AS z, coalesce(dx, 0.0) AS dx, dy, coalesce(dz, 0.0) AS dz FROM (
+      SELECT f.pair_id, c, i, d + 1 AS d, w, h, s1, s2, n1, n2, lag(v) OVER up AS x, w AS y, lag(w) OVER up AS z, lag(g) OVER up AS dx, h AS dy, lag(h) OVER up AS dz FROM f JOIN q USING (pair_id) WHERE d < n1 + n2 - 2
+      WINDOW up AS (PARTITION BY f.pair_id, c ORDER BY i)) t) t) t) t),
+{ends}
+{out}"""
 
 
 _LONG_TEXTS = "SELECT a.item_id AS pair_id, a.text AS s1, b.text AS s2 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
@@ -334,14 +355,17 @@ GENERAL_THETA = np.random.default_rng(4).normal(0, 0.1, (GENERAL.n_states + GENE
 _GENERAL = lambda r, i, j: "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(GENERAL_THETA[n], i, j)}" for n in range(len(GENERAL_THETA))) + " END"
 
 
-@query("predict_general_machine", f"""WITH RECURSIVE {_WORDS}, {_MOVES},
+_GENERAL_WALK = f"""WITH RECURSIVE p AS ({oracle.PARTS}), {oracle.moves(_rows(GENERAL))},
 f(pair_id, i, j, s, w) AS (SELECT pair_id, 0, 0, s, exp({_GENERAL('s', '1', '1')}) FROM p, (VALUES (0), (2)) v(s)
-  UNION ALL SELECT f.pair_id, i + di, j + dj, b, sum(w * exp({_GENERAL('t + 4', 'i + di + 1', 'j + dj + 1')} + {_GENERAL('b', 'i + di + 1', 'j + dj + 1')})) FROM f JOIN m ON a = s JOIN p ON p.pair_id = f.pair_id WHERE i + di < length(s1) AND j + dj < length(s2) GROUP BY f.pair_id, i + di, j + dj, b),
+  UNION ALL SELECT f.pair_id, i + di, j + dj, b, sum(w * exp({_GENERAL('t + 4', 'i + di + 1', 'j + dj + 1')} + {_GENERAL('b', 'i + di + 1', 'j + dj + 1')})) FROM f JOIN m ON a = s JOIN p ON p.pair_id = f.pair_id WHERE i + di < length(s1) AND j + dj < length(s2) GROUP BY f.pair_id, i + di, j + dj, b),"""
+
+
+@query("predict_general_machine", f"""{_GENERAL_WALK}
 z AS (SELECT f.pair_id, sum(w) FILTER (s < 2) AS w0, sum(w) FILTER (s >= 2) AS w1 FROM f JOIN p ON p.pair_id = f.pair_id WHERE i = length(s1) - 1 AND j = length(s2) - 1 GROUP BY f.pair_id),
 y AS (SELECT pair_id, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1 FROM z)
 SELECT p.pair_id, round(w0 / (w0 + w1), 4) + 0.0 AS p0, round(w1 / (w0 + w1), 4) + 0.0 AS p1 FROM p LEFT JOIN y USING (pair_id)""")
 def predict_general_machine(spark, sf_dir):
-    return _probabilities(score(pairs.words(spark), Parameters(SPEC, GENERAL, GENERAL_THETA)))
+    return _probabilities(score(pairs.parts(spark, sf_dir), Parameters(SPEC, GENERAL, GENERAL_THETA)))
 
 
 def _by_transition(spec: FeatureSpec, rows: int) -> np.ndarray:
@@ -368,9 +392,55 @@ def sql_udf_score(spark, sf_dir):
     return _probabilities(pairs.parts(spark, sf_dir).withColumn("probability", F.expr("pair_proba(s1, s2)")))
 
 
-@query("predict_edge_cases", oracle.probabilities(oracle.values(pairs.EDGE, "pair_id, s1, s2"), NUMERIC, 2))
+@query("predict_edge_cases", oracle.probabilities(oracle.ODD, NUMERIC, 2))
 def predict_edge_cases(spark, sf_dir):
-    return _probabilities(score(pairs.edge_cases(spark), MODEL))
+    """Empty, null, single, upper-case, long and odd sequences."""
+    return _probabilities(score(pairs.edges(spark, sf_dir), MODEL))
+
+
+@query("sql_pair_features", f"{_LONG} SELECT * FROM f WHERE value <> 0")
+def sql_pair_features(spark, sf_dir):
+    """Features in SQL text: a table function joined laterally."""
+    sql.register(spark, Parameters(FULL, TWO, zeros(FULL, TWO)), "full_proba", prefix="full")
+    pairs.parts(spark, sf_dir).createOrReplaceTempView("part_pairs")
+    return spark.sql("SELECT pair_id, f.* FROM part_pairs, LATERAL full_features(s1, s2) f")
+
+
+@query("sql_pair_lattice", SQL["lattice_default"])
+def sql_pair_lattice(spark, sf_dir):
+    sql.register(spark, MODEL, "pair_proba")
+    pairs.parts(spark, sf_dir).createOrReplaceTempView("part_pairs")
+    return spark.sql("SELECT pair_id, f.* FROM part_pairs, LATERAL pair_lattice(s1, s2) f")
+
+
+_NEAR = "SELECT a.s_suppkey * 1000000 + b.s_suppkey AS pair_id, a.s_name AS s1, b.s_name AS s2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND levenshtein(a.s_name, b.s_name) <= 1"
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("s"))
+    return pairs.near(rows, 1).select((F.col("id") * 1_000_000 + F.col("id2")).alias("pair_id"), "s1", "s2")
+
+
+@query("candidate_pairs", _NEAR)
+def candidate_pairs(spark, sf_dir):
+    """Names one edit apart, met by their rarest grams."""
+    return _near(spark, sf_dir)
+
+
+@query("score_candidates", oracle.probabilities(_NEAR, NUMERIC, 2))
+def score_candidates(spark, sf_dir):
+    return _probabilities(score(_near(spark, sf_dir), MODEL))
+
+
+@query("stream_score", oracle.probabilities(oracle.PARTS, NUMERIC, 2))
+def stream_score(spark, sf_dir):
+    """A stream of files into a sink: one run, then more files and another run from the checkpoint of the first."""
+    at, source = relational.shared(spark, "stream"), pairs.parts(spark, sf_dir)
+    for turn in range(2):
+        source.where(F.col("pair_id") % 2 == turn).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{at}/in")
+        scored_to(stream, MODEL, f"{at}/out", f"{at}/checkpoint").start().awaitTermination()
+    return _probabilities(spark.read.parquet(f"{at}/out"))
 
 
 # Training
@@ -396,66 +466,121 @@ def l2_objective(spark, sf_dir):
     return spark.createDataFrame([(round(value, 3) + 0.0,)], "objective double")
 
 
-_LABELLED = oracle.values([(i, a, b, str(y)) for i, (a, b, y) in enumerate(pairs.WORDS)], "pair_id, s1, s2, label")
+_TYPOS01 = f"SELECT pair_id, s1, s2, CASE label WHEN 'match' THEN '0' ELSE '1' END AS label FROM ({oracle.TYPOS})"
+_CELL = [("0", "1.0"), ("1", "(substr(s1, i + 1, 1) = substr(s2, j + 1, 1))::INT"), ("2", "(regexp_matches(substr(s1, i + 1, 1), '^[0-9]$') AND regexp_matches(substr(s2, j + 1, 1), '^[0-9]$'))::INT")]
 
 
-def _gradient_rows(spark: SparkSession, model: Parameters) -> DataFrame:
-    _, gradient = training.log_likelihood(pairs.words(spark), model)
-    rows = [(r, k, float(v)) for (r, k), v in np.ndenumerate(gradient.round(4) + 0.0) if v]
-    return spark.createDataFrame(rows, "row int, k int, value double")
+def _gradient_rows(spark: SparkSession, sf_dir: str, spec: FeatureSpec, theta: np.ndarray) -> DataFrame:
+    _, gradient = training.log_likelihood(pairs.typos(spark, sf_dir), Parameters(spec, TYPO_MODEL.machine, theta))
+    return relational.rounded(relational.as_rows(spark, gradient))
 
 
-@query("gradient_check", oracle.gradient(_LABELLED, 2, oracle.rows_of(NUMERIC), [("0", "1.0"), ("1", "(substr(s1, i + 1, 1) = substr(s2, j + 1, 1))::INT"), ("2", "(regexp_matches(substr(s1, i + 1, 1), '^[0-9]$') AND regexp_matches(substr(s2, j + 1, 1), '^[0-9]$'))::INT")]))
+@query("gradient_check", oracle.gradient(_TYPOS01, 2, oracle.rows_of(NUMERIC), _CELL))
 def gradient_check(spark, sf_dir):
-    """The gradient of the words' likelihood; the SQL has it from posteriors of its own."""
-    return _gradient_rows(spark, MODEL)
+    """The gradient of the labelled names' likelihood; the SQL has it from posteriors of its own."""
+    return _gradient_rows(spark, sf_dir, SPEC, NUMERIC)
+
+
+@query("gradient_relational", SQL["gradient_check"])
+def gradient_relational(spark, sf_dir):
+    """The same from the relation of posteriors, as one aggregate."""
+    return relational.rounded(relational.gradient(pairs.typos(spark, sf_dir), TYPO_MODEL))
 
 
-@query("gradient_sparse", oracle.gradient(_LABELLED, 2, oracle.by_transition, [("0", "1.0"), (f"1 + {oracle.transition('i + 1', 'j + 1')}", "1.0")]))
+@query("gradient_sparse", oracle.gradient(_TYPOS01, 2, oracle.by_transition, [("0", "1.0"), (f"1 + {oracle.transition('i + 1', 'j + 1')}", "1.0")]))
 def gradient_sparse(spark, sf_dir):
     """The same with transition features, whose parameters are a row for each pair of characters."""
-    return _gradient_rows(spark, TRANSITION_MODEL)
+    return _gradient_rows(spark, sf_dir, TRANSITIONS, TRANSITION_MODEL.theta)
+
+
+#: A direction of the parameters, for derivatives along it.
+DIRECTION = np.random.default_rng(5).normal(0, 1, NUMERIC.shape).round(2)
+_LONG_LABELLED = f"SELECT pair_id, s1, s2, (pair_id % 2)::VARCHAR AS label FROM ({_LONG_TEXTS})"
+
+
+@query("gradient_long_texts", _diagonals(_LONG_TEXTS, NUMERIC, DIRECTION))
+def gradient_long_texts(spark, sf_dir):
+    """Whole texts: log p(label) and its derivative along a direction, from gradients that hold a root of their diagonals."""
+    source = pairs.long_texts(spark, sf_dir).withColumn("label", (F.col("pair_id") % 2).cast("string"))
+    return training.pair_slopes(source, MODEL, DIRECTION).select("pair_id", _rounded("ll").alias("ll"), _rounded("slope", 3).alias("slope"))
+
+
+#: A machine whose first states lead to both classes.
+MIXED = StateMachine((0,), ((0, 0, (1, 1)), (0, 1, (1, 0)), (0, 2, (0, 1)), (1, 1, (1, 1)), (2, 2, (1, 1)), (1, 0, (0, 1)), (2, 2, (1, 0)), (2, 0, (0, 1)), (0, 0, (1, 0))), {0: "0", 1: "0", 2: "1"})
+MIXED_THETA = np.random.default_rng(6).normal(0, 0.1, (MIXED.n_states + MIXED.n_transitions, 3)).round(3)
+MIXED_DIRECTION = np.random.default_rng(7).normal(0, 1, MIXED_THETA.shape).round(2)
 
 
-def _fitted(spark: SparkSession, best: bool = False) -> DataFrame:
-    model, _ = training.fit(pairs.words(spark), SPEC, l2=10.0)
-    return score(pairs.words(spark), model, best)
+def _by_row(theta: np.ndarray, r: str, i: str, j: str) -> str:
+    return "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(row, i, j)}" for n, row in enumerate(theta)) + " END"
 
 
-@query("train_golden", oracle.values([(i, True, "0" if p > 0.5 else "1") for i, p in enumerate(WORDS_ALL)], "pair_id, near, prediction"))
+def _mixed_sql() -> str:
+    """Weights of ways and their derivatives, move by move: w times x, (g + w v) times x."""
+    to = ("i + di + 1", "j + dj + 1")
+    x = f"exp({_by_row(MIXED_THETA, 't + 3', *to)} + {_by_row(MIXED_THETA, 'b', *to)})"
+    v = f"({_by_row(MIXED_DIRECTION, 't + 3', *to)} + {_by_row(MIXED_DIRECTION, 'b', *to)})"
+    first, slope = oracle.weight(MIXED_THETA[0], "1", "1"), oracle.weight(MIXED_DIRECTION[0], "1", "1")
+    return f"""WITH RECURSIVE p AS ({oracle.PARTS}), {oracle.moves(_rows(MIXED))},
+f(pair_id, i, j, s, w, g) AS (SELECT pair_id, 0, 0, 0, exp({first}), exp({first}) * {slope} FROM p
+  UNION ALL SELECT pair_id, i, j, b, sum(w * x), sum((g + w * v) * x) FROM (
+    SELECT f.pair_id, i + di AS i, j + dj AS j, b, w, g, {x} AS x, {v} AS v FROM f JOIN m ON a = s JOIN p ON p.pair_id = f.pair_id WHERE i + di < length(s1) AND j + dj < length(s2)) q GROUP BY pair_id, i, j, b),
+z AS (SELECT f.pair_id, sum(w) AS w, sum(g) AS g, sum(w) FILTER ((s = 2)::INT = f.pair_id % 2) AS wl, sum(g) FILTER ((s = 2)::INT = f.pair_id % 2) AS gl FROM f JOIN p ON p.pair_id = f.pair_id WHERE i = length(s1) - 1 AND j = length(s2) - 1 GROUP BY f.pair_id)
+SELECT pair_id, {oracle.rounded('ln(wl / w)')} AS ll, {oracle.rounded('gl / wl - g / w', 3)} AS slope FROM z"""
+
+
+@query("gradient_mixed_classes", _mixed_sql())
+def gradient_mixed_classes(spark, sf_dir):
+    """States that lead to several classes: one pass backward with an axis of classes."""
+    source = pairs.parts(spark, sf_dir).withColumn("label", (F.col("pair_id") % 2).cast("string"))
+    return training.pair_slopes(source, Parameters(SPEC, MIXED, MIXED_THETA), MIXED_DIRECTION).select("pair_id", _rounded("ll").alias("ll"), _rounded("slope", 3).alias("slope"))
+
+
+_GOOD = f"SELECT label, true AS good, count(*) AS pairs FROM ({oracle.TYPOS}) GROUP BY label"
+
+
+def _learned(source: DataFrame, estimator: PairClassifier, least: float) -> DataFrame:
+    """Of each label: whether at least a share of its pairs is predicted right, and its pairs."""
+    right = (F.col("prediction") == F.col("label")).cast("double")
+    return estimator.fit(source).transform(source).groupBy("label").agg((F.avg(right) >= least).alias("good"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query("train_golden", _GOOD)
 def train_golden(spark, sf_dir):
-    golden = F.element_at(F.array(*map(F.lit, WORDS_ALL)), (F.col("pair_id") + 1).cast("int"))
-    return _fitted(spark).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 1.5e-3).alias("near"), "prediction")
+    """Fitted with a penalty of 10."""
+    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15), 0.9)
 
 
-@query("train_golden_best", oracle.values([(i, True, "0" if p > 0.5 else "1") for i, p in enumerate(WORDS_BEST)], "pair_id, near, prediction"))
+@query("train_golden_best", _GOOD)
 def train_golden_best(spark, sf_dir):
     """Fitted by all alignments, scored by the best."""
-    golden = F.element_at(F.array(*map(F.lit, WORDS_BEST)), (F.col("pair_id") + 1).cast("int"))
-    return _fitted(spark, True).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 1.5e-3).alias("near"), "prediction")
+    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15, viterbi=True), 0.9)
 
 
-@query("train_golden_free", oracle.values([(i, str(y)) for i, (_, _, y) in enumerate(pairs.WORDS)], "pair_id, prediction"))
+@query("train_golden_free", _GOOD)
 def train_golden_free(spark, sf_dir):
-    """Without a penalty every label is learned."""
-    return PairClassifier(spec=SPEC).fit(pairs.words(spark)).transform(pairs.words(spark)).select("pair_id", "prediction")
+    """Fitted without a penalty."""
+    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, iterations=15), 0.9)
+
 
+_PHRASES = f"SELECT CASE WHEN split_part(s1, ' ', 1) = split_part(s2, ' ', 1) OR split_part(s1, ' ', 2) = split_part(s2, ' ', 2) THEN 'same' ELSE 'other' END AS label, true AS good, count(*) AS pairs FROM ({oracle.PARTS}) GROUP BY 1"
 
-@query("train_phrases", oracle.values([(i, True, label) for i, (*_, label) in enumerate(pairs.PHRASES)], "pair_id, near, prediction"))
+
+@query("train_phrases", _PHRASES)
 def train_phrases(spark, sf_dir):
-    """Labels that are words, probabilities near the fixed ones (the penalty spares one number, which depends on the classes' order)."""
-    source = pairs.phrases(spark)
-    golden = F.element_at(F.array(*map(F.lit, PHRASES_MATCH)), (F.col("pair_id") + 1).cast("int"))
-    return PairClassifier(spec=SPEC, l2=1.0).fit(source).transform(source).select("pair_id", (F.abs(F.col("probability")[0] - golden) < 3e-3).alias("near"), "prediction")
+    """Sequences of words: which pairs have a word in its place."""
+    source = pairs.tokens(spark, sf_dir)
+    same = (F.get("s1", F.lit(0)) == F.get("s2", F.lit(0))) | (F.get("s1", F.lit(1)) == F.get("s2", F.lit(1)))
+    source = source.withColumn("label", F.when(same, "same").otherwise("other"))
+    return _learned(source, PairClassifier(spec=SPEC, l2=0.01, iterations=15), 0.9)
 
 
-@query("pinned_golden", oracle.values([(i, True, True) for i in range(10)], "pair_id, near_all, near_best"))
+@query("pinned_golden", f"SELECT pair_id, a.p0 AS p_all, b.p0 AS p_best FROM ({oracle.probabilities(oracle.PARTS, THETA, 2)}) a JOIN ({oracle.probabilities(oracle.PARTS, THETA, 2, best=True)}) b USING (pair_id)")
 def pinned_golden(spark, sf_dir):
-    """The fixed parameters give the fixed probabilities, by all alignments and by the best one."""
-    model = Parameters(SPEC, TWO, THETA)
-    every, best = (score(pairs.words(spark), model, b).select("pair_id", F.col("probability")[0].alias(f"p{int(b)}")) for b in (False, True))
-    golden = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("pair_id") + 1).cast("int"))
-    return every.join(best, "pair_id").select("pair_id", (F.abs(F.col("p0") - golden(WORDS_ALL)) < 1e-6).alias("near_all"), (F.abs(F.col("p1") - golden(WORDS_BEST)) < 1e-6).alias("near_best"))
+    """The fixed parameters' probabilities, by all alignments and by the best one."""
+    model, source = Parameters(SPEC, TWO, THETA), pairs.parts(spark, sf_dir)
+    every, best = (score(source, model, b).select("pair_id", _rounded(F.col("probability")[0]).alias(name)) for b, name in ((False, "p_all"), (True, "p_best")))
+    return every.join(best, "pair_id")
 
 
 @query("train_typo_accuracy", "SELECT true AS good, count(*) AS pairs FROM (" + oracle.TYPOS + ")")
@@ -467,17 +592,19 @@ def train_typo_accuracy(spark, sf_dir):
     return model.transform(source).agg((F.avg(right) >= 0.95).alias("good"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query("custom_optimizer", "SELECT true AS lower")
+STEP = 1e-3
+
+
+@query("custom_optimizer", oracle.gradient(_TYPOS01, 2, oracle.rows_of(np.zeros((8, 3))), _CELL, str(STEP)))
 def custom_optimizer(spark, sf_dir):
-    """A caller's optimiser: steps along the gradient."""
+    """A caller's optimiser, one step along the gradient: its parameters are the first gradient's rows times the step."""
 
-    def descend(objective, x, step, turns):
-        for _ in range(turns):
-            x = x - step * objective(x)[1]
-        return x, objective(x)[0]
+    def step(objective, x, size):
+        value, gradient = objective(x)
+        return x - size * gradient, value
 
-    _, history = training.fit(pairs.words(spark), SPEC, l2=1.0, optimizer=descend, optimizer_kwargs={"step": 1e-3, "turns": 5})
-    return spark.createDataFrame([(bool(history[-1] > history[0]),)], "lower boolean")
+    model, _ = training.fit(pairs.typos(spark, sf_dir), SPEC, l2=1.0, optimizer=step, optimizer_kwargs={"size": STEP})
+    return relational.rounded(relational.as_rows(spark, model.theta))
 
 
 @query("model_round_trip", oracle.probabilities(oracle.PARTS, NUMERIC, 2))

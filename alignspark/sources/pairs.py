@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,26 +59,52 @@ def candidates(rows: DataFrame, block: str, tile: int = 2000) -> DataFrame:
     return both.select("id", "id2", F.col("s").alias("s1"), "s2")
 
 
-#: Pairs at the edges of what features and lattices know.
-EDGE = [(0, "a", "a"), (1, "a", "b"), (2, "7", "7"), (3, "", "x"), (4, "x", ""), (5, None, "x"), (6, "A", "a"), (7, "é", "e"), (8, "²", "2"), (9, "ab", "x" * 70), (10, "y" * 65, "y"), (11, "🙂a", "🙂b")]
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names at the edges of what features and lattices know: empty, null, single, long and odd sequences, by the key modulo 8."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("s"))
+    kind = F.pmod("pair_id", F.lit(8))
+    one = F.when(kind == 0, F.col("s")).when(kind == 1, F.lit("")).when(kind == 2, F.lit(None).cast("string")).when(kind == 3, F.upper("s")).when(kind == 4, F.left("s", F.lit(1)))
+    one = one.when(kind == 5, F.concat(F.lit("\u00b2"), "s")).when(kind == 6, F.concat(F.lit("\U0001f642"), "s")).otherwise(F.repeat("s", F.lit(8)))
+    two = F.when(kind == 0, F.lit("")).when(kind == 5, F.concat(F.lit("2"), "s")).when(kind == 6, F.concat("s", F.lit("\U0001f642"))).when(kind == 7, F.left("s", F.lit(1))).otherwise(F.col("s"))
+    return part.select("pair_id", one.alias("s1"), two.alias("s2"))
 
 
-def edge_cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGE, "pair_id long, s1 string, s2 string")
+def near(rows: DataFrame, most: int, q: int = 2, tile: int = 2000) -> DataFrame:
+    """Pairs (id, id2, s1, s2, id < id2) of rows (id, s; id unique) whose edit distance is at most `most`: all of them, without all pairs.
+
+    An edit touches q of a string's q-grams at most, so strings within the distance share one of the q * most + 1 rarest
+    grams of each, and their lengths differ by `most` at most.  Rows meet by such a gram; a frequent gram is shared by many
+    tasks, as pairs of tiles.  Strings with too few grams for that meet by length instead.  Null strings have no pairs.
+    """
+    rows = rows.where("s IS NOT NULL").select("id", "s", F.length("s").alias("n"))
+    first = q * most + 1
+    places = F.sequence(F.lit(1), F.col("n") - q + 1)
+    # grams with how often the string has had them, so that a gram that occurs twice counts as two
+    grams = F.when(F.col("n") >= q, F.transform(places, lambda k: F.substring(F.col("s"), k, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    own = rows.select("id", "s", "n", F.posexplode(grams).alias("at", "gram"))
+    counts = own.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    window = Window.partitionBy("id").orderBy("rows", "gram", "at")
+    rare = own.join(counts, "gram").withColumn("nth", F.row_number().over(window)).where(F.col("nth") <= first).select("id", "s", "n", "gram", "rows").dropDuplicates(["id", "gram"])
+    short = rows.where(F.col("n") - q + 1 <= q * most).select("id", "s", "n", F.lit("").alias("gram"), F.lit(1).cast("long").alias("rows"))
+    # strings that short meet each other and longer ones by length: a gram of their length for each length within the distance
+    around = F.explode(F.sequence(F.col("n") - most, F.col("n") + most))
+    reach = short.select("id", "s", "n", around.alias("k"))
+    others = rows.where(F.col("n") <= (q * most + q - 1) + most).select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("k"))
+    by_length = reach.join(others, "k").select("id", "s", "id2", "s2")
+    sizes = rare.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    held = rare.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    left = held.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "s", "n")
+    right = left.select("gram", "low", "high", F.col("own").alias("own2"), F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    by_gram = left.join(right, ["gram", "low", "high"]).where((F.col("id") < F.col("id2")) & (F.abs(F.col("n") - F.col("n2")) <= most) & ((F.col("own") != F.col("own2")) | (F.col("low") == F.col("high")))).select("id", "s", "id2", "s2")
+    turned = by_length.select(F.least("id", "id2").alias("id"), F.when(F.col("id") < F.col("id2"), F.col("s")).otherwise(F.col("s2")).alias("s"), F.greatest("id", "id2").alias("id2"), F.when(F.col("id") < F.col("id2"), F.col("s2")).otherwise(F.col("s")).alias("s2")).where("id < id2")
+    close = F.levenshtein("s", "s2", most)
+    return by_gram.unionByName(turned).dropDuplicates(["id", "id2"]).where((close >= 0) & (close <= most)).select("id", "id2", F.col("s").alias("s1"), "s2")
 
 
 # Ten pairs of words with labels (1: another word).
 WORDS = [("helloooo", "hello", 0), ("freshh", "fresh", 0), ("ffb", "facebook", 0), ("h0me", "home", 0), ("wonderin", "wondering", 0), ("relaionship", "relationship", 1), ("hubby", "husband", 1), ("krazii", "crazy", 1), ("mite", "might", 1), ("tropic", "topic", 1)]
 
 
-# Five pairs of phrases with labels.
-PHRASES = [("helloooo", "hello", "match"), ("h0me", "home", "match"), ("krazii", "crazy", "match"), ("non matching string example", "no really", "non-match"), ("and another one", "yep", "non-match")]
-
-
-def phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PHRASES)], "pair_id long, s1 string, s2 string, label string").coalesce(1)
-
-
 def words(spark: SparkSession) -> DataFrame:
     rows = [(i, a, b, str(y)) for i, (a, b, y) in enumerate(WORDS)]
     return spark.createDataFrame(rows, "pair_id long, s1 string, s2 string, label string").coalesce(1)

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from alignspark.operators import kernels, lbfgs
+from alignspark.operators import encoded, kernels, lbfgs
 from alignspark.operators.lattice import edges
 from alignspark.operators.scoring import zeros
 from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine, custom_features
@@ -157,22 +157,70 @@ def test_weights_against_all_paths(machine, best):
     assert np.allclose(z, want)
 
 
-@pytest.mark.parametrize("machine", [StateMachine.default("xyz"), GENERAL])
-@pytest.mark.parametrize("spec", [FeatureSpec(match=True, end=True), FeatureSpec(transition=True)])
+#: States 0 and 1 can end in both classes.
+MIXED = StateMachine((0,), ((0, 0, (1, 1)), (0, 1, (1, 0)), (1, 0, (1, 1)), (0, 0, (0, 1)), (0, 0, (1, 0)), (0, 2, (1, 1)), (2, 2, (1, 0)), (2, 2, (0, 1)), (2, 2, (1, 1))), {0: "x", 1: "y", 2: "y"})
+OWN = custom_features(real=[lambda a, b: a < b], sparse=[(lambda i, j, s1, s2: (i + j) % 5, 5)])
+SPECS = [FeatureSpec(start=True, match=True, end=True, numeric=True), FeatureSpec(transition=True), OWN]
+
+
+def by_segments(first, second, labels, spec, machine, theta, times=None):
+    """Loss and gradient from encoded batches that went through bytes."""
+    import pyarrow as pa
+
+    value, gradient = 0.0, np.zeros_like(theta)
+    for batch in encoded.encode(first, second, labels, times or [1.0] * len(first), spec, machine):
+        batch = encoded.Encoded.from_row([pa.scalar(x, pa.binary()) for x in batch.to_row()])
+        one, own = encoded.loss_gradient(batch, spec, machine, theta)
+        value, gradient = value + one, gradient + own
+    return value, gradient
+
+
+@pytest.mark.parametrize("machine", [StateMachine.default("xyz"), GENERAL, MIXED])
+@pytest.mark.parametrize("spec", SPECS)
 def test_gradient_against_differences(machine, spec):
     rng = np.random.default_rng(2)
     theta = rng.normal(0, 0.3, (machine.n_states + machine.n_transitions, spec.size))
-    first, second, labels = ["abc", "ab", "a", "abcd"], ["abd", "b", "a", "bcd"], ["x", "y", "y", "x"]
-    value, gradient = kernels.loss_gradient(first, second, labels, spec, machine, theta)
+    first, second, labels = ["abc", "ab", "b7c", "abcd"], ["abd", "ab", "a7", "bcd"], ["x", "x", "y", "x"]
+    value, gradient = by_segments(first, second, labels, spec, machine, theta)
     where = [(r, k) for r, k in zip(*np.nonzero(gradient), strict=True)]
     for r, k in [where[i] for i in rng.integers(0, len(where), 25)]:
         up, down = theta.copy(), theta.copy()
         up[r, k] += 1e-5
         down[r, k] -= 1e-5
-        slope = (kernels.loss_gradient(first, second, labels, spec, machine, up)[0] - kernels.loss_gradient(first, second, labels, spec, machine, down)[0]) / 2e-5
+        slope = (by_segments(first, second, labels, spec, machine, up)[0] - by_segments(first, second, labels, spec, machine, down)[0]) / 2e-5
         assert slope == pytest.approx(gradient[r, k], abs=1e-6)
 
 
+@pytest.mark.parametrize("machine", [StateMachine.default("xyz"), GENERAL, MIXED])
+@pytest.mark.parametrize("spec", SPECS)
+def test_segments_give_what_whole_lattices_give(machine, spec):
+    rng = np.random.default_rng(3)
+    theta = rng.normal(0, 0.3, (machine.n_states + machine.n_transitions, spec.size))
+    text = lambda n: "".join(rng.choice(list("ab7 {"), n))
+    first, second = [text(n) for n in (40, 3, 17, 1, 0, 90)], [text(n) for n in (31, 5, 17, 1, 4, 7)]
+    labels, times = ["x", "y", "x", "x", "x", "y"], [1.0, 2.0, 1.0, 3.0, 1.0, 1.0]
+    every = [r for r, n in enumerate(times) for _ in range(int(n))]
+    want = kernels.loss_gradient(*([x[r] for r in every] for x in (first, second, labels)), spec, machine, theta)
+    got = by_segments(first, second, labels, spec, machine, theta, times)
+    assert got[0] == pytest.approx(want[0]) and np.allclose(got[1], want[1])
+
+
+def test_memory_of_a_gradient_grows_with_a_root():
+    """Of two texts of 1,500 characters a whole lattice would hold 2.25 million nodes a state, with edges and posteriors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    spec, machine = FeatureSpec(match=True), StateMachine.default("xy")
+    theta = rng.normal(0, 0.1, (8, 2))
+    texts = ["".join(rng.choice(list("abcdef"), 1500)) for _ in range(2)]
+    batch = next(iter(encoded.encode([texts[0]], [texts[1]], ["x"], [1.0], spec, machine)))
+    tracemalloc.start()
+    encoded.loss_gradient(batch, spec, machine, theta)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25e6 < 1500 * 1500 * 8 * 2
+
+
 def test_batches_and_padding_change_nothing(monkeypatch):
     spec, machine = FeatureSpec(match=True, end=True), StateMachine.default("01")
     theta = np.random.default_rng(5).normal(size=(8, 3))

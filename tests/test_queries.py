@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from alignspark.functions import hof
-from alignspark.operators import training
+from alignspark.operators import lattice, relational, training
 from alignspark.operators.ml import PairClassifier
 from alignspark.operators.scoring import Parameters, balanced, score
 from alignspark.plans import queries
 from alignspark.sources import pairs
+from alignspark.spec import StateMachine
 from alignspark.streaming.scoring import score_stream, scored_to
 
-TABLES = "part customer benchmark".split()
+TABLES = "part customer supplier benchmark".split()
 
 
 @pytest.fixture(scope="module")
@@ -51,11 +52,49 @@ def test_long_strings(spark, sf):
     assert all(abs(r["p0"] + r["p1"] - 1) < 2e-4 for r in got)
 
 
-def test_edges(spark):
-    got = {r["pair_id"]: r for r in score(pairs.edge_cases(spark), queries.MODEL).collect()}
-    assert len(got) == len(pairs.EDGE)
-    assert all(got[i]["probability"] is None and got[i]["prediction"] is None for i in (3, 4, 5))
-    assert all(abs(sum(got[i]["probability"]) - 1) < 1e-9 for i in got if i not in (3, 4, 5))
+def test_edges(spark, sf):
+    got = {r["pair_id"]: r for r in score(pairs.edges(spark, sf), queries.MODEL).collect()}
+    assert len(got) == pairs.table(spark, sf, "part").count()
+    for i, r in got.items():
+        if i % 8 in (0, 1, 2):
+            assert r["probability"] is None and r["prediction"] is None
+        else:
+            assert abs(sum(r["probability"]) - 1) < 1e-9
+
+
+# Probabilities of class 0 of pairs.WORDS under the fixed parameters, by all alignments and by the best one,
+# and the machines' edges for lengths 2 and 3.
+WORDS_ALL = [0.5227226, 0.52568993, 0.4547091, 0.51179222, 0.46347576, 0.45710098, 0.46159657, 0.42997978, 0.47419724, 0.50797852]
+WORDS_BEST = [0.56394611, 0.52977205, 0.4751729, 0.51183761, 0.48608081, 0.4986367, 0.46947222, 0.43233544, 0.47463002, 0.51265109]
+
+
+@pytest.mark.parametrize(("best", "want"), [(False, WORDS_ALL), (True, WORDS_BEST)])
+def test_fixed_parameters_and_fitted_ones(spark, best, want):
+    source = pairs.words(spark)
+    fixed = score(source, Parameters(queries.SPEC, queries.TWO, queries.THETA), best).orderBy("pair_id").collect()
+    assert np.allclose([r["probability"][0] for r in fixed], want, atol=1e-6)
+    fitted = score(source, training.fit(source, queries.SPEC, l2=10.0)[0], best).orderBy("pair_id").collect()
+    assert np.allclose([r["probability"][0] for r in fitted], want, atol=1.5e-3)
+    assert [r["prediction"] for r in fitted] == ["0" if p > 0.5 else "1" for p in want]
+
+
+def test_fixed_lattices(spark):
+    source = spark.createDataFrame([(0, "ab", "abc"), (1, "", "a"), (2, None, "a")], "pair_id long, s1 string, s2 string")
+    jump = [(0, 0, 0, 0, 1, 0, 0, 4), (0, 1, 0, 0, 1, 2, 1, 3)]
+    call = [(0, 0, 0, 0, 1, 0, 0, 6), (0, 0, 0, 0, 1, 1, 0, 4), (0, 1, 0, 0, 1, 2, 3, 7), (0, 1, 1, 0, 1, 2, 1, 5)]
+    assert sorted(map(tuple, lattice.lattice(source, queries.JUMP).collect())) == jump
+    assert sorted(map(tuple, lattice.lattice(source, queries.CALLS).collect())) == call
+    assert sorted(map(tuple, relational.lattice(source, queries.JUMP, relational.shared(spark, "lattice")).collect())) == jump
+
+
+def test_a_caller_s_optimiser(spark):
+    def descend(objective, x, step, turns):
+        for _ in range(turns):
+            x = x - step * objective(x)[1]
+        return x, objective(x)[0]
+
+    _, history = training.fit(pairs.words(spark), queries.SPEC, l2=1.0, optimizer=descend, optimizer_kwargs={"step": 1e-3, "turns": 5})
+    assert len(history) == 6 and all(b > a for a, b in zip(history, history[1:], strict=False))
 
 
 def test_higher_order_functions_agree(spark):
@@ -114,6 +153,51 @@ def test_a_caller_s_own_machine(spark):
     assert parameters.machine == queries.TWO and history[-1] > history[0]
 
 
+def test_equal_pairs_are_counted(spark):
+    """Repeated pairs train as their count; null ones not at all; sequences of words as well."""
+    words = pairs.words(spark)
+    odd = spark.createDataFrame([(90, None, "a", "0"), (91, "a", None, "0"), (92, "a", "b", None), (93, "", "b", "1")], words.schema)
+    many = words.unionByName(words).unionByName(words.where("pair_id < 4")).unionByName(odd)
+    batches = training.encoded_batches(training.counted(many, 3), queries.SPEC, queries.TWO)
+    got, want = training.summed(batches, queries.MODEL), training.log_likelihood(many, queries.MODEL)
+    assert got[0] == pytest.approx(want[0]) and np.allclose(got[1], want[1])
+    assert training.counted(many, 3).count() == 11
+    tokens = words.select(F.split("s1", "").alias("s1"), F.split("s2", "").alias("s2"), "label")
+    assert training.log_likelihood(tokens, queries.MODEL)[0] == pytest.approx(training.log_likelihood(words, queries.MODEL)[0])
+    with pytest.raises(ValueError):
+        training.fit(spark.range(1500).selectExpr("'a' AS s1", "'b' AS s2", "id AS label"), queries.SPEC)
+
+
+def test_callable_moves_train(spark):
+    words = pairs.words(spark)
+    machine = StateMachine((0, 1), tuple((a, b, (lambda d: lambda i, j, x: d)(d)) for a, b, d in queries.TWO.transitions), dict(queries.TWO.states_to_classes))
+    got, want = (training.log_likelihood(words, Parameters(queries.SPEC, m, queries.NUMERIC)) for m in (machine, queries.TWO))
+    assert got[0] == pytest.approx(want[0]) and np.allclose(got[1], want[1])
+
+
+@pytest.mark.parametrize("tile", [2000, 3])
+def test_near_pairs(spark, tile):
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(120)]
+    names += [n[:4] + "x" + n[4:] for n in names[:30]] + ["aaaaaaaaaa", "aaaaaaaaa", "bab", None]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    source = spark.createDataFrame(list(enumerate(names)), "id long, s string")
+    for most in (0, 1, 2):
+        want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and None not in (a, b) and distance(a, b) <= most}
+        got = [(r["id"], r["id2"]) for r in pairs.near(source, most, 2, tile).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_gradients_are_added_in_groups(spark, monkeypatch):
     source = pairs.words(spark)
     one = training.log_likelihood(source, queries.MODEL, 1)
