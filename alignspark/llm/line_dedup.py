@@ -35,6 +35,8 @@ from alignspark.llm.common import SPACE, delete, dropped, exists, in_slices, kep
 LEAST_DOCUMENTS = 10
 #: Batches at least (the third begins a level anew, so levels are compacted at every size), and bytes of hashes in one (about).
 BATCHES, BATCH_BYTES = 3, 64 << 30
+#: Buckets of a run at least, and bytes of hashes of all documents for each (about); the session's shuffle partitions at most.
+LEAST_BUCKETS, BUCKET_BYTES = 6, 8 << 20
 #: Most frequent keys that are sent to all tasks as one set (about 6 MB); counted first.
 SET_KEYS = 100_000
 GONE = "_alignspark_gone"
@@ -66,11 +68,14 @@ class LineRuns:
     """The levelled runs.  frequent() may be asked after any batch; the store lives until close().
 
     at: a folder that driver and executors see, for a store that outlives the session; what it holds already is opened.
+    buckets: of each run, the session's shuffle partitions unless given; fewer make fewer files.
     """
 
-    def __init__(self, spark: SparkSession, least: int, fanout: int = 2, at: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, least: int, fanout: int = 2, at: str | None = None, buckets: int | None = None) -> None:
         self.spark, self.least, self.fanout, self.at = spark, least, fanout, at
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = spark.conf.get("spark.sql.shuffle.partitions")
+        with setting(spark, "spark.sql.shuffle.partitions", str(buckets or partitions)):  # a batch's counts are dealt as the runs are
+            self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self._between: list[str] = []  # written within a merge; they go with the next one
         if at and exists(spark, f"{at}/runs.json"):
@@ -156,8 +161,10 @@ def frequent_keys(documents: DataFrame, least: int, fanout: int = 2) -> tuple[Da
     Documents are dealt to batches of about BATCH_BYTES of hashes, BATCHES at least.
     """
     keys = kept(line_keys(documents))
-    batches = max(BATCHES, -(-keys._rows * 16 // BATCH_BYTES))
-    runs = LineRuns(documents.sparkSession, least, fanout)
+    spark, size = documents.sparkSession, keys._rows * 16
+    batches = max(BATCHES, -(-size // BATCH_BYTES))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    runs = LineRuns(spark, least, fanout, buckets=buckets)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
         runs.add(keys.where(batch == i).select("h"))
