@@ -23,6 +23,11 @@ SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends, and not when the driver happens to collect garbage.
+#: Lost parts of held tables are worked out again from their lineage, map stages included.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +60,8 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(at)
+    with setting(spark, CLEAN, "true"):
+        writer.parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
     back._stored_at = at
     return back
@@ -114,7 +120,8 @@ def kept(df: DataFrame) -> DataFrame:
     and costs no files in the shared folder.  Not for loops: plans would grow with each turn.
     """
     df = df.persist(StorageLevel.DISK_ONLY)
-    df._rows = df.count()
+    with setting(df.sparkSession, CLEAN, "true"):
+        df._rows = df.count()
     return df
 
 
@@ -125,15 +132,6 @@ def dropped(*tables: DataFrame) -> None:
             delete(df.sparkSession, at)
         else:
             df.unpersist()
-    swept(tables[0].sparkSession)
-
-
-def swept(spark: SparkSession) -> None:
-    """Have the driver's JVM collect what is free: only then Spark's cleaner deletes the shuffle files of plans that are over.
-
-    They would pile up for half an hour otherwise.
-    """
-    spark._jvm.System.gc()
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, swept, table
+from alignspark.llm.common import components, dropped, in_slices, least_count, kept, looked_up, rows_of, small_enough, stored, table
 
 #: Most frequent shingles, and keys of lists with several sets, that are broadcast (eight bytes each; their number is counted first).
 FREQUENT, LISTS = 300_000, 1_000_000
@@ -276,13 +276,18 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows_of(texts, run, "class long, own array<long>")
 
 
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """entries with their class's component."""
+    return entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
 def _across(entries: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) of classes of one list but of different components that sizes, positions and parity maps leave possible.
 
     mixed: key and the number of blocks of each list with several components.  A row goes to each pair of blocks its own is
     in, so a list's work is shared by as many tasks as it has pairs of blocks.  Both sides of the join are one shuffle.
     """
-    rest = entries.select("key", "class", F.col("n").cast("int"), F.col("rest").cast("int"), "component").join(small_enough(mixed, LISTS), "key")
+    rest = entries.join(small_enough(mixed, LISTS), "key")
     rest = rest.join(maps, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
@@ -305,7 +310,6 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     entries = keys.join(small_enough(several, LISTS), "key", "left_semi")
     entries = stored(entries.select("key", "class", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")), "entries")
     dropped(several)
-    del several, keys  # a plan that Python still holds keeps its shuffle files
 
     leaders = entries.groupBy("key").agg(F.max(F.struct((F.col("rest") - F.col("n")).alias("early"), F.col("class"), F.col("n"), F.col("rest"))).alias("s")).select("key", F.col("s.class").alias("leader"), F.col("s.n").alias("n_"), F.col("s.rest").alias("rest_"))
     leaders = kept(leaders)
@@ -314,26 +318,22 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     stars = star.groupBy("class").agg(F.max(F.struct((F.col("rest_") - F.col("n_")).alias("early"), "leader")).alias("s"))
     stars = stored(stars.select(F.least("class", "s.leader").alias("a"), F.greatest("class", "s.leader").alias("b")).distinct(), "stars")
     dropped(leaders)
-    del leaders, star
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(_near(pairs, classes.select("class", "n", "bits"), t), "near")
-        swept(documents.sparkSession)
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = kept(members.join(wanted, "class").select("class", "doc_id"))
         sets = kept(_sets(documents, wanted, k))
-        swept(documents.sparkSession)
         out = stored(_verified(pairs, sets, t), "links")
         dropped(sets, wanted, pairs)
         return out
 
     links = linked(stars)
     labels = components(links)
-    now = stored(entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
+    now = stored(_labelled(entries, labels), "labelled")
     dropped(entries)
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
     mixed = stored(mixed, "mixed")
-    swept(documents.sparkSession)
     if not mixed.isEmpty():
         maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
         more = stored(_across(now, mixed, maps, t).join(stars, ["a", "b"], "left_anti"), "across")
