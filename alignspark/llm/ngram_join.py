@@ -281,13 +281,13 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _across(entries: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> DataFrame:
+def _across(entries: DataFrame, labels: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) of classes of one list but of different components that sizes, positions and parity maps leave possible.
 
     mixed: key and the number of blocks of each list with several components.  A row goes to each pair of blocks its own is
     in, so a list's work is shared by as many tasks as it has pairs of blocks.  Both sides of the join are one shuffle.
     """
-    rest = entries.join(small_enough(mixed, LISTS), "key")
+    rest = _labelled(entries.join(small_enough(mixed, LISTS), "key"), labels)
     rest = rest.join(maps, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
@@ -330,13 +330,12 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
 
     links = linked(stars)
     labels = components(links)
-    now = stored(_labelled(entries, labels), "labelled")
-    dropped(entries)
+    now = _labelled(entries, labels)
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")).where("lo <> hi").select("key", "blocks")
     mixed = stored(mixed, "mixed")
     if not mixed.isEmpty():
         maps = classes.select(F.col("class"), *[F.col("fold")[i].alias(f"p{i}") for i in range(WIDE)])
-        more = stored(_across(now, mixed, maps, t).join(stars, ["a", "b"], "left_anti"), "across")
+        more = stored(_across(entries, labels, mixed, maps, t).join(stars, ["a", "b"], "left_anti"), "across")
         if not more.isEmpty():
             found = linked(more)
             if not found.isEmpty():
@@ -344,7 +343,7 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     named = members.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = kept(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1").drop("documents"))
     wide = stored(looked_up(named.select("class", "component"), least, "component", F.col("class")).select("class", "component", "component_id"), "wide")
-    dropped(members, copies, stars, mixed, least, now)
+    dropped(members, copies, stars, mixed, least, entries)
     out = looked_up(rows.select("row", "doc_id", "n", "class"), wide, "class", F.col("row"), "left")
     out = out.select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out._reads = (rows, wide)
