@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
 
 from alignspark.operators import kernels
-from alignspark.operators.lattice import edges
 from alignspark.operators.scoring import Parameters
 
 
@@ -46,8 +45,9 @@ def register(spark: SparkSession, model: Parameters, name: str = "pair_proba", b
                     for x, y in zip(i.tolist(), j.tolist(), strict=True):
                         yield x, y, a, x + di, y + dj, b, t + model.machine.n_states
             elif s1 and s2:
-                cells = kernels.dense(*kernels.features(kernels.Batch.of([s1], [s2]), model.spec), model.spec.size)[0]
-                yield from edges(len(s1), len(s2), model.machine, cells)
+                batch = kernels.Batch.of([s1], [s2])
+                found, _ = kernels.own_lattice(batch, model.machine, kernels.Edges.of(model.machine, batch, kernels.dense(*kernels.features(batch, model.spec), model.spec.size)))
+                yield from zip(*(c.tolist() for c in found[1:]), strict=True)
 
     spark.udf.register(name, proba)
     spark.udtf.register(f"{prefix}_features", PairFeatures)

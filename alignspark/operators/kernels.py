@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine
+from alignspark.spec import CHARACTERS, FeatureSpec, Grid, OwnMachine, StateMachine
 
 #: Doubles that a sub-batch's potentials may take: those of whole lattices, those of one diagonal.
 BUDGET, DIAGONAL = 4_000_000, 500_000
@@ -39,6 +39,7 @@ class Batch:
     digit2: np.ndarray
     known1: np.ndarray
     known2: np.ndarray
+    items: list  # the elements by their ids
 
     @classmethod
     def of(cls, first: list, second: list) -> Batch:
@@ -63,11 +64,16 @@ class Batch:
             arrays.append(out)
         a, b = arrays
         at = [np.where(x >= 0, x, len(items)) for x in (a, b)]
-        return cls(first, second, a, b, n1, n2, digit[at[0]], digit[at[1]], known[at[0]], known[at[1]])
+        return cls(first, second, a, b, n1, n2, digit[at[0]], digit[at[1]], known[at[0]], known[at[1]], items)
 
     def __len__(self) -> int:
         return len(self.n1)
 
+    def elements(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences' elements, padded: (pairs, I, 1) and (pairs, 1, J); characters as an array of strings, others as objects."""
+        items = np.array([*self.items, ""]) if self.items and isinstance(self.items[0], str) else np.array([*self.items, None], object)
+        return items[np.where(self.a >= 0, self.a, -1)][:, :, None], items[np.where(self.b >= 0, self.b, -1)][:, None, :]
+
     def valid(self, spec: FeatureSpec) -> np.ndarray:
         """Pairs that have a result; raises on others if the features say so."""
         good = (self.n1 > 0) & (self.n2 > 0)
@@ -94,8 +100,9 @@ def features(batch: Batch, spec: FeatureSpec) -> tuple[np.ndarray, list[tuple[in
     for k, name in enumerate(spec.planes):
         if name in own:
             planes[..., k] = own[name]()
+        elif isinstance(function := spec.real[int(name[4:])], Grid):
+            planes[..., k] = function(*batch.elements())
         else:
-            function = spec.real[int(name[4:])]
             for p in range(n):
                 x, y = np.array(list(batch.first[p]), object), np.array(list(batch.second[p]), object)
                 if len(x) and len(y):
@@ -104,8 +111,10 @@ def features(batch: Batch, spec: FeatureSpec) -> tuple[np.ndarray, list[tuple[in
     for name, at, _ in spec.blocks:
         if name == "transition":
             index = np.where((batch.known1[:, :, None] >= 0) & (batch.known2[:, None, :] >= 0), batch.known2[:, None, :] + len(CHARACTERS) * batch.known1[:, :, None], -1)
+        elif isinstance(function := spec.sparse[int(name[6:])][0], Grid):
+            index = np.broadcast_to(function(i, j, *batch.elements()), (n, size1, size2)).astype(np.int64)
+            index = np.where((i < batch.n1[:, None, None]) & (j < batch.n2[:, None, None]), index, -1)
         else:
-            function = spec.sparse[int(name[6:])][0]
             index = np.full((n, size1, size2), -1, np.int64)
             for p in range(n):
                 x, y = list(batch.first[p]), list(batch.second[p])
@@ -124,24 +133,79 @@ def potentials(planes: np.ndarray, blocks: list[tuple[int, np.ndarray]], theta:
     return out
 
 
-def _moves(machine: StateMachine, batch: Batch, i: int, j: int, cells) -> Iterator[tuple[int, int, int, int, int, np.ndarray | slice]]:
-    """Moves out of (i, j): transition, from, to, next i, next j, and the pairs that make it."""
-    size1, size2 = batch.a.shape[1], batch.b.shape[1]
+@dataclass
+class Edges:
+    """Edges of a batch's pairs as flat node numbers, in the order of their sources' diagonals; e: rows of parameters.
+
+    For machines whose moves a caller decides.  Nodes are numbered pair by pair, cell by cell, state by state.
+    """
+
+    source: np.ndarray
+    target: np.ndarray
+    e: np.ndarray
+    state: np.ndarray  # of the target
+    levels: np.ndarray  # where each diagonal's edges begin, and the end
+
+    @classmethod
+    def of(cls, machine: StateMachine | OwnMachine, batch: Batch, cells: np.ndarray) -> Edges:
+        """cells: features of all cells (pairs, I, J, number)."""
+        size1, size2, states = batch.a.shape[1], batch.b.shape[1], machine.n_states
+        found = own_edges(machine, batch, cells) if isinstance(machine, OwnMachine) else moves(machine, batch, cells)
+        p, i0, j0, s0, i1, j1, s1, e = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)) if found else np.zeros((8, 0), np.int64)
+        if len(p) and ((i1 < i0) | (j1 < j0) | (i0 + j0 == i1 + j1)).any():
+            raise ValueError("a move must advance in one sequence at least and go back in none")
+        order = np.lexsort((j1, i1, i0 + j0))
+        number = lambda i, j, s: ((p * size1 + i) * size2 + j) * states + s
+        levels = np.searchsorted((i0 + j0)[order], np.arange(size1 + size2))
+        return cls(number(i0, j0, s0)[order], number(i1, j1, s1)[order], e[order], s1[order], levels)
+
+    def weights(self, weights: np.ndarray, states: int) -> np.ndarray:
+        """Of each edge: its potential and its end's."""
+        cell = self.target // states
+        flat = weights.reshape(-1, weights.shape[-1])
+        return flat[cell, self.e] + flat[cell, self.state]
+
+
+def moves(machine: StateMachine, batch: Batch, cells: np.ndarray) -> list[tuple]:
+    """Columns (pair, i0, j0, s0, i1, j1, s1, e) of each transition's moves inside the pairs; functions see whole grids or one cell."""
+    n, size1, size2 = len(batch), batch.a.shape[1], batch.b.shape[1]
+    i, j = np.arange(size1)[None, :, None], np.arange(size2)[None, None, :]
+    inside = (i < batch.n1[:, None, None]) & (j < batch.n2[:, None, None])
+    out = []
     for t, (s0, s1, delta) in enumerate(machine.transitions):
-        if not callable(delta):
-            if i + delta[0] < size1 and j + delta[1] < size2:
-                yield t, s0, s1, i + delta[0], j + delta[1], slice(None)
-            continue
-        to: dict[tuple[int, int], list[int]] = {}
-        for p in range(len(batch)):
-            if i < batch.n1[p] and j < batch.n2[p]:
-                di, dj = delta(i, j, cells[p, : batch.n1[p], : batch.n2[p]])
-                if min(di, dj) < 0 or max(di, dj) == 0:
-                    raise ValueError(f"a move must advance: {di}, {dj}")
-                if i + di < batch.n1[p] and j + dj < batch.n2[p]:
-                    to.setdefault((i + di, j + dj), []).append(p)
-        for (i1, j1), pairs in to.items():
-            yield t, s0, s1, i1, j1, np.array(pairs)
+        if isinstance(delta, Grid):
+            di, dj = (np.broadcast_to(x, (n, size1, size2)) for x in delta(i, j, cells))
+        elif callable(delta):
+            di, dj = np.zeros((2, n, size1, size2), np.int64)
+            for p, x, y in zip(*np.nonzero(inside), strict=True):
+                di[p, x, y], dj[p, x, y] = delta(x, y, cells[p, : batch.n1[p], : batch.n2[p]])
+        else:
+            di, dj = (np.broadcast_to(x, (n, size1, size2)) for x in delta)
+        p, x, y = np.nonzero(inside & (i + di < batch.n1[:, None, None]) & (j + dj < batch.n2[:, None, None]))
+        full = lambda v, k=len(p): np.full(k, v)
+        out.append((p, x, y, full(s0), x + di[p, x, y], y + dj[p, x, y], full(s1), full(machine.n_states + t)))
+    return out
+
+
+def own_edges(machine: OwnMachine, batch: Batch, cells: np.ndarray) -> list[tuple]:
+    out = []
+    for p in range(len(batch)):
+        rows = np.asarray(machine.inner.build_lattice(cells[p, : batch.n1[p], : batch.n2[p]]), np.int64).reshape(-1, 7)
+        out.append((np.full(len(rows), p), *rows.T))
+    return out
+
+
+def edges_of(machine: StateMachine | OwnMachine, batch: Batch, cells: np.ndarray | Edges | None) -> Edges:
+    return cells if isinstance(cells, Edges) else Edges.of(machine, batch, cells)
+
+
+def _combined(values: np.ndarray, target: np.ndarray, come: np.ndarray, best: bool) -> None:
+    """values[target] with come added (in log space) or their maximum; targets may be named several times."""
+    order = np.argsort(target, kind="stable")
+    target, come = target[order], come[order]
+    first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+    add = np.maximum if best else np.logaddexp
+    values[target[first]] = add(values[target[first]], add.reduceat(come, first))
 
 
 def _groups(machine: StateMachine) -> list[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -224,11 +288,11 @@ def forward(batch: Batch, machine: StateMachine, weights: np.ndarray, cells: np.
                     here[..., s1] = add(here[..., s1], come)
                     alpha[:, i, j] = here
         return alpha
-    for i in range(size1):
-        for j in range(size2):
-            for t, s0, s1, i1, j1, on in _moves(machine, batch, i, j, cells):
-                come = alpha[on, i, j, s0] + weights[on, i1, j1, states + t] + weights[on, i1, j1, s1]
-                alpha[on, i1, j1, s1] = add(alpha[on, i1, j1, s1], come)
+    edges = edges_of(machine, batch, cells)
+    step, flat = edges.weights(weights, states), alpha.reshape(-1)
+    for begin, end in zip(edges.levels[:-1], edges.levels[1:], strict=True):
+        if begin < end:
+            _combined(flat, edges.target[begin:end], flat[edges.source[begin:end]] + step[begin:end], best)
     return alpha
 
 
@@ -260,11 +324,11 @@ def backward(batch: Batch, machine: StateMachine, weights: np.ndarray, final: np
                     here[..., s0] = np.logaddexp(here[..., s0], go)
                     beta[:, i, j] = here
         return beta
-    for i in range(size1 - 1, -1, -1):
-        for j in range(size2 - 1, -1, -1):
-            for t, s0, s1, i1, j1, on in _moves(machine, batch, i, j, cells):
-                go = beta[on, i1, j1, s1] + weights[on, i1, j1, states + t] + weights[on, i1, j1, s1]
-                beta[on, i, j, s0] = np.logaddexp(beta[on, i, j, s0], go)
+    edges = edges_of(machine, batch, cells)
+    step, flat = edges.weights(weights, states), beta.reshape(-1)
+    for begin, end in zip(edges.levels[-2::-1], edges.levels[:0:-1], strict=True):
+        if begin < end:
+            _combined(flat, edges.source[begin:end], flat[edges.target[begin:end]] + step[begin:end], False)
     return beta
 
 
@@ -285,8 +349,8 @@ def of_classes(last: np.ndarray, machine: StateMachine) -> np.ndarray:
     return np.stack([log_sum(last[:, [s for s, c in machine.states_to_classes if c == label]]) for label in machine.classes], 1)
 
 
-def _needs_cells(machine: StateMachine, planes: np.ndarray, blocks, size: int) -> np.ndarray | None:
-    return None if machine.static else dense(planes, blocks, size)
+def _own_edges(machine: StateMachine | OwnMachine, batch: Batch, planes: np.ndarray, blocks, size: int) -> Edges | None:
+    return None if machine.static else Edges.of(machine, batch, dense(planes, blocks, size))
 
 
 def dense(planes: np.ndarray, blocks: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
@@ -316,7 +380,7 @@ def class_log_weights(first: list, second: list, spec: FeatureSpec, machine: Sta
         else:
             planes, blocks = features(batch, spec)
             weights = potentials(planes, blocks, theta)
-            out[rows] = class_weights(forward(batch, machine, weights, _needs_cells(machine, planes, blocks, spec.size), best), batch, machine)
+            out[rows] = class_weights(forward(batch, machine, weights, _own_edges(machine, batch, planes, blocks, spec.size), best), batch, machine)
     return out
 
 
@@ -339,7 +403,9 @@ def sub_batches(first: list, second: list, width: int, rolling: bool = False, se
 
 
 def _class_of_states(machine: StateMachine) -> list[int] | None:
-    """The one class that each state can end in (-1: none), or None where a state can end in several."""
+    """The one class that each state can end in (-1: none), or None where a state can end in several, or it isn't known."""
+    if isinstance(machine, OwnMachine):
+        return None
     reach: list[set] = [{c for x, c in machine.states_to_classes if x == s} for s in range(machine.n_states)]
     for _ in range(machine.n_states):
         for s0, s1, _ in machine.transitions:
@@ -366,7 +432,7 @@ def loss_gradient(first: list, second: list, labels: list, spec: FeatureSpec, ma
             batch = Batch.of([first[r] for r in rows], [second[r] for r in rows])
         planes, blocks = features(batch, spec)
         weights = potentials(planes, blocks, theta)
-        cells = _needs_cells(machine, planes, blocks, spec.size)
+        cells = _own_edges(machine, batch, planes, blocks, spec.size)
         alpha = forward(batch, machine, weights, cells)
         z = class_weights(alpha, batch, machine)
         share = np.exp(z - log_sum(z)[:, None])
@@ -407,17 +473,27 @@ def posteriors(batch: Batch, machine: StateMachine, weights: np.ndarray, alpha:
                 log = alpha[:, : size1 - di, : size2 - dj, s0] + own[..., states + t] + own[..., s1] + beta[:, di:, dj:, s1]
                 out[:, di:, dj:, states + t] = np.exp(log - z[:, None, None, s1]) * times[:, None, None, s1]
         return out
-    for i in range(weights.shape[1]):
-        for j in range(weights.shape[2]):
-            for t, s0, s1, i1, j1, on in _moves(machine, batch, i, j, cells):
-                out[on, i1, j1, states + t] += np.exp(alpha[on, i, j, s0] + weights[on, i1, j1, states + t] + weights[on, i1, j1, s1] + beta[on, i1, j1, s1] - z[on, s1]) * times[on, s1]
+    edges = edges_of(machine, batch, cells)
+    p = edges.target // (weights.shape[1] * weights.shape[2] * states)
+    log = alpha.reshape(-1)[edges.source] + edges.weights(weights, states) + beta.reshape(-1)[edges.target] - z[p, edges.state]
+    np.add.at(out.reshape(-1, out.shape[-1]), (edges.target // states, edges.e), np.exp(log) * times[p, edges.state])
     return out
 
 
-def lattice_nodes(batch: Batch, machine: StateMachine) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each node can be reached from a start, and whether the pair's last cell can be reached from it (static moves)."""
+def lattice_nodes(batch: Batch, machine: StateMachine | OwnMachine, edges: Edges | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each node can be reached from a start, and whether the pair's last cell can be reached from it."""
     none = np.zeros((len(batch), batch.a.shape[1], batch.b.shape[1], machine.n_states + machine.n_transitions))
-    return forward(batch, machine, none, best=True) == 0, backward(batch, machine, none, np.zeros(machine.n_states)) > -np.inf
+    return forward(batch, machine, none, edges, best=True) == 0, backward(batch, machine, none, np.zeros(machine.n_states), edges) > -np.inf
+
+
+def own_lattice(batch: Batch, machine: StateMachine | OwnMachine, edges: Edges) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Columns (pair, i0, j0, s0, i1, j1, s1, e) of the edges on some way from a start to the last cell, and which nodes are on one."""
+    from_start, to_end = lattice_nodes(batch, machine, edges)
+    shape = from_start.shape
+    on = from_start.reshape(-1)[edges.source] & to_end.reshape(-1)[edges.target]
+    p, i0, j0, s0 = np.unravel_index(edges.source[on], shape)
+    _, i1, j1, s1 = np.unravel_index(edges.target[on], shape)
+    return (p, i0, j0, s0, i1, j1, s1, edges.e[on]), from_start & to_end
 
 
 def lattice_edges(from_start: np.ndarray, to_end: np.ndarray, machine: StateMachine) -> Iterator[tuple[int, tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignspark.operators.kernels import Batch, dense, features, lattice_edges, lattice_nodes, sub_batches
-from alignspark.spec import FeatureSpec, StateMachine
+from alignspark.operators.kernels import Batch, Edges, dense, features, lattice_edges, lattice_nodes, own_lattice, sub_batches
+from alignspark.spec import FeatureSpec, OwnMachine, StateMachine
 
 EDGES = "pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int"
 
@@ -42,7 +42,7 @@ def edges(n1: int, n2: int, machine: StateMachine, cells: np.ndarray | None = No
     return sorted(out)
 
 
-def lattice(pairs: DataFrame, machine: StateMachine, spec: FeatureSpec | None = None) -> DataFrame:
+def lattice(pairs: DataFrame, machine: StateMachine | OwnMachine, spec: FeatureSpec | None = None) -> DataFrame:
     """Edges of every pair's lattice, for any machine; spec gives the features that callable moves look at."""
     spec = spec or FeatureSpec()
     names = [c.split()[0] for c in EDGES.split(", ")]
@@ -60,10 +60,8 @@ def lattice(pairs: DataFrame, machine: StateMachine, spec: FeatureSpec | None =
                         s0, s1, _ = machine.transitions[t]
                         found.append(np.stack([p, i, j, np.full(len(p), s0), i + di, j + dj, np.full(len(p), s1), np.full(len(p), machine.n_states + t)]))
                 else:
-                    cells = dense(*features(batch, spec), spec.size)
-                    for p in range(len(batch)):
-                        rows = edges(batch.n1[p], batch.n2[p], machine, cells[p, : batch.n1[p], : batch.n2[p]])
-                        found.append(np.array([(p, *e) for e in rows], np.int64).reshape(-1, 8).T)
+                    columns, _ = own_lattice(batch, machine, Edges.of(machine, batch, dense(*features(batch, spec), spec.size)))
+                    found.append(np.stack(columns))
                 if found:
                     columns = np.concatenate(found, 1)
                     pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0]))

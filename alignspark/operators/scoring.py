@@ -120,8 +120,6 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
     direction: "forward" (all ways from the start to and with it) or "backward" (all ways from it to the end; a node's own
     potential left out, an edge's too, its destination's taken).  Ways that can't be walked have no row.
     """
-    from alignspark.operators.lattice import edges
-
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
     machine, states = model.machine, model.machine.n_states
@@ -132,7 +130,7 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
         batch = kernels.Batch.of(first, second)
         planes, blocks = kernels.features(batch, model.spec)
         weights = kernels.potentials(planes, blocks, model.theta)
-        cells = None if machine.static else kernels.dense(planes, blocks, model.spec.size)
+        cells = None if machine.static else kernels.Edges.of(machine, batch, kernels.dense(planes, blocks, model.spec.size))
         ahead = direction == "forward"
         held = kernels.forward(batch, machine, weights, cells) if ahead else kernels.backward(batch, machine, weights, np.zeros(states), cells)
         if machine.static:
@@ -146,17 +144,10 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
                 full = lambda v, n=len(p): np.full(n, v)
                 parts.append((p, i, j, full(s0), i + di, j + dj, full(s1), full(e), w))
             return nodes, tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0) for _ in range(9))
-        nodes, out = set(), []
-        for p in range(len(batch)):
-            own = edges(len(first[p]), len(second[p]), machine, cells[p, : batch.n1[p], : batch.n2[p]])
-            for i0, j0, a, i1, j1, b, e in own:
-                nodes |= {(p, i0, j0, a), (p, i1, j1, b)}
-                out.append((p, i0, j0, a, i1, j1, b, e, held[p, i0, j0, a] + weights[p, i1, j1, e] if ahead else held[p, i1, j1, b] + weights[p, i1, j1, b]))
-            if not own and len(first[p]) == len(second[p]) == 1:
-                nodes |= {(p, 0, 0, s) for s in machine.start_states}
-        at = np.array(sorted(nodes), np.int64).reshape(-1, 4).T
-        columns = tuple(np.array(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0) for _ in range(9))
-        return (*at, held[tuple(at)]), columns
+        (p, i0, j0, s0, i1, j1, s1, e), on = kernels.own_lattice(batch, machine, cells)
+        w = held[p, i0, j0, s0] + weights[p, i1, j1, e] if ahead else held[p, i1, j1, s1] + weights[p, i1, j1, s1]
+        at = np.nonzero(on)
+        return (*at, held[at]), (p, i0, j0, s0, i1, j1, s1, e, w)
 
     def rows(kind: int, schema: str):
         names = [c.split()[0] for c in schema.split(", ")]

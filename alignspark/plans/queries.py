@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from alignspark.functions import features as feats
 from alignspark.functions import hof, sql
-from alignspark.operators import lattice, relational, training
+from alignspark.operators import lattice, relational, tiles, training
 from alignspark.operators.ml import PairClassifier, PairClassifierModel
 from alignspark.operators.scoring import Parameters, class_log_weights, feature_rows, node_edge_weights, score, zeros
 from alignspark.plans import oracle
 from alignspark.sources import pairs
-from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine, custom_features
+from alignspark.spec import CHARACTERS, FeatureSpec, Grid, StateMachine, custom_features
 from alignspark.streaming.scoring import scored_to
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,13 @@ def feature_custom_sparse(spark, sf_dir):
     return feature_rows(pairs.parts(spark, sf_dir), custom_features(sparse=[(lambda i, j, s1, s2: (i + j) % 5, 5)]))
 
 
+@query("feature_custom_grid", f"{oracle.cells(oracle.PARTS)} SELECT pair_id, i, j, 0 AS k, 1.0::DOUBLE AS value FROM c WHERE c1 < c2 UNION ALL SELECT pair_id, i, j, 1 + (i + j) % 5 AS k, 1.0::DOUBLE AS value FROM c")
+def feature_custom_grid(spark, sf_dir):
+    """A caller's features over whole grids: characters that come earlier in the alphabet, and the diagonal modulo 5."""
+    spec = custom_features(real=[Grid(lambda a, b: a < b)], sparse=[(Grid(lambda i, j, a, b: (i + j) % 5), 5)])
+    return feature_rows(pairs.parts(spark, sf_dir), spec)
+
+
 # Lattices
 
 
@@ -154,6 +161,16 @@ def lattice_callable(spark, sf_dir):
     return lattice.lattice(pairs.parts(spark, sf_dir), LOOKS, SPEC)
 
 
+#: The same, over whole grids.
+LOOKS_GRID = StateMachine((0, 1), ((0, 0, (1, 0)), (0, 1, Grid(lambda i, j, x: (1 - x[..., 1].astype(int), 1 + x[..., 1].astype(int)))), (1, 0, (1, 1)), (0, 0, (0, 1))), {0: "0", 1: "1"})
+
+
+@query("lattice_grid_callable", SQL["lattice_callable"])
+def lattice_grid_callable(spark, sf_dir):
+    """A move by a function that sees a batch's cells at once."""
+    return lattice.lattice(pairs.parts(spark, sf_dir), LOOKS_GRID, SPEC)
+
+
 @query("lattice_general", oracle.lattice(oracle.PARTS, (0, 2), 4, _rows(GENERAL)))
 def lattice_general(spark, sf_dir):
     return lattice.lattice(pairs.parts(spark, sf_dir), GENERAL)
@@ -351,6 +368,15 @@ def predict_long_strings(spark, sf_dir):
     return _probabilities(score(pairs.long_texts(spark, sf_dir), MODEL))
 
 
+@query("predict_tiled", SQL["predict_long_strings"])
+def predict_tiled(spark, sf_dir):
+    """Whole texts, each cut into tiles that several tasks work on wave by wave."""
+    z = F.col("weights")
+    total = F.exp(z[0] - F.greatest(z[0], z[1])) + F.exp(z[1] - F.greatest(z[0], z[1]))
+    rows = tiles.class_log_weights(pairs.long_texts(spark, sf_dir), MODEL, 128)
+    return rows.select("pair_id", *[_rounded(F.exp(z[c] - F.greatest(z[0], z[1])) / total).alias(f"p{c}") for c in range(2)])
+
+
 GENERAL_THETA = np.random.default_rng(4).normal(0, 0.1, (GENERAL.n_states + GENERAL.n_transitions, 3)).round(3)
 _GENERAL = lambda r, i, j: "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(GENERAL_THETA[n], i, j)}" for n in range(len(GENERAL_THETA))) + " END"
 
@@ -368,6 +394,39 @@ def predict_general_machine(spark, sf_dir):
     return _probabilities(score(pairs.parts(spark, sf_dir), Parameters(SPEC, GENERAL, GENERAL_THETA)))
 
 
+def _by_row(theta: np.ndarray, r: str, i: str, j: str) -> str:
+    return "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(row, i, j)}" for n, row in enumerate(theta)) + " END"
+
+
+class Banded:
+    """Lattices of the default moves that stay near the diagonal; no transitions to read, only built lattices."""
+
+    n_states, n_transitions, states_to_classes, width = 2, 6, {0: "0", 1: "1"}, 2
+
+    def build_lattice(self, x: np.ndarray) -> np.ndarray:
+        i, j = np.meshgrid(np.arange(x.shape[0]), np.arange(x.shape[1]), indexing="ij")
+        out = []
+        for m, (di, dj) in enumerate(((1, 1), (0, 1), (1, 0))):
+            good = (i + di < x.shape[0]) & (j + dj < x.shape[1]) & (np.abs(i - j) <= self.width) & (np.abs(i + di - j - dj) <= self.width)
+            for s in range(2):
+                u, v = i[good], j[good]
+                out.append(np.stack([u, v, np.full_like(u, s), u + di, v + dj, np.full_like(u, s), np.full_like(u, 2 + 2 * m + s)], 1))
+        return np.concatenate(out)
+
+
+_BANDED = f"""WITH RECURSIVE p AS ({oracle.CUSTOMERS}), {oracle.moves([(2 * m + c, c, c, d, "NULL") for m, d in enumerate(((1, 1), (0, 1), (1, 0))) for c in range(2)])},
+f(pair_id, i, j, s, w) AS (SELECT pair_id, 0, 0, s, exp(CASE s WHEN 0 THEN {oracle.weight(NUMERIC[0], '1', '1')} ELSE {oracle.weight(NUMERIC[1], '1', '1')} END) FROM p, (VALUES (0), (1)) v(s)
+  UNION ALL SELECT f.pair_id, i + di, j + dj, b, sum(w * exp({_by_row(NUMERIC, 't + 2', 'i + di + 1', 'j + dj + 1')} + {_by_row(NUMERIC, 'b', 'i + di + 1', 'j + dj + 1')})) FROM f JOIN m ON a = s JOIN p ON p.pair_id = f.pair_id WHERE i + di < length(s1) AND j + dj < length(s2) AND abs(i + di - j - dj) <= 2 GROUP BY f.pair_id, i + di, j + dj, b),
+z AS (SELECT f.pair_id, sum(w) FILTER (s = 0) AS w0, sum(w) FILTER (s = 1) AS w1 FROM f JOIN p ON p.pair_id = f.pair_id WHERE i = length(s1) - 1 AND j = length(s2) - 1 GROUP BY f.pair_id)
+SELECT pair_id, round(w0 / (w0 + w1), 4) + 0.0 AS p0, round(w1 / (w0 + w1), 4) + 0.0 AS p1 FROM z"""
+
+
+@query("predict_own_lattice", _BANDED)
+def predict_own_lattice(spark, sf_dir):
+    """An own machine object that only builds lattices."""
+    return _probabilities(score(pairs.customers(spark, sf_dir), Parameters(SPEC, StateMachine.of(Banded()), NUMERIC)))
+
+
 def _by_transition(spec: FeatureSpec, rows: int) -> np.ndarray:
     """Parameters of bias and transition features by oracle.by_transition's rule."""
     theta = np.empty((rows, spec.size))
@@ -511,10 +570,6 @@ MIXED_THETA = np.random.default_rng(6).normal(0, 0.1, (MIXED.n_states + MIXED.n_
 MIXED_DIRECTION = np.random.default_rng(7).normal(0, 1, MIXED_THETA.shape).round(2)
 
 
-def _by_row(theta: np.ndarray, r: str, i: str, j: str) -> str:
-    return "CASE " + r + " " + " ".join(f"WHEN {n} THEN {oracle.weight(row, i, j)}" for n, row in enumerate(theta)) + " END"
-
-
 def _mixed_sql() -> str:
     """Weights of ways and their derivatives, move by move: w times x, (g + w v) times x."""
     to = ("i + di + 1", "j + dj + 1")

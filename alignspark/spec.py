@@ -12,13 +12,29 @@ WIDTH = len(CHARACTERS) ** 2
 INVALID = ("error", "skip", "keep")
 
 
+@dataclass(frozen=True)
+class Grid:
+    """A caller's function over whole arrays, called once for a batch of pairs instead of cell by cell.
+
+    As a real feature: (elements of s1, elements of s2) -> values; as a sparse one: (i, j, elements of s1, elements of s2) ->
+    indices, negative where there is none; as a move: (i, j, features of the cells) -> (di, dj).  i is a column, j a row;
+    elements of s1 come as (pairs, I, 1), of s2 as (pairs, 1, J), features as (pairs, I, J, number); results may be
+    anything that broadcasts to (pairs, I, J).  Cells beyond a pair's lengths hold padding, and what they give is dropped.
+    """
+
+    function: Callable
+
+    def __call__(self, *arrays):
+        return self.function(*arrays)
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     """Features of a cell (i, j) of a pair, in this order: bias, start, end, match, numeric, custom real ones, transition,
     custom sparse ones.
 
     real: functions of (column of s1's elements, row of s2's elements) that give a grid.  sparse: (function of (i, j, s1,
-    s2) that gives an index, number of indices).  handle_invalid, for characters that transition features don't know:
+    s2) that gives an index, number of indices).  Either may be a Grid, which takes a whole batch at once.  handle_invalid, for characters that transition features don't know:
     "error" raises, "skip" gives the pair no result, "keep" leaves the feature out of the cell; for empty sequences:
     "error" raises, the others give no result.
     """
@@ -69,7 +85,8 @@ Delta = tuple[int, int] | Callable
 class StateMachine:
     """States, moves between them, and the class that each accepting state stands for.
 
-    A move is (from, to, (di, dj)) or (from, to, function of (i, j, features of the pair's cells) that gives (di, dj)).
+    A move is (from, to, (di, dj)) or (from, to, function of (i, j, features of the pair's cells) that gives (di, dj)), or a
+    Grid of that.
     Moves must advance: none may go back, or stay in its cell.  States that no class names don't accept.
     """
 
@@ -104,9 +121,11 @@ class StateMachine:
         return not any(callable(d) for _, _, d in self.transitions)
 
     @classmethod
-    def of(cls, machine: object) -> StateMachine:
-        """A caller's own object with start_states, transitions and states_to_classes as a machine."""
-        return machine if isinstance(machine, cls) else cls(machine.start_states, machine.transitions, machine.states_to_classes)
+    def of(cls, machine: object) -> StateMachine | OwnMachine:
+        """A caller's own object as a machine: with start_states, transitions and states_to_classes, or with its own lattices."""
+        if isinstance(machine, (cls, OwnMachine)):
+            return machine
+        return cls(machine.start_states, machine.transitions, machine.states_to_classes) if hasattr(machine, "transitions") else OwnMachine(machine)
 
     @classmethod
     def default(cls, classes: Iterable) -> StateMachine:
@@ -114,3 +133,39 @@ class StateMachine:
         labels = sorted(set(classes))
         moves = [(s, s, d) for d in ((1, 1), (0, 1), (1, 0)) for s in range(len(labels))]
         return cls(tuple(range(len(labels))), tuple(moves), tuple(enumerate(labels)))
+
+
+@dataclass(frozen=True)
+class OwnMachine:
+    """A caller's object that builds its lattices itself.
+
+    It has n_states, n_transitions, states_to_classes, and build_lattice(features of the pair's cells), which gives edges
+    (i0, j0, s0, i1, j1, s1, row of the edge's parameters); edges must advance.  Ways begin at the first cell in its
+    start_states, or in any state if it has none.
+    """
+
+    inner: object
+
+    static = False
+    transitions: tuple = ()
+
+    @property
+    def n_states(self) -> int:
+        return self.inner.n_states
+
+    @property
+    def n_transitions(self) -> int:
+        return self.inner.n_transitions
+
+    @property
+    def states_to_classes(self) -> tuple:
+        classes = self.inner.states_to_classes
+        return tuple(sorted(classes.items() if isinstance(classes, dict) else classes, key=lambda x: x[0]))
+
+    @property
+    def classes(self) -> list:
+        return sorted({c for _, c in self.states_to_classes})
+
+    @property
+    def start_states(self) -> tuple:
+        return tuple(getattr(self.inner, "start_states", range(self.n_states)))

@@ -9,7 +9,7 @@ import pytest
 from alignspark.operators import encoded, kernels, lbfgs
 from alignspark.operators.lattice import edges
 from alignspark.operators.scoring import zeros
-from alignspark.spec import CHARACTERS, FeatureSpec, StateMachine, custom_features
+from alignspark.spec import CHARACTERS, FeatureSpec, Grid, StateMachine, custom_features
 
 
 def tensor(x):
@@ -221,6 +221,44 @@ def test_memory_of_a_gradient_grows_with_a_root():
     assert most < 25e6 < 1500 * 1500 * 8 * 2
 
 
+LOOKS = lambda i, j, x: (0, 2) if x[i, j, 1] else (1, 1)
+CALLABLE = StateMachine((0, 1), ((0, 0, (1, 0)), (0, 1, LOOKS), (1, 0, (1, 1)), (0, 0, (0, 1)), (1, 1, (0, 1))), {0: "x", 1: "y"})
+ARRAYS = StateMachine((0, 1), ((0, 0, (1, 0)), (0, 1, Grid(lambda i, j, x: (1 - x[..., 1].astype(int), 1 + x[..., 1].astype(int)))), (1, 0, (1, 1)), (0, 0, (0, 1)), (1, 1, (0, 1))), {0: "x", 1: "y"})
+
+
+def test_callable_moves_against_differences_and_grids():
+    rng = np.random.default_rng(5)
+    spec = FeatureSpec(match=True, end=True)
+    theta = rng.normal(0, 0.3, (7, spec.size))
+    first, second, labels = ["abc", "ab", "b7cab", "abcd"], ["abd", "abb", "a7b", "bcd"], ["x", "x", "y", "x"]
+    value, gradient = kernels.loss_gradient(first, second, labels, spec, CALLABLE, theta)
+    other = kernels.loss_gradient(first, second, labels, spec, ARRAYS, theta)
+    assert value == pytest.approx(other[0]) and np.allclose(gradient, other[1])
+    for r, k in np.ndindex(theta.shape):
+        up, down = theta.copy(), theta.copy()
+        up[r, k] += 1e-5
+        down[r, k] -= 1e-5
+        slope = (kernels.loss_gradient(first, second, labels, spec, CALLABLE, up)[0] - kernels.loss_gradient(first, second, labels, spec, CALLABLE, down)[0]) / 2e-5
+        assert slope == pytest.approx(gradient[r, k], abs=1e-6)
+    best = kernels.class_log_weights(first, second, spec, CALLABLE, theta, True)
+    assert np.allclose(best, kernels.class_log_weights(first, second, spec, ARRAYS, theta, True))
+    for a, b in zip(first, second, strict=True):
+        batch = kernels.Batch.of([a], [b])
+        cells = kernels.dense(*kernels.features(batch, spec), spec.size)
+        found, _ = kernels.own_lattice(batch, CALLABLE, kernels.Edges.of(CALLABLE, batch, cells))
+        assert sorted(zip(*(c.tolist() for c in found[1:]), strict=True)) == edges(len(a), len(b), CALLABLE, cells[0])
+
+
+def test_features_over_grids():
+    own = custom_features(real=[lambda a, b: a < b], sparse=[(lambda i, j, a, b: (i * j) % 5 if a[i] != "c" else -1, 5)])
+    grid = custom_features(real=[Grid(lambda a, b: a < b)], sparse=[(Grid(lambda i, j, a, b: np.where(a != "c", (i * j) % 5, -1)), 5)])
+    for first, second in ((["abc", "a", "dcba"], ["b", "acc", "7"]), ([["x", "c"], ["c"]], [["y"], ["a", "zz", "c"]])):
+        batch = kernels.Batch.of(first, second)
+        one, two = (kernels.dense(*kernels.features(batch, s), 6) for s in (own, grid))
+        for p in range(len(first)):
+            assert (one[p, : len(first[p]), : len(second[p])] == two[p, : len(first[p]), : len(second[p])]).all()
+
+
 def test_batches_and_padding_change_nothing(monkeypatch):
     spec, machine = FeatureSpec(match=True, end=True), StateMachine.default("01")
     theta = np.random.default_rng(5).normal(size=(8, 3))

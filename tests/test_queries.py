@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from alignspark.functions import hof
-from alignspark.operators import lattice, relational, training
+from alignspark.operators import lattice, relational, tiles, training
 from alignspark.operators.ml import PairClassifier
-from alignspark.operators.scoring import Parameters, balanced, score
+from alignspark.operators.scoring import Parameters, balanced, class_log_weights, score
 from alignspark.plans import queries
 from alignspark.sources import pairs
-from alignspark.spec import StateMachine
+from alignspark.spec import FeatureSpec, StateMachine
 from alignspark.streaming.scoring import score_stream, scored_to
 
 TABLES = "part customer supplier benchmark".split()
@@ -206,6 +206,49 @@ def test_gradients_are_added_in_groups(spark, monkeypatch):
     assert one[0] == pytest.approx(many[0]) and np.allclose(one[1], many[1])
 
 
+@pytest.mark.parametrize("best", [False, True])
+def test_tiles_give_what_whole_lattices_give(spark, best):
+    """All machines and features whose moves cross tiles' borders; empty and null texts, and tiles longer than texts."""
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("ab7"), n))
+    rows_ = [(0, text(37), text(23)), (1, text(8), text(8)), (2, text(1), text(30)), (3, "", "a"), (4, None, "a"), (5, text(16), text(17))]
+    source = spark.createDataFrame(rows_, "pair_id long, s1 string, s2 string")
+    spec = FeatureSpec(start=True, end=True, match=True, numeric=True, transition=True)
+    for machine in (queries.TWO, queries.GENERAL):
+        model = Parameters(spec, machine, rng.normal(0, 0.2, (machine.n_states + machine.n_transitions, spec.size)))
+        want = {r["pair_id"]: r["weights"] for r in class_log_weights(source, model, best).collect()}
+        for tile in (8, 100):
+            got = {r["pair_id"]: r["weights"] for r in tiles.class_log_weights(source, model, tile, best).collect()}
+            assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or np.allclose(got[k], want[k])) for k in want)
+
+
+def test_a_huge_pair_is_shared_by_tasks(spark):
+    rng = np.random.default_rng(4)
+    one, two = ("".join(rng.choice(list("abcdef"), n)) for n in (5000, 4300))
+    source = spark.createDataFrame([(0, one, two)], "pair_id long, s1 string, s2 string")
+    got = tiles.class_log_weights(source, queries.MODEL, 1000).first()["weights"]
+    assert np.allclose(got, class_log_weights(source, queries.MODEL).first()["weights"])
+
+
+def test_own_lattices_train_and_show(spark):
+    """An object that only builds lattices: as the default machine where its band holds all cells."""
+
+    class Whole(queries.Banded):
+        width = 100
+
+    source = pairs.words(spark)
+    model = Parameters(queries.SPEC, StateMachine.of(Whole()), queries.NUMERIC)
+    assert model.machine.classes == ["0", "1"] and StateMachine.of(model.machine) is model.machine
+    plain = Parameters(queries.SPEC, queries.TWO, queries.NUMERIC)
+    for f in (lambda m: score(source, m), lambda m: score(source, m, best=True)):
+        assert np.allclose([r["probability"] for r in f(model).orderBy("pair_id").collect()], [r["probability"] for r in f(plain).orderBy("pair_id").collect()])
+    got, want = (training.log_likelihood(source, m) for m in (model, plain))
+    assert got[0] == pytest.approx(want[0]) and np.allclose(got[1], want[1])
+    assert sorted(map(tuple, lattice.lattice(source, model.machine, queries.SPEC).collect())) == sorted(map(tuple, lattice.lattice(source, queries.TWO).collect()))
+    fitted, history = training.fit(source, queries.SPEC, l2=10.0, machine=Whole(), iterations=3)
+    assert history[-1] > history[0] and fitted.machine.states_to_classes == ((0, "0"), (1, "1"))
+
+
 def test_streams(spark, tmp_path):
     source = pairs.words(spark)
     source.write.parquet(str(tmp_path / "in"))
