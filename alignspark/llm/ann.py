@@ -8,7 +8,9 @@ Comparisons use directions rounded to eight bits a number, which is a quarter of
 
 A query starts at its own node.  Each hop expands the nearest few nodes of its beam that aren't expanded yet, for all
 queries at once, in two joins with the graph's table; that is bucketed by node, so only what the queries ask is shuffled.
-A search ends when its whole beam is expanded.  The nodes found are measured again in double precision on the original
+A query's code travels to the nodes it asks, and only what is nearer than the last of its beam comes back, as a number.
+Beams are advanced in buckets of queries, whose arrays go through numpy together.  A search ends when its whole beam is
+expanded.  The nodes found are measured again in double precision on the original
 vectors, with all copies that can be among the nearest.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of another length
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import delete, dropped, looked_up, rows_of, shared_dir, stored, table
+from alignspark.llm.common import CLEAN, delete, dropped, looked_up, rows_of, setting, shared_dir, stored, table
 from alignspark.llm.vectors import matrix, unit, valid_vectors
 
 #: Neighbours of a node, random groups that it starts in, share of new neighbours at which iterations end.
 NEIGHBOURS, GROUPS, SETTLED = 32, 4, 0.005
 #: Beam of a search, nodes expanded in a hop.
 BEAM, EXPANDED = 192, 32
+#: Queries whose beams advance together in one group (about).
+TOGETHER = 256
 GRAPH = "node long, dim int, code binary, ids array<long>, sims array<float>, fresh array<boolean>"
 FOUND = "node long, ids array<long>, sims array<float>"
 
@@ -206,45 +210,81 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, settled: float = SETTLED)
             return graph
 
 
-STATE = "query long, qcode binary, dim int, beam array<long>, sims array<float>, expanded array<long>, todo array<long>, seen array<long>"
+STATE = "query long, qcode binary, dim int, beam array<long>, sims array<float>, expanded array<boolean>, todo array<long>, worst float"
 
 
-def search(queries: DataFrame, graph: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
-    """query, node, for the nodes of each query's final beam.  queries: query (a node), qcode, dim; edges go both ways."""
+def _asked(batches) -> Iterator[pa.RecordBatch]:
+    """query, node, sim of what is asked (query, qcode, dim, worst, node, code) and nearer than the query's worst."""
+    for batch in batches:
+        dims, worst = batch.column("dim").to_numpy(), batch.column("worst").to_numpy()
+        sims = np.empty(batch.num_rows, np.float32)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            rows = pa.array(at)
+            sims[at] = np.einsum("ij,ij->i", directions(batch.column("qcode").take(rows), d), directions(batch.column("code").take(rows), d))
+        good = np.flatnonzero(sims > worst)
+        query, node = batch.column("query").to_numpy()[good], batch.column("node").to_numpy()[good]
+        order = np.lexsort((node, query))  # a node is asked once for each neighbour of it in the beam
+        order = order[np.r_[True, (query[order][1:] != query[order][:-1]) | (node[order][1:] != node[order][:-1])]] if len(order) else order
+        yield pa.RecordBatch.from_arrays([pa.array(query[order]), pa.array(node[order]), pa.array(sims[good][order])], ["query", "node", "sim"])
+
+
+def _advanced(beam: int, expanded: int):
+    """For a bucket of queries: beams with what was found, and the next nodes to expand."""
+
+    def run(key, state: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(state):
+            return state.select([c.split()[0] for c in STATE.split(", ")])
+        state = state.combine_chunks()
+        order = np.argsort(state["query"].to_numpy(), kind="stable")
+        state = state.take(pa.array(order)).combine_chunks()
+        query = state["query"].to_numpy()
+        flat = lambda name: state[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = state["beam"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        owner, ids, sims, done = np.repeat(np.arange(len(query)), sizes), flat("beam"), flat("sims"), flat("expanded").astype(bool)
+        asked = state["todo"].combine_chunks()
+        if len(asked.flatten()):  # what was to be expanded is
+            at = np.repeat(np.arange(len(query)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            pairs = {*zip(at.tolist(), asked.flatten().to_pylist(), strict=True)}
+            done |= np.fromiter(((o, i) in pairs for o, i in zip(owner.tolist(), ids.tolist(), strict=True)), bool, len(ids))
+        new = np.searchsorted(query, found["query"].to_numpy())
+        owner, ids, sims, done = np.r_[owner, new], np.r_[ids, found["node"].to_numpy()], np.r_[sims, found["sim"].to_numpy()], np.r_[done, np.zeros(len(new), bool)]
+        owner, ids, sims, done = _top(owner, ids, sims, beam, done)  # of a repeated node the one that the beam has comes first
+        rank = np.cumsum(~done) - np.r_[0, np.cumsum(~done)][np.searchsorted(owner, owner)]
+        now = ~done & (rank <= expanded)
+        ends = np.searchsorted(owner, np.arange(len(query)), "right")
+        full = np.bincount(owner, minlength=len(query)) >= beam
+        worst = np.where(full, sims[np.maximum(ends - 1, 0)], -2.0).astype(np.float32)
+        at = pa.array(np.r_[0, ends].astype(np.int32))
+        todo = pa.array(np.r_[0, np.searchsorted(owner[now], np.arange(len(query)), "right")].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (ids, sims.astype(np.float32), done)]
+        return pa.table([state["query"], state["qcode"], state["dim"], *lists, pa.ListArray.from_arrays(todo, pa.array(ids[now])), pa.array(worst)], names=[c.split()[0] for c in STATE.split(", ")])
+
+    return run
+
+
+def search(queries: DataFrame, graph: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, expanded: int = EXPANDED, together: int = TOGETHER) -> DataFrame:
+    """query, node, for the nodes of each query's final beam.  queries: query (a node), qcode, dim; edges go both ways.
+
+    together: queries of a bucket (about).
+    """
     spark = graph.sparkSession
     ways = _both_ways(graph, k, -1).groupBy("node").agg(F.collect_set("other").alias("near"))
     name = f"alignspark_graph_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    graph.select("node", "code").join(ways, "node", "left").write.bucketBy(buckets, "node").sortBy("node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with setting(spark, CLEAN, "true"):
+        graph.select("node", "code").join(ways, "node", "left").write.bucketBy(buckets, "node").sortBy("node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     edges = spark.table(name)
-    names = [c.split()[0] for c in STATE.split(", ")]
-
-    def run(key, state: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(state):
-            return state.select(names)
-        s = state.to_pylist()[0]
-        ids, sims, seen = np.array(s["beam"], np.int64), np.array(s["sims"], np.float32), np.array(s["seen"], np.int64)
-        done = set(s["expanded"]) | set(s["todo"])
-        if len(found):
-            fresh, first = np.unique(found["cand"].to_numpy(), return_index=True)
-            new = ~np.isin(fresh, seen)
-            fresh, first = fresh[new], first[new]
-            if len(fresh):
-                ids, sims = np.r_[ids, fresh], np.r_[sims, directions(found["code"].take(pa.array(first)), s["dim"]) @ directions(state["qcode"], s["dim"])[0]]
-                seen = np.r_[seen, fresh]
-        order = np.lexsort((ids, -sims))[:beam]
-        ids, sims = ids[order], sims[order]
-        todo = [i for i in ids.tolist() if i not in done][:expanded]
-        one = lambda v, t: pa.array([v], pa.list_(t))
-        return pa.table([state["query"], state["qcode"], state["dim"], one(ids, pa.int64()), one(sims, pa.float32()), one([i for i in ids.tolist() if i in done], pa.int64()), one(todo, pa.int64()), one(seen, pa.int64())], names=names)
-
-    own, none = F.array("query"), F.array().cast("array<long>")
-    state = queries.select("query", "qcode", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), none.alias("expanded"), own.alias("todo"), own.alias("seen"))
+    own = F.array("query")
+    state = queries.select("query", "qcode", "dim", own.alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("expanded"), own.alias("todo"), F.lit(-2.0).cast("float").alias("worst"))
     state = stored(state, "search")
+    groups = max(1, state.count() // together)
+    bucket = lambda df: df.groupBy(F.pmod(F.xxhash64("query"), F.lit(groups)))
     while True:  # a hop expands nodes that no hop did, so it ends
-        asks = state.select("query", F.explode("todo").alias("node")).join(edges.select("node", "near").hint("merge"), "node").select("query", F.explode("near").alias("node")).distinct()
-        found = asks.join(edges.select("node", "code").hint("merge"), "node").select(F.col("query").alias("asked"), F.col("node").alias("cand"), "code")
-        after = stored(state.groupBy("query").cogroup(found.groupBy("asked")).applyInArrow(run, STATE), "search")
+        asks = state.select("query", "qcode", "dim", "worst", F.explode("todo").alias("node")).join(edges.select("node", "near").hint("merge"), "node")
+        asks = asks.select("query", "qcode", "dim", "worst", F.explode("near").alias("node")).join(edges.select("node", "code").hint("merge"), "node")
+        found = rows_of(asks.select("query", "qcode", "dim", "worst", "node", "code"), _asked, "query long, node long, sim float")
+        after = stored(bucket(state).cogroup(bucket(found)).applyInArrow(_advanced(beam, expanded), STATE), "search")
         dropped(state)
         state = after
         if state.where(F.size("todo") > 0).isEmpty():
