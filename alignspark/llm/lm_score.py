@@ -1,8 +1,11 @@
 """Language-model scores: smoothed word counts of the corpus, and marginals over the subword segmentations of a lattice.
 
-Every word's lattice holds all its segmentations into the pieces of an existing vocabulary, weighted by the vocabulary's
-own scores; a forward recursion in log space sums them.  Scores that are merge ranks are made probabilities by Zipf's
-law over the rank.  Pieces begin words only with the blank mark, so a text's lattice is its words' lattices in a row; each
+Every word's lattice holds all its segmentations into the pieces of an existing vocabulary; a forward recursion in log space
+sums them.  The pieces' weights begin with the vocabulary's own scores (merge ranks are made probabilities by Zipf's law
+over the rank) and are then fitted to the training documents by expectation-maximisation: forward and backward recursions
+over every distinct training word give how often each piece is expected, over all segmentations and as often as the word
+occurs; these counts, summed over tasks, are the next weights.  ROUNDS rounds are made: most of the gain is in the first.
+Pieces begin words only with the blank mark, so a text's lattice is its words' lattices in a row; each
 distinct word of the corpus is computed once.  Whether a text ends after a word is learned from the corpus: the share of
 end tokens among the training tokens.
 
@@ -24,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignspark.llm.common import in_slices, least_count, rows_of, stored, table
+from alignspark.llm.common import dropped, in_slices, least_count, rows_of, stored, table
 from alignspark.llm.pieces import BLANK, Pieces, vocabulary
 
 #: Characters from which a word advances in windows.
 LONG = 512
 #: Most words that are broadcast; distinct words that a task counts before it hands them on; shift of Zipf's law.
 HEAD_WORDS, TASK_WORDS, ZIPF_SHIFT = 150_000, 200_000, 2.7
+#: Rounds of expectation-maximisation, and what is added to each piece's expected count.
+ROUNDS, SMOOTH = 1, 0.1
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -43,8 +48,12 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 class Lattice:
     """log10 marginal probabilities of words under a vocabulary."""
 
-    def __init__(self, pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces, logp: np.ndarray | None = None) -> None:
+        """logp: log weights of the pieces; without them, those of the vocabulary's scores."""
         self.pieces = pieces
+        if logp is not None:
+            self.logp = logp
+            return
         normal = np.zeros(len(pieces.pieces), bool)
         normal[list(pieces.by_piece.values())] = True
         if pieces.ranked:
@@ -119,6 +128,52 @@ class Lattice:
             state = np.concatenate([log_sum(state + ways[:, t, None, :], 2)[:, :, None], state[:, :, :-1]], 2)
         return state
 
+    def expected(self, words: list[str], times: list[int]) -> np.ndarray:
+        """How often each piece is expected in words that occur times, over all their segmentations.
+
+        Words longer than LONG count as parts of that length.
+        """
+        out = np.zeros(len(self.logp))
+        by_length: dict[int, list[tuple[str, int]]] = {}
+        for word, n in zip(words, times, strict=True):
+            text = BLANK + word
+            for i in range(0, len(text), LONG):
+                by_length.setdefault(len(text[i : i + LONG]), []).append((text[i : i + LONG], n))
+        for length, rows in by_length.items():
+            together = max(1, 200_000 // length)
+            for k in range(0, len(rows), together):
+                part = rows[k : k + together]
+                codes = np.frombuffer("".join(w for w, _ in part).encode("utf-32-le"), "<u4").reshape(-1, length)
+                self._expect(codes.astype(np.uint64), np.array([n for _, n in part], float), out)
+        return out
+
+    def _expect(self, words: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
+        """Adds what is expected in words of one length: forward, then backward over the same pieces."""
+        n, length = words.shape
+        pieces, logp = self.pieces, np.append(self.logp, -np.inf)
+        hashes, powers = pieces.prefix_hashes(words)
+        raw = lambda r, j: pieces.byte_ids[list(chr(int(words[r, j - 1])).encode())]  # a character without a piece
+        alpha, beta, ways = np.full((n, length + 1), -np.inf), np.full((n, length + 1), -np.inf), []
+        alpha[:, 0] = beta[:, length] = 0.0
+        for j in range(1, length + 1):
+            first = max(0, j - pieces.longest)
+            ids = np.stack([pieces.find(hashes[:, j] - hashes[:, i] * powers[j - i]) for i in range(first, j)], 1)
+            weight = logp[ids]
+            for r in np.flatnonzero(ids[:, -1] < 0).tolist():
+                weight[r, -1] = self.logp[raw(r, j)].sum()
+            ways.append((first, ids, weight))
+            alpha[:, j] = log_sum(alpha[:, first:j] + weight, 1)
+        total = alpha[:, length]
+        for j in range(length, 0, -1):
+            first, ids, weight = ways[j - 1]
+            go = weight + beta[:, j : j + 1]
+            beta[:, first:j] = np.logaddexp(beta[:, first:j], go)
+            share = np.exp(alpha[:, first:j] + go - total[:, None]) * times[:, None]
+            known = ids >= 0
+            out += np.bincount(ids[known], share[known], len(out))
+            for r in np.flatnonzero(~known[:, -1]).tolist():
+                np.add.at(out, raw(r, j), share[r, -1])
+
     def _forward(self, words: np.ndarray) -> np.ndarray:
         n, length = words.shape
         pieces = self.pieces
@@ -171,6 +226,34 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def fitted(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Lattice:
+    """The lattice whose weights are fitted to the training words of counts (word, c); the vocabulary's own where there are none.
+
+    Of a round only a number for each piece comes to the driver.
+    """
+    spark, lattice = counts.sparkSession, Lattice(pieces)
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(lattice)
+
+        def run(batches, sent=sent):
+            out = np.zeros(len(sent.value.logp))
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 20_000):
+                    part = batch.slice(begin, 20_000)
+                    out += sent.value.expected([w.decode() for w in part.column("word").to_pylist()], part.column("c").to_pylist())
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["piece", "n"])
+
+        found = rows_of(counts.where("c > 0").select("word", "c"), run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        if not len(found):
+            break
+        n = np.full(len(lattice.logp), SMOOTH)
+        n[found["piece"].to_numpy()] += found["n"].to_numpy()
+        lattice = Lattice(pieces, np.log(n / n.sum()))
+        sent.unpersist()
+    return lattice
+
+
 def with_lattice(counts: DataFrame, sent) -> DataFrame:
     """counts with lp, each word's log10 marginal."""
 
@@ -193,8 +276,10 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[int, dict[byte
 def score_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
-    lattice = spark.sparkContext.broadcast(Lattice(Pieces(path)))
-    words = stored(with_lattice(word_counts(documents), lattice), "words")
+    counts = stored(word_counts(documents), "counts")
+    lattice = spark.sparkContext.broadcast(fitted(counts, Pieces(path)))
+    words = stored(with_lattice(counts, lattice), "words")
+    dropped(counts)
     totals = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     ends = documents.where(trains()).count()
     train_tokens, distinct = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)

@@ -551,10 +551,13 @@ def test_links_count_for_both_ends(spark, tmp_path, monkeypatch):
 def test_lm_score(spark, sf, texts):
     training = {d: t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2}
     counts = collections.Counter(w for t in training.values() for w in t.encode().lower().split())
+    words_ = {w.decode(): n for w, n in counts.items()}
     counts["end"] = len(training)
     total, distinct = sum(counts.values()), len(counts)
-    lattice = lm_score.Lattice(pieces.Pieces(pieces.vocabulary()))
+    logp = plain_weights(words_)
+    lattice = lm_score.Lattice(pieces.Pieces(pieces.vocabulary()), logp)
     p_end = (len(training) + 1) / (total + 2)
+    old, mean = lm_score.Lattice(lattice.pieces), []
     for r in lm_score.op8_lm_score(spark, sf).collect():
         words = texts[r["doc_id"]].encode().lower().split()
         assert r["n_tokens"] == len(words) + 1 and r["train_tokens"] == total
@@ -562,7 +565,62 @@ def test_lm_score(spark, sf, texts):
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in [*words, "end"])
         assert r["base_score"] == pytest.approx(base)
         if r["doc_id"] % 20 == 0:
+            mean.append((r["score"] / r["n_tokens"], sum(old.words([w.decode() for w in words])) / r["n_tokens"]))
             assert r["score"] == pytest.approx(sum(lattice.words([w.decode() for w in words])) + len(words) * math.log10(1 - p_end) + math.log10(p_end))
+    assert np.mean([new for new, _ in mean]) > np.mean([was for _, was in mean]) + 1  # log10 a token
+
+
+def plain_ways(p, logp, text):
+    """All pieces (begin, end, ids, probability) of a text."""
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - p.longest), j):
+            s = text[i:j]
+            if s in p.by_piece:
+                yield i, j, [p.by_piece[s]], math.exp(logp[p.by_piece[s]])
+            elif len(s) == 1:
+                ids = [int(p.byte_ids[b]) for b in s.encode()]
+                yield i, j, ids, math.exp(sum(logp[x] for x in ids))
+
+
+def plain_expected(p, logp, words):
+    """Expected pieces word by word."""
+    out = np.zeros(len(logp))
+    for word, n in words.items():
+        text = pieces.BLANK + word
+        for at in range(0, len(text), lm_score.LONG):
+            part = text[at : at + lm_score.LONG]
+            ways = list(plain_ways(p, logp, part))
+            alpha, beta = [1.0] + [0.0] * len(part), [0.0] * len(part) + [1.0]
+            for i, j, _, prob in ways:
+                alpha[j] += alpha[i] * prob
+            for i, j, _, prob in reversed(ways):
+                beta[i] += beta[j] * prob
+            for i, j, ids, prob in ways:
+                for x in ids:
+                    out[x] += n * alpha[i] * prob * beta[j] / alpha[-1]
+    return out
+
+
+def plain_weights(words, rounds=lm_score.ROUNDS):
+    p = pieces.Pieces(pieces.vocabulary())
+    logp = lm_score.Lattice(p).logp
+    for _ in range(rounds):
+        n = plain_expected(p, logp, words) + lm_score.SMOOTH
+        logp = np.log(n / n.sum())
+    return logp
+
+
+def test_expected_pieces():
+    p = pieces.Pieces(pieces.vocabulary())
+    lattice = lm_score.Lattice(p)
+    words = {"the": 5, "tionend": 2, "éaux": 1, "你好🙂🙂": 3, "a" * 40: 1, "thandble" * 3: 7, "b": 2}
+    got = lattice.expected(list(words), list(words.values()))
+    assert np.allclose(got, plain_expected(p, lattice.logp, words))
+    long = {"ab" * 400: 2}
+    assert lattice.expected(list(long), [2]).sum() > 0
+    logp = np.log((got + lm_score.SMOOTH) / (got + lm_score.SMOOTH).sum())
+    before, after = (sum(n * x for n, x in zip(words.values(), lm_score.Lattice(p, w).words(list(words)), strict=True)) for w in (lattice.logp, logp))
+    assert after > before
 
 
 def test_lattice_by_hand():
