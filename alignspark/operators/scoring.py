@@ -114,6 +114,29 @@ def feature_rows(pairs: DataFrame, spec: FeatureSpec) -> DataFrame:
     return pairs.select("pair_id", "s1", "s2").mapInArrow(run, "pair_id long, i int, j int, k int, value double")
 
 
+def sparse_cells(pairs: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """pair_id, i, j, indices, values: each cell's features that aren't zero, as a sparse vector (an empty one if all are)."""
+
+    def run(batches):
+        for part in batches:
+            ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
+            keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
+            for own in kernels.sub_batches([first[r] for r in keep], [second[r] for r in keep], len(spec.planes) + len(spec.blocks) + 1):
+                own = keep[own]
+                batch = kernels.Batch.of([first[r] for r in own], [second[r] for r in own])
+                planes, blocks = kernels.features(batch, spec)
+                p, i, j = np.nonzero((np.arange(planes.shape[1])[None, :, None] < batch.n1[:, None, None]) & (np.arange(planes.shape[2])[None, None, :] < batch.n2[:, None, None]))
+                # all planes, then a column for each block (its index, or none)
+                values = np.concatenate([planes[p, i, j], *[(index[p, i, j] >= 0)[:, None].astype(float) for _, index in blocks]], 1)
+                indices = np.concatenate([np.broadcast_to(np.arange(planes.shape[3]), (len(p), planes.shape[3])), *[(at + index[p, i, j])[:, None] for at, index in blocks]], 1)
+                on = values != 0
+                ends = pa.array(np.r_[0, np.cumsum(on.sum(1))].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (indices[on].astype(np.int32), values[on])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[own][p]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *lists], ["pair_id", "i", "j", "indices", "values"])
+
+    return pairs.select("pair_id", "s1", "s2").mapInArrow(run, "pair_id long, i int, j int, indices array<int>, values array<double>")
+
+
 def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tuple[DataFrame, DataFrame]:
     """Log weights of the lattice's nodes (pair_id, i, j, s, w) and edges (pair_id, i0, j0, s0, i1, j1, s1, e, w).
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +12,7 @@ from alignspark.functions import features as feats
 from alignspark.functions import hof, sql
 from alignspark.operators import lattice, relational, tiles, training
 from alignspark.operators.ml import PairClassifier, PairClassifierModel
-from alignspark.operators.scoring import Parameters, class_log_weights, feature_rows, node_edge_weights, score, zeros
+from alignspark.operators.scoring import Parameters, class_log_weights, feature_rows, node_edge_weights, score, sparse_cells, zeros
 from alignspark.plans import oracle
 from alignspark.sources import pairs
 from alignspark.spec import CHARACTERS, FeatureSpec, Grid, StateMachine, custom_features
@@ -99,8 +98,9 @@ def feature_grid_long(spark, sf_dir):
 
 @query("feature_sparse_nnz", f"{_LONG}, g AS (SELECT pair_id, i, j, count(*) AS n FROM f WHERE value <> 0 GROUP BY pair_id, i, j) SELECT pair_id, sum(n)::BIGINT AS nnz, max(n) AS widest FROM g GROUP BY pair_id")
 def feature_sparse_nnz(spark, sf_dir):
-    per_cell = feature_rows(pairs.parts(spark, sf_dir), FULL).groupBy("pair_id", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    return per_cell.groupBy("pair_id").agg(F.sum("n").alias("nnz"), F.max("n").alias("widest"))
+    """Non-zero features by cell, as sparse vectors; a pair's cells are one row's, so only pairs' sums are shuffled."""
+    cells = sparse_cells(pairs.parts(spark, sf_dir), FULL).select("pair_id", F.size("indices").cast("long").alias("n"))
+    return cells.groupBy("pair_id").agg(F.sum("n").alias("nnz"), F.max("n").alias("widest"))
 
 
 @query("feature_token_match", f"""WITH p AS ({oracle.PARTS}), t AS (SELECT pair_id, string_split(s1, ' ') AS a, string_split(s2, ' ') AS b FROM p),
@@ -198,11 +198,10 @@ def potentials_dense(spark, sf_dir):
 @query("potentials_sparse", f"""{oracle.cells(oracle.PARTS)} SELECT pair_id, i, j, round(0.5 + (({oracle.TRANSITION}) % 7) / 10.0, 4) + 0.0 AS w FROM c""")
 def potentials_sparse(spark, sf_dir):
     """One row of parameters over bias and transitions (0.5, and the index modulo 7 tenths), as a join with theta's table."""
-    spec = FeatureSpec(transition=True)
-    theta = np.r_[0.5, (np.arange(len(CHARACTERS) ** 2) % 7) / 10.0]
+    theta = (np.arange(len(CHARACTERS) ** 2) % 7) / 10.0
     table = spark.createDataFrame([(k, float(v)) for k, v in enumerate(theta)], "k int, v double")
-    rows = feats.feature_long(pairs.parts(spark, sf_dir), spec)
-    return rows.join(F.broadcast(table), "k").groupBy("pair_id", "i", "j").agg(_rounded(F.sum(F.col("v") * F.col("value"))).alias("w"))
+    cells = feats.cells(pairs.parts(spark, sf_dir)).select("pair_id", "i", "j", feats.transition().cast("int").alias("k"))
+    return cells.join(F.broadcast(table), "k", "left").select("pair_id", "i", "j", _rounded(0.5 + F.coalesce("v", F.lit(0.0))).alias("w"))
 
 
 _NODES = f"WITH p AS ({oracle.PARTS}), {oracle.grid('n', 2, lambda c: oracle.alpha(NUMERIC, 2, c), 'p')}"
@@ -250,9 +249,9 @@ def backward_edges(spark, sf_dir):
     return node_edge_weights(pairs.parts(spark, sf_dir), MODEL, "backward")[1].withColumn("w", _rounded("w"))
 
 
-@query("partition_both_ways", "SELECT 0 AS wrong, count(*) * 2 AS pairs FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query("partition_both_ways", f"{oracle.class_weights(oracle.PARTS, NUMERIC, 2)} " + " UNION ALL ".join(f"SELECT pair_id, {c} AS s, {oracle.rounded(f'z{c}')} AS ahead, {oracle.rounded(f'z{c}')} AS back FROM z" for c in range(2)))
 def partition_both_ways(spark, sf_dir):
-    """For each class: the weight of all ways at the last cell is that at the first cell going back, with its node's own."""
+    """For each class: the weight of all ways at the last cell, and at the first cell going back, with its node's own."""
     source = pairs.parts(spark, sf_dir)
     ahead, back = (node_edge_weights(source, MODEL, d)[0] for d in ("forward", "backward"))
     ends = source.select("pair_id", (F.length("s1") - 1).alias("i"), (F.length("s2") - 1).alias("j"))
@@ -260,7 +259,7 @@ def partition_both_ways(spark, sf_dir):
     first = ahead.where("i = 0 AND j = 0").select("pair_id", "s", F.col("w").alias("own"))
     y = back.where("i = 0 AND j = 0").select("pair_id", "s", "w")
     both = z.join(first, ["pair_id", "s"]).join(y, ["pair_id", "s"])
-    return both.agg(F.sum((F.abs(F.col("z") - F.col("own") - F.col("w")) > 1e-9).cast("int")).cast("int").alias("wrong"), F.count(F.lit(1)).alias("pairs"))
+    return both.select("pair_id", "s", _rounded("z").alias("ahead"), _rounded(F.col("own") + F.col("w")).alias("back"))
 
 
 _DELANNOY = "list_reduce(range(2, length(s1) + 1), lambda m, i: list_reduce(range(2, length(s2) + 1), lambda acc, j: list_append(acc, m[j - 1] + acc[-1] + m[j]), [1::HUGEINT]), list_transform(range(1, length(s2) + 1), lambda k: 1::HUGEINT))"
@@ -662,10 +661,33 @@ def custom_optimizer(spark, sf_dir):
     return relational.rounded(relational.as_rows(spark, model.theta))
 
 
+_PROGRESS = f"{_TRUTH} SELECT 0 AS evaluation, round(0 - count(*) * ln(2), 3) + 0.0 AS objective FROM z UNION ALL SELECT 1, ({SQL['l2_objective']})"
+
+
+@query("training_progress", _PROGRESS)
+def training_progress(spark, sf_dir):
+    """The objective as an optimiser sees it: at the start (all alike), and at other parameters with their penalty."""
+
+    def look(objective, x):
+        objective(x)
+        return NUMERIC.ravel(), objective(NUMERIC.ravel())[0]
+
+    _, history = training.fit(pairs.typos(spark, sf_dir), SPEC, l2=10.0, optimizer=look, verbosity=1)
+    return spark.createDataFrame([(i, round(v, 3) + 0.0) for i, v in enumerate(history)], "evaluation int, objective double")
+
+
+@query("estimator_params", oracle.probabilities(oracle.PARTS, NUMERIC, 2, best=True).replace("SELECT pair_id, round", "SELECT pair_id, 2.5::DOUBLE AS l2, round"))
+def estimator_params(spark, sf_dir):
+    """An estimator whose parameters are set afterwards: its model scores by the best alignment; what wasn't set stays."""
+    estimator = PairClassifier(spec=SPEC, l2=2.5, optimizer=lambda objective, x: (NUMERIC.ravel(), 0.0))
+    estimator.set_params(viterbi=True)
+    scored = estimator.fit(pairs.typos(spark, sf_dir)).transform(pairs.parts(spark, sf_dir))
+    return _probabilities(scored).withColumn("l2", F.lit(float(estimator.get_params()["l2"])))
+
+
 @query("model_round_trip", oracle.probabilities(oracle.PARTS, NUMERIC, 2))
 def model_round_trip(spark, sf_dir):
     """Saved, loaded and applied as a pyspark.ml model."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
+    at = relational.shared(spark, "model")
     PairClassifierModel(MODEL).write().overwrite().save(at)
     return _probabilities(PairClassifierModel.load(at).transform(pairs.parts(spark, sf_dir)))
