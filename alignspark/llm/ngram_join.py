@@ -278,7 +278,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """entries with their class's component."""
-    return entries.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return entries.join(small_enough(labels.withColumnRenamed("id", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
 def _across(entries: DataFrame, labels: DataFrame, mixed: DataFrame, maps: DataFrame, t: int) -> DataFrame:
