@@ -607,8 +607,8 @@ def train_golden(spark, sf_dir):
 
 @query("train_golden_best", _GOOD)
 def train_golden_best(spark, sf_dir):
-    """Fitted by all alignments, scored by the best."""
-    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15, viterbi=True), 0.9)
+    """Fitted by all alignments, scored by the best: less exact (0.80 of the other names at a scale of 0.01, by all 0.99)."""
+    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15, viterbi=True), 0.75)
 
 
 @query("train_golden_free", _GOOD)
