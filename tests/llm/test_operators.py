@@ -514,7 +514,7 @@ def test_embedding_dedup(spark, tmp_path, monkeypatch):
 def test_rows_that_share_an_id(spark, tmp_path):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, None, 0), (3, [1.0, 0.0], None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = sorted(tuple(r) for r in embedding_dedup.op7_embedding_dedup(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r)[:4] for r in embedding_dedup.op7_embedding_dedup(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
 
 
