@@ -82,6 +82,12 @@ class Encoded:
 
 def encode(first: list, second: list, labels: list, times: list, spec: FeatureSpec, machine: StateMachine) -> Iterator[Encoded]:
     """Pairs in batches of similar shape; those without a result or whose label is no class are left out, but handle_invalid may raise."""
+    for _, batch in encode_rows(first, second, labels, times, spec, machine):
+        yield batch
+
+
+def encode_rows(first: list, second: list, labels: list, times: list, spec: FeatureSpec, machine: StateMachine) -> Iterator[tuple[np.ndarray, Encoded]]:
+    """The same, with the row numbers of each batch's pairs."""
     number = {label: c for c, label in enumerate(machine.classes)}
     width = machine.n_states * (1 if _class_of_states(machine) is not None else len(machine.classes))
     for rows in sub_batches(first, second, width, segments=True):
@@ -93,7 +99,7 @@ def encode(first: list, second: list, labels: list, times: list, spec: FeatureSp
             if not len(rows):
                 continue
             batch = Batch.of([first[r] for r in rows], [second[r] for r in rows])
-        yield Encoded.of(batch, own, np.array([times[r] for r in rows], float), spec)
+        yield rows, Encoded.of(batch, own, np.array([times[r] for r in rows], float), spec)
 
 
 class Codes:
@@ -121,6 +127,13 @@ class Codes:
         self.sums = [np.zeros_like(t) for t in self.edges]
         self.starts = [np.zeros_like(t) for t in self.nodes]
 
+    def add_edges(self, t: int, codes: list[np.ndarray], values: np.ndarray) -> None:
+        """Adds what passes transition t's edges into cells of these codes: values (pairs, cells)."""
+        self.add(self.sums, t, codes, values)
+
+    def add_starts(self, s: int, codes: list[np.ndarray], values: np.ndarray) -> None:
+        self.add(self.starts, s, codes, values)
+
     def of(self, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
         """Codes of the cells (i[k], j[k]): (pairs, cells), and those of their characters."""
         b, planes = self.batch, self.spec.planes
@@ -169,6 +182,21 @@ class Codes:
         return out
 
 
+class Slopes(Codes):
+    """Codes whose sums are the pairs' own: of the gradient's products with a direction of the parameters."""
+
+    def __init__(self, batch: Encoded, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray, direction: np.ndarray) -> None:
+        super().__init__(batch, spec, machine, theta)
+        along = Codes(batch, spec, machine, direction)
+        self.along, self.first, self.slopes = along.edges, along.nodes, np.zeros(len(batch.n1))
+
+    def add_edges(self, t: int, codes: list[np.ndarray], values: np.ndarray) -> None:
+        self.slopes += (values * sum(table[t].take(code) for table, code in zip(self.along, codes, strict=True))).sum(1)
+
+    def add_starts(self, s: int, codes: list[np.ndarray], values: np.ndarray) -> None:
+        self.slopes += (values * sum(table[s].take(code) for table, code in zip(self.first, codes, strict=True))).sum(1)
+
+
 def _log_sum(parts: np.ndarray) -> np.ndarray:
     """Log of the sum over the first axis (whose array is used up); all -inf gives -inf."""
     most = parts.max(0)
@@ -184,9 +212,8 @@ def _log_sum(parts: np.ndarray) -> np.ndarray:
 class Walk:
     """A batch's lattice by diagonals, d = i + j; arrays of a diagonal are (states, pairs, cells), -inf where there is no node."""
 
-    def __init__(self, batch: Encoded, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray) -> None:
-        self.batch, self.machine = batch, machine
-        self.codes = Codes(batch, spec, machine, theta)
+    def __init__(self, batch: Encoded, codes: Codes, machine: StateMachine) -> None:
+        self.batch, self.machine, self.codes = batch, machine, codes
         self.size1, self.size2, self.states = batch.a.shape[1], batch.b.shape[1], machine.n_states
         self.moves = machine.transitions
         self.deep = max((di + dj for _, _, (di, dj) in self.moves), default=1)
@@ -276,7 +303,7 @@ class Walk:
                         log -= z[s1][:, :, None]
                         np.exp(log, out=log)
                         log *= times[s1][:, :, None]
-                        Codes.add(self.codes.sums, t, [c[:, there] for c in codes], log[0] if axis == 1 else log.sum(0))
+                        self.codes.add_edges(t, [c[:, there] for c in codes], log[0] if axis == 1 else log.sum(0))
                     beta[s0] = _log_sum(go)
                 done = np.flatnonzero(self.last == d)
                 for s in range(self.states):
@@ -285,23 +312,23 @@ class Walk:
                 if d == 0:
                     for s in self.machine.start_states:
                         log = alphas[0][s] + beta[s] - z[s][:, :, None]
-                        Codes.add(self.codes.starts, s, held[0][0], (np.exp(log) * times[s][:, :, None]).sum(0))
+                        self.codes.add_starts(s, held[0][0], (np.exp(log) * times[s][:, :, None]).sum(0))
                 behind = [(low, *held.pop(d), beta), *behind[:-1]]
                 alphas.pop(d, None)
 
 
-def loss_gradient(batch: Encoded, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum over the batch's pairs (as often as each occurs) of log p(label), and its gradient."""
+def _passed(batch: Encoded, codes: Codes, machine: StateMachine) -> np.ndarray:
+    """log p(label) of each pair, as often as it occurs; codes get what passes their cells, times the gradient's factors."""
     states, own = machine.n_states, _class_of_states(machine)
     member = np.array([[any(x == s and y == c for x, y in machine.states_to_classes) for c in machine.classes] for s in range(states)])
     final = np.where(member, 0.0, -np.inf)
     with np.errstate(divide="ignore", invalid="ignore"):
-        walk = Walk(batch, spec, machine, theta)
+        walk = Walk(batch, codes, machine)
         ends = walk.finish()
         z = np.stack([log_sum(ends + f) for f in final.T], 1)
         share = np.exp(z - log_sum(z)[:, None])
         answer = np.eye(len(machine.classes))[batch.label]
-        value = float((batch.times * np.log((share * answer).sum(1))).sum())
+        value = batch.times * np.log((share * answer).sum(1))
         factor = (answer - share) * batch.times[:, None]
         z = np.where(np.isfinite(z), z, 0.0)
         if own is not None:
@@ -310,4 +337,17 @@ def loss_gradient(batch: Encoded, spec: FeatureSpec, machine: StateMachine, thet
         else:
             every = lambda x: np.broadcast_to(x.T, (states, *x.T.shape))
             walk.backward(final, every(z), every(factor))
-    return value, walk.codes.total()
+    return value
+
+
+def loss_gradient(batch: Encoded, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sum over the batch's pairs (as often as each occurs) of log p(label), and its gradient."""
+    codes = Codes(batch, spec, machine, theta)
+    value = _passed(batch, codes, machine)
+    return float(value.sum()), codes.total()
+
+
+def loss_slopes(batch: Encoded, spec: FeatureSpec, machine: StateMachine, theta: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the batch's pairs: log p(label), and its derivative along a direction of the parameters."""
+    codes = Slopes(batch, spec, machine, theta, direction)
+    return _passed(batch, codes, machine), codes.slopes

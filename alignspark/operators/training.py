@@ -99,7 +99,8 @@ def log_likelihood(labelled: DataFrame, model: Parameters, parts: int | None = N
 def pair_slopes(labelled: DataFrame, model: Parameters, direction: np.ndarray) -> DataFrame:
     """pair_id, ll, slope: each labelled pair's log p(label), and its derivative along a direction of the parameters.
 
-    Whole texts, in memory that grows with a root of their lattices; pairs without a result give no row.
+    Whole texts, in memory that grows with a root of their lattices; pairs of similar lengths go together.  Pairs without a
+    result give no row.
     """
     spec, machine, theta = model.spec, model.machine, model.theta
     if not machine.static:
@@ -107,14 +108,10 @@ def pair_slopes(labelled: DataFrame, model: Parameters, direction: np.ndarray) -
 
     def run(batches):
         for part in batches:
-            ids, values, slopes = [], [], []
-            for pair, *row in zip(*(part.column(c).to_pylist() for c in ("pair_id", "s1", "s2", "label")), strict=True):
-                for batch in encoded.encode(*([x] for x in row), [1.0], spec, machine):
-                    value, gradient = encoded.loss_gradient(batch, spec, machine, theta)
-                    ids.append(pair)
-                    values.append(value)
-                    slopes.append(float((gradient * direction).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.float64()), pa.array(slopes, pa.float64())], ["pair_id", "ll", "slope"])
+            ids, first, second, labels = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2", "label"))
+            for rows, batch in encoded.encode_rows(first, second, labels, [1.0] * len(ids), spec, machine):
+                values, slopes = encoded.loss_slopes(batch, spec, machine, theta, direction)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], pa.int64()), pa.array(values), pa.array(slopes)], ["pair_id", "ll", "slope"])
 
     good = labelled.where("s1 IS NOT NULL AND s2 IS NOT NULL AND label IS NOT NULL")
     return good.select("pair_id", "s1", "s2", "label").mapInArrow(run, "pair_id long, ll double, slope double")

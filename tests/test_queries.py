@@ -320,3 +320,19 @@ def test_frontiers_are_joined_once_for_each_shape(spark, monkeypatch):
         nodes = spark.read.parquet(f"{at}/nodes")
         assert nodes.count() == nodes.distinct().count() and nodes.select("n1", "n2").distinct().count() == 2
         assert found == sorted(map(tuple, lattice.lattice(source, queries.GENERAL).collect()))
+
+
+def test_slopes_of_many_pairs_at_once():
+    from alignspark.operators import encoded
+
+    first, second, labels = ["abc", "a7", "", "bca", "abcabc"], ["abd", "7a", "a", "c", "b3"], ["0", "1", "0", "1", "0"]
+    for spec, machine in ((queries.SPEC, queries.MIXED), (queries.TRANSITIONS, queries.TWO)):
+        theta, direction = np.random.default_rng(2).normal(0, 0.2, (2, machine.n_states + machine.n_transitions, spec.size))
+        got = {}
+        for at, batch in encoded.encode_rows(first, second, labels, [1.0] * 5, spec, machine):
+            got |= dict(zip(at.tolist(), zip(*encoded.loss_slopes(batch, spec, machine, theta, direction), strict=True), strict=True))
+        assert sorted(got) == [0, 1, 3, 4]
+        for r, pair in got.items():
+            (batch,) = encoded.encode([first[r]], [second[r]], [labels[r]], [1.0], spec, machine)
+            value, gradient = encoded.loss_gradient(batch, spec, machine, theta)
+            assert pair == pytest.approx((value, (gradient * direction).sum()))
