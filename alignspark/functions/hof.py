@@ -14,6 +14,16 @@ from alignspark.functions.features import DIGITS, elements
 from alignspark.spec import FeatureSpec
 
 
+def _marked(column: str) -> Column:
+    """The sequence's elements with whether each is a digit, which is matched once for each and not for each cell."""
+    return F.transform(elements(column), lambda x: F.struct(x.alias("c"), x.rlike(DIGITS).alias("d")))
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value through a lambda's variable, so that it is worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _dot(theta: np.ndarray, spec: FeatureSpec, c1: Column, c2: Column) -> Column:
     out = F.lit(0.0)
     for k, name in enumerate(spec.planes):
@@ -21,9 +31,9 @@ def _dot(theta: np.ndarray, spec: FeatureSpec, c1: Column, c2: Column) -> Column
         if name == "bias":
             out = out + w * float(spec.bias)
         elif name == "match":
-            out = out + F.when(c1 == c2, w).otherwise(0.0)
+            out = out + F.when(c1["c"] == c2["c"], w).otherwise(0.0)
         elif name == "numeric":
-            out = out + F.when(c1.rlike(DIGITS) & c2.rlike(DIGITS), w).otherwise(0.0)
+            out = out + F.when(c1["d"] & c2["d"], w).otherwise(0.0)
         else:
             raise ValueError(f"{name} has no higher-order form")
     return out
@@ -32,7 +42,7 @@ def _dot(theta: np.ndarray, spec: FeatureSpec, c1: Column, c2: Column) -> Column
 def class_log_weight(theta: np.ndarray, spec: FeatureSpec, n_classes: int, c: int, best: bool = False) -> Column:
     """Log weight of class c of the pair s1, s2; null where a sequence is null or empty."""
     node, mat, ins, dele = (theta[c + m * n_classes] for m in range(4))
-    a, b = elements("s1"), elements("s2")
+    a, b = _marked("s1"), _marked("s2")
 
     def add(x: Column, y: Column, z: Column) -> Column:
         if best:
@@ -63,14 +73,14 @@ def class_log_weight(theta: np.ndarray, spec: FeatureSpec, n_classes: int, c: in
         return F.aggregate(rest(a), top, next_row, lambda row: F.element_at(row, -1))
 
     # through a lambda's variable, so that the strings are split once and not for each cell
-    whole = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: body(p["a"], p["b"]))[0]
+    whole = _once(F.struct(a.alias("a"), b.alias("b")), lambda p: body(p["a"], p["b"]))
     return F.when((F.char_length("s1") > 0) & (F.char_length("s2") > 0), whole)
 
 
 def probabilities(theta: np.ndarray, spec: FeatureSpec, n_classes: int, best: bool = False) -> Column:
     """Array of the classes' probabilities, in the order of their rows in theta."""
     z = F.array(*[class_log_weight(theta, spec, n_classes, c, best) for c in range(n_classes)])
-    most = F.array_max(z)
-    exps = F.transform(z, lambda v: F.exp(v - most))
-    total = F.aggregate(exps, F.lit(0.0), lambda s, v: s + v)
-    return F.when(most.isNotNull(), F.transform(exps, lambda v: v / total))
+    # each step names the one before it several times, and the weights are a walk of the whole lattice
+    shares = lambda exps: _once(F.struct(exps.alias("e"), F.aggregate(exps, F.lit(0.0), lambda s, v: s + v).alias("t")), lambda p: F.transform(p["e"], lambda v: v / p["t"]))
+    scaled = lambda p: F.when(p["m"].isNotNull(), _once(F.transform(p["z"], lambda v: F.exp(v - p["m"])), shares))
+    return _once(z, lambda z: _once(F.struct(z.alias("z"), F.array_max(z).alias("m")), scaled))

@@ -336,3 +336,8 @@ def test_slopes_of_many_pairs_at_once():
             (batch,) = encoded.encode([first[r]], [second[r]], [labels[r]], [1.0], spec, machine)
             value, gradient = encoded.loss_gradient(batch, spec, machine, theta)
             assert pair == pytest.approx((value, (gradient * direction).sum()))
+
+
+def test_higher_order_functions_walk_each_lattice_once(spark):
+    text = pairs.words(spark).select(hof.probabilities(queries.NUMERIC, queries.SPEC, 2).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(s1") == 2  # once a class
