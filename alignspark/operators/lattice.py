@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,30 +44,35 @@ def edges(n1: int, n2: int, machine: StateMachine, cells: np.ndarray | None = No
     return sorted(out)
 
 
+def edge_batches(part: pa.RecordBatch, machine: StateMachine | OwnMachine, spec: FeatureSpec) -> Iterator[pa.RecordBatch]:
+    """Edges of the lattices of a batch's pairs (pair_id, s1, s2); empty and null sequences have none."""
+    names = [c.split()[0] for c in EDGES.split(", ")]
+    ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
+    keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
+    for own in sub_batches([first[r] for r in keep], [second[r] for r in keep], machine.n_states + machine.n_transitions):
+        own = keep[own]
+        batch = Batch.of([first[r] for r in own], [second[r] for r in own])
+        found = []
+        if machine.static:
+            for t, (di, dj), p, i, j in lattice_edges(*lattice_nodes(batch, machine), machine):
+                s0, s1, _ = machine.transitions[t]
+                found.append(np.stack([p, i, j, np.full(len(p), s0), i + di, j + dj, np.full(len(p), s1), np.full(len(p), machine.n_states + t)]))
+        else:
+            columns, _ = own_lattice(batch, machine, Edges.of(machine, batch, dense(*features(batch, spec), spec.size)))
+            found.append(np.stack(columns))
+        if found:
+            columns = np.concatenate(found, 1)
+            pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0]))
+            yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:])], names)
+
+
 def lattice(pairs: DataFrame, machine: StateMachine | OwnMachine, spec: FeatureSpec | None = None) -> DataFrame:
     """Edges of every pair's lattice, for any machine; spec gives the features that callable moves look at."""
     spec = spec or FeatureSpec()
-    names = [c.split()[0] for c in EDGES.split(", ")]
 
     def run(batches):
         for part in batches:
-            ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
-            keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
-            for own in sub_batches([first[r] for r in keep], [second[r] for r in keep], machine.n_states + machine.n_transitions):
-                own = keep[own]
-                batch = Batch.of([first[r] for r in own], [second[r] for r in own])
-                found = []
-                if machine.static:
-                    for t, (di, dj), p, i, j in lattice_edges(*lattice_nodes(batch, machine), machine):
-                        s0, s1, _ = machine.transitions[t]
-                        found.append(np.stack([p, i, j, np.full(len(p), s0), i + di, j + dj, np.full(len(p), s1), np.full(len(p), machine.n_states + t)]))
-                else:
-                    columns, _ = own_lattice(batch, machine, Edges.of(machine, batch, dense(*features(batch, spec), spec.size)))
-                    found.append(np.stack(columns))
-                if found:
-                    columns = np.concatenate(found, 1)
-                    pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0]))
-                    yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:])], names)
+            yield from edge_batches(part, machine, spec)
 
     return pairs.select("pair_id", "s1", "s2").mapInArrow(run, EDGES)
 

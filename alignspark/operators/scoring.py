@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,29 +90,35 @@ def balanced(pairs: DataFrame, parts: int) -> DataFrame:
     return pairs.repartition(parts, cost, F.pmod(F.xxhash64("s1", "s2", *(c for c in ("pair_id",) if c in pairs.columns)), F.lit(4 * parts)))
 
 
+FEATURES = "pair_id long, i int, j int, k int, value double"
+
+
+def feature_batches(part: pa.RecordBatch, spec: FeatureSpec) -> Iterator[pa.RecordBatch]:
+    """Features that aren't zero of a batch's pairs (pair_id, s1, s2); empty and null sequences have none."""
+    ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
+    keep = [r for r in range(len(ids)) if first[r] and second[r]]
+    for rows in kernels.sub_batches([first[r] for r in keep], [second[r] for r in keep], len(spec.planes) + 1):
+        rows = [keep[r] for r in rows]
+        batch = kernels.Batch.of([first[r] for r in rows], [second[r] for r in rows])
+        planes, blocks = kernels.features(batch, spec)
+        inside = (np.arange(planes.shape[1])[None, :, None] < batch.n1[:, None, None]) & (np.arange(planes.shape[2])[None, None, :] < batch.n2[:, None, None])
+        p, i, j, k = np.nonzero(planes * inside[..., None])
+        found = [(p, i, j, k, planes[p, i, j, k])]
+        for at, index in blocks:
+            p, i, j = np.nonzero((index >= 0) & inside)
+            found.append((p, i, j, at + index[p, i, j], np.ones(len(p))))
+        p, i, j, k, v = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[rows][p], pa.int64()), *(pa.array(x, pa.int32()) for x in (i, j, k)), pa.array(v)], [c.split()[0] for c in FEATURES.split(", ")])
+
+
 def feature_rows(pairs: DataFrame, spec: FeatureSpec) -> DataFrame:
     """pair_id, i, j, k, value of features that aren't zero, for any spec, a caller's functions too."""
 
     def run(batches):
         for part in batches:
-            ids, first, second = (part.column(c).to_pylist() for c in ("pair_id", "s1", "s2"))
-            keep = [r for r in range(len(ids)) if first[r] and second[r]]
-            if not keep:
-                continue
-            for rows in kernels.sub_batches([first[r] for r in keep], [second[r] for r in keep], len(spec.planes) + 1):
-                rows = [keep[r] for r in rows]
-                batch = kernels.Batch.of([first[r] for r in rows], [second[r] for r in rows])
-                planes, blocks = kernels.features(batch, spec)
-                inside = (np.arange(planes.shape[1])[None, :, None] < batch.n1[:, None, None]) & (np.arange(planes.shape[2])[None, None, :] < batch.n2[:, None, None])
-                p, i, j, k = np.nonzero(planes * inside[..., None])
-                found = [(p, i, j, k, planes[p, i, j, k])]
-                for at, index in blocks:
-                    p, i, j = np.nonzero((index >= 0) & inside)
-                    found.append((p, i, j, at + index[p, i, j], np.ones(len(p))))
-                p, i, j, k, v = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[rows][p], pa.int64()), *(pa.array(x, pa.int32()) for x in (i, j, k)), pa.array(v)], ["pair_id", "i", "j", "k", "value"])
-
-    return pairs.select("pair_id", "s1", "s2").mapInArrow(run, "pair_id long, i int, j int, k int, value double")
+            yield from feature_batches(part, spec)
+
+    return pairs.select("pair_id", "s1", "s2").mapInArrow(run, FEATURES)
 
 
 def sparse_cells(pairs: DataFrame, spec: FeatureSpec) -> DataFrame:

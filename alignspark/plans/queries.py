@@ -71,8 +71,9 @@ def tokens_long(spark, sf_dir):
 
 
 def _feature(name: str, source=pairs.parts, text: str = oracle.PARTS) -> None:
-    column = {"bias": feats.bias, "start": feats.start, "end": feats.end, "match": feats.match, "numeric": feats.numeric}[name]
-    query(f"feature_{name}", oracle.feature(name, text))(lambda spark, sf_dir: feats.cells(source(spark, sf_dir)).select("pair_id", "i", "j", column().alias("value")))
+    digits = name == "numeric"
+    column = {"bias": feats.bias, "start": feats.start, "end": feats.end, "match": feats.match, "numeric": lambda: feats.numeric(True)}[name]
+    query(f"feature_{name}", oracle.feature(name, text))(lambda spark, sf_dir: feats.cells(source(spark, sf_dir), digits=digits).select("pair_id", "i", "j", column().alias("value")))
 
 
 for _name in ("bias", "start", "end", "match"):
@@ -178,7 +179,7 @@ def lattice_general(spark, sf_dir):
 
 @query("lattice_frontier", oracle.lattice(oracle.PARTS, (0, 2), 4, _rows(GENERAL)))
 def lattice_frontier(spark, sf_dir):
-    """The same edges by joins of a frontier until nothing is new."""
+    """The same edges by joins of a frontier until nothing is new, once for each pair of lengths."""
     return relational.lattice(pairs.parts(spark, sf_dir), GENERAL, relational.shared(spark, "lattice"))
 
 
@@ -190,9 +191,9 @@ _SELECT = lambda rows: " UNION ALL ".join(f"SELECT {r} AS row, {k} AS k, {float(
 @query("potentials_dense", f"""{oracle.cells(oracle.PARTS)}, f AS (SELECT *, [1.0, {oracle.PLANES["match"]}, {oracle.PLANES["numeric"]}] AS x FROM c), t AS ({_SELECT(NUMERIC)})
 SELECT pair_id, i, j, row, round(sum(v * x[k + 1]), 4) + 0.0 AS w FROM f, t GROUP BY pair_id, i, j, row""")
 def potentials_dense(spark, sf_dir):
-    values = feats.planes(SPEC)
+    values = feats.planes(SPEC, True)
     rows = [F.struct(F.lit(r).alias("row"), sum((F.lit(float(NUMERIC[r, k])) * values[k] for k in range(1, 3)), F.lit(float(NUMERIC[r, 0]))).alias("w")) for r in range(len(NUMERIC))]
-    return feats.cells(pairs.parts(spark, sf_dir)).select("pair_id", "i", "j", F.explode(F.array(*rows)).alias("r")).select("pair_id", "i", "j", "r.row", _rounded(F.col("r.w")).alias("w"))
+    return feats.cells(pairs.parts(spark, sf_dir), digits=True).select("pair_id", "i", "j", F.explode(F.array(*rows)).alias("r")).select("pair_id", "i", "j", "r.row", _rounded(F.col("r.w")).alias("w"))
 
 
 @query("potentials_sparse", f"""{oracle.cells(oracle.PARTS)} SELECT pair_id, i, j, round(0.5 + (({oracle.TRANSITION}) % 7) / 10.0, 4) + 0.0 AS w FROM c""")
@@ -229,7 +230,7 @@ def _edge_sql(nodes: str, ahead: bool) -> str:
 
 @query("edge_posteriors", oracle.edge_posteriors(oracle.PARTS, 2, oracle.rows_of(NUMERIC)))
 def edge_posteriors(spark, sf_dir):
-    """How likely an alignment of its class passes each edge: alpha and beta joined as relations."""
+    """How likely an alignment of its class passes each edge."""
     rows = relational.posteriors(pairs.parts(spark, sf_dir), MODEL).where("i0 IS NOT NULL")
     return rows.select("pair_id", "i0", "j0", "s0", F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("s").alias("s1"), F.col("row").alias("e"), _rounded("p").alias("p"))
 
@@ -458,17 +459,17 @@ def predict_edge_cases(spark, sf_dir):
 
 @query("sql_pair_features", f"{_LONG} SELECT * FROM f WHERE value <> 0")
 def sql_pair_features(spark, sf_dir):
-    """Features in SQL text: a table function joined laterally."""
+    """Features in SQL text: a vectorised function's arrays as a lateral view."""
     sql.register(spark, Parameters(FULL, TWO, zeros(FULL, TWO)), "full_proba", prefix="full")
     pairs.parts(spark, sf_dir).createOrReplaceTempView("part_pairs")
-    return spark.sql("SELECT pair_id, f.* FROM part_pairs, LATERAL full_features(s1, s2) f")
+    return spark.sql("SELECT pair_id, f.* FROM part_pairs LATERAL VIEW inline(full_feature_rows(s1, s2)) f AS i, j, k, value")
 
 
 @query("sql_pair_lattice", SQL["lattice_default"])
 def sql_pair_lattice(spark, sf_dir):
     sql.register(spark, MODEL, "pair_proba")
     pairs.parts(spark, sf_dir).createOrReplaceTempView("part_pairs")
-    return spark.sql("SELECT pair_id, f.* FROM part_pairs, LATERAL pair_lattice(s1, s2) f")
+    return spark.sql("SELECT pair_id, f.* FROM part_pairs LATERAL VIEW inline(pair_lattice_rows(s1, s2)) f AS i0, j0, s0, i1, j1, s1, e")
 
 
 _NEAR = "SELECT a.s_suppkey * 1000000 + b.s_suppkey AS pair_id, a.s_name AS s1, b.s_name AS s2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND levenshtein(a.s_name, b.s_name) <= 1"
@@ -541,7 +542,7 @@ def gradient_check(spark, sf_dir):
 
 @query("gradient_relational", SQL["gradient_check"])
 def gradient_relational(spark, sf_dir):
-    """The same from the relation of posteriors, as one aggregate."""
+    """The same from the posteriors of whole lattices, as one aggregate."""
     return relational.rounded(relational.gradient(pairs.typos(spark, sf_dir), TYPO_MODEL))
 
 

@@ -341,3 +341,16 @@ def test_slopes_of_many_pairs_at_once():
 def test_higher_order_functions_walk_each_lattice_once(spark):
     text = pairs.words(spark).select(hof.probabilities(queries.NUMERIC, queries.SPEC, 2).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("split(s1") == 2  # once a class
+
+
+def test_vectorised_rows_are_the_table_functions_rows(spark):
+    from alignspark.functions import sql
+
+    sql.register(spark, Parameters(queries.FULL, queries.TWO, np.zeros((8, queries.FULL.size))), "rows_proba", prefix="rows")
+    spark.createDataFrame([(0, "ab 1", "b1"), (1, "", "a"), (2, None, "a"), (3, "é", "x")], "pair_id long, s1 string, s2 string").createOrReplaceTempView("row_pairs")
+    for name, kind in (("features", "feature"), ("lattice", "lattice")):
+        one = spark.sql(f"SELECT pair_id, f.* FROM row_pairs, LATERAL rows_{name}(s1, s2) f")
+        many = spark.sql(f"SELECT pair_id, inline(rows_{kind}_rows(s1, s2)) FROM row_pairs")
+        assert one.columns == many.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) != []
+    none = spark.sql("SELECT rows_feature_rows(s1, s2) AS f FROM row_pairs WHERE pair_id IN (1, 2)").collect()
+    assert [r["f"] for r in none] == [None, None]
