@@ -6,8 +6,9 @@ share the ordinary part, a gain shows toxic segments and not how common the rest
 
 Training (at the driver, on the bounded sample): in FOLDS folds, so that no text is judged by dictionaries that have seen
 it.  First both sides are dictionaries of equal size trained by zstandard.  Windows of toxic texts whose gain is above
-nearly all gains of ordinary texts are kept, in them the words whose removal loses the gain; words that recur in toxic
-texts, and more often than in ordinary ones, become the toxic segments of the next turn.  After TURNS turns the folds'
+nearly all gains of ordinary texts are kept, in them the words whose removal loses the gain; such words, and beginnings
+that inflected ones share, that recur in toxic texts, and far more often than in ordinary ones, become the toxic segments
+of the next turn.  After TURNS turns the folds'
 gains calibrate the thresholds: a logistic regression on how many windows pass them and by how much.
 
 The sample takes SAMPLE_ROWS labelled texts of each label at most, by a hash of doc_id, and SAMPLE_BYTES of each label's
@@ -35,6 +36,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 WINDOW, DICTIONARY, SEGMENTS, FOLDS, TURNS = 6, 99_999, 3999, 4, 4
 #: Share of ordinary windows that may gain more than a kept one; toxic texts that a segment recurs in at least, and share of them; standard deviations that its toxic texts are above what ordinary texts let expect.
 RARE, RECURS, OFTEN, DEVIATIONS = 0.02, 3, 0.02, 3
+#: Times that a segment's toxic texts are what ordinary texts let expect; bytes of a word's beginnings that are tried; share of a beginning's toxic texts from which on a longer form stands for it.
+TIMES, BEGINNINGS, ALIKE = 3, (4, 5, 6, 7, 8), 0.9
 #: Gains that a window must reach to be counted: in any case, and to be counted as a strong one.
 SOME, STRONG = 2, 4
 LEAST_SCORE = 0.7
@@ -152,20 +155,33 @@ def _starts(windows: list[list[bytes]]) -> np.ndarray:
     return np.cumsum([0, *map(len, windows)])
 
 
+def _forms(word: bytes) -> set[bytes]:
+    """A word as a segment holds it, and its beginnings."""
+    return {b" " + word + b" ", *(b" " + word[:k] for k in BEGINNINGS if k <= len(word))}
+
+
 def _segments(carriers: list[list[list[bytes]]], folds: list[list[list[list[bytes]]]], leave_out: int | None = None) -> bytes:
-    """The carriers (by fold and toxic text) that recur and are in far more toxic texts than ordinary ones let expect.
+    """The carriers (by fold and toxic text) and their beginnings that recur and are in far more toxic texts than ordinary ones let expect.
 
-    folds: the words of the toxic and the ordinary texts by fold.  The most frequent carriers come last, where a match
-    costs least.
+    folds: the words of the toxic and the ordinary texts by fold.  The most frequent ones come last, where a match costs
+    least.
     """
     parts = [i for i in range(FOLDS) if i != leave_out]
-    seen = Counter(w for i in parts for words in carriers[i] for w in set(words))
-    held = [Counter(w for i in parts for words in side[i] for w in seen.keys() & set(words)) for side in folds]
-    fair = sum(len(folds[0][i]) for i in parts) / max(1, sum(len(folds[1][i]) for i in parts))
-    chance = lambda w: fair * held[1][w]
     least = max(RECURS, OFTEN * sum(len(folds[0][i]) for i in parts))
-    chosen = sorted((n, w) for w, n in seen.items() if n >= least and held[0][w] > chance(w) + DEVIATIONS * (chance(w) + 1) ** 0.5)
-    return b"".join(aligned(b" " + w + b" ") for _, w in chosen)[-SEGMENTS:]
+    seen = Counter(f for i in parts for words in carriers[i] for f in set().union(*map(_forms, set(words))))
+    seen = {f: n for f, n in seen.items() if n >= least}
+    begins = {f[1:5].rstrip() for f in seen}
+
+    def held(side: int) -> Counter:
+        return Counter(f for i in parts for words in folds[side][i] for f in set().union(*(_forms(w) & seen.keys() for w in set(words) if w[:4] in begins)))
+
+    toxic, ordinary = held(0), held(1)
+    fair = sum(len(folds[0][i]) for i in parts) / max(1, sum(len(folds[1][i]) for i in parts))
+    good = lambda f, chance: toxic[f] > max(chance + DEVIATIONS * (chance + 1) ** 0.5, TIMES * chance)
+    chosen = {f: n for f, n in seen.items() if good(f, fair * ordinary[f])}
+    # of forms that are nearly always one, the longest stays
+    chosen = {f: n for f, n in chosen.items() if not any(len(g) > len(f) and g.startswith(f) and m >= ALIKE * n for g, m in chosen.items())}
+    return b"".join(aligned(f) for _, f in sorted((n, f) for f, n in chosen.items()))[-SEGMENTS:]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:

@@ -922,6 +922,24 @@ def test_a_text_s_score_is_its_own():
     assert gains.tolist() == plain
 
 
+def test_toxic_words_are_known_by_their_beginnings():
+    """Inflected words: each form is in few texts."""
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice("aeiou") + rng.choice("bcdflmnprst") for _ in range(rng.randint(1, 2)))
+    ends, words = [part() + part() for _ in range(900)], [part() + part() for _ in range(3000)]
+
+    def text(toxic: bool) -> str:
+        own = rng.choices(words, k=80)
+        for at in rng.sample(range(80), 6 if toxic else 0):
+            own[at] = rng.choice(["vequx", "lowei"]) + rng.choice(ends)
+        return " ".join(own)
+
+    toxic, plain = [[text(y) for _ in range(400)] for y in (True, False)]
+    model = toxicity.fit(toxic[:300], plain[:300])
+    caught, wrong = (toxicity.score_texts(t[300:], model, model.pair()) >= toxicity.LEAST_SCORE for t in (toxic, plain))
+    assert caught.mean() >= 0.9 and wrong.mean() <= 0.05
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in toxicity.op12_toxicity(spark, sf).collect()}
