@@ -154,8 +154,8 @@ class Edges:
         p, i0, j0, s0, i1, j1, s1, e = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)) if found else np.zeros((8, 0), np.int64)
         if len(p) and ((i1 < i0) | (j1 < j0) | (i0 + j0 == i1 + j1)).any():
             raise ValueError("a move must advance in one sequence at least and go back in none")
-        order = np.lexsort((j1, i1, i0 + j0))
         number = lambda i, j, s: ((p * size1 + i) * size2 + j) * states + s
+        order = np.argsort((i0 + j0) * (len(batch) * size1 * size2 * states) + number(i1, j1, s1), kind="stable")
         levels = np.searchsorted((i0 + j0)[order], np.arange(size1 + size2))
         return cls(number(i0, j0, s0)[order], number(i1, j1, s1)[order], e[order], s1[order], levels)
 
@@ -481,11 +481,26 @@ def posteriors(batch: Batch, machine: StateMachine, weights: np.ndarray, alpha:
 
 
 def lattice_nodes(batch: Batch, machine: StateMachine | OwnMachine, edges: Edges | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each node can be reached from a start, and whether the pair's last cell can be reached from it."""
+    """Whether each node can be reached from a start, and whether the pair's last cell can be reached from it.
+
+    Moves that don't look at the pair's elements are walked once for each pair of lengths.
+    """
+    if machine.static:
+        one, back = of_sizes(batch)
+        if len(one) < len(batch):
+            return tuple(x[back] for x in lattice_nodes(one, machine))
     none = np.zeros((len(batch), batch.a.shape[1], batch.b.shape[1], machine.n_states + machine.n_transitions))
     return forward(batch, machine, none, edges, best=True) == 0, backward(batch, machine, none, np.zeros(machine.n_states), edges) > -np.inf
 
 
+def of_sizes(batch: Batch) -> tuple[Batch, np.ndarray]:
+    """One of the batch's pairs for each pair of lengths, in arrays as wide as the batch's, and the number of each pair's."""
+    _, rows, back = np.unique(batch.n1 * (batch.b.shape[1] + 1) + batch.n2, return_index=True, return_inverse=True)
+    sides = [[side[r] for r in rows] for side in (batch.first, batch.second)]
+    arrays = (x[rows] for x in (batch.a, batch.b, batch.n1, batch.n2, batch.digit1, batch.digit2, batch.known1, batch.known2))
+    return Batch(*sides, *arrays, batch.items), back
+
+
 def own_lattice(batch: Batch, machine: StateMachine | OwnMachine, edges: Edges) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Columns (pair, i0, j0, s0, i1, j1, s1, e) of the edges on some way from a start to the last cell, and which nodes are on one."""
     from_start, to_end = lattice_nodes(batch, machine, edges)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignspark.operators.kernels import Batch, Edges, dense, features, lattice_edges, lattice_nodes, own_lattice, sub_batches
+from alignspark.operators.kernels import Batch, Edges, dense, features, lattice_edges, lattice_nodes, of_sizes, own_lattice, sub_batches
 from alignspark.spec import FeatureSpec, OwnMachine, StateMachine
 
 EDGES = "pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int"
@@ -54,9 +54,12 @@ def edge_batches(part: pa.RecordBatch, machine: StateMachine | OwnMachine, spec:
         batch = Batch.of([first[r] for r in own], [second[r] for r in own])
         found = []
         if machine.static:
-            for t, (di, dj), p, i, j in lattice_edges(*lattice_nodes(batch, machine), machine):
+            one, back = of_sizes(batch)
+            for t, (di, dj), p, i, j in lattice_edges(*lattice_nodes(one, machine), machine):
                 s0, s1, _ = machine.transitions[t]
                 found.append(np.stack([p, i, j, np.full(len(p), s0), i + di, j + dj, np.full(len(p), s1), np.full(len(p), machine.n_states + t)]))
+            if found:
+                found = [repeated(np.concatenate(found, 1), back)]
         else:
             columns, _ = own_lattice(batch, machine, Edges.of(machine, batch, dense(*features(batch, spec), spec.size)))
             found.append(np.stack(columns))
@@ -66,6 +69,16 @@ def edge_batches(part: pa.RecordBatch, machine: StateMachine | OwnMachine, spec:
             yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:])], names)
 
 
+def repeated(columns: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Edges (their first column: the number of a pair of lengths) for each pair whose lengths' number is in back."""
+    columns = columns[:, np.argsort(columns[0], kind="stable")].astype(np.int32)
+    begin, end = (np.searchsorted(columns[0], back, side) for side in ("left", "right"))
+    counts = end - begin
+    out = columns[:, np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+    out[0] = np.repeat(np.arange(len(back)), counts)
+    return out
+
+
 def lattice(pairs: DataFrame, machine: StateMachine | OwnMachine, spec: FeatureSpec | None = None) -> DataFrame:
     """Edges of every pair's lattice, for any machine; spec gives the features that callable moves look at."""
     spec = spec or FeatureSpec()

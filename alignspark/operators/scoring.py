@@ -155,8 +155,8 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
     machine, states = model.machine, model.machine.n_states
     node_schema, edge_schema = "pair_id long, i int, j int, s int, w double", "pair_id long, i0 int, j0 int, s0 int, i1 int, j1 int, s1 int, e int, w double"
 
-    def tables(first: list, second: list):
-        """Of a sub-batch: nodes (pair, i, j, s, w) and edges (pair, i0, j0, s0, i1, j1, s1, e, w) as columns."""
+    def columns_of(kind: int, first: list, second: list):
+        """Of a sub-batch: nodes (pair, i, j, s, w) or edges (pair, i0, j0, s0, i1, j1, s1, e, w) as columns."""
         batch = kernels.Batch.of(first, second)
         planes, blocks = kernels.features(batch, model.spec)
         weights = kernels.potentials(planes, blocks, model.theta)
@@ -165,19 +165,21 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
         held = kernels.forward(batch, machine, weights, cells) if ahead else kernels.backward(batch, machine, weights, np.zeros(states), cells)
         if machine.static:
             from_start, to_end = kernels.lattice_nodes(batch, machine)
-            p, i, j, s = np.nonzero(from_start & to_end)
-            nodes = (p, i, j, s, held[p, i, j, s])
+            if kind == 0:
+                p, i, j, s = np.nonzero(from_start & to_end)
+                return p, i, j, s, held[p, i, j, s]
             parts = []
             for t, (di, dj), p, i, j in kernels.lattice_edges(from_start, to_end, machine):
                 s0, s1, e = machine.transitions[t][0], machine.transitions[t][1], states + t
                 w = held[p, i, j, s0] + weights[p, i + di, j + dj, e] if ahead else held[p, i + di, j + dj, s1] + weights[p, i + di, j + dj, s1]
                 full = lambda v, n=len(p): np.full(n, v)
                 parts.append((p, i, j, full(s0), i + di, j + dj, full(s1), full(e), w))
-            return nodes, tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0) for _ in range(9))
+            return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0) for _ in range(9))
         (p, i0, j0, s0, i1, j1, s1, e), on = kernels.own_lattice(batch, machine, cells)
-        w = held[p, i0, j0, s0] + weights[p, i1, j1, e] if ahead else held[p, i1, j1, s1] + weights[p, i1, j1, s1]
-        at = np.nonzero(on)
-        return (*at, held[at]), (p, i0, j0, s0, i1, j1, s1, e, w)
+        if kind == 0:
+            at = np.nonzero(on)
+            return *at, held[at]
+        return p, i0, j0, s0, i1, j1, s1, e, held[p, i0, j0, s0] + weights[p, i1, j1, e] if ahead else held[p, i1, j1, s1] + weights[p, i1, j1, s1]
 
     def rows(kind: int, schema: str):
         names = [c.split()[0] for c in schema.split(", ")]
@@ -188,7 +190,7 @@ def node_edge_weights(pairs: DataFrame, model: Parameters, direction: str) -> tu
                 keep = np.array([r for r in range(len(ids)) if first[r] and second[r]], np.int64)
                 for own in kernels.sub_batches([first[r] for r in keep], [second[r] for r in keep], model.theta.shape[0]):
                     own = keep[own]
-                    columns = tables([first[r] for r in own], [second[r] for r in own])[kind]
+                    columns = columns_of(kind, [first[r] for r in own], [second[r] for r in own])
                     pair = pa.array([ids[r] for r in own], pa.int64()).take(pa.array(columns[0].astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pair, *(pa.array(c.astype(np.int32)) for c in columns[1:-1]), pa.array(columns[-1].astype(float))], names)
 

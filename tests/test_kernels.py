@@ -314,3 +314,31 @@ def test_lbfgs():
 
     found = lbfgs.minimise(rosenbrock, np.array([-1.2, 1.0]))
     assert found.converged and np.allclose(found.x, 1, atol=1e-4)
+
+
+def test_static_lattices_are_walked_once_for_each_pair_of_lengths(monkeypatch):
+    import pyarrow as pa
+
+    from alignspark.operators.lattice import edge_batches
+    from alignspark.plans.queries import GENERAL
+
+    walked, walk = [], kernels.forward
+    monkeypatch.setattr(kernels, "forward", lambda batch, *rest, **more: (walked.append(len(batch)), walk(batch, *rest, **more))[1])
+    first, second = ["abc", "ab", "xyz", None, "", "q", "ba"] * 50, ["abcd", "abc", "abdd", "a", "b", "q", "yyy"] * 50
+    part = pa.RecordBatch.from_arrays([pa.array(range(350)), pa.array(first), pa.array(second)], ["pair_id", "s1", "s2"])
+    got = sorted(tuple(r.values()) for b in edge_batches(part, GENERAL, FeatureSpec()) for r in b.to_pylist())
+    assert got == sorted((k, *e) for k in range(350) for e in edges(len(first[k] or ""), len(second[k] or ""), GENERAL))
+    assert sum(walked) == 3
+    walked.clear()
+    whole = kernels.Batch.of(["abc", "ab", "xyz"] * 20, ["abcd", "abc", "abdd"] * 20)
+    on = kernels.lattice_nodes(whole, GENERAL)
+    assert walked == [2]
+    for k in range(60):
+        alone = kernels.lattice_nodes(kernels.Batch.of(whole.first[k : k + 1], whole.second[k : k + 1]), GENERAL)
+        assert all((x[k, : whole.n1[k], : whole.n2[k]] == y[0]).all() for x, y in zip(on, alone, strict=True))
+
+
+def test_a_banded_lattice_is_built_once_for_each_size():
+    from alignspark.plans.queries import Banded
+
+    assert Banded().build_lattice(np.zeros((7, 6, 3))) is Banded().build_lattice(np.ones((7, 6, 3)))
