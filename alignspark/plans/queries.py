@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -404,10 +405,16 @@ class Banded:
     n_states, n_transitions, states_to_classes, width = 2, 6, {0: "0", 1: "1"}, 2
 
     def build_lattice(self, x: np.ndarray) -> np.ndarray:
-        i, j = np.meshgrid(np.arange(x.shape[0]), np.arange(x.shape[1]), indexing="ij")
+        return self.of_size(*x.shape[:2])
+
+    @classmethod
+    @lru_cache(256)
+    def of_size(cls, n1: int, n2: int) -> np.ndarray:
+        """The same for all pairs of these lengths."""
+        i, j = np.meshgrid(np.arange(n1), np.arange(n2), indexing="ij")
         out = []
         for m, (di, dj) in enumerate(((1, 1), (0, 1), (1, 0))):
-            good = (i + di < x.shape[0]) & (j + dj < x.shape[1]) & (np.abs(i - j) <= self.width) & (np.abs(i + di - j - dj) <= self.width)
+            good = (i + di < n1) & (j + dj < n2) & (np.abs(i - j) <= cls.width) & (np.abs(i + di - j - dj) <= cls.width)
             for s in range(2):
                 u, v = i[good], j[good]
                 out.append(np.stack([u, v, np.full_like(u, s), u + di, v + dj, np.full_like(u, s), np.full_like(u, 2 + 2 * m + s)], 1))
