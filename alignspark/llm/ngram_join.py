@@ -10,7 +10,9 @@ histogram of sizes and the mean length of a list.
 A list is never paired with itself as a whole: each list has a leader (the set with the fewest rare shingles, the hub of
 near copies), and first each set meets only the best of its lists' leaders; then sets of a list that are still in different
 components meet, if sizes and positions allow a link, a long list in pairs of blocks that many tasks share.  Sets in one
-component need not meet: links are wanted as components.  Candidates whose parity maps differ in more cells than the sets of
+component need not meet: links are wanted as components.  Keys that no other set has make no list: where the lists are too
+many to be broadcast, a sieve of their keys (bits, so bounded; it lets some others pass) keeps most of the rest from being
+shuffled to them.  Candidates whose parity maps differ in more cells than the sets of
 a link can differ in shingles go; the others are verified exactly on whole sets.  Shingles and classes are 64-bit hashes.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text with fewer words than a shingle is
@@ -25,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -36,6 +38,8 @@ from alignspark.llm.common import components, dropped, in_slices, least_count, k
 FREQUENT, LISTS = 300_000, 1_000_000
 #: Words and shingles that a task holds at once.
 WORDS, HELD = 100_000, 1_500_000
+#: Bits of the sieve for each list key, the logarithms of a segment's and of the most bits in all (64 MB).
+SIEVE_BITS, SEGMENT, SIEVE_MOST = 16, 16, 29
 #: Sets of a list's block: longer lists are compared in pairs of blocks.
 LIST_BLOCK = 1024
 #: A shingle is frequent from so many sets on, and counts in a task from so many on.
@@ -184,8 +188,48 @@ def boundary(sizes: dict[int, int], list_length: float, t: int) -> int:
     return best
 
 
-def _keys(classes: DataFrame, least_large: int, t: int) -> DataFrame:
-    """key, class, n, rest (what the set can still share from there on, itself included), large, for every list a set is in."""
+def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key's segment of the sieve and its two bits there; segments: the logarithm of their number.
+
+    Prefixes begin with the least hashes, so the highest bits of keys are mostly small; they are left out.
+    """
+    bit = np.uint64((1 << SEGMENT) - 1)
+    return tuple(x.astype(np.int64) for x in (h & np.uint64((1 << segments) - 1), (h >> np.uint64(SEGMENT)) & bit, (h >> np.uint64(2 * SEGMENT)) & bit))
+
+
+def sieve(keys: DataFrame, rows: int) -> np.ndarray:
+    """Segments of bits, two of which are set for each of the keys (column key, about `rows` of them); made segment by segment in tasks."""
+    segments = min(SIEVE_MOST, max(SEGMENT, (SIEVE_BITS * rows).bit_length())) - SEGMENT
+
+    def run(group: pa.Table) -> pa.Table:
+        segment, *bits = _places(group["key"].to_numpy().view(np.uint64), segments)
+        own = np.zeros(1 << SEGMENT, np.uint8)
+        own[bits[0]] = own[bits[1]] = 1
+        return pa.table({"segment": pa.array(segment[:1]), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()])})
+
+    found = keys.select("key").groupBy(F.col("key").bitwiseAND((1 << segments) - 1)).applyInArrow(run, "segment long, bits binary").toArrow()
+    out = np.zeros((1 << segments, 1 << (SEGMENT - 3)), np.uint8)
+    for segment, bits in zip(found["segment"].to_pylist(), found["bits"], strict=True):
+        out[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
+
+
+def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the sieve lets the keys pass: all it was made of, and few others."""
+    segment, *both = _places(h, len(bits).bit_length() - 1)
+    a, b = (bits[segment, x >> 3] >> (x & 7).astype(np.uint8) & 1 for x in both)
+    return (a & b).astype(bool)
+
+
+def _keys(classes: DataFrame, least_large: int, t: int, bits: Broadcast | None = None) -> DataFrame:
+    """key, class, n, rest (what the set can still share from there on, itself included), large, for every list a set is in (that the sieve lets pass)."""
+
+    def give(out: list, keys: np.ndarray, rest: np.ndarray, *of_set: int) -> None:
+        if bits is not None:
+            good = passes(keys, bits.value)
+            keys, rest = keys[good], rest[good]
+        if len(keys):
+            out.append((keys, rest, *of_set))
 
     def run(batches):
         for part in batches:
@@ -196,10 +240,10 @@ def _keys(classes: DataFrame, least_large: int, t: int) -> DataFrame:
                 if n < least_large and n >= 2:
                     a, b = np.triu_indices(len(own), 1)
                     low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
-                    out.append((mix(low * _MULTIPLY + high), n - b + 1, c, n, 2))
+                    give(out, mix(low * _MULTIPLY + high), n - b + 1, c, n, 2)
                 if n >= least_large or 100 * n >= t * least_large or n < 2:
                     single = own[: prefix_size(n, t)]
-                    out.append((single, n - np.arange(len(single)), c, n, int(n >= least_large)))
+                    give(out, single, n - np.arange(len(single)), c, n, int(n >= least_large))
             if out:
                 sizes = [len(o[0]) for o in out]
                 wide = lambda i: np.repeat(np.array([o[i] for o in out], np.int64), sizes)
@@ -297,6 +341,7 @@ def _across(entries: DataFrame, labels: DataFrame, mixed: DataFrame, maps: DataF
 
 def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     """doc_id, n, class, component (a class), component_id (least doc_id reachable by links) of every row; class and component are null for empty sets."""
+    spark = documents.sparkSession
     rows = stored(classify(documents, k, t), "rows")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("row", "doc_id", "n")).alias("one"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     members = stored(members.select("class", F.col("one.row").alias("row"), F.col("one.doc_id").alias("doc_id"), F.col("one.n").alias("n"), "least_id", "copies"), "classes")
@@ -305,9 +350,14 @@ def grouped(documents: DataFrame, k: int, t: int) -> DataFrame:
     classes = rows.where("class IS NOT NULL").select("row", "class", "n", "prefix", "bits", "fold").join(small_enough(copies), "row", "left_anti")
     sizes = {r["n"]: r["k"] for r in members.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = classes.select(F.explode("prefix").alias("h")).agg(F.count("h").alias("all"), F.approx_count_distinct("h").alias("distinct")).first()
-    keys = _keys(classes, boundary(sizes, lists["all"] / max(1, lists["distinct"]), t), t)
+    least_large = boundary(sizes, lists["all"] / max(1, lists["distinct"]), t)
+    keys = _keys(classes, least_large, t)
     several = kept(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.max("kind").alias("kind")).where("sets > 1 AND kind > 0").select("key"))
-    entries = keys.join(small_enough(several, LISTS), "key", "left_semi")
+    if several._rows <= LISTS:
+        entries = keys.join(F.broadcast(several), "key", "left_semi")
+    else:
+        bits = spark.sparkContext.broadcast(sieve(several, several._rows))
+        entries = _keys(classes, least_large, t, bits).join(several.hint("merge"), "key", "left_semi")
     entries = stored(entries.select("key", "class", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")), "entries")
     dropped(several)
 

@@ -271,6 +271,22 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == link_components(docs, 3, 90)
 
 
+def test_keys_that_make_no_list_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 60, 120_000, np.uint64)  # prefixes hold the least hashes
+    bits = ngram_join.sieve(spark.createDataFrame([(int(x),) for x in h[:20_000].view(np.int64)], "key long").repartition(4), 20_000)
+    good = ngram_join.passes(h, bits)
+    assert len(bits) == 8 and good[:20_000].all() and good[20_000:].mean() < 0.03
+    asked = []
+    monkeypatch.setattr(ngram_join, "LISTS", 0)  # as if the lists were too many to be broadcast
+    monkeypatch.setattr(ngram_join, "sieve", lambda keys, rows, make=ngram_join.sieve: asked.append(rows) or make(keys, rows))
+    docs = planted(200)
+    for k, t in ((3, 90), (5, 80)):
+        got = ngram_join.join_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k, t).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == link_components(docs, k, t)
+    assert len(asked) == 2 and min(asked) > 0
+
+
 def test_one_of_each_decides_by_row(spark):
     one, other, third = ("the same long text again and again", "quite another text with other words in it", "a third text that shares its number with none")
     rows = [(0, one, 1), (1, one, 2), (1, other, 3), (None, one, 4), (None, third, 5), (None, None, 6), (7, "", 7), (7, "", 8), (9, third, 9), (9, third, 10), (9, "", 11)]
