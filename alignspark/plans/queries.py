@@ -601,28 +601,45 @@ def gradient_mixed_classes(spark, sf_dir):
 _GOOD = f"SELECT label, true AS good, count(*) AS pairs FROM ({oracle.TYPOS}) GROUP BY label"
 
 
+def _equal(source: DataFrame) -> DataFrame:
+    """pair_id (the least), s1, s2, label, times of source: equal pairs once, with how often they occur, dealt to tasks."""
+    rows = source.groupBy("s1", "s2", "label").agg(F.min("pair_id").alias("pair_id"), F.count(F.lit(1)).alias("times"))
+    return pairs.dealt(rows, rows.count())
+
+
+def _scored(source: DataFrame, estimator: PairClassifier) -> DataFrame:
+    """Equal pairs of source once, predicted by what was fitted to all of it; the scoring grows with different pairs only."""
+    return estimator.fit(source).transform(_equal(source))
+
+
+def _good(least: float):
+    """Columns of groups of scored pairs: whether at least a share of them is predicted right, and their number."""
+    right = (F.col("prediction") == F.col("label")).cast("double")
+    share = F.sum(right * F.col("times")) / F.sum(F.when(right.isNotNull(), F.col("times")))
+    return (share >= least).alias("good"), F.coalesce(F.sum("times"), F.lit(0).cast("long")).alias("pairs")
+
+
 def _learned(source: DataFrame, estimator: PairClassifier, least: float) -> DataFrame:
     """Of each label: whether at least a share of its pairs is predicted right, and its pairs."""
-    right = (F.col("prediction") == F.col("label")).cast("double")
-    return estimator.fit(source).transform(source).groupBy("label").agg((F.avg(right) >= least).alias("good"), F.count(F.lit(1)).alias("pairs"))
+    return _scored(source, estimator).groupBy("label").agg(*_good(least))
 
 
 @query("train_golden", _GOOD)
 def train_golden(spark, sf_dir):
     """Fitted with a penalty of 10."""
-    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15), 0.9)
+    return _learned(pairs.labelled(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15), 0.9)
 
 
 @query("train_golden_best", _GOOD)
 def train_golden_best(spark, sf_dir):
     """Fitted by all alignments, scored by the best: less exact (0.80 of the other names at a scale of 0.01, by all 0.99)."""
-    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15, viterbi=True), 0.75)
+    return _learned(pairs.labelled(spark, sf_dir), PairClassifier(spec=SPEC, l2=10.0, iterations=15, viterbi=True), 0.75)
 
 
 @query("train_golden_free", _GOOD)
 def train_golden_free(spark, sf_dir):
     """Fitted without a penalty."""
-    return _learned(pairs.typos(spark, sf_dir), PairClassifier(spec=SPEC, iterations=15), 0.9)
+    return _learned(pairs.labelled(spark, sf_dir), PairClassifier(spec=SPEC, iterations=15), 0.9)
 
 
 _PHRASES = f"SELECT CASE WHEN split_part(s1, ' ', 1) = split_part(s2, ' ', 1) OR split_part(s1, ' ', 2) = split_part(s2, ' ', 2) THEN 'same' ELSE 'other' END AS label, true AS good, count(*) AS pairs FROM ({oracle.PARTS}) GROUP BY 1"

@@ -153,6 +153,16 @@ def test_a_caller_s_own_machine(spark):
     assert parameters.machine == queries.TWO and history[-1] > history[0]
 
 
+def test_equal_pairs_are_scored_once(spark, monkeypatch):
+    rows = [("green", "gr33n", "match"), ("red", "rred", "match"), ("blue", "lue", "match"), ("green", "salmon", "non-match"), ("red", "lavender", "non-match"), ("", "red", "non-match")]
+    many = spark.createDataFrame([(7 * i + k, *r) for i in range(20) for k, r in enumerate(rows)], "pair_id long, s1 string, s2 string, label string")
+    asked = []
+    monkeypatch.setattr(queries.PairClassifierModel, "_transform", lambda self, given, make=queries.PairClassifierModel._transform: asked.append(given.count()) or make(self, given))
+    found = {r["label"]: (r["good"], r["pairs"]) for r in queries._learned(many, queries.PairClassifier(spec=queries.SPEC, l2=0.01, iterations=15), 0.9).collect()}
+    assert found == {"match": (True, 60), "non-match": (True, 60)}  # an empty name has no prediction, but is a pair
+    assert asked == [6]
+
+
 def test_equal_pairs_are_counted(spark):
     """Repeated pairs train as their count; null ones not at all; sequences of words as well."""
     words = pairs.words(spark)
