@@ -665,10 +665,7 @@ def pinned_golden(spark, sf_dir):
 @query("train_typo_accuracy", "SELECT true AS good, count(*) AS pairs FROM (" + oracle.TYPOS + ")")
 def train_typo_accuracy(spark, sf_dir):
     """Fit on the labelled part names and predict them: at least nineteen in twenty right."""
-    source = pairs.typos(spark, sf_dir)
-    model = PairClassifier(spec=SPEC, l2=0.01, iterations=30).fit(source)
-    right = (F.col("prediction") == F.col("label")).cast("double")
-    return model.transform(source).agg((F.avg(right) >= 0.95).alias("good"), F.count(F.lit(1)).alias("pairs"))
+    return _scored(pairs.labelled(spark, sf_dir), PairClassifier(spec=SPEC, l2=0.01, iterations=30)).agg(*_good(0.95))
 
 
 STEP = 1e-3
